@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, token_output, url_filter
+from . import mixing, ngram_join, quality_rules, sharding, token_output, url_filter
 from .store import shared_dir
 
 
@@ -35,6 +35,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).drop("text")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents")).drop("tid")
+
+
 def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -43,7 +47,26 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op6_extendible_hash_shards, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op6_extendible_hash_shards, op9_source_mixing)}
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), d AS (SELECT doc_id, words, array_to_string(words, ' ') AS tid FROM w),
+t AS (SELECT tid, any_value(words) AS words, min(doc_id) AS first_id, count(*) AS n_copies FROM d WHERE len(words) > 0 GROUP BY tid),
+g AS (
+  SELECT DISTINCT first_id, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM t, LATERAL (SELECT unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i)
+), n AS (SELECT first_id, count(*) AS n FROM g GROUP BY first_id),
+common AS (SELECT a.first_id AS a, b.first_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.first_id <> b.first_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n na ON na.first_id = a JOIN n nb ON nb.first_id = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+reach AS (SELECT a AS node, a AS hit FROM (SELECT DISTINCT a FROM links) UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.hit),
+class AS (SELECT node, min(hit) AS class_id FROM reach GROUP BY node),
+k AS (SELECT tid, first_id, n_copies, coalesce(class_id, first_id) AS class_id, coalesce(l.n_links, 0) AS n_links
+      FROM t LEFT JOIN class ON class.node = first_id LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) l ON l.a = first_id)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(k.n_copies, 1) AS BIGINT) AS n_copies
+FROM d LEFT JOIN k ON k.tid = d.tid AND len(d.words) > 0
+"""
 
 OP6_SQL = f"""
 WITH d AS (
@@ -88,4 +111,4 @@ SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target,
 FROM f
 """
 
-ORACLE = {"op6_extendible_hash_shards": OP6_SQL, "op9_source_mixing": OP9_SQL}
+ORACLE = {"op4_ngram_join": OP4_SQL, "op6_extendible_hash_shards": OP6_SQL, "op9_source_mixing": OP9_SQL}
