@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, quality_rules, sharding, token_output, url_filter
+from . import decontaminate, mixing, ngram_join, quality_rules, sharding, token_output, url_filter
 from .store import shared_dir
 
 
@@ -47,7 +47,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op6_extendible_hash_shards, op9_source_mixing)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op6_extendible_hash_shards, op9_source_mixing, op10_decontamination)}
 
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
