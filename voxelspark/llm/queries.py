@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, quality_rules, sharding, token_output, url_filter
+from . import decontaminate, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_output, url_filter
 from .store import shared_dir
 
 
@@ -43,6 +43,12 @@ def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -51,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op6_extendible_hash_shards, op9_source_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op6_extendible_hash_shards, op7_suffix_dedup, op9_source_mixing, op10_decontamination)}
 
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
@@ -86,6 +92,26 @@ SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), dep
 FROM s
 """
 
+#: Bytes as hex digits, two each: a window of 100 bytes is 200 digits.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS h FROM d, LATERAL (SELECT unnest(generate_series(0, n - 100)) AS p)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM w),
+s AS (SELECT doc_id, p, max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r WHERE k > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN prev IS NULL OR p > prev + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM s),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, span),
+ends AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM spans),
+kept AS (
+  SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         any_value(substr(x, 1, 2 * (SELECT min(a) FROM spans s WHERE s.doc_id = d.doc_id)))
+           || string_agg(substr(x, 2 * b + 1, 2 * (coalesce(next, n) - b)), '' ORDER BY a) AS x
+  FROM d JOIN ends ON ends.doc_id = d.doc_id GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -115,4 +141,4 @@ SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target,
 FROM f
 """
 
-ORACLE = {"op4_ngram_join": OP4_SQL, "op6_extendible_hash_shards": OP6_SQL, "op9_source_mixing": OP9_SQL}
+ORACLE = {"op4_ngram_join": OP4_SQL, "op6_extendible_hash_shards": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL}
