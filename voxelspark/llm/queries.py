@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_output, url_filter
+from . import decontaminate, html_extract, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_output, url_filter
 from .store import shared_dir
 
 
@@ -49,6 +49,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -57,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op6_extendible_hash_shards, op7_suffix_dedup, op9_source_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op6_extendible_hash_shards, op7_suffix_dedup, op8_html_extract, op9_source_mixing, op10_decontamination)}
 
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
