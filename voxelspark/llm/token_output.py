@@ -36,7 +36,7 @@ from .text import col, whole
 END_ID = 2
 #: Bounds of what the dictionary is trained on: documents (those of smallest id hash) and bytes of each.
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 1 << 16, 1 << 16
-LEVEL, BLOCK_BYTES, CACHE_WORDS = 3, 1 << 20, 800_000
+LEVEL, BLOCK_BYTES, CACHE_WORDS = 3, 1 << 20, 1_000_000
 BLOCKS = "part int, block int, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary, dict_hash string"
 
 #: Characters beside a space at which byte-level pre-tokenization always splits: no white space in any definition.
@@ -58,38 +58,35 @@ class _Words(dict):
         # The alphabet of byte-level BPE: printable Latin-1 stands for itself, the rest follows from U+0100.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
-        self.symbols = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-        self.space, self.code = self.symbols[32], {2: "H", 4: "I"}[dtype.itemsize]
+        self.symbols = {b: b if b in plain else next(rest) for b in range(256)}
+        self.code = {2: "H", 4: "I"}[dtype.itemsize]
         self.ends = {c: self.encode([c])[0] for c in ",.;:!?"}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii():
-            if word.isalpha():
-                ids = self.merged(self.space + word)
-            elif word[-1:] in self.ends and word[:-1].isalpha():
-                ids = self[word[:-1]] + self.ends[word[-1]]
-            else:
-                ids = self.apart(word)
-        elif _LETTERS.fullmatch(word):
-            ids = self.merged("".join([self.symbols[b] for b in f" {word}".encode()]))
-        elif word[-1] in self.ends and _LETTERS.fullmatch(word, 0, len(word) - 1):
+        if word[-1:] in self.ends and _LETTERS.fullmatch(word, 0, len(word) - 1):
+            met = word[:-1] in self
             ids = self[word[:-1]] + self.ends[word[-1]]
+        elif _LETTERS.fullmatch(word):
+            met, ids = True, self.merged(f" {word}")
+        elif word and _EDGE.match(word[0]) and _EDGE.match(word[-1]):
+            met, ids = True, self.encode([f" {word}"])[0]
         else:
-            ids = self.apart(word)
-        if len(self) < CACHE_WORDS:
+            raise _UnsureError
+        if met and len(self) < CACHE_WORDS:
             self[word] = ids
         return ids
 
-    def merged(self, symbols: str) -> bytes:
+    def merged(self, letters: str) -> bytes:
+        """The ids of one pre-token."""
+        symbols = letters.encode().decode("latin-1").translate(self.symbols)
         return array(self.code, [t.id for t in self.merge(symbols)]).tobytes()
 
-    def apart(self, word: str) -> bytes:
-        if not word or not _EDGE.match(word[0]) or not _EDGE.match(word[-1]):
-            raise _UnsureError
-        return self.encode([f" {word}"])[0]
+    def first(self, word: str) -> bytes:
+        """The ids of a text's first word."""
+        return self.merged(word) if _LETTERS.fullmatch(word) else self.encode([word])[0]
 
 
 class Encoder:
@@ -108,18 +105,16 @@ class Encoder:
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words = _Words(tokenizer, self.dtype)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of self.dtype."""
-        split = [t.split(" ") for t in texts]
-        firsts, out, known = self.words.encode([p[0] for p in split]), [], self.words.__getitem__
-        for first, pieces in zip(firsts, split, strict=True):
-            try:
-                if len(pieces) > 1 and not _EDGE.match(pieces[0][-1:]):
-                    raise _UnsureError
-                out.append(first + b"".join(map(known, pieces[1:])))
-            except _UnsureError:
-                out.append(self._joined(pieces))
-        return out
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as bytes of self.dtype."""
+        pieces = text.split(" ")
+        try:
+            if len(pieces) > 1 and not _EDGE.match(pieces[0][-1:]):
+                raise _UnsureError
+            first = self.words.first(pieces[0])
+            return first + b"".join(map(self.words.__getitem__, pieces[1:]))
+        except _UnsureError:
+            return self._joined(text.split(" "))
 
     def _joined(self, pieces: list[str]) -> bytes:
         sure = [bool(p and _EDGE.match(p[0]) and _EDGE.match(p[-1])) for p in pieces]
@@ -142,9 +137,11 @@ def encoder(path: str) -> Encoder:
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary for the id arrays, from a bounded sample; empty where there is too little to learn from."""
-    rows = docs.filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
-    texts = [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE_DOCS).collect()]
-    samples = encoder(tokenizer_path).encode(texts) if texts else []
+    # Only about so many hashes are below the bound, so few texts are sorted and sent.
+    h, share = F.xxhash64("doc_id"), min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))
+    rows = docs.filter((h <= int(-(2**63) + share * (2**64 - 1025))) & F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
+    texts = rows.orderBy(h, "doc_id").select("text").limit(SAMPLE_DOCS).collect()
+    samples = [encoder(tokenizer_path).encode(r[0]) for r in texts]
     if len(samples) < 16 or sum(map(len, samples)) < 16 * 1024:
         return b""
     try:
@@ -191,8 +188,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
 
         size = 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = enc.encode(text.as_py())
                 frame = pack.compress(ids + end)
                 for x, v in zip(held, (doc, (len(ids) + len(end)) // enc.dtype.itemsize, size, frame), strict=True):
                     x.append(v)
