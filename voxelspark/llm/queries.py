@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_output, url_filter
+from . import decontaminate, html_extract, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, token_output, url_filter
 from .store import shared_dir
 
 
@@ -39,6 +39,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents")).drop("tid")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.detect(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -61,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op6_extendible_hash_shards, op7_suffix_dedup, op8_html_extract, op9_source_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op5_personal_data, op6_extendible_hash_shards, op7_suffix_dedup, op8_html_extract, op9_source_mixing, op10_decontamination)}
 
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
