@@ -200,7 +200,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                     sets = [np.unique(hashes[offsets[k] : offsets[k + 1]]).tobytes() for k in same]
                     yield pa.record_batch([*(part.column(x) for x in ("root", "blocks", "own", "tid")), pa.array(sets, pa.binary())], names=["root", "blocks", "own", "tid", "grams"])
 
-    found = texts.join(parts, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("root", "blocks", "own", "tid", "text")
+    # Always by merge: the texts then move once, at any size, and no plan depends on a broadcast.
+    found = texts.hint("merge").join(parts, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("root", "blocks", "own", "tid", "text")
     found = found.mapInArrow(grams, "root binary, blocks int, own int, tid binary, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = found.select("root", "own", "tid", "grams", other)
