@@ -223,7 +223,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = classes(docs, id_col, text_col, **how)
     first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "tid")).alias("first")).select(F.col("first.doc_id").alias("d"))
     marked = docs.join(keep(first.distinct(), "class-firsts"), col(id_col).cast("long").eqNullSafe(F.col("d")), "left_semi")
-    # Rows may share an id: of those with the id of a class's first text, equal texts are one row.
+    if docs.groupBy(col(id_col)).count().filter("count > 1").isEmpty():
+        return marked.select(*[col(c) for c in docs.columns])
+    # Rows share an id: of those with the id of a class's first text, equal texts are one row.
     mark, n = (free_name(docs.columns, x) for x in ("k_text", "k_row"))
     words_only = F.trim(F.regexp_replace(whole(col(text_col)), r"[\x20\x09-\x0D]+", " "))
     marked = marked.withColumn(mark, F.md5(words_only))
