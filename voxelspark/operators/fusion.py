@@ -78,25 +78,49 @@ def surface_blocks(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: V
     return rows.select("frame", *[block(c).alias(f"b{c}") for c in "xyz"]).distinct()
 
 
-def visits(blocks: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, frustum: bool = True) -> DataFrame:
+def frustum_cells(poses: DataFrame, camera: Pinhole, vmap: VoxelMap, cell: int, frustum: bool = True) -> DataFrame:
+    """(frame, tx, ty, tz, kx, ky, kz): cells of cell blocks that each camera may see, within its range."""
+    edge = vmap.res * vmap.block * cell
+    last = -(-vmap.size // (vmap.block * cell)) - 1
+    rows = poses
+    for c in "xyz":
+        place = lambda d, c=c: F.floor((F.col(f"t{c}") + F.lit(d + vmap.dim / 2)) / F.lit(edge)).cast("int")
+        reach = camera.far * 2 if frustum else vmap.dim * 2
+        low, high = F.greatest(place(-reach), F.lit(0)), F.least(place(reach), F.lit(last))
+        rows = rows.filter(low <= high).withColumn(f"k{c}", F.explode(F.sequence(low, high)))
+    centre = tuple((F.col(f"k{c}") + F.lit(0.5)) * F.lit(edge) - F.lit(vmap.dim / 2) - F.col(f"t{c}") for c in "xyz")
+    return rows.filter(camera.sees_sphere(centre, math.sqrt(3) / 2 * edge)) if frustum else rows
+
+
+def visits(blocks: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, frustum: bool = True, cell: int = 4) -> DataFrame:
     """(bx, by, bz, frame, tx, ty, tz): frames that update a block.
 
     A block is updated by the frame that allocates it, and by each later one that has it in
-    view. Without frustum, by each later one.
+    view. Frames without a measurement update nothing. Without frustum, all later frames
+    do. Blocks and frames meet by equal cells, not each with each.
     """
+    poses = poses.join(blocks.select("frame").distinct(), "frame")
     born = blocks.groupBy("bx", "by", "bz").agg(F.min("frame").alias("born"))
+    first = born.join(poses, F.col("frame") == F.col("born")).select("bx", "by", "bz", *poses.columns)
+    for c in "xyz":
+        born = born.withColumn(f"k{c}", F.floor(F.col(f"b{c}") / cell).cast("int"))
+    later = born.join(frustum_cells(poses, camera, vmap, cell, frustum), ["kx", "ky", "kz"]).filter("frame > born")
     edge = vmap.block
-    centre = [(F.col(f"b{c}") * edge + F.lit(edge / 2)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) - F.col(f"t{c}") for c in "xyz"]
-    seen = camera.sees_sphere(tuple(centre), math.sqrt(3) / 2 * vmap.res * edge) if frustum else F.lit(True)
-    return born.join(poses, (F.col("frame") == F.col("born")) | ((F.col("frame") > F.col("born")) & seen)).drop("born")
+    centre = tuple((F.col(f"b{c}") * edge + F.lit(edge / 2)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) - F.col(f"t{c}") for c in "xyz")
+    if frustum:
+        later = later.filter(camera.sees_sphere(centre, math.sqrt(3) / 2 * vmap.res * edge))
+    return first.unionByName(later.select("bx", "by", "bz", *poses.columns))
 
 
 def observations(seen: DataFrame, pixels: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
     """(vx, vy, vz, frame, u): truncated signed distances of visited voxels, 1 at most."""
-    side = F.sequence(F.lit(0), F.lit(vmap.block - 1))
-    rows = seen.withColumn("ix", F.explode(side)).withColumn("iy", F.explode(side)).withColumn("iz", F.explode(side))
-    for c in "xyz":
-        rows = rows.withColumn(f"v{c}", F.col(f"b{c}") * vmap.block + F.col(f"i{c}"))
+    # A visit becomes hundreds of voxels: few small partitions of visits must not stay few.
+    parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edge = vmap.block
+    rows = seen.repartition(parts, "bx", "by", "bz", "frame").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(edge**3 - 1))))
+    spots = {"x": F.col("i") % edge, "y": F.floor(F.col("i") / edge).cast("int") % edge, "z": F.floor(F.col("i") / edge**2).cast("int")}
+    for c, spot in spots.items():
+        rows = rows.withColumn(f"v{c}", (F.col(f"b{c}") * edge + spot).cast("int"))
     p = tuple(vmap.centre(F.col(f"v{c}")) - F.col(f"t{c}") for c in "xyz")
     rows = rows.select("frame", "vx", "vy", "vz", *[x.alias(f"c{c}") for x, c in zip(p, "xyz", strict=True)])
     p = (F.col("cx"), F.col("cy"), F.col("cz"))
