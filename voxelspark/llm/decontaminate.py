@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .text import col, count_words, whole
 from .words import windows, words
 
@@ -245,6 +246,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), whole(col(text_col)).alias("text"))
+    small_batches(spark)
     schema = "doc_id long, item_id long, distance int, n_words int, start_word int"
     out = spark.createDataFrame([], schema)
     for index in indexes(items, rate=rate):
@@ -266,6 +268,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = MAX_EDITS) -> DataFrame:
     """The rows of docs that hold no item, in docs' columns."""
+    small_batches(docs.sparkSession)
     for index in indexes(items, rate=rate):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         place = [c.lower() for c in docs.columns].index(text_col.lower())

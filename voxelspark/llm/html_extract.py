@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import keep, small_batches
 from .text import col, whole
 from .url_filter import parts
 
@@ -278,6 +278,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host are neighbours of each other. Rows that repeat a page differ from it in nothing,
     so their undecided lines go; an empty table gives an empty table.
     """
+    small_batches(pages.sparkSession)
     parsed = keep(parse(pages, id_col, url_col, html_col), "page-lines")
     gone = differences(parsed).withColumnRenamed("row", "r")
     kept = F.filter("texts", lambda t, k: t.isNotNull() & ~F.coalesce(F.array_contains("gone", k), F.lit(False)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import keep
+from .store import keep, small_batches
 from .text import col, free_name, whole
 from .words import Words, shingles, words
 
@@ -175,6 +175,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     all its words. Repeated rows are copies; an empty table gives an empty table.
     """
     length = prefix_length(threshold, trees, longest, target)
+    small_batches(docs.sparkSession)
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), whole(col(text_col)).alias("text"))
     rows = keep(signatures(texts, size, trees, length), "signatures")
     distinct = rows.filter("n_shingles > 0").groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))

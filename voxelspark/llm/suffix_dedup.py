@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import keep, small_batches
 from .text import col, whole
 from .words import mix, raw
 
 #: Length in bytes of what counts as a repeat, and of the first digit.
 WINDOW, GRAM = 100, 16
 #: Texts are worked on together up to so many bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Windows of one text worked on at a time, and the bits that hold a place among them.
 SEGMENT, _SEGMENT_BITS = 1 << 23, 24
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,7 +64,7 @@ _power_table = np.ones(1, dtype=np.uint64)
 def _powers(n: int) -> np.ndarray:
     global _power_table
     if len(_power_table) < n:
-        _power_table = np.full(max(n, 2 * CHUNK_BYTES), _BASE, dtype=np.uint64)
+        _power_table = np.full(max(n, 4 * CHUNK_BYTES), _BASE, dtype=np.uint64)
         _power_table[0] = 1
         np.multiply.accumulate(_power_table, out=_power_table)
     return _power_table[:n]
@@ -272,6 +272,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
+    small_batches(docs.sparkSession)
     rows = placed(docs, id_col, text_col)
     found = keep(first_passes(rows, window, gram), "repeat-runs")
     again = found.filter("repeat").select("doc_id", "pos", "n")

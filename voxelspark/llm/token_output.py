@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .text import col, whole
 
 #: Id that ends each document.
@@ -162,6 +163,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
     gives a store without blocks. Other columns of docs are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), whole(col(text_col)).alias("text"))
     data = train_dictionary(rows, tokenizer_path)
     digest = hashlib.sha256(data).hexdigest()

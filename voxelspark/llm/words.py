@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on together up to so many bytes; a longer one is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 #: Space and U+0009 to U+000D, as bytes of UTF-8, end words.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
