@@ -17,6 +17,17 @@ from pyspark.sql import functions as F
 from ..functions.sensors import Pinhole, norm, pixel
 
 
+def settle(rows: DataFrame, *names: str) -> DataFrame:
+    """rows with these columns computed once.
+
+    Filters and projections above would otherwise copy the columns' expressions wherever
+    they use them, until the generated method is too long to be compiled. A generator
+    with one row stops that and stays inside code generation.
+    """
+    others = [c for c in rows.columns if c not in names]
+    return rows.select(*others, F.inline(F.array(F.struct(*names))))
+
+
 @dataclass(frozen=True)
 class VoxelMap:
     """A cubic map: voxels of res metres, its centre at the world's origin."""
@@ -122,10 +133,10 @@ def observations(seen: DataFrame, pixels: DataFrame, camera: Pinhole, vmap: Voxe
     for c, spot in spots.items():
         rows = rows.withColumn(f"v{c}", (F.col(f"b{c}") * edge + spot).cast("int"))
     p = tuple(vmap.centre(F.col(f"v{c}")) - F.col(f"t{c}") for c in "xyz")
-    rows = rows.select("frame", "vx", "vy", "vz", *[x.alias(f"c{c}") for x, c in zip(p, "xyz", strict=True)])
+    rows = settle(rows.select("frame", "vx", "vy", "vz", *[x.alias(f"c{c}") for x, c in zip(p, "xyz", strict=True)]), "cx", "cy", "cz")
     p = (F.col("cx"), F.col("cy"), F.col("cz"))
     u, v, ok = camera.project(p)
-    rows = rows.filter(ok & (norm(p) <= camera.range_of(p, camera.far))).withColumns({"x": pixel(u), "y": pixel(v), "n": norm(p)})
+    rows = rows.filter(ok & (camera.measured(p) <= camera.far)).withColumns({"x": pixel(u), "y": pixel(v), "n": norm(p)})
     depth = pixels.filter(F.col("depth") >= camera.near).select("frame", "x", "y", "depth")
     rows = rows.join(depth, ["frame", "x", "y"])
     sdf = (F.col("depth") - F.col("cz")) / F.col("cz") * F.col("n")
