@@ -50,7 +50,9 @@ DROP, KEEP, ASK = 0, 1, 2
 def _boilerplate(attributes: str) -> bool:
     if "=" not in attributes:
         return False
-    return any(w in BOILERPLATE for m in _NAMES.finditer(attributes) for w in _WORD.findall(re.sub("([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
+    names = " ".join(m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes))
+    # camelCase counts as one word and as its parts.
+    return not BOILERPLATE.isdisjoint(_WORD.findall(f"{names} {re.sub('([a-z])([A-Z])', r'\1 \2', names)}".lower()))
 
 
 def lines(page: str) -> list[tuple[str, int]]:

@@ -105,8 +105,10 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", te
     out = rows.filter(F.col("shard_depth").isNotNull()).select(*kept, label(F.col("shard_depth")).alias("shard_id"), "shard_depth", "shard_bytes", "n_bytes")
     if tables[-1][0] < HASH_BITS:
         return out
-    w = Window.partitionBy(col(h)).orderBy(col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
-    page = F.floor(F.coalesce(F.sum("n_bytes").over(w), F.lit(0)) / limit)
+    # Rows of one full hash have one text, so as many as fit make a page, one at least.
+    w = Window.partitionBy(col(h))
+    fit = F.greatest(F.floor(F.lit(limit) / F.greatest(F.max("n_bytes").over(w), F.lit(1))), F.lit(1))
+    page = F.floor((F.row_number().over(w.orderBy(col(id_col))) - 1) / fit)
     over = rows.filter(F.col("shard_depth").isNull()).withColumn(p := free_name(rows.columns, "page"), page)
     over = over.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy(col(h), col(p))))
     name = F.concat(F.lpad(F.bin(col(h)), HASH_BITS, "0"), F.when(col(p) > 0, F.concat(F.lit("+"), col(p).cast("string"))).otherwise(""))
