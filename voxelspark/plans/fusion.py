@@ -59,11 +59,12 @@ ob AS (SELECT vx, vy, vz, vq.frame, (depth - cz) / cz * n AS sdf FROM vq JOIN d
 us AS (SELECT vx, vy, vz, frame, least(sdf / {MAP.boundary}::DOUBLE, 1.0::DOUBLE) AS u FROM ob WHERE sdf >= -{MAP.boundary}::DOUBLE)"""
 
 
-_MICRO = "CAST(round({} * 1000000) AS BIGINT)"
+_MICRO = "CAST(floor({} * 1000000 + 0.37::DOUBLE) AS BIGINT)"
 
 
 def micro(c):
-    return F.round(c * 1_000_000).cast("long")
+    """A double as millionths; cut where no simple fraction lies, so that the last bit of a sum decides nothing."""
+    return F.floor(c * 1_000_000 + F.lit(0.37)).cast("long")
 
 
 @query(f"WITH {_fused('frame < 32')} SELECT vx, vy, vz, {_MICRO.format('avg(u)')} AS tsdf_1e6, CAST(count(*) AS INTEGER) AS weight FROM us GROUP BY vx, vy, vz")

@@ -11,7 +11,7 @@ from .fusion import CAMERA, depth, micro
 from .registry import query, table
 
 _PX = f"WITH {fx.PIXELS}, d AS (SELECT frame, x, y, CASE WHEN depth_mm < 100 THEN 0.0::DOUBLE ELSE depth_mm / 1000.0::DOUBLE END AS depth FROM px)"
-_M = "CAST(round({} * 1000000) AS BIGINT)"
+_M = "CAST(floor({} * 1000000 + 0.37::DOUBLE) AS BIGINT)"
 
 
 def _depth(spark, sf_dir):
