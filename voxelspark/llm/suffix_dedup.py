@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import keep, small_batches
+from .store import keep, release, small_batches
 from .text import col, whole
 from .words import mix, raw
 
@@ -275,6 +275,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     small_batches(docs.sparkSession)
     rows = placed(docs, id_col, text_col)
     found = keep(first_passes(rows, window, gram), "repeat-runs")
+    release(docs.sparkSession)
     again = found.filter("repeat").select("doc_id", "pos", "n")
     again = again.unionByName(last_pass(rows, found.filter("not repeat").select("gram", "doc_id", "pos", "n"), window))
     per_doc = again.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
