@@ -185,13 +185,14 @@ def _space(spark, sf_dir):
     return e.select("event_id", (((F.col("event_id") % 41) - 20) / F.lit(10.0)).alias("x"), (((F.col("event_id") % 31) - 15) / F.lit(10.0)).alias("y"), (F.col("value") / 20 - 1).alias("z"))
 
 
-_XYZ = (F.col("x"), F.col("y"), F.col("z"))
+def _xyz():
+    return F.col("x"), F.col("y"), F.col("z")
 
 
 @query(f"WITH {_PT}, p AS (SELECT *, x * 8.0::DOUBLE / nullif(z, 0) + 3.5::DOUBLE AS u, y * 8.0::DOUBLE / nullif(z, 0) + 3.5::DOUBLE AS v FROM e) SELECT event_id, CASE WHEN ok THEN CAST(trunc(u + 0.5::DOUBLE) AS INTEGER) END AS px, CASE WHEN ok THEN CAST(trunc(v + 0.5::DOUBLE) AS INTEGER) END AS py FROM (SELECT *, coalesce(z > 0 AND u >= -0.5 AND u < 7.5 AND v >= -0.5 AND v < 7.5, false) AS ok FROM p)")
 def p02_project(spark, sf_dir):
     rows = _space(spark, sf_dir).withColumn("z", F.when(F.col("z") != 0, F.col("z")))
-    u, v, ok = CAMERA.project(_XYZ)
+    u, v, ok = CAMERA.project(_xyz())
     return rows.select("event_id", F.when(ok, sensors.pixel(u)).alias("px"), F.when(ok, sensors.pixel(v)).alias("py"))
 
 
@@ -202,12 +203,12 @@ def p03_frustum_planes(spark, sf_dir):
 
 @query(f"WITH {_PT} SELECT event_id, ({_plane_sql('x', 'y', 'z', 0.0)}) AS seen, ({_plane_sql('x', 'y', 'z', 0.0, _PLANES[:5])}) AS seen_beyond FROM e")
 def p04_points_in_frustum(spark, sf_dir):
-    return _space(spark, sf_dir).select("event_id", CAMERA.sees_sphere(_XYZ).alias("seen"), CAMERA.sees_sphere(_XYZ, infinite=True).alias("seen_beyond"))
+    return _space(spark, sf_dir).select("event_id", CAMERA.sees_sphere(_xyz()).alias("seen"), CAMERA.sees_sphere(_xyz(), infinite=True).alias("seen_beyond"))
 
 
 @query(f"WITH {_PT} SELECT event_id, ({_plane_sql('x', 'y', 'z', 0.5)}) AS seen, ({_plane_sql('x', 'y', 'z', 0.5, _PLANES[:5])}) AS seen_beyond FROM e")
 def p05_spheres_in_frustum(spark, sf_dir):
-    return _space(spark, sf_dir).select("event_id", CAMERA.sees_sphere(_XYZ, 0.5).alias("seen"), CAMERA.sees_sphere(_XYZ, 0.5, infinite=True).alias("seen_beyond"))
+    return _space(spark, sf_dir).select("event_id", CAMERA.sees_sphere(_xyz(), 0.5).alias("seen"), CAMERA.sees_sphere(_xyz(), 0.5, infinite=True).alias("seen_beyond"))
 
 
 LIDAR = sensors.Lidar.ouster([-16.6, -8.0, 0.0, 8.0, 16.6], 1024, near=0.5, far=6.0)
@@ -218,7 +219,7 @@ _LO, _HI = math.radians(-16.6), math.radians(16.6)
 SELECT event_id, r >= 0.5 AND el >= {_LO!r}::DOUBLE AND el <= {_HI!r}::DOUBLE AND r <= 6.0 AS point_seen, r + 0.3::DOUBLE >= 0.5 AND r - 0.3::DOUBLE <= 6.0 AND (r <= 0.3::DOUBLE OR sin(miss) * r <= 0.3::DOUBLE) AS sphere_seen FROM a""")
 def p06_lidar_frustum(spark, sf_dir):
     rows = _space(spark, sf_dir).filter("x * x + y * y + z * z > 0")
-    return rows.select("event_id", LIDAR.sees_point(_XYZ).alias("point_seen"), LIDAR.sees_sphere(_XYZ, 0.3).alias("sphere_seen"))
+    return rows.select("event_id", LIDAR.sees_point(_xyz()).alias("point_seen"), LIDAR.sees_sphere(_xyz(), 0.3).alias("sphere_seen"))
 
 
 _PER = CAMERA.min_angle() / 0.05

@@ -108,14 +108,15 @@ def _rgb(spark, sf_dir):
 
 
 _RGB = "WITH c AS (SELECT event_id, CAST(event_id * 7 % 256 AS INTEGER) AS r, CAST((event_id * 11 + 1) % 256 AS INTEGER) AS g, CAST((event_id * 13 + 2) % 256 AS INTEGER) AS b FROM events)"
-_C = (F.col("r"), F.col("g"), F.col("b"))
+def _c():
+    return F.col("r"), F.col("g"), F.col("b")
 
 
 @query(f"{_RGB} SELECT event_id, (r + g) % 256 AS sum_r, {_cut('g * 0.5::DOUBLE')} AS half_g, {_cut('0.25::DOUBLE * b + 0.75::DOUBLE * r')} AS mixed_b, r::BIGINT + g * 256 + b * 65536 + 4278190080 AS packed, r AS back FROM c")
 def i11_rgb_arithmetic(spark, sf_dir):
     turned = (F.col("g"), F.col("b"), F.col("r"))
-    packed = colour.pack(_C)
-    return _rgb(spark, sf_dir).select("event_id", colour.add(_C, turned)[0].alias("sum_r"), colour.scaled(_C, 0.5)[1].alias("half_g"), colour.blend(_C, turned, 0.25)[2].alias("mixed_b"), packed.alias("packed"), colour.unpack(packed)[0].alias("back"))
+    packed = colour.pack(_c())
+    return _rgb(spark, sf_dir).select("event_id", colour.add(_c(), turned)[0].alias("sum_r"), colour.scaled(_c(), 0.5)[1].alias("half_g"), colour.blend(_c(), turned, 0.25)[2].alias("mixed_b"), packed.alias("packed"), colour.unpack(packed)[0].alias("back"))
 
 
 @query(f"{_RGB} SELECT event_id, row_number() OVER (ORDER BY r, g, b, event_id) AS rank FROM c ORDER BY rank LIMIT 500")
@@ -156,5 +157,5 @@ def w07_depth_millimetres(spark, sf_dir):
 @query(f"{_RGB}, n AS (SELECT *, sqrt(r * r + g * g + b * b + 1.0::DOUBLE) AS n FROM c), l AS (SELECT *, greatest(r / n * 0.5::DOUBLE + g / n * 0.25::DOUBLE + b / n * 0.75::DOUBLE, 0.0::DOUBLE) AS a FROM n) SELECT event_id, {_cut('(0.1::DOUBLE + a) * r')} AS r, {_cut('(0.1::DOUBLE + a) * g')} AS g, {_cut('(0.1::DOUBLE + a) * b')} AS b FROM l")
 def c07_render(spark, sf_dir):
     n = F.sqrt(F.col("r") * F.col("r") + F.col("g") * F.col("g") + F.col("b") * F.col("b") + F.lit(1.0))
-    rgb = colour.shade(tuple(c / n for c in _C), (0.5, 0.25, 0.75), (0.1, 0.1, 0.1), _C)
+    rgb = colour.shade(tuple(c / n for c in _c()), (0.5, 0.25, 0.75), (0.1, 0.1, 0.1), _c())
     return _rgb(spark, sf_dir).select("event_id", *[v.alias(c) for c, v in zip("rgb", rgb, strict=True)])

@@ -10,7 +10,6 @@ from . import fixtures as fx
 from . import sql as q
 from .registry import query
 
-KEY, CODE = F.col("key"), F.col("code")
 ID = ["l_orderkey", "l_linenumber"]
 
 
@@ -28,7 +27,7 @@ _ODD = "(CASE WHEN l_orderkey % 5 = 0 THEN key | 32 ELSE key END)"
 
 @query(_sql(f"{_ODD} AS tested", f"((({_ODD} >> 5) & ((1::BIGINT << CAST(3 * ({_ODD} & 31) AS INTEGER)) - 1)) = 0) AS valid"))
 def k01_valid_key(spark, sf_dir):
-    odd = F.when(F.col("l_orderkey") % 5 == 0, KEY.bitwiseOR(F.lit(32))).otherwise(KEY)
+    odd = F.when(F.col("l_orderkey") % 5 == 0, F.col("key").bitwiseOR(F.lit(32))).otherwise(F.col("key"))
     return _ids(spark, sf_dir, odd.alias("tested")).withColumn("valid", m.is_valid_key(F.col("tested")))
 
 
@@ -44,7 +43,7 @@ def k03_expand(spark, sf_dir):
 
 @query(_sql(f"{q.decode('(code * 5 + l_orderkey)', 0)} AS gathered"))
 def k04_compact(spark, sf_dir):
-    return _ids(spark, sf_dir, m.compact(CODE * 5 + F.col("l_orderkey")).alias("gathered"))
+    return _ids(spark, sf_dir, m.compact(F.col("code") * 5 + F.col("l_orderkey")).alias("gathered"))
 
 
 @query(_sql("code"))
@@ -54,45 +53,45 @@ def k05_encode_code(spark, sf_dir):
 
 @query(_sql("key", f"({q.at('code', 'scale')} = code) AS lossless"))
 def k06_encode_key(spark, sf_dir):
-    return _ids(spark, sf_dir, "key", m.is_lossless(CODE, F.col("scale")).alias("lossless"))
+    return _ids(spark, sf_dir, "key", m.is_lossless(F.col("code"), F.col("scale")).alias("lossless"))
 
 
 @query(_sql(f"{q.key('code', '(scale + 2)')} AS coarse"))
 def k07_encode_key_from_code(spark, sf_dir):
-    return _ids(spark, sf_dir, m.encode_key(CODE, F.col("scale") + 2).alias("coarse"))
+    return _ids(spark, sf_dir, m.encode_key(F.col("code"), F.col("scale") + 2).alias("coarse"))
 
 
 @query(_sql(f"{q.decode('(key >> 5)', 0)} AS kx", f"{q.decode('(key >> 5)', 1)} AS ky", f"{q.decode('(key >> 5)', 2)} AS kz", "CAST(key & 31 AS INTEGER) AS kscale", "key >> 5 AS kcode"))
 def k08_decode_key(spark, sf_dir):
-    x, y, z = m.key_coord(KEY)
-    return _ids(spark, sf_dir, x.alias("kx"), y.alias("ky"), z.alias("kz"), m.key_scale(KEY).alias("kscale"), m.key_code(KEY).alias("kcode"))
+    x, y, z = m.key_coord(F.col("key"))
+    return _ids(spark, sf_dir, x.alias("kx"), y.alias("ky"), z.alias("kz"), m.key_scale(F.col("key")).alias("kscale"), m.key_code(F.col("key")).alias("kcode"))
 
 
 @query(_sql("CAST((code >> CAST(3 * scale AS INTEGER)) & 7 AS INTEGER) AS child"))
 def k09_child_index(spark, sf_dir):
-    return _ids(spark, sf_dir, m.child_index(CODE, F.col("scale")).alias("child"))
+    return _ids(spark, sf_dir, m.child_index(F.col("code"), F.col("scale")).alias("child"))
 
 
 @query(_sql(f"{q.at('code', '2')} AS code_at_2", f"CASE WHEN scale <= 2 THEN {q.key('(key >> 5)', '2')} END AS key_at_2"))
 def k10_at_scale(spark, sf_dir):
-    return _ids(spark, sf_dir, m.code_at_scale(CODE, F.lit(2)).alias("code_at_2"), m.key_at_scale(KEY, F.lit(2)).cast("long").alias("key_at_2"))
+    return _ids(spark, sf_dir, m.code_at_scale(F.col("code"), F.lit(2)).alias("code_at_2"), m.key_at_scale(F.col("key"), F.lit(2)).cast("long").alias("key_at_2"))
 
 
 @query(_sql(f"{q.key('(key >> 5)', '(scale + 1)')} AS parent"))
 def k11_parent_key(spark, sf_dir):
-    return _ids(spark, sf_dir, m.parent_key(KEY).alias("parent"))
+    return _ids(spark, sf_dir, m.parent_key(F.col("key")).alias("parent"))
 
 
 @query(_sql(f"{q.at('(key >> 5)', '3')} * 32 + scale AS block", f"{q.at('code', '3')} AS block_code"))
 def k12_block_key(spark, sf_dir):
-    return _ids(spark, sf_dir, m.block_key(KEY).alias("block"), m.code_at_scale(CODE, F.lit(3)).alias("block_code"))
+    return _ids(spark, sf_dir, m.block_key(F.col("key")).alias("block"), m.code_at_scale(F.col("code"), F.lit(3)).alias("block_code"))
 
 
 @query(f"WITH {q.KEYS} SELECT DISTINCT key, c.child, ((key >> 5) + (c.child << CAST(3 * (scale - 1) AS INTEGER))) * 32 + scale - 1 AS child_key FROM k, (SELECT CAST(range AS BIGINT) AS child FROM range(8)) c WHERE scale > 0")
 def k13_children(spark, sf_dir):
     keys = fx.keys(spark, sf_dir).filter("scale > 0").select("key").distinct()
     rows = keys.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("child"))
-    return rows.withColumn("child_key", m.child_key(KEY, F.col("child")))
+    return rows.withColumn("child_key", m.child_key(F.col("key"), F.col("child")))
 
 
 @query(f"""WITH {q.KEYS}, u AS (SELECT DISTINCT key, key >> 5 AS code, CAST(key & 31 AS INTEGER) AS scale FROM k),
@@ -107,7 +106,7 @@ def k14_ancestor_pairs(spark, sf_dir):
 @query(f"WITH {q.KEYS}, u AS (SELECT DISTINCT key, {q.key('(key >> 5)', '(scale + 1)')} AS parent FROM k) SELECT parent, count(*) AS siblings, min(key) AS first_key FROM u GROUP BY parent")
 def k15_siblings(spark, sf_dir):
     keys = fx.keys(spark, sf_dir).select("key").distinct()
-    return keys.groupBy(m.parent_key(KEY).alias("parent")).agg(F.count("*").alias("siblings"), F.min("key").alias("first_key"))
+    return keys.groupBy(m.parent_key(F.col("key")).alias("parent")).agg(F.count("*").alias("siblings"), F.min("key").alias("first_key"))
 
 
 @query(_sql("CAST(1 << CAST(scale AS INTEGER) AS INTEGER) AS size", "CAST(scale AS INTEGER) AS back"))
@@ -140,7 +139,7 @@ def s04_unique_codes(spark, sf_dir):
 
 
 def _mixed_keys(spark, sf_dir):
-    return fx.keys(spark, sf_dir).select(m.encode_key(CODE, F.col("l_orderkey") % 7 + 2).alias("key"))
+    return fx.keys(spark, sf_dir).select(m.encode_key(F.col("code"), F.col("l_orderkey") % 7 + 2).alias("key"))
 
 
 _ALLOC = f"""WITH {q.KEYS}, b AS (SELECT DISTINCT {q.key("code", "greatest(l_orderkey % 7 + 2, 3)")} AS key FROM k),
@@ -168,14 +167,14 @@ def s07_merge_sets(spark, sf_dir):
 @query(f"""WITH {q.TREE} SELECT DISTINCT key FROM t WHERE is_block OR child_mask = 0 EXCEPT SELECT key FROM t WHERE (code >> 9) % 5 = 0""")
 def s08_updated_octants(spark, sf_dir):
     t = fx.tree(spark, sf_dir)
-    code = m.key_code(KEY)
+    code = m.key_code(F.col("key"))
     return keysets.updated_octants(octree.blocks(t), octree.nodes(t).filter("child_mask = 0"), octree.leaves(t), t.filter(m._shr(code, 9) % 5 == 0))
 
 
 @query(f"WITH {q.TREE} SELECT key FROM t WHERE is_block AND (code >> 9) % 2 = 0 UNION ALL SELECT key FROM t WHERE is_block AND (code >> 9) % 2 = 1")
 def s09_all_blocks(spark, sf_dir):
     b = octree.blocks(fx.tree(spark, sf_dir))
-    odd = m._shr(m.key_code(KEY), 9) % 2
+    odd = m._shr(m.key_code(F.col("key")), 9) % 2
     return keysets.all_blocks(b.filter(odd == 0), b.filter(odd == 1))
 
 
@@ -210,7 +209,7 @@ _STAMPED = f"WITH {q.TREE}, s AS (SELECT t.*, CASE WHEN is_block THEN CAST((code
 
 
 def _stamped(spark, sf_dir):
-    ts = F.when(F.col("is_block"), (m._shr(m.key_code(KEY), 9) % 32).cast("int")).otherwise(F.lit(-1))
+    ts = F.when(F.col("is_block"), (m._shr(m.key_code(F.col("key")), 9) % 32).cast("int")).otherwise(F.lit(-1))
     return _tree(spark, sf_dir).withColumn("ts", ts)
 
 
@@ -285,7 +284,7 @@ def t13_siblings(spark, sf_dir):
 @query(f"WITH {q.TREE} SELECT key FROM t EXCEPT SELECT key FROM t WHERE (code >> 12) % 3 = 0 AND scale >= 4")
 def a01_allocate_missing(spark, sf_dir):
     t = _tree(spark, sf_dir)
-    have = t.filter((m._shr(m.key_code(KEY), 12) % 3 == 0) & (F.col("scale") >= 4))
+    have = t.filter((m._shr(m.key_code(F.col("key")), 12) % 3 == 0) & (F.col("scale") >= 4))
     return octree.allocate(octree.blocks(t).select("key"), fx.TOP, existing=have, only_allocated=True)
 
 
@@ -297,13 +296,13 @@ def a02_allocate_children(spark, sf_dir):
 @query(f"WITH {q.TREE}, p AS (SELECT code FROM t WHERE scale = 5 AND (code >> 15) % 2 = 0) SELECT key FROM t WHERE NOT (scale < 5 AND {q.at('code', '5')} IN (SELECT code FROM p))")
 def a03_delete_children(spark, sf_dir):
     t = _tree(spark, sf_dir)
-    parents = t.filter((F.col("scale") == 5) & (m._shr(m.key_code(KEY), 15) % 2 == 0)).select("key")
+    parents = t.filter((F.col("scale") == 5) & (m._shr(m.key_code(F.col("key")), 15) % 2 == 0)).select("key")
     return octree.delete_children(t, parents, fx.TOP).select("key")
 
 
 @query(f"WITH {q.TREE} SELECT key FROM t")
 def a04_allocate_with_ancestors(spark, sf_dir):
-    return octree.allocate(fx.keys(spark, sf_dir).select(m.encode_key(CODE, F.lit(3)).alias("key")), fx.TOP)
+    return octree.allocate(fx.keys(spark, sf_dir).select(m.encode_key(F.col("code"), F.lit(3)).alias("key")), fx.TOP)
 
 
 @query(f"WITH {q.TREE} SELECT key, CAST(s.l AS INTEGER) AS scale FROM t, range(1, 4) s(l) WHERE is_block AND s.l >= 2")
