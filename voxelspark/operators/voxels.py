@@ -140,3 +140,25 @@ def plane(voxels: DataFrame, axis: str, at: int, size: tuple[int, int]) -> DataF
     grid = spark.range(size[0] * size[1]).select((F.col("id") % size[0]).cast("int").alias("u"), F.floor(F.col("id") / size[0]).cast("int").alias("v"))
     cut = voxels.filter(F.col(f"v{axis}") == at).select(F.col(f"v{u}").alias("u"), F.col(f"v{v}").alias("v"), "tsdf", "weight")
     return grid.join(cut, ["u", "v"], "left").select("u", "v", F.coalesce("tsdf", F.lit(1.0)).alias("tsdf"), F.coalesce("weight", F.lit(0)).alias("weight"))
+
+
+def interpolate_scales(points: DataFrame, levels: list[DataFrame], value: str = "tsdf") -> DataFrame:
+    """(id, value, scale): interpolation at the finest of levels (scale 0, 1, ...) that has all eight voxels."""
+    out = points.select("id").withColumns({"value": F.lit(None).cast("double"), "scale": F.lit(None).cast("int")})
+    for s, level in enumerate(levels):
+        at = points.select("id", *[(F.col(c) / 2**s).alias(c) for c in XYZ])
+        found = interpolate(at, level, value).select("id", F.col("value").alias("new"))
+        out = out.join(found, "id")
+        scale = F.coalesce("scale", F.when(F.col("new").isNotNull(), s))
+        out = out.select("id", F.coalesce("value", "new").alias("value"), scale.alias("scale"))
+    return out
+
+
+def gradient_scales(points: DataFrame, levels: list[DataFrame], res: float = 1.0, value: str = "tsdf") -> DataFrame:
+    """(id, gx, gy, gz): the gradient at the finest of levels that has the whole stencil, per unit of the finest."""
+    out = points.select("id").withColumns({f"g{c}": F.lit(None).cast("double") for c in XYZ})
+    for s, level in enumerate(levels):
+        at = points.select("id", *[(F.col(c) / 2**s).alias(c) for c in XYZ])
+        found = gradient(at, level, res * 2**s, value).select("id", *[F.col(f"g{c}").alias(f"n{c}") for c in XYZ])
+        out = out.join(found, "id").select("id", *[F.coalesce(f"g{c}", f"n{c}").alias(f"g{c}") for c in XYZ])
+    return out

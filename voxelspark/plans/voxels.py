@@ -139,6 +139,24 @@ def q10_gradient(spark, sf_dir):
     return _micros(voxels.gradient(points(spark, sf_dir), vox(spark, sf_dir), res=0.05), "gx", "gy", "gz")
 
 
+def _int_sql(level: str, s: int) -> str:
+    ba = _BASE.replace("ba AS", f"ba{s} AS").replace("FROM pt", f"FROM (SELECT id, x / {2**s} AS x, y / {2**s} AS y, z / {2**s} AS z FROM pt)")
+    body = _INT.format(value="tsdf")[len(_BASE) :].replace("st AS", f"st{s} AS").replace("FROM ba,", f"FROM ba{s},").replace("it AS", f"it{s} AS").replace("FROM st JOIN vox", f"FROM st{s} JOIN {level}")
+    return ba + body
+
+
+@query(f"WITH {_VOX}, {_mean_sql('vox', 'm1')}, {_PT}, {_int_sql('vox', 0)}, {_int_sql('m1', 1)} SELECT pt.id, {_M.format('coalesce(it0.value, it1.value)')} AS value_1e6, CASE WHEN it0.value IS NOT NULL THEN 0 WHEN it1.value IS NOT NULL THEN 1 END AS scale FROM pt LEFT JOIN it0 ON it0.id = pt.id LEFT JOIN it1 ON it1.id = pt.id")
+def q08_trilinear_scales(spark, sf_dir):
+    rows = vox(spark, sf_dir)
+    return _micros(voxels.interpolate_scales(points(spark, sf_dir), [rows, pyramid.mean(rows)]), "value")
+
+
+@query()
+def q11_gradient_scales(spark, sf_dir):
+    rows = vox(spark, sf_dir)
+    return voxels.gradient_scales(points(spark, sf_dir), [rows, pyramid.mean(rows)], res=0.05)
+
+
 @query(f"""WITH {_PT}, b AS (SELECT id % 100 AS cell, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_, min(z) AS az, max(z) AS bz FROM pt GROUP BY 1),
 d AS (SELECT cell, greatest(10, least(400, ax - 2)) AS ax, greatest(10, least(400, bx + 2)) AS bx, greatest(10, least(400, ay - 2)) AS ay, greatest(10, least(400, by_ + 2)) AS by_, greatest(10, least(400, az - 2)) AS az, greatest(10, least(400, bz + 2)) AS bz FROM b)
 SELECT cell, -by_ + 1 AS min_x, -ay + 1 AS max_x, ax + 2 AS min_y, bx + 2 AS max_y, az + 3 AS min_z, bz + 3 AS max_z FROM d""")
