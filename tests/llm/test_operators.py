@@ -122,6 +122,19 @@ def test_token_store(spark, docs, rows, none, tmp_path):
     assert token_output.read(spark, f"{tmp_path}/e").collect() == []
 
 
+@pytest.mark.parametrize("most", [2000, 1])
+def test_token_store_with_a_hot_id(spark, tmp_path, monkeypatch, most):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_output, "MOST_BOUNDS", most)
+    rows = [(7, f"copy {k % 40}") for k in range(150)] + [(k, f"text {k}") for k in range(-40, 60)] + [(None, "none")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    token_output.write(df, f"{tmp_path}/s", public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(token_output.read(spark, f"{tmp_path}/s").collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_encoder_on_odd_white_space():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -16,18 +16,19 @@ id bounds are in the Parquet statistics, and only its own frame is decompressed.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import small_batches
@@ -35,9 +36,11 @@ from .text import col, whole
 
 #: Id that ends each document.
 END_ID = 2
-#: Bounds of what the dictionary is trained on: documents (those of smallest id hash) and bytes of each.
-SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 1 << 16, 1 << 16
+#: Bounds of what the dictionary is trained on: documents (the first of a random share) and bytes of each.
+SAMPLE_DOCS, SAMPLE_SHARE, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 0.05, 1 << 16, 1 << 16
 LEVEL, BLOCK_BYTES, CACHE_WORDS = 3, 1 << 20, 1_000_000
+#: Bounds that each id is compared with; for more parts Spark finds the bounds by sampling all rows.
+MOST_BOUNDS = 2000
 BLOCKS = "part int, block int, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary, dict_hash string"
 
 #: Characters beside a space at which byte-level pre-tokenization always splits: no white space in any definition.
@@ -60,20 +63,24 @@ class _Words(dict):
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.symbols = {b: b if b in plain else next(rest) for b in range(256)}
-        self.code = {2: "H", 4: "I"}[dtype.itemsize]
+        self.space, self.code = chr(self.symbols[32]), {2: "H", 4: "I"}[dtype.itemsize]
         self.ends = {c: self.encode([c])[0] for c in ",.;:!?"}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in self.ends and _LETTERS.fullmatch(word, 0, len(word) - 1):
+        met = True
+        if word.isascii() and word.isalpha():
+            # Letters of ASCII are their own symbols.
+            ids = array(self.code, [t.id for t in self.merge(self.space + word)]).tobytes()
+        elif word[-1:] in self.ends and _LETTERS.fullmatch(word, 0, len(word) - 1):
             met = word[:-1] in self
             ids = self[word[:-1]] + self.ends[word[-1]]
         elif _LETTERS.fullmatch(word):
-            met, ids = True, self.merged(f" {word}")
+            ids = self.merged(f" {word}")
         elif word and _EDGE.match(word[0]) and _EDGE.match(word[-1]):
-            met, ids = True, self.encode([f" {word}"])[0]
+            ids = self.encode([f" {word}"])[0]
         else:
             raise _UnsureError
         if met and len(self) < CACHE_WORDS:
@@ -133,15 +140,19 @@ def encoder(path: str) -> Encoder:
     """The encoder of this Python process."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        # A million kept words would be walked through by every full collection.
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 1000)
     return _encoders[path]
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary for the id arrays, from a bounded sample; empty where there is too little to learn from."""
-    # Only about so many hashes are below the bound, so few texts are sorted and sent.
-    h, share = F.xxhash64("doc_id"), min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))
-    rows = docs.filter((h <= int(-(2**63) + share * (2**64 - 1025))) & F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
-    texts = rows.orderBy(h, "doc_id").select("text").limit(SAMPLE_DOCS).collect()
+    # A few partitions give enough: no pass over all texts.
+    rows = docs.filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
+    texts = rows.sample(SAMPLE_SHARE, seed=1).select("text").limit(SAMPLE_DOCS).collect()
+    if len(texts) < SAMPLE_DOCS:
+        texts = rows.select("text").limit(SAMPLE_DOCS).collect()
     samples = [encoder(tokenizer_path).encode(r[0]) for r in texts]
     if len(samples) < 16 or sum(map(len, samples)) < 16 * 1024:
         return b""
@@ -155,6 +166,24 @@ def _dict(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
+def parts_in_order(rows: DataFrame, n: int) -> Column:
+    """A number for each row (doc_id, text) so that smaller numbers hold smaller ids, in about n parts of like size.
+
+    Bounds are quantiles of the ids alone, so no text is read for them. An id that is
+    several quantiles at once holds many rows; it is parted by a hash of the text.
+    """
+    ids = rows.select(F.col("doc_id").cast("double").alias("d"))
+    bounds = ids.approxQuantile("d", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    times = Counter(bounds)
+    d = F.col("doc_id").cast("double")
+    below = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(times)]).cast("array<double>"), lambda x: x < d))
+    many = {x: k for x, k in times.items() if k > 1}
+    salt = F.lit(0)
+    for x, k in many.items():
+        salt = F.when(d == x, F.pmod(F.xxhash64("text"), F.lit(k)).cast("int") + 1).otherwise(salt)
+    return F.when(d.isNull(), F.lit(-1)).otherwise(below * (max(many.values(), default=0) + 1) + salt).cast("int")
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Write the token store of docs to path.
 
@@ -177,20 +206,23 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
         enc = encoder(tokenizer_path)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(data), write_dict_id=False)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        part, block, held = TaskContext.get().partitionId(), 0, ([], [], [], [])
+        part, block, held, size = None, 0, ([], [], [], []), 0
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary()), ("dict_hash", pa.string())])
 
         def flush():
-            nonlocal block, held
+            nonlocal block, held, size
             ids, counts, at, frames = held
             known = [x for x in ids if x is not None]
             cols = [[part], [block], [known[0] if known else None], [known[-1] if known else None], [ids], [counts], [at], [b"".join(frames)], [digest]]
-            block, held = block + 1, ([], [], [], [])
+            block, held, size = block + 1, ([], [], [], []), 0
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-        size = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for at, doc, text in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if at != part:
+                    if held[0]:
+                        yield flush()
+                    part, block = at, 0
                 ids = enc.encode(text.as_py())
                 frame = pack.compress(ids + end)
                 for x, v in zip(held, (doc, (len(ids) + len(end)) // enc.dtype.itemsize, size, frame), strict=True):
@@ -198,13 +230,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
                 size += len(frame)
                 if size >= BLOCK_BYTES:
                     yield flush()
-                    size = 0
         if held[0]:
             yield flush()
 
-    # The second key parts rows that repeat an id.
-    keys = ["doc_id", F.xxhash64("text")]
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(blocks, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    n, order = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), ["doc_id", F.xxhash64("text")]
+    if n <= MOST_BOUNDS:
+        rows = rows.withColumn("part", parts_in_order(rows, n)).repartition("part").sortWithinPartitions("part", *order)
+    else:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    rows.mapInArrow(blocks, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
