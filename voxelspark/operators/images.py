@@ -116,12 +116,12 @@ def ray_to_z(depth: Column, camera: Pinhole, x: Column, y: Column) -> Column:
 
 
 def destagger(scan: DataFrame, width: int, stagger: tuple[int, ...]) -> DataFrame:
-    """(x, y, value) of a column-major LiDAR scan (idx, value) whose rows are shifted by stagger."""
+    """(scan, x, y, value) of column-major LiDAR scans (scan, idx, value) whose rows are shifted by stagger."""
     rows = len(stagger)
     y = (F.col("idx") % rows).cast("int")
     x = F.floor(F.col("idx") / rows).cast("int")
     shift = F.element_at(F.array(*[F.lit(s) for s in stagger]), y + 1)
-    return scan.select(((x + shift) % width).cast("int").alias("x"), y.alias("y"), "value")
+    return scan.select("scan", ((x + shift) % width).cast("int").alias("x"), y.alias("y"), "value")
 
 
 def to_millimetres(depth: Column) -> Column:

@@ -67,20 +67,26 @@ def micro(c):
     return F.floor(c * 1_000_000 + F.lit(0.37)).cast("long")
 
 
-@query(f"WITH {_fused('frame < 32')} SELECT vx, vy, vz, {_MICRO.format('avg(u)')} AS tsdf_1e6, CAST(count(*) AS INTEGER) AS weight FROM us GROUP BY vx, vy, vz")
-def flagship_tsdf_fusion(spark, sf_dir):
-    some = F.col("frame") < 32  # the sequence that is fused
-    out = fusion.fuse(depth(spark, sf_dir).filter(some), poses(spark, sf_dir).filter(some), CAMERA, MAP, few=True)
+def _clamped(w: int) -> str:
+    """The running mean over all frames, with weights up to w, in SQL."""
+    mean = _MICRO.format(f"sum(u * pow({(w - 1) / w!r}::DOUBLE, greatest(n - greatest(i, {w}), 0)) / least(n, {w}))")
+    return f"""WITH {_fused('frame >= 0')}, r AS (SELECT vx, vy, vz, u, row_number() OVER w AS i, count(*) OVER (PARTITION BY vx, vy, vz) AS n FROM us WINDOW w AS (PARTITION BY vx, vy, vz ORDER BY frame))
+SELECT vx, vy, vz, {mean} AS tsdf_1e6, CAST(least(count(*), {w}) AS INTEGER) AS weight FROM r GROUP BY vx, vy, vz"""
+
+
+def _fuse(spark, sf_dir, vmap):
+    out = fusion.fuse(depth(spark, sf_dir), poses(spark, sf_dir), CAMERA, vmap)
     return out.select("vx", "vy", "vz", micro(F.col("tsdf")).alias("tsdf_1e6"), "weight")
 
 
-@query(f"""WITH {_fused('frame % 3 = 0')}, r AS (SELECT vx, vy, vz, u, row_number() OVER w AS i, count(*) OVER (PARTITION BY vx, vy, vz) AS n FROM us WINDOW w AS (PARTITION BY vx, vy, vz ORDER BY frame))
-SELECT vx, vy, vz, {_MICRO.format("sum(u * pow(0.9::DOUBLE, greatest(n - greatest(i, 10), 0)) / least(n, 10))")} AS tsdf_1e6, CAST(least(count(*), 10) AS INTEGER) AS weight FROM r GROUP BY vx, vy, vz""")
+@query(_clamped(MAP.max_weight))
+def flagship_tsdf_fusion(spark, sf_dir):
+    return _fuse(spark, sf_dir, MAP)
+
+
+@query(_clamped(10))
 def f04_clamped_fusion(spark, sf_dir):
-    some = F.col("frame") % 3 == 0  # every third frame, as an integration rate of 3
-    vmap = fusion.VoxelMap(max_weight=10)
-    out = fusion.fuse(depth(spark, sf_dir).filter(some), poses(spark, sf_dir).filter(some), CAMERA, vmap)
-    return out.select("vx", "vy", "vz", micro(F.col("tsdf")).alias("tsdf_1e6"), "weight")
+    return _fuse(spark, sf_dir, fusion.VoxelMap(max_weight=10))
 
 
 @query(f'WITH {_ALLOC} SELECT bx, "by", bz, min(frame) AS born FROM ab GROUP BY ALL')

@@ -141,12 +141,11 @@ def r10_ray_to_z(spark, sf_dir):
     return _depth(spark, sf_dir).select("frame", "x", "y", micro(images.ray_to_z(F.col("depth"), CAMERA, F.col("x"), F.col("y"))).alias("z_1e6"))
 
 
-@query("WITH s AS (SELECT event_id - (SELECT min(event_id) FROM events) AS idx, event_id AS value FROM events) SELECT CAST((idx // 4 + [0, 6, 12, 18][idx % 4 + 1]) % 64 AS INTEGER) AS x, CAST(idx % 4 AS INTEGER) AS y, value FROM s WHERE idx < 256")
+@query("WITH s AS (SELECT event_id // 256 AS scan, event_id % 256 AS idx, user_id AS value FROM events) SELECT scan, CAST((idx // 4 + [0, 6, 12, 18][idx % 4 + 1]) % 64 AS INTEGER) AS x, CAST(idx % 4 AS INTEGER) AS y, value FROM s")
 def r11_destagger(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    first = ev.agg(F.min("event_id").alias("first"))
-    scan = ev.join(first).select((F.col("event_id") - F.col("first")).alias("idx"), F.col("event_id").alias("value")).filter("idx < 256")  # one scan of 4 x 64
-    return images.destagger(scan, 64, (0, 6, 12, 18))
+    e = F.col("event_id")
+    scans = table(spark, sf_dir, "events").select(F.floor(e / 256).alias("scan"), (e % 256).alias("idx"), F.col("user_id").alias("value"))
+    return images.destagger(scans, 64, (0, 6, 12, 18))
 
 
 @query(f"{_PX} SELECT frame, x, y, CAST(greatest(0, least(65535, round(depth * 1000))) AS INTEGER) AS mm FROM d")

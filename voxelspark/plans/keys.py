@@ -158,10 +158,10 @@ def s06_unique_at_scale(spark, sf_dir):
     return keysets.unique_at_scale(fx.keys(spark, sf_dir), 2)
 
 
-@query(f"WITH {q.KEYS} SELECT DISTINCT key FROM k WHERE l_orderkey % 2 = 0 UNION SELECT key FROM k WHERE l_orderkey % 3 = 0")
+@query(f"WITH {q.KEYS} SELECT DISTINCT key FROM k WHERE l_linenumber > 1 UNION SELECT key FROM k WHERE l_linenumber <= 2")
 def s07_merge_sets(spark, sf_dir):
     k = fx.keys(spark, sf_dir)
-    return keysets.merge_keys(k.filter("l_orderkey % 2 = 0"), k.filter("l_orderkey % 3 = 0"))
+    return keysets.merge_keys(k.filter("l_linenumber > 1"), k.filter("l_linenumber <= 2"))
 
 
 @query(f"""WITH {q.TREE} SELECT DISTINCT key FROM t WHERE is_block OR child_mask = 0 EXCEPT SELECT key FROM t WHERE (code >> 9) % 5 = 0""")

@@ -9,7 +9,7 @@ from ..streaming import blocks, fuse
 from ..streaming import rays as ray_batches
 from . import fixtures as fx
 from . import sql as q
-from .fusion import CAMERA, MAP, _fused, depth, micro, poses
+from .fusion import CAMERA, MAP, _clamped, depth, micro, poses
 from .keys import _tree
 from .registry import query
 
@@ -19,28 +19,21 @@ def r14_ray_batches(spark, sf_dir):
     return ray_batches.batches(fx.rays(spark, sf_dir).select("scan", "seq", "ts"), 86_400_000_000)
 
 
-def _some(spark, sf_dir, n):
-    few = F.col("frame") < n  # the sequence that is fused
-    return depth(spark, sf_dir).filter(few), poses(spark, sf_dir).filter(few)
-
-
 @query()
 def f05_multires_tsdf(spark, sf_dir):
-    px, po = _some(spark, sf_dir, 16)
-    return blocks.fuse(px, po, CAMERA, MAP, occupancy=False)
+    return blocks.fuse(depth(spark, sf_dir), poses(spark, sf_dir), CAMERA, MAP, occupancy=False)
 
 
 @query()
 def f08_multires_occupancy(spark, sf_dir):
-    px, po = _some(spark, sf_dir, 16)
-    return blocks.fuse(px, po, CAMERA, MAP)
+    return blocks.fuse(depth(spark, sf_dir), poses(spark, sf_dir), CAMERA, MAP)
 
 
-@query(f"WITH {_fused('frame < 16')} SELECT vx, vy, vz, CAST(floor(avg(u) * 1000000 + 0.37::DOUBLE) AS BIGINT) AS tsdf_1e6, CAST(count(*) AS INTEGER) AS weight FROM us GROUP BY vx, vy, vz")
+@query(_clamped(MAP.max_weight))
 def f12_incremental_fusion(spark, sf_dir):
     """The second half of a sequence fused into the map of the first."""
-    px, po = _some(spark, sf_dir, 16)
-    late = F.col("frame") >= 8
+    px, po = depth(spark, sf_dir), poses(spark, sf_dir)
+    late = F.col("frame") >= po.agg(F.max("frame")).first()[0] // 2
     first = fusion.fuse(px.filter(~late), po.filter(~late), CAMERA, MAP)
     surface = fusion.surface_blocks(px, po, CAMERA, MAP)
     seen = fusion.visits(surface, po, CAMERA, MAP).filter(late)
@@ -50,8 +43,7 @@ def f12_incremental_fusion(spark, sf_dir):
 
 @query()
 def a06_volume_carver(spark, sf_dir):
-    px, po = _some(spark, sf_dir, 4)
-    return carve.carve(px, po, CAMERA, MAP)
+    return carve.carve(depth(spark, sf_dir), poses(spark, sf_dir), CAMERA, MAP)
 
 
 @query(f"WITH {q.TREE} SELECT key, CASE WHEN (code >> 9) % 3 = 0 THEN 7 ELSE CAST(scale AS INTEGER) END AS data FROM t")

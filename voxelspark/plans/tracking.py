@@ -13,15 +13,15 @@ from .voxels import _VOX, vox
 
 _M = "CAST(floor({} * 1000000 + 0.37::DOUBLE) AS BIGINT)"
 _RAY = """ra AS (SELECT event_id AS id, (event_id % 400)::DOUBLE AS ox, (event_id % 60)::DOUBLE AS oy, 3.5::DOUBLE AS oz, a / n AS dx, b / n AS dy, 0.0::DOUBLE AS dz FROM
-(SELECT event_id, (event_id % 7 - 3)::DOUBLE AS a, (event_id % 5 + 1)::DOUBLE AS b, sqrt((event_id % 7 - 3) * (event_id % 7 - 3)::DOUBLE + (event_id % 5 + 1) * (event_id % 5 + 1)::DOUBLE) AS n FROM events WHERE event_id % 4 = 0))"""
+(SELECT event_id, (event_id % 7 - 3)::DOUBLE AS a, (event_id % 5 + 1)::DOUBLE AS b, sqrt((event_id % 7 - 3) * (event_id % 7 - 3)::DOUBLE + (event_id % 5 + 1) * (event_id % 5 + 1)::DOUBLE) AS n FROM events))"""
 
 
 def rays(spark, sf_dir):
-    """A ray in voxels from every fourth event."""
+    """A ray in voxels from every event."""
     e = F.col("event_id")
     a, b = (e % 7 - 3).cast("double"), (e % 5 + 1).cast("double")
     n = F.sqrt(a * a + b * b)
-    rows = table(spark, sf_dir, "events").filter(e % 4 == 0)
+    rows = table(spark, sf_dir, "events")
     return rows.select(e.alias("id"), (e % 400).cast("double").alias("ox"), (e % 60).cast("double").alias("oy"), F.lit(3.5).alias("oz"), (a / n).alias("dx"), (b / n).alias("dy"), F.lit(0.0).alias("dz"))
 
 
@@ -80,7 +80,7 @@ POSE[:3, 3] = (0.01, -0.02, 0.03)
 
 
 def _points(spark, sf_dir):
-    cloud = images.point_cloud(_depth(spark, sf_dir).filter("frame % 2 = 0"), CAMERA)
+    cloud = images.point_cloud(_depth(spark, sf_dir), CAMERA)
     return cloud.join(images.normals(cloud), ["frame", "x", "y"])
 
 
@@ -90,7 +90,7 @@ def _tracked(spark, sf_dir):
 
 
 _NORMALS = f"""{_CLOUD}, nb AS (SELECT p.*, {", ".join(f"coalesce({f}({c}) OVER {w}, {c}) AS {k}{c}" for k, f, w in (("l", "lag", "a"), ("r", "lead", "a"), ("u", "lag", "b"), ("d", "lead", "b")) for c in ("px", "py", "pz"))}
-FROM p WHERE frame % 2 = 0 WINDOW a AS (PARTITION BY frame, y ORDER BY x), b AS (PARTITION BY frame, x ORDER BY y)),
+FROM p WINDOW a AS (PARTITION BY frame, y ORDER BY x), b AS (PARTITION BY frame, x ORDER BY y)),
 cv AS (SELECT *, rpx - lpx AS ax, rpy - lpy AS ay, rpz - lpz AS az, dpx - upx AS bx, dpy - upy AS by_, dpz - upz AS bz FROM nb),
 cx AS (SELECT *, by_ * az - bz * ay AS cx, bz * ax - bx * az AS cy, bx * ay - by_ * ax AS cz FROM cv),
 cn AS (SELECT frame, x, y, px, py, pz, CASE WHEN least(pz, lpz, rpz, upz, dpz) > 0 AND n > 0 THEN cx / n END AS nx, CASE WHEN least(pz, lpz, rpz, upz, dpz) > 0 AND n > 0 THEN cy / n END AS ny, CASE WHEN least(pz, lpz, rpz, upz, dpz) > 0 AND n > 0 THEN cz / n END AS nz FROM (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS n FROM cx)),

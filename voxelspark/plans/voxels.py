@@ -57,12 +57,12 @@ def q02_point_to_voxel(spark, sf_dir):
     return points(spark, sf_dir).select("id", at("x").alias("vx"), at("y").alias("vy"))
 
 
-_V3 = "SELECT vx, vy, vz FROM vox WHERE vx % 64 = 0"
+_V3 = "SELECT vx, vy, vz FROM vox"
 
 
 @query(f"WITH {_VOX}, v AS ({_V3}) SELECT vx, vy, vz, CAST(k AS INTEGER) AS corner, CAST(vx + k % 2 * 2 AS INTEGER) AS cx, CAST(vy + k // 2 % 2 * 2 AS INTEGER) AS cy, CAST(vz + k // 4 * 2 AS INTEGER) AS cz, {_M.format('(vx + 0.5::DOUBLE * 2) * 0.05::DOUBLE')} AS px_1e6 FROM v, range(8) r(k)")
 def q03_voxel_corners(spark, sf_dir):
-    rows = voxels.corners(vox(spark, sf_dir).filter("vx % 64 = 0").select("vx", "vy", "vz"), stride=2)
+    rows = voxels.corners(vox(spark, sf_dir).select("vx", "vy", "vz"), stride=2)
     return rows.withColumn("px_1e6", micro(voxels.to_point(F.col("vx"), 0.05, 2)))
 
 
@@ -169,16 +169,16 @@ def q13_boxes(spark, sf_dir):
 _SLICE = "SELECT CAST(g.u AS INTEGER) AS u, CAST(g.v AS INTEGER) AS v, coalesce(tsdf, 1.0::DOUBLE) AS tsdf, coalesce(weight, 0) AS weight FROM (SELECT u, v FROM range({a}) x(u), range({b}) y(v)) g LEFT JOIN vox ON {u} = g.u AND {v} = g.v AND {w} = {at}"
 
 
-@query(f"WITH {_VOX} " + " UNION ALL ".join(f"SELECT '{w}' AS axis, * FROM ({_SLICE.format(a=512, b=64, u=u, v=v, w='v' + w, at=at)})" for w, u, v, at in (("z", "vx", "vy", 3), ("y", "vx", "vz", 20), ("x", "vy", "vz", 100))))
+@query(f"WITH {_VOX} " + " UNION ALL ".join(f"SELECT '{w}' AS axis, * FROM ({_SLICE.format(a=512, b=512, u=u, v=v, w='v' + w, at=at)})" for w, u, v, at in (("z", "vx", "vy", 3), ("y", "vx", "vz", 20), ("x", "vy", "vz", 100))))
 def q14_slices(spark, sf_dir):
     rows = vox(spark, sf_dir)
-    out = [voxels.plane(rows, axis, at, (512, 64)).select(F.lit(axis).alias("axis"), "*") for axis, at in (("z", 3), ("y", 20), ("x", 100))]
+    out = [voxels.plane(rows, axis, at, (512, 512)).select(F.lit(axis).alias("axis"), "*") for axis, at in (("z", 3), ("y", 20), ("x", 100))]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query(f"WITH {_VOX} {_SLICE.format(a=128, b=128, u='vx', v='vy', w='vz', at=5)}")
+@query(f"WITH {_VOX} {_SLICE.format(a=512, b=512, u='vx', v='vy', w='vz', at=5)}")
 def w05_slice(spark, sf_dir):
-    return voxels.plane(vox(spark, sf_dir), "z", 5, (128, 128))
+    return voxels.plane(vox(spark, sf_dir), "z", 5, (512, 512))
 
 
 @query(f"WITH {_VOX}, {_mean_sql('vox', 'm1')} SELECT vx, vy, vz, {_M.format('tsdf')} AS tsdf_1e6, weight FROM m1")
