@@ -236,3 +236,18 @@ def test_configuration(tmp_path):
     with pytest.warns(UserWarning, match="fps"):
         c = config.load(str(tmp_path / "c.yaml"))
     assert c.map.dim == (1.0, 2.0, 3.0) and c.reader.fps == 0.0 and c.reader.sequence_path == str(tmp_path / "data")
+
+
+def test_ranked_orders_every_row_over_many_ranges(spark):
+    keys = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("key"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows are one range
+    try:
+        rows = keysets.ranked(keys, F.desc("key"))
+        assert rows.rdd.getNumPartitions() > 1
+        got = sorted((r["rank"], r["key"]) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    want = sorted((k * 7919 % 5003 for k in range(5000)), reverse=True)
+    assert got == list(enumerate(want, 1))
+    assert keysets.ranked(keys.limit(0), F.asc("key")).collect() == []

@@ -39,6 +39,13 @@ def test_query(spark, con, name):
     assert rows == sorted(plain(r) for r in want)
 
 
+def test_sorts_return_every_row(spark):
+    for whole, rows in (("s01_sort_keys_all", "s03_unique_keys"), ("i11_rgb_order_all", "i11_rgb_arithmetic")):
+        n = QUERIES[rows](spark, DATA).count()
+        ranks = [r["rank"] for r in QUERIES[whole](spark, DATA).collect()]
+        assert n >= 1000 and sorted(ranks) == list(range(1, n + 1))
+
+
 def test_entry_without_the_optional_parts(spark):
     import subprocess
     import sys

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import morton as m
@@ -19,6 +19,20 @@ def sort_blocks(blocks: DataFrame, largest_first: bool = False) -> DataFrame:
     return blocks.orderBy(*order)
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows in this order with their rank from 1, for rows that differ in it.
+
+    Ranges are sorted each in its task; a rank is the place in the range after the rows of
+    the ranges before, so only the ranges' counts meet in one task. Both read one persisted
+    table, as ranges drawn twice need not be equal.
+    """
+    place = F.monotonically_increasing_id()
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"range": F.shiftright(place, 33), "place": place.bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(starts), "range").withColumn("rank", F.col("start") + F.col("place") + 1).drop("range", "start", "place")
+
+
 def unique_keys(keys: DataFrame) -> DataFrame:
     return keys.select("key").distinct()
 

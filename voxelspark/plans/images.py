@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import colour
-from ..operators import images
+from ..operators import images, keysets
 from . import fixtures as fx
 from .fusion import CAMERA, depth, micro
 from .registry import query, table
@@ -127,6 +127,11 @@ def i11_rgb_order(spark, sf_dir):
     return first.select("event_id", F.row_number().over(Window.orderBy(F.struct("r", "g", "b"), "event_id")).cast("long").alias("rank"))
 
 
+@query(f"{_RGB} SELECT event_id, row_number() OVER (ORDER BY r, g, b, event_id) AS rank FROM c")
+def i11_rgb_order_all(spark, sf_dir):
+    return keysets.ranked(_rgb(spark, sf_dir), F.asc("r"), F.asc("g"), F.asc("b"), F.asc("event_id")).select("event_id", "rank")
+
+
 _PAL = " ".join(f"WHEN {k} THEN {{}}" for k in range(len(colour.SCALE_COLOURS)))
 
 

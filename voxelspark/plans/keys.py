@@ -128,6 +128,16 @@ def s02_sort_blocks(spark, sf_dir):
     return keysets.sort_blocks(fx.tree(spark, sf_dir).select("key", "scale"), largest_first=True).limit(1000)  # a top-k report
 
 
+@query(f"WITH {q.KEYS}, u AS (SELECT DISTINCT key FROM k) SELECT key, row_number() OVER (ORDER BY key) AS rank FROM u")
+def s01_sort_keys_all(spark, sf_dir):
+    return keysets.ranked(fx.keys(spark, sf_dir).select("key").distinct(), F.asc("key"))
+
+
+@query(f"WITH {q.TREE} SELECT key, CAST(scale AS INTEGER) AS scale, row_number() OVER (ORDER BY scale DESC, key DESC) AS rank FROM t")
+def s02_sort_blocks_all(spark, sf_dir):
+    return keysets.ranked(fx.tree(spark, sf_dir).select("key", "scale"), F.desc("scale"), F.desc("key"))
+
+
 @query(f"WITH {q.KEYS} SELECT DISTINCT key FROM k")
 def s03_unique_keys(spark, sf_dir):
     return keysets.unique_keys(fx.keys(spark, sf_dir))
