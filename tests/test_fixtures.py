@@ -151,6 +151,17 @@ def test_rays_through_a_step(spark):
     assert [(r["id"], round(r["t"], 6)) for r in hit] == [(0, 7.0)]
 
 
+def test_rays_reach_a_far_step(spark):
+    # Ray 0 meets a step at 60; ray 1 goes from outside to inside over a gap, where no change of sign is seen.
+    rows = [(x, y, z, 1.0 if x < 60 else -1.0, 1) for x in range(72) for y in range(4) for z in range(4)]
+    rows += [(x, y, z, 1.0 if x < 8 else -1.0, 1) for x in (*range(8), *range(32, 48)) for y in range(16, 20) for z in range(4)]
+    vox = spark.createDataFrame(rows, "vx int, vy int, vz int, tsdf double, weight int")
+    rays = spark.createDataFrame([(0, 1.0, 2.0, 2.0, 1.0, 0.0, 0.0), (1, 1.0, 18.0, 2.0, 1.0, 0.0, 0.0)], "id int, ox double, oy double, oz double, dx double, dy double, dz double")
+    for near in (24, 117, 118, 119, 400):  # also where the rounds part at the step
+        hit = raycast.march(lambda along: raycast.cast_surface(along, 0.5), rays, vox, 400, 0.5, near).collect()
+        assert [(r["id"], round(r["t"], 6)) for r in hit] == [(0, 59.0)]
+
+
 def test_alignment_recovers_a_small_motion(spark):
     camera = sensors.Pinhole(40.0, 40.0, 15.5, 15.5, 32, 32)
     depth = lambda t: F.lit(2.0) + F.sin((F.col("x") + t) / 5) * 0.2 + F.cos(F.col("y") / 4) * 0.2

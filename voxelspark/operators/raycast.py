@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +34,34 @@ def blocks_on_ray(rays: DataFrame, far: float, step: float = 0.5, block: int = 8
     return first.select("id", F.row_number().over(Window.partitionBy("id").orderBy("k")).alias("n"), "bx", "by", "bz")
 
 
-def samples(rays: DataFrame, voxels: DataFrame, steps: int, step: float) -> DataFrame:
-    """(id, k, value): the interpolated field at k steps along each ray, null where it is unknown."""
-    rows = rays.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+def samples(rays: DataFrame, voxels: DataFrame, steps: int, step: float, first: int = 0, block: int = 8) -> DataFrame:
+    """(id, k, value): the interpolated field at first to steps steps along each ray, null where it is unknown.
+
+    Samples whose lowest neighbour lies in a block without voxels are left out: their value is unknown.
+    """
+    rows = rays.withColumn("k", F.explode(F.sequence(F.lit(first), F.lit(steps))))
     at = [(F.col(f"o{c}") + F.col("k") * F.lit(step) * F.col(f"d{c}")).alias(c) for c in XYZ]
     rows = rows.select(F.struct("id", "k").alias("id"), *at)
+    blocks = voxels.select(*[F.floor(F.col(f"v{c}") / block).alias(f"b{c}") for c in XYZ]).distinct()
+    rows = rows.withColumns({f"b{c}": F.floor(F.floor(F.col(c) - F.lit(0.5)) / block) for c in XYZ})
+    rows = rows.join(blocks, [f"b{c}" for c in XYZ], "left_semi").select("id", *XYZ)
     return interpolate(rows, voxels).select("id.id", "id.k", "value")
 
 
+def march(cast: Callable[[DataFrame], DataFrame], rays: DataFrame, voxels: DataFrame, steps: int, step: float, near: int = 24) -> DataFrame:
+    """What cast finds along the whole of each ray, first by near steps and then, for rays without a row, by the rest.
+
+    The last near sample is the first of the rest, so that a change of sign between them is seen.
+    Voxels and near rows are persisted, as each is read several times.
+    """
+    voxels = voxels.persist()
+    if steps <= near:
+        return cast(samples(rays, voxels, steps, step))
+    soon = cast(samples(rays, voxels, near, step)).persist()
+    later = rays.join(soon.select("id"), "id", "left_anti")
+    return soon.unionByName(cast(samples(later, voxels, steps, step, near)))
+
+
 def first_known(along: DataFrame, step: float) -> DataFrame:
     """(id, t): how far each ray goes before the field is known."""
     return along.filter("value is not null").groupBy("id").agg((F.min("k") * F.lit(step)).alias("t"))
@@ -48,7 +70,7 @@ def first_known(along: DataFrame, step: float) -> DataFrame:
 def cast_surface(along: DataFrame, step: float) -> DataFrame:
     """(id, t): where each ray first goes from outside (0 or more) to inside, by linear refinement."""
     w = Window.partitionBy("id").orderBy("k")
-    rows = along.withColumn("before", F.lag("value").over(w)).filter("before >= 0 and value < 0")
+    rows = along.withColumns({"before": F.lag("value").over(w), "last": F.lag("k").over(w)}).filter("last = k - 1 and before >= 0 and value < 0")
     t = (F.col("k") - 1) * F.lit(step) + F.col("before") / (F.col("before") - F.col("value")) * F.lit(step)
     return rows.groupBy("id").agg(F.min(F.struct("k", t.alias("t"))).alias("hit")).select("id", F.col("hit.t").alias("t"))
 

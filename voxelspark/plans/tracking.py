@@ -6,11 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import icp, images, raycast
+from .fixtures import RES
 from .fusion import CAMERA, micro
 from .images import _CLOUD, _depth
 from .registry import query, table
 from .voxels import _VOX, vox
 
+#: Half-voxel steps up to the camera's far plane.
+STEPS = round(CAMERA.far / RES / 0.5)
 _M = "CAST(floor({} * 1000000 + 0.37::DOUBLE) AS BIGINT)"
 _RAY = """ra AS (SELECT event_id AS id, (event_id % 400)::DOUBLE AS ox, (event_id % 60)::DOUBLE AS oy, 3.5::DOUBLE AS oz, a / n AS dx, b / n AS dy, 0.0::DOUBLE AS dz FROM
 (SELECT event_id, (event_id % 7 - 3)::DOUBLE AS a, (event_id % 5 + 1)::DOUBLE AS b, sqrt((event_id % 7 - 3) * (event_id % 7 - 3)::DOUBLE + (event_id % 5 + 1) * (event_id % 5 + 1)::DOUBLE) AS n FROM events))"""
@@ -42,36 +45,62 @@ def t12_blocks_on_ray(spark, sf_dir):
     return raycast.blocks_on_ray(rays(spark, sf_dir), 20.0)
 
 
+@query(f"""WITH {_RAY}, s AS (SELECT id, k, CAST(floor((ox + k * 0.5::DOUBLE * dx) / 8) AS INTEGER) AS bx, CAST(floor((oy + k * 0.5::DOUBLE * dy) / 8) AS INTEGER) AS "by", CAST(floor((oz + k * 0.5::DOUBLE * dz) / 8) AS INTEGER) AS bz FROM ra, range({STEPS + 1}) r(k)),
+f AS (SELECT id, bx, "by", bz, min(k) AS k FROM s GROUP BY ALL) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) AS INTEGER) AS n, bx, "by", bz FROM f""")
+def t12_blocks_on_ray_far(spark, sf_dir):
+    return raycast.blocks_on_ray(rays(spark, sf_dir), STEPS * 0.5)
+
+
 _ALONG = f"""WITH {_VOX}, {_RAY}, sa AS (SELECT id, k, ox + k * 0.5::DOUBLE * dx AS x, oy + k * 0.5::DOUBLE * dy AS y, oz + k * 0.5::DOUBLE * dz AS z FROM ra, range(25) r(k)),
 ba AS (SELECT id, k, CAST(floor(x - 0.5) AS INTEGER) AS bx, CAST(floor(y - 0.5) AS INTEGER) AS by_, CAST(floor(z - 0.5) AS INTEGER) AS bz, x - 0.5 - floor(x - 0.5) AS fx, y - 0.5 - floor(y - 0.5) AS fy, z - 0.5 - floor(z - 0.5) AS fz FROM sa),
 st AS (SELECT id, ba.k, (CASE a.i WHEN 1 THEN fx ELSE 1 - fx END) * (CASE b.i WHEN 1 THEN fy ELSE 1 - fy END) * (CASE c.i WHEN 1 THEN fz ELSE 1 - fz END) AS share, bx + a.i AS sx, by_ + b.i AS sy, bz + c.i AS sz FROM ba, range(2) a(i), range(2) b(i), range(2) c(i)),
 it AS (SELECT id, k, sum(share * tsdf) AS value FROM st JOIN vox ON vx = sx AND vy = sy AND vz = sz WHERE weight > 0 GROUP BY id, k HAVING count(*) = 8),
 al AS (SELECT sa.id, sa.k, value FROM sa LEFT JOIN it ON it.id = sa.id AND it.k = sa.k)"""
+#: The same up to the camera's far plane.
+_FAR = _ALONG.replace("range(25)", f"range({STEPS + 1})")
 
 
 def _along(spark, sf_dir):
     return raycast.samples(rays(spark, sf_dir), vox(spark, sf_dir), 24, 0.5)
 
 
+def _far(cast, spark, sf_dir):
+    return raycast.march(cast, rays(spark, sf_dir), vox(spark, sf_dir), STEPS, 0.5)
+
+
+def _occupied(along):
+    return raycast.cast_occupied(along.withColumn("value", F.col("value") - F.lit(0.3137)), 0.5)
+
+
 @query(f"{_ALONG} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value IS NOT NULL GROUP BY id")
 def c03_first_known(spark, sf_dir):
     return raycast.first_known(_along(spark, sf_dir), 0.5)
 
 
+@query(f"{_FAR} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value IS NOT NULL GROUP BY id")
+def c03_first_known_far(spark, sf_dir):
+    return _far(lambda along: raycast.first_known(along, 0.5), spark, sf_dir)
+
+
 @query()
 def c04_raycast_surface(spark, sf_dir):
-    return raycast.cast_surface(_along(spark, sf_dir), 0.5).select("id", micro(F.col("t")).alias("t_1e6"))
+    surface = _far(lambda along: raycast.cast_surface(along, 0.5), spark, sf_dir)
+    return surface.select("id", micro(F.col("t")).alias("t_1e6"))
 
 
 @query(f"{_ALONG} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value > 0.3137::DOUBLE GROUP BY id")
 def c05_raycast_occupied(spark, sf_dir):
-    along = _along(spark, sf_dir).withColumn("value", F.col("value") - F.lit(0.3137))
-    return raycast.cast_occupied(along, 0.5)
+    return _occupied(_along(spark, sf_dir))
+
+
+@query(f"{_FAR} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value > 0.3137::DOUBLE GROUP BY id")
+def c05_raycast_occupied_far(spark, sf_dir):
+    return _far(_occupied, spark, sf_dir)
 
 
 @query()
 def c06_raycast_volume(spark, sf_dir):
-    surface = raycast.cast_surface(_along(spark, sf_dir), 0.5)
+    surface = _far(lambda along: raycast.cast_surface(along, 0.5), spark, sf_dir)
     return raycast.hits(rays(spark, sf_dir), surface, vox(spark, sf_dir))
 
 
