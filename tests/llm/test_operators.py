@@ -424,6 +424,28 @@ def test_html_extract(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+def test_html_extract_keeps_copies(spark):
+    frame = "<body><div>Menu one</div><div>{}</div><div>All rights</div></body>"
+    text = " ".join(f"word{k}" for k in range(40))
+    bodies = [text] * 5 + ["Another page"] + [f"{text}</div><div>note {k}" for k in range(4)]
+    rows = [(k, f"http://h.org/a/{k}", frame.format(t)) for k, t in enumerate(bodies)]
+    rows += [(0, "http://h.org/a/0", frame.format(text))] * 3 + [(50 + k, "http://one.org/x", frame.format(text)) for k in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for on in ("true", "false"):  # false: as many partitions as there are, and a run of copies over their bounds
+            spark.conf.set("spark.sql.adaptive.enabled", on)
+            got = html_extract.extract(pages).collect()
+            assert len(got) == len(rows)
+            for r in got:
+                alone = r["page_id"] >= 50
+                k = 0 if alone else r["page_id"]
+                want = bodies[k].replace("</div><div>", "\n\n")
+                assert r["text"] == (f"Menu one\n\n{want}\n\nAll rights" if alone else want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 # 9 mixing
 
 

@@ -3,8 +3,9 @@
 A page becomes lines, one for each block. Elements that name their role (article, main;
 nav, header, footer, aside, form, advert, notice, comment and the like) decide their
 lines. Lines that no element speaks for are decided by differencing: pages are sorted by
-host and URL path, each is aligned with its neighbours on either side by the longest
-common subsequence of their lines, and undecided lines that are shared are deleted.
+host and URL path, each is aligned with the nearest page on either side that is no copy
+of it by the longest common subsequence of their lines, and undecided lines that are
+shared are deleted.
 
 Differencing has no say inside an article: articles repeat whole paragraphs of each other,
 and those are main text. Nor can it find menus that no other page repeats.
@@ -45,6 +46,8 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _WORD = re.compile("[a-z0-9]+")
 
 DROP, KEEP, ASK = 0, 1, 2
+#: Pages that share so much of the longer one's text, outside lines that elements drop, are copies.
+COPY_SHARE = 0.9
 
 
 def _boilerplate(attributes: str) -> bool:
@@ -196,89 +199,145 @@ def _hash(text: str) -> int:
 
 
 def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(row, page_id, url, host, path, texts, says, hashes): texts of kept and undecided lines, hashes and says of all."""
+    """(row, page_id, url, host, path, texts, says, hashes, sizes): texts of kept and undecided lines, the rest of all; sizes are their characters, 0 for dropped lines."""
     host, path, _ = parts(col(url_col).cast("string"))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), whole(col(html_col)).alias("html"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, says, hashes = [], [], []
+            texts, says, hashes, sizes = [], [], [], []
             for page in batch.column("html"):
                 found = lines(page.as_py())
                 texts.append([t if k else None for t, k in found])
                 says.append([k for _, k in found])
                 hashes.append([_hash(t) for t, _ in found])
-            cols = [*(batch.column(x) for x in ("row", "page_id", "url", "host", "path")), pa.array(texts, pa.list_(pa.string())), pa.array(says, pa.list_(pa.int8())), pa.array(hashes, pa.list_(pa.int64()))]
-            yield pa.record_batch(cols, names=["row", "page_id", "url", "host", "path", "texts", "says", "hashes"])
+                sizes.append([len(t) if k else 0 for t, k in found])
+            cols = [*(batch.column(x) for x in ("row", "page_id", "url", "host", "path")), pa.array(texts, pa.list_(pa.string())), pa.array(says, pa.list_(pa.int8())), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            yield pa.record_batch(cols, names=["row", "page_id", "url", "host", "path", "texts", "says", "hashes", "sizes"])
 
-    return rows.mapInArrow(read, "row long, page_id long, url string, host string, path string, texts array<string>, says array<tinyint>, hashes array<long>")
+    return rows.mapInArrow(read, "row long, page_id long, url string, host string, path string, texts array<string>, says array<tinyint>, hashes array<long>, sizes array<int>")
 
 
 def differences(parsed: DataFrame) -> DataFrame:
-    """(row, gone): undecided lines that a page shares with a neighbour in the order of host, path and page_id.
+    """(row, gone): undecided lines that a page shares with the nearest page on either side that is no copy of it.
 
-    Pages are range-partitioned, so a host of any size is many tasks. The first and last
-    page of each partition are returned as edges; the few pairs that two partitions part
-    are compared on the driver, two pages for each partition at most.
+    Pages are in the order of host, path and page_id and range-partitioned, so a host of any
+    size is many tasks. Copies in a row are a run; a page is compared with the last page before
+    its run and the first one after it. A first pass brings the pages beside the outer runs
+    of each partition to the driver, four for each at most, where runs that go on in other
+    partitions find their neighbours; the second compares. Both read one persisted table.
     """
+    order = ["host", "path", "page_id", "row"]
+    rows = parsed.select(*order, "says", "hashes", "sizes").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.select("row", "host", "says", "hashes", "sizes").persist()
+    kind = "row long, host string, says array<tinyint>, hashes array<long>, sizes array<int>"
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, firsts, lasts = TaskContext.get().partitionId(), None, [], []
+        for page, new in _runs(batches):
+            if new:
+                firsts = firsts if len(firsts) == 2 else [*firsts, page]
+                lasts = [before] if before else []
+            before = page
+        found = {p["row"]: p for p in (*firsts, *lasts, *([before] if before else []))}
+        if found:
+            cols = [[p[c] for p in found.values()] for c in ("row", "host", "says", "hashes", "sizes")]
+            types = (pa.int64(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            arrays = [pa.array([part] * len(found), pa.int32()), pa.array(range(len(found)), pa.int32()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))]
+            yield pa.record_batch(arrays, names=["part", "place", "row", "host", "says", "hashes", "sizes"])
+
+    edges: dict[int, list[dict]] = {}
+    for r in sorted(rows.mapInArrow(outer, f"part int, place int, {kind}").collect(), key=lambda r: (r["part"], r["place"])):
+        edges.setdefault(r["part"], []).append(r.asDict())
+    parts_ = sorted(edges)
+    beside = {}
+    for k, part in enumerate(parts_):
+        back = (p for i in reversed(parts_[:k]) for p in reversed(edges[i]))
+        on = (p for i in parts_[k + 1 :] for p in edges[i])
+        beside[part] = (_nearest(edges[part][0], back), _nearest(edges[part][-1], on))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, out, last = TaskContext.get().partitionId(), None, [], None
+        before, after = beside.get(TaskContext.get().partitionId(), (None, None))
+        run, out = [], []
 
         def record():
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            cols = list(zip(*out, strict=True)) if out else [[]] * 2
             out.clear()
-            types = (pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int64()))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row", "gone", "part", "host", "says", "hashes"])
-
-        for batch in batches:
-            for page in batch.select(["row", "host", "says", "hashes"]).to_pylist():
-                if before and before["host"] == page["host"]:
-                    for x, y in ((before, page), (page, before)):
-                        if gone := _gone(x, y):
-                            out.append((x["row"], gone, None, None, None, None))
-                if last is None:
-                    out.append((page["row"], None, part, page["host"], page["says"], page["hashes"]))
-                before = last = page
-            yield record()
-        if last:
-            out.append((last["row"], None, part, last["host"], last["says"], last["hashes"]))
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int32())), strict=True)], names=["row", "gone"])
+
+        def settle(following):
+            last, gone = None, []
+            for page in run:
+                if last is None or not _equal(last, page):
+                    gone = sorted({k for q in (before, following) if q and q["host"] == page["host"] for k in _gone(page, q)})
+                last = page
+                if gone:
+                    out.append((page["row"], gone))
+
+        for page, new in _runs(batches):
+            if new and run:
+                settle(page)
+                before, run = run[-1], []
+                if len(out) > 1000:
+                    yield record()
+            run.append(page)
+        settle(after)
         yield record()
 
-    order = ["host", "path", "page_id", "row"]
-    rows = parsed.select(*order, "says", "hashes").repartitionByRange(*order).sortWithinPartitions(*order)
-    found = keep(rows.mapInArrow(compare, "row long, gone array<int>, part int, host string, says array<tinyint>, hashes array<long>"), "page-differences")
-    edges: dict[int, list] = {}
-    for r in found.filter("part is not null").collect():
-        edges.setdefault(r["part"], []).append(r)
-    more, parts_ = [], [sorted(edges[p], key=lambda r: _rank(r, edges[p])) for p in sorted(edges)]
-    for one, two in zip(parts_, parts_[1:], strict=False):
-        x, y = one[-1].asDict(), two[0].asDict()
-        if x["host"] == y["host"]:
-            more += [(p["row"], gone) for p, q in ((x, y), (y, x)) if (gone := _gone(p, q))]
-    out = found.filter("gone is not null").select("row", "gone")
-    if more:
-        out = out.unionByName(parsed.sparkSession.createDataFrame(more, "row long, gone array<int>"))
-    return out.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def _rank(r, both) -> int:
-    """Edges of a partition come out as first and last, in this order."""
-    return both.index(r)
+    out = keep(rows.mapInArrow(compare, "row long, gone array<int>"), "page-differences")
+    rows.unpersist()
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bool]]:
+    """Each page, and whether it is of another host than the first of the run before, or no copy of it."""
+    head = None
+    for batch in batches:
+        for page in batch.to_pylist():
+            new = head is None or head["host"] != page["host"] or not _copies(head, page)
+            if new:
+                head = page
+            yield page, new
+
+
+def _nearest(page: dict, others: Iterator[dict]) -> dict | None:
+    """The first of others that is no copy of page, if it comes before another host."""
+    for other in others:
+        if other["host"] != page["host"]:
+            return None
+        if not _copies(page, other):
+            return other
+    return None
+
+
+def _equal(page: dict, other: dict) -> bool:
+    return page["hashes"] == other["hashes"] and page["says"] == other["says"]
+
+
+def _copies(page: dict, other: dict) -> bool:
+    """Equal lines, or nearly equal ones where a page has undecided lines."""
+    if page["hashes"] == other["hashes"]:
+        return True
+    if ASK not in page["says"] and ASK not in other["says"]:
+        return False
+    a, b = sum(page["sizes"]), sum(other["sizes"])
+    if min(a, b) < COPY_SHARE * max(a, b):
+        return False
+    return sum(page["sizes"][k] for k in shared(page["hashes"], other["hashes"])) >= COPY_SHARE * max(a, b)
 
 
 def _gone(page: dict, other: dict) -> list[int]:
-    if ASK not in page["says"]:
+    if ASK not in page["says"] or _copies(page, other):
         return []
-    return sorted(k for k in shared(page["hashes"], other["hashes"]) if page["says"][k] == ASK)
+    return [k for k in shared(page["hashes"], other["hashes"]) if page["says"][k] == ASK]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every row of pages; text joins the main text's blocks by two line breaks.
 
     Null and empty pages, and pages without main text, have an empty text. Pages without a
-    host are neighbours of each other. Rows that repeat a page differ from it in nothing,
-    so their undecided lines go; an empty table gives an empty table.
+    host are neighbours of each other. Copies of a page, and rows that repeat it, have the
+    text that it has alone; an empty table gives an empty table.
     """
     small_batches(pages.sparkSession)
     parsed = keep(parse(pages, id_col, url_col, html_col), "page-lines")
