@@ -388,6 +388,16 @@ def test_suffix_dedup_without_repeated_ids(spark, rows):
         assert hashlib.sha256(bytes(got[r[0]]["kept"])).digest() == hashlib.sha256(kept).digest()
 
 
+def test_suffix_run_hashes_do_not_depend_on_the_chunk():
+    rng = np.random.default_rng(3)
+    run = rng.integers(97, 123, 150).astype(np.uint8)
+    seen = set()
+    for before, after in ((0, 0), (7, 0), (0, 8), (31, 90)):
+        data = np.r_[rng.integers(97, 123, before), run, rng.integers(97, 123, after)].astype(np.uint8)
+        seen.add(int(suffix_dedup._ranges(data, np.array([before]), np.array([before + 150]), np.array([5]))[0]))
+    assert len(seen) == 1
+
+
 # 8 HTML
 
 

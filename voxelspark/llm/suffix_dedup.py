@@ -58,16 +58,15 @@ def grams(data: np.ndarray, size: int) -> np.ndarray:
         length *= 2
 
 
-_power_table = np.ones(1, dtype=np.uint64)
+_power_tables: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> np.ndarray:
-    global _power_table
-    if len(_power_table) < n:
-        _power_table = np.full(max(n, 4 * CHUNK_BYTES), _BASE, dtype=np.uint64)
-        _power_table[0] = 1
-        np.multiply.accumulate(_power_table, out=_power_table)
-    return _power_table[:n]
+def _powers(n: int, base: int) -> np.ndarray:
+    if len(_power_tables.get(base, ())) < n:
+        table = np.full(max(n, 4 * CHUNK_BYTES), base, dtype=np.uint64)
+        table[0] = 1
+        _power_tables[base] = np.multiply.accumulate(table, out=table)
+    return _power_tables[base][:n]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -111,11 +110,11 @@ def _anchors(data: np.ndarray, base: int, at: np.ndarray, window: int, gram: int
 
 
 def _ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end], each with extra."""
-    power = _powers(len(data) + 1)
+    """Hashes of data[start:end], each with extra; equal bytes have equal hashes wherever they are."""
+    power, inverse = _powers(len(data) + 1, int(_BASE)), _powers(len(data) + 1, pow(int(_BASE), -1, 1 << 64))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_TABLE[data] * power[:-1], out=total[1:])
-    value = (total[ends] - total[starts]) * power[len(data) - starts]
+    value = (total[ends] - total[starts]) * inverse[starts]
     return mix(value + mix((ends - starts).astype(np.uint64) << np.uint64(20) | extra.astype(np.uint64)))
 
 
