@@ -398,6 +398,20 @@ def test_suffix_run_hashes_do_not_depend_on_the_chunk():
     assert len(seen) == 1
 
 
+def test_dictionary_sample_is_of_all_partitions(spark, monkeypatch):
+    class Recorder:
+        def encode(self, text):
+            seen.append(text)
+            return text.encode()
+
+    seen = []
+    monkeypatch.setattr(token_output, "encoder", lambda path: Recorder())
+    text = F.concat(F.lit("source"), F.floor(F.col("id") / 2000).cast("string"), F.lit(" "), F.sha2(F.col("id").cast("string"), 256))
+    docs = spark.range(0, 4000, 1, 8).select(F.col("id").alias("doc_id"), text.alias("text"))
+    token_output.train_dictionary(docs, "")
+    assert len(seen) == token_output.SAMPLE_DOCS and 0.4 < sum(t.startswith("source1") for t in seen) / len(seen) < 0.6
+
+
 # 8 HTML
 
 

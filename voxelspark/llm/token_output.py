@@ -37,7 +37,7 @@ from .text import col, whole
 #: Id that ends each document.
 END_ID = 2
 #: Bounds of what the dictionary is trained on: documents (the first of a random share) and bytes of each.
-SAMPLE_DOCS, SAMPLE_SHARE, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 0.05, 1 << 16, 1 << 16
+SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 1 << 16, 1 << 16
 LEVEL, BLOCK_BYTES, CACHE_WORDS = 3, 1 << 20, 1_000_000
 #: Bounds that each id is compared with; for more parts Spark finds the bounds by sampling all rows.
 MOST_BOUNDS = 2000
@@ -148,11 +148,11 @@ def encoder(path: str) -> Encoder:
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary for the id arrays, from a bounded sample; empty where there is too little to learn from."""
-    # A few partitions give enough: no pass over all texts.
-    rows = docs.filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
-    texts = rows.sample(SAMPLE_SHARE, seed=1).select("text").limit(SAMPLE_DOCS).collect()
-    if len(texts) < SAMPLE_DOCS:
-        texts = rows.select("text").limit(SAMPLE_DOCS).collect()
+    # Drawn by a hash of the ids, of which some have no text that counts; only the drawn texts are collected.
+    drawn = F.xxhash64("doc_id")
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(drawn, "doc_id").limit(2 * SAMPLE_DOCS).collect()
+    rows = docs.filter(F.col("doc_id").isin([r[0] for r in ids]) & F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
+    texts = rows.select("text", drawn.alias("drawn"), F.xxhash64("text").alias("same")).orderBy("drawn", "same").limit(SAMPLE_DOCS).collect()
     samples = [encoder(tokenizer_path).encode(r[0]) for r in texts]
     if len(samples) < 16 or sum(map(len, samples)) < 16 * 1024:
         return b""
