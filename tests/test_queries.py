@@ -40,7 +40,7 @@ def test_query(spark, con, name):
 
 
 def test_sorts_return_every_row(spark):
-    for whole, rows in (("s01_sort_keys_all", "s03_unique_keys"), ("i11_rgb_order_all", "i11_rgb_arithmetic")):
+    for whole, rows in (("s01_sort_keys", "s03_unique_keys"), ("i11_rgb_order", "i11_rgb_arithmetic")):
         n = QUERIES[rows](spark, DATA).count()
         ranks = [r["rank"] for r in QUERIES[whole](spark, DATA).collect()]
         assert n >= 1000 and sorted(ranks) == list(range(1, n + 1))
@@ -50,7 +50,7 @@ def test_rays_are_followed_to_the_far_plane(spark, con):
     from voxelspark.plans import tracking
 
     change = "SELECT *, lag(value) OVER (PARTITION BY id ORDER BY k) AS before FROM al"
-    sql = f"{tracking._FAR}, ch AS ({change}) SELECT id, arg_min((k - 1) * 0.5 + before / (before - value) * 0.5, k) AS t FROM ch WHERE before >= 0 AND value < 0 GROUP BY id"
+    sql = f"{tracking._ALONG}, ch AS ({change}) SELECT id, arg_min((k - 1) * 0.5 + before / (before - value) * 0.5, k) AS t FROM ch WHERE before >= 0 AND value < 0 GROUP BY id"
     want = dict(con.sql(sql).fetchall())
     got = {r["id"]: r["t_1e6"] / 1e6 for r in QUERIES["c04_raycast_surface"](spark, DATA).collect()}
     assert max(want.values()) > 24 and got.keys() == want.keys() and all(abs(got[i] - want[i]) < 3e-6 for i in want)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from .keysets import ranked
 
 #: Results of reading one item, from best to worst; a stream goes on while it is ok or skip.
 STATUS = ("ok", "skip", "eof", "error")
@@ -52,26 +58,37 @@ def slerp(a: list[Column], b: list[Column], t: Column) -> list[Column]:
     return [wa * x + wb * y for x, y in zip(a, b, strict=True)]
 
 
+QUATERNION = ("qx", "qy", "qz", "qw")
+
+
 def at_times(items: DataFrame, poses: DataFrame, columns: list[str], gap: int) -> DataFrame:
     """(id, columns): poses interpolated to each item's ts between the poses around it.
 
     Items outside the trajectory, or between poses further apart than gap, are left out.
-    A time on a pose takes that pose. Intervals and items meet in bins of gap.
+    A time on a pose takes that pose. Where columns has qx to qw they turn together, along
+    the shorter arc; the others move on a line. Intervals and items meet in bins of gap.
     """
     ends = intervals(poses, columns, gap)
     ends = ends.withColumn("bin", F.explode(F.sequence(F.floor(F.col("t0") / F.lit(gap)), F.floor(F.col("t1") / F.lit(gap)))))
     rows = items.select("id", "ts").withColumn("bin", F.floor(F.col("ts") / F.lit(gap)))
     rows = rows.join(ends, "bin").filter((F.col("t0") <= F.col("ts")) & (F.col("ts") < F.col("t1")))
     t = (F.col("ts") - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    return rows.select("id", *[lerp(F.col(f"{c}_0"), F.col(f"{c}_1"), t).alias(c) for c in columns])
+    turned = {}
+    if set(QUATERNION) <= set(columns):
+        ends = [[F.col(f"{c}_{k}") for c in QUATERNION] for k in (0, 1)]
+        turned = dict(zip(QUATERNION, slerp(*ends, t), strict=True))
+    return rows.select("id", *[turned.get(c, lerp(F.col(f"{c}_0"), F.col(f"{c}_1"), t)).alias(c) for c in columns])
 
 
 def by_position(*lists: DataFrame) -> DataFrame:
-    """Lists (ts, value...) joined by their place in the order of ts: columns position, and each list's."""
+    """Lists (ts, id, value...) joined by their place in the order of ts: columns position, and each list's.
+
+    Places come from a range-partitioned sort and the sizes of its partitions, so no task holds a list.
+    """
     out = None
     for k, df in enumerate(lists):
-        w = Window.orderBy("ts", "id")
-        rows = df.select(F.row_number().over(w).alias("position"), *[F.col(c).alias(f"{c}_{k}") for c in df.columns])
+        rows = ranked(df, F.asc("ts"), F.asc("id"))
+        rows = rows.select(F.col("rank").cast("int").alias("position"), *[F.col(c).alias(f"{c}_{k}") for c in df.columns])
         out = rows if out is None else out.join(rows, "position")
     return out
 
@@ -83,13 +100,30 @@ def merge_status(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, F.element_at(F.array(*[F.lit(s) for s in STATUS]), F.col("r").cast("int")).alias("status"), (F.col("r") <= 2).alias("good"))
 
 
-def paced(frames: DataFrame, fps: float, budget: Column) -> DataFrame:
-    """frames (frame) with keep: which a reader at fps works on, if each takes budget seconds and late ones drop.
+def paced(frames: DataFrame, fps: float, budget: Column, by: list[str] | None = None) -> DataFrame:
+    """frames with keep: which a reader at fps works on, if each takes budget seconds and late ones drop.
 
-    With fps 0 all are kept. A frame is kept if no kept frame is still being worked on; with
-    one cost for all frames that is every n-th.
+    With fps 0 all are kept. Frame k arrives at k / fps and is kept if the frame kept before
+    it is done by then. Each decision rests on the one before, so a sequence (by; all rows
+    without) is folded in the order of frame, in one pass that holds one row at a time.
     """
     if fps == 0:
         return frames.withColumn("keep", F.lit(True))
-    step = F.greatest(F.ceil(budget * F.lit(fps)), F.lit(1))
-    return frames.withColumn("keep", F.col("frame") % step == 0)
+    by = by or []
+    rows = frames.withColumns({"_key": F.xxhash64(*by) if by else F.lit(0), "_cost": budget.cast("double")})
+    own, names = frames.columns, [*frames.columns, "keep"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, free = None, 0.0
+        for batch in batches:
+            kept = []
+            for key, frame, cost in zip(*(batch.column(c).to_pylist() for c in ("_key", "frame", "_cost")), strict=True):
+                # A billionth of a frame's time allows for the rounding of the quotient.
+                keep = key != last or frame / fps >= free - 1e-9 / fps
+                last, free = key, frame / fps + cost if keep else free
+                kept.append(keep)
+            yield pa.record_batch([*(batch.column(c) for c in own), pa.array(kept, pa.bool_())], names=names)
+
+    rows = rows.repartition(*(F.col(c) for c in by)) if by else rows.repartition(1)
+    schema = StructType([*frames.schema.fields, StructField("keep", BooleanType())])
+    return rows.sortWithinPartitions("_key", *by, "frame").mapInArrow(fold, schema)

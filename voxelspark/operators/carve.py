@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sensors import Pinhole
-from .fusion import VoxelMap, variance_state
+from .fusion import VoxelMap, pose_columns, posed, to_camera, variance_state
 from .images import pool_boxes
 
 
 def carve(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, sigma: float = 0.05, tau: float = 0.2, block_scale: int = 3) -> DataFrame:
-    """(frame, x, y, z, scale, state): what each frame needs, cameras without rotation.
+    """(frame, x, y, z, scale, state): what each frame needs.
 
     From the root down: octants out of view, without known depth, or wholly behind the
     surface are dropped; those wholly before it are free as they are (constant); the others
@@ -21,18 +21,23 @@ def carve(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap,
     join; octants that reach to the camera split without a test.
     """
     top = vmap.size.bit_length() - 1
-    level = poses.select("frame", "tx", "ty", "tz", *[F.lit(0).alias(c) for c in "xyz"])
+    poses = posed(poses)
+    pose = ["frame", *pose_columns(poses)]
+    level = poses.select(*pose, *[F.lit(0).alias(c) for c in "xyz"])
     out = None
     for scale in range(top, block_scale - 1, -1):
         half = (1 << scale) * vmap.res / 2
-        rows = level.withColumns({f"c{c}": F.col(c) * F.lit(vmap.res) + F.lit(half - vmap.dim / 2) - F.col(f"t{c}") for c in "xyz"})
+        middle = to_camera(level, tuple(F.col(c) * F.lit(vmap.res) + F.lit(half - vmap.dim / 2) for c in "xyz"))
+        rows = level.withColumns({f"c{c}": v for c, v in zip("xyz", middle, strict=True)})
         rows = rows.filter(camera.sees_sphere((F.col("cx"), F.col("cy"), F.col("cz")), math.sqrt(3) * half))
-        near, far = F.col("cz") - half, F.col("cz") + half
+        # Half the octant's extent along each of the camera's axes: its edges are turned against them.
+        size = {c: half if "r00" not in level.columns else F.lit(half) * sum(F.abs(F.col(f"r{i}{j}")) for i in range(3)) for j, c in enumerate("xyz")}
+        near, far = F.col("cz") - size["z"], F.col("cz") + size["z"]
         rows = rows.withColumns({"near": near, "far": far, "id": F.struct("frame", "x", "y", "z")})
         reach = F.col("near") <= camera.near
         box = rows.filter(~reach)
         for c, f, m in (("x", camera.fx, camera.cx), ("y", camera.fy, camera.cy)):
-            low, high = F.col(f"c{c}") - half, F.col(f"c{c}") + half
+            low, high = F.col(f"c{c}") - size[c], F.col(f"c{c}") + size[c]
             ends = [e * F.lit(f) / d + F.lit(m) for e in (low, high) for d in (F.col("near"), F.col("far"))]
             box = box.withColumns({f"{c}0": F.floor(F.least(*ends) + 0.5).cast("int"), f"{c}1": F.floor(F.greatest(*ends) + 0.5).cast("int")})
         pooled = pool_boxes(box.select("id", "frame", "x0", "y0", "x1", "y1"), pixels, camera.width, camera.height).filter("known > 0")
@@ -40,8 +45,8 @@ def carve(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap,
         state = variance_state(F.col("near") - F.col("high"), F.col("far") - F.col("low"), F.lit(tau), F.lit(3 * sigma))
         partly = (F.col("unknown") > 0) | F.col("crossing")
         state = F.when(partly & (state == "constant"), F.lit("gradient")).otherwise(state)
-        keep = ["frame", "tx", "ty", "tz", "x", "y", "z"]
-        judged = seen.select(*keep, state.alias("state")).unionByName(rows.filter(reach).select(*keep, F.lit("gradient").alias("state"))).cache()
+        keep = [*pose, "x", "y", "z"]
+        judged = seen.select(*keep, state.alias("state")).unionByName(rows.filter(reach).select(*keep, F.lit("gradient").alias("state"))).persist()
         done = judged if scale == block_scale else judged.filter("state = 'constant'")
         done = done.select("frame", "x", "y", "z", F.lit(scale).alias("scale"), "state")
         out = done if out is None else out.unionByName(done)
@@ -49,7 +54,7 @@ def carve(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap,
             step = 1 << (scale - 1)
             split = judged.filter("state <> 'constant'").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
             bit = lambda k: (F.floor(F.col("k") / 2**k) % 2).cast("int") * step  # noqa: E731, B023
-            level = split.select("frame", "tx", "ty", "tz", *[(F.col(c) + bit(k)).alias(c) for k, c in enumerate("xyz")])
+            level = split.select(*pose, *[(F.col(c) + bit(k)).alias(c) for k, c in enumerate("xyz")])
     return out
 
 

@@ -71,26 +71,96 @@ class VoxelMap:
         return (v + F.lit(0.5 * stride)) * F.lit(self.res) - F.lit(self.dim / 2)
 
 
-def surface_blocks(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
-    """(frame, bx, by, bz): blocks that a band around the measured surface crosses, sampled along the rays.
+#: Columns of a pose: where the camera is, and how it is turned.
+SHIFT, TURN = ("tx", "ty", "tz"), tuple(f"r{i}{j}" for i in range(3) for j in range(3))
+
+
+def posed(poses: DataFrame) -> DataFrame:
+    """poses with the rotation r00 to r22 from camera to world of their quaternions qw, qx, qy, qz, if they have any.
+
+    Quaternions need not have length 1. Poses without them have no rotation columns, and
+    cameras look along z.
+    """
+    if "qw" not in poses.columns or "r00" in poses.columns:
+        return poses
+    w, x, y, z = (F.col(f"q{c}") for c in "wxyz")
+    two = F.lit(2.0)
+    entries = [w * w + x * x - y * y - z * z, two * (x * y - w * z), two * (x * z + w * y),
+               two * (x * y + w * z), w * w - x * x + y * y - z * z, two * (y * z - w * x),
+               two * (x * z - w * y), two * (y * z + w * x), w * w - x * x - y * y + z * z]
+    n = w * w + x * x + y * y + z * z
+    return poses.select(*[c for c in poses.columns if c not in ("qw", "qx", "qy", "qz")], *[(e / n).alias(r) for e, r in zip(entries, TURN, strict=True)])
+
+
+def pose_columns(rows: DataFrame) -> list[str]:
+    return [c for c in (*SHIFT, *TURN) if c in rows.columns]
 
-    pixels (frame, x, y, depth in metres), poses (frame, tx, ty, tz) of cameras without rotation.
+
+def to_world(rows: DataFrame, p: tuple) -> tuple:
+    """A direction in the camera's frame, turned into the world's."""
+    if "r00" not in rows.columns:
+        return p
+    return tuple(F.col(f"r{i}0") * p[0] + F.col(f"r{i}1") * p[1] + F.col(f"r{i}2") * p[2] for i in range(3))
+
+
+def to_camera(rows: DataFrame, p: tuple) -> tuple:
+    """A point of the world in the camera's frame."""
+    d = tuple(c - F.col(t) for c, t in zip(p, SHIFT, strict=True))
+    if "r00" not in rows.columns:
+        return d
+    return tuple(F.col(f"r0{i}") * d[0] + F.col(f"r1{i}") * d[1] + F.col(f"r2{i}") * d[2] for i in range(3))
+
+
+def packed(pixels: DataFrame, poses: DataFrame, camera: Pinhole) -> DataFrame:
+    """(frame, pose, depth): one row per frame, its image as an array by rows, null where a pixel is missing.
+
+    Of pixels that are given twice the smallest counts.
     """
-    rx, ry, rz = camera.ray(F.col("x"), F.col("y"))
-    good = pixels.filter((F.col("depth") >= camera.near) & (F.col("depth") <= camera.far + vmap.band / 2))
-    rows = good.join(poses, "frame").select("frame", "tx", "ty", "tz", (rx * F.col("depth")).alias("px"), (ry * F.col("depth")).alias("py"), (rz * F.col("depth")).alias("pz"))
-    rows = rows.withColumn("n", norm((F.col("px"), F.col("py"), F.col("pz")))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(vmap.samples - 1))))
-    # From half a band behind the surface back towards the camera.
-    along = F.lit(1.0) + (F.lit(vmap.band / 2) - F.col("k") * F.lit(vmap.band / vmap.samples)) / F.col("n")
-    at = [F.col(f"t{c}") + F.col(f"p{c}") * along for c in "xyz"]
-    rows = rows.select("frame", *[p.alias(f"s{c}") for p, c in zip(at, "xyz", strict=True)])
+    n = camera.width * camera.height
+    listed = F.sort_array(F.collect_list(F.struct((F.col("y") * camera.width + F.col("x")).cast("int").alias("i"), "depth")))
+
+    def filled(e, k):
+        after = F.coalesce(F.get("p", k + 1)["i"], F.lit(n))
+        gap = lambda size: F.array_repeat(F.lit(None).cast("double"), size)
+        first = F.when(k == 0, gap(e["i"])).otherwise(gap(F.lit(0)))
+        again = (k > 0) & (F.get("p", k - 1)["i"] == e["i"])
+        return F.concat(first, F.when(again, gap(F.lit(0))).otherwise(F.array(e["depth"])), gap(F.greatest(after - e["i"] - 1, F.lit(0))))
+
+    inside = F.col("x").between(0, camera.width - 1) & F.col("y").between(0, camera.height - 1)
+    rows = pixels.filter(inside).groupBy("frame").agg(listed.alias("p"))
+    return rows.select("frame", F.flatten(F.transform("p", filled)).alias("depth")).join(posed(poses), "frame")
+
+
+def _surface(rows: DataFrame, depth: Column, x: Column, y: Column, k: Column, camera: Pinhole, vmap: VoxelMap) -> list[Column]:
+    """World coordinates of sample k of the band around a measurement, from half a band behind it towards the camera."""
+    ray = tuple(r * depth for r in camera.ray(x, y))
+    along = F.lit(1.0) + (F.lit(vmap.band / 2) - k * F.lit(vmap.band / vmap.samples)) / norm(ray)
+    return [F.col(t) + p * along for t, p in zip(SHIFT, to_world(rows, ray), strict=True)]
+
+
+def surface_samples(frames: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
+    """(frame, bx, by, bz) of every sample in a band around the measured surface, along the rays of frames (see packed)."""
+    good = F.col("d").between(camera.near, camera.far + vmap.band / 2)
+    rows = frames.select("frame", *pose_columns(frames), F.posexplode("depth").alias("i", "d")).filter(good)
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(vmap.samples - 1))))
+    x, y = F.col("i") % camera.width, F.floor(F.col("i") / camera.width)
+    at = _surface(rows, F.col("d"), x, y, F.col("k"), camera, vmap)
+    rows = settle(rows.select("frame", *[p.alias(f"s{c}") for p, c in zip(at, "xyz", strict=True)]), "sx", "sy", "sz")
     rows = rows.filter(vmap.inside(F.col("sx"), F.col("sy"), F.col("sz")))
     block = lambda c: F.floor(vmap.voxel(F.col(f"s{c}")) / vmap.block).cast("int")
-    return rows.select("frame", *[block(c).alias(f"b{c}") for c in "xyz"]).distinct()
+    return rows.select("frame", *[block(c).alias(f"b{c}") for c in "xyz"])
+
+
+def surface_blocks(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
+    """(frame, bx, by, bz): blocks that a band around the measured surface crosses, sampled along the rays.
+
+    pixels (frame, x, y, depth in metres), poses (frame, tx, ty, tz and, for turned cameras, qw, qx, qy, qz).
+    """
+    return surface_samples(packed(pixels, poses, camera), camera, vmap).distinct()
 
 
 def frustum_cells(poses: DataFrame, camera: Pinhole, vmap: VoxelMap, cell: int, frustum: bool = True) -> DataFrame:
-    """(frame, tx, ty, tz, kx, ky, kz): cells of cell blocks that each camera may see, within its range."""
+    """poses with (kx, ky, kz): cells of cell blocks that each camera may see, within its range."""
     edge = vmap.res * vmap.block * cell
     last = -(-vmap.size // (vmap.block * cell)) - 1
     rows = poses
@@ -99,48 +169,84 @@ def frustum_cells(poses: DataFrame, camera: Pinhole, vmap: VoxelMap, cell: int,
         reach = camera.far * 2 if frustum else vmap.dim * 2
         low, high = F.greatest(place(-reach), F.lit(0)), F.least(place(reach), F.lit(last))
         rows = rows.filter(low <= high).withColumn(f"k{c}", F.explode(F.sequence(low, high)))
-    centre = tuple((F.col(f"k{c}") + F.lit(0.5)) * F.lit(edge) - F.lit(vmap.dim / 2) - F.col(f"t{c}") for c in "xyz")
-    return rows.filter(camera.sees_sphere(centre, math.sqrt(3) / 2 * edge)) if frustum else rows
+    centre = tuple((F.col(f"k{c}") + F.lit(0.5)) * F.lit(edge) - F.lit(vmap.dim / 2) for c in "xyz")
+    return rows.filter(camera.sees_sphere(to_camera(rows, centre), math.sqrt(3) / 2 * edge)) if frustum else rows
 
 
 def visits(blocks: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, frustum: bool = True, cell: int = 4) -> DataFrame:
-    """(bx, by, bz, frame, tx, ty, tz): frames that update a block.
+    """(bx, by, bz, frame, pose): frames that update a block.
 
     A block is updated by the frame that allocates it, and by each later one that has it in
     view. Frames without a measurement update nothing. Without frustum, all later frames
     do. Blocks and frames meet by equal cells, not each with each.
     """
-    poses = poses.join(blocks.select("frame").distinct(), "frame")
-    born = blocks.groupBy("bx", "by", "bz").agg(F.min("frame").alias("born"))
+    poses = posed(poses).join(blocks.select("frame").distinct(), "frame")
+    return _visits(blocks.groupBy("bx", "by", "bz").agg(F.min("frame").alias("born")), poses, camera, vmap, frustum, cell)
+
+
+def _visits(born: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, frustum: bool, cell: int) -> DataFrame:
+    poses = poses.select("frame", *pose_columns(poses))
     first = born.join(poses, F.col("frame") == F.col("born")).select("bx", "by", "bz", *poses.columns)
     for c in "xyz":
         born = born.withColumn(f"k{c}", F.floor(F.col(f"b{c}") / cell).cast("int"))
     later = born.join(frustum_cells(poses, camera, vmap, cell, frustum), ["kx", "ky", "kz"]).filter("frame > born")
     edge = vmap.block
-    centre = tuple((F.col(f"b{c}") * edge + F.lit(edge / 2)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) - F.col(f"t{c}") for c in "xyz")
+    centre = tuple((F.col(f"b{c}") * edge + F.lit(edge / 2)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) for c in "xyz")
     if frustum:
-        later = later.filter(camera.sees_sphere(centre, math.sqrt(3) / 2 * vmap.res * edge))
+        later = later.filter(camera.sees_sphere(to_camera(later, centre), math.sqrt(3) / 2 * vmap.res * edge))
     return first.unionByName(later.select("bx", "by", "bz", *poses.columns))
 
 
-def observations(seen: DataFrame, pixels: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
-    """(vx, vy, vz, frame, u): truncated signed distances of visited voxels, 1 at most."""
-    # A visit becomes hundreds of voxels: few small partitions of visits must not stay few.
-    parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edge = vmap.block
-    rows = seen.repartition(parts, "bx", "by", "bz", "frame").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(edge**3 - 1))))
-    spots = {"x": F.col("i") % edge, "y": F.floor(F.col("i") / edge).cast("int") % edge, "z": F.floor(F.col("i") / edge**2).cast("int")}
-    for c, spot in spots.items():
-        rows = rows.withColumn(f"v{c}", (F.col(f"b{c}") * edge + spot).cast("int"))
-    p = tuple(vmap.centre(F.col(f"v{c}")) - F.col(f"t{c}") for c in "xyz")
-    rows = settle(rows.select("frame", "vx", "vy", "vz", *[x.alias(f"c{c}") for x, c in zip(p, "xyz", strict=True)]), "cx", "cy", "cz")
+def sighted(frames: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
+    """The poses of frames that have a sample of their surface in the map."""
+
+    def hits(i):
+        d = F.get("depth", i)
+        valid = F.coalesce(d.between(camera.near, camera.far + vmap.band / 2), F.lit(False))
+        found = F.lit(False)
+        for k in range(vmap.samples):
+            at = _surface(frames, d, i % camera.width, F.floor(i / camera.width), F.lit(k), camera, vmap)
+            found = found | vmap.inside(*at)
+        return valid & F.coalesce(found, F.lit(False))
+
+    return frames.filter(F.exists(F.sequence(F.lit(0), F.lit(camera.width * camera.height - 1)), hits)).select("frame", *pose_columns(frames))
+
+
+def observations(seen: DataFrame, frames: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
+    """(v, part, frame, u): truncated signed distances of visited voxels, 1 at most. v numbers the map's voxels, x fastest.
+
+    part numbers layers of blocks. Visits are dealt by it, so what follows for one voxel
+    needs no further exchange where Spark finds the images small enough to send to all
+    tasks; else visits and images meet by frame. A voxel's pixel is looked up in the image,
+    and nothing but the observed voxels leaves the projection. Layers wholly behind the
+    camera, or further behind an image's greatest depth than the boundary, are not projected.
+    """
+    parts = 4 * int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edge, side = vmap.block, -(-vmap.size // vmap.block)
+    rows = seen.join(frames.select("frame", F.array_max("depth").alias("most")), "frame").withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(edge - 1))))
+    middle = [(F.col(f"b{c}") * edge + F.lit(edge / 2) if c != "z" else F.col("bz") * edge + F.col("layer") + F.lit(0.5)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) for c in "xyz"]
+    away, reach = to_camera(rows, tuple(middle))[2], F.lit(math.sqrt(edge**2 / 2 + 0.25) * vmap.res)
+    rows = rows.filter((away + reach > 0) & (away - reach <= F.col("most") + F.lit(vmap.boundary)))
+    part = (((F.col("bz") * side + F.col("by")) * side + F.col("bx")).cast("long") * edge + F.col("layer")).alias("part")
+    rows = rows.select("bx", "by", "bz", "layer", part, "frame", *pose_columns(seen)).repartition(parts, "part")
+    rows = rows.join(frames.select("frame", "depth"), "frame").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(edge**2 - 1))))
+    vx, vy = F.col("bx") * edge + F.col("i") % edge, F.col("by") * edge + F.floor(F.col("i") / edge).cast("int")
+    vz = F.col("bz") * edge + F.col("layer")
+    p = to_camera(rows, tuple(vmap.centre(v) for v in (vx, vy, vz)))
+    v = ((vz.cast("long") * vmap.size + vy) * vmap.size + vx).alias("v")
+    rows = settle(rows.select("frame", "part", "depth", v, *[x.alias(f"c{c}") for x, c in zip(p, "xyz", strict=True)]), "cx", "cy", "cz")
     p = (F.col("cx"), F.col("cy"), F.col("cz"))
-    u, v, ok = camera.project(p)
-    rows = rows.filter(ok & (camera.measured(p) <= camera.far)).withColumns({"x": pixel(u), "y": pixel(v), "n": norm(p)})
-    depth = pixels.filter(F.col("depth") >= camera.near).select("frame", "x", "y", "depth")
-    rows = rows.join(depth, ["frame", "x", "y"])
-    sdf = (F.col("depth") - F.col("cz")) / F.col("cz") * F.col("n")
-    return rows.withColumn("sdf", sdf).filter(F.col("sdf") >= -vmap.boundary).select("vx", "vy", "vz", "frame", F.least(F.col("sdf") / F.lit(vmap.boundary), F.lit(1.0)).alias("u"))
+    x, y, ok = camera.project(p)
+    rows = rows.filter(ok & (camera.measured(p) <= camera.far))
+    rows = rows.select("frame", "part", "v", "cz", norm(p).alias("n"), F.get("depth", pixel(y) * camera.width + pixel(x)).alias("d"))
+    rows = settle(rows.filter(F.col("d") >= camera.near).withColumn("sdf", (F.col("d") - F.col("cz")) / F.col("cz") * F.col("n")), "sdf")
+    return rows.filter(F.col("sdf") >= -vmap.boundary).select("v", "part", "frame", F.least(F.col("sdf") / F.lit(vmap.boundary), F.lit(1.0)).alias("u"))
+
+
+def voxel_of(v: Column, vmap: VoxelMap) -> list[Column]:
+    """vx, vy, vz of a voxel's number."""
+    n = vmap.size
+    return [(v % n).cast("int").alias("vx"), (F.floor(v / n) % n).cast("int").alias("vy"), F.floor(v / (n * n)).cast("int").alias("vz")]
 
 
 def clamped_mean(rows: DataFrame, by: list[str], order: str, value: str, max_weight: int, few: bool = False) -> DataFrame:
@@ -161,10 +267,18 @@ def clamped_mean(rows: DataFrame, by: list[str], order: str, value: str, max_wei
 
 
 def fuse(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, frustum: bool = True, few: bool = False) -> DataFrame:
-    """(vx, vy, vz, tsdf, weight) of every voxel observed by any frame."""
-    seen = visits(surface_blocks(pixels, poses, camera, vmap), poses, camera, vmap, frustum)
-    rows = observations(seen, pixels, camera, vmap)
-    return clamped_mean(rows, ["vx", "vy", "vz"], "frame", "u", vmap.max_weight, few).withColumnRenamed("mean", "tsdf")
+    """(vx, vy, vz, tsdf, weight) of every voxel observed by any frame of pixels (frame, x, y, depth)."""
+    return fuse_frames(packed(pixels, poses, camera), camera, vmap, frustum, few)
+
+
+def fuse_frames(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, frustum: bool = True, few: bool = False) -> DataFrame:
+    """(vx, vy, vz, tsdf, weight) of every voxel observed by any of frames (frame, pose, depth as an array by rows)."""
+    frames = posed(frames)
+    born = surface_samples(frames, camera, vmap).groupBy("bx", "by", "bz").agg(F.min("frame").alias("born"))
+    seen = _visits(born, sighted(frames, camera, vmap), camera, vmap, frustum, 4)
+    rows = observations(seen, frames, camera, vmap)
+    out = clamped_mean(rows, ["v", "part"], "frame", "u", vmap.max_weight, few)
+    return out.select(*voxel_of(F.col("v"), vmap), F.col("mean").alias("tsdf"), "weight")
 
 
 #: Fixed values of the occupancy model: clamp, log-odds of free space, and the free share of it.

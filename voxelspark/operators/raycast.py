@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,12 +27,30 @@ def entry_distance(size: float, far: float) -> Column:
     return F.when(hits & (near <= out) & (near <= far), near)
 
 
-def blocks_on_ray(rays: DataFrame, far: float, step: float = 0.5, block: int = 8) -> DataFrame:
-    """(id, n, bx, by, bz): blocks that each ray passes, in order, by samples of step."""
-    rows = rays.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(int(far / step)))))
-    at = [F.floor((F.col(f"o{c}") + F.col("k") * F.lit(step) * F.col(f"d{c}")) / block).cast("int").alias(f"b{c}") for c in XYZ]
-    first = rows.select("id", "k", *at).groupBy("id", "bx", "by", "bz").agg(F.min("k").alias("k"))
-    return first.select("id", F.row_number().over(Window.partitionBy("id").orderBy("k")).alias("n"), "bx", "by", "bz")
+def _crossing(o: Column, d: Column, block: int, plane: Column) -> Column:
+    return (plane * F.lit(block) - o) / d
+
+
+def blocks_on_ray(rays: DataFrame, far: float, block: int = 8) -> DataFrame:
+    """(id, n, bx, by, bz): every block that a ray passes within far, in order, however briefly.
+
+    A ray changes its block where it crosses a plane of an axis, so the crossings of each
+    axis are listed, the lists merged in order, and the middle of each stretch between two
+    of them lies in its block. A stretch without length is none.
+    """
+    cuts = [F.array(F.lit(0.0), F.lit(float(far)))]
+    for c in XYZ:
+        o, d = F.col(f"o{c}"), F.col(f"d{c}")
+        ends = (F.floor((o + e) / block) for e in (F.lit(0.0), d * F.lit(float(far))))
+        a, b = ends
+        planes = F.sequence(F.least(a, b), F.greatest(a, b) + 1)
+        at = F.transform(planes, partial(_crossing, o, d, block))
+        cuts.append(F.when(d != 0, F.filter(at, lambda t: (t > 0) & (t < float(far)))).otherwise(F.array().cast("array<double>")))
+    rows = rays.withColumn("cuts", F.array_sort(F.array_distinct(F.concat(*cuts))))
+    rows = rows.select(*rays.columns, "cuts", F.explode(F.sequence(F.lit(1), F.size("cuts") - 1)).alias("n"))
+    middle = (F.get("cuts", F.col("n") - 1) + F.get("cuts", F.col("n"))) / 2
+    rows = rows.select("id", "n", *[F.floor((F.col(f"o{c}") + middle * F.col(f"d{c}")) / block).cast("int").alias(f"b{c}") for c in XYZ])
+    return rows
 
 
 def samples(rays: DataFrame, voxels: DataFrame, steps: int, step: float, first: int = 0, block: int = 8) -> DataFrame:

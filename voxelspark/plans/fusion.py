@@ -26,6 +26,20 @@ def depth(spark, sf_dir):
     return fx.pixels(spark, sf_dir).select("frame", "x", "y", (F.col("depth_mm") / 1000.0).alias("depth"))
 
 
+def frames(spark, sf_dir):
+    """One row per frame: its pose, and its image as an array by rows. The table is one small file, so its rows are dealt out."""
+    depths = F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 10000).cast("int") / 1000.0)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), depths.alias("depth"), ((F.col("vec_id") % 16) * 0.1).cast("double").alias("tx"))
+    return rows.withColumns({"ty": F.lit(0.0), "tz": F.lit(0.0)}).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "frame")
+
+
+def turned(rows):
+    """rows with quaternions of whole numbers: cameras that look in many directions."""
+    k = F.col("frame")
+    q = {"qw": F.lit(8.0), "qx": (k % 5 - 2) * 1.0, "qy": (k % 3 - 1) * 2.0, "qz": (k % 7 - 3) * 1.0}
+    return rows.withColumns(q)
+
+
 _D = f"""{fx.PIXELS},
 po AS (SELECT vec_id AS frame, (vec_id % 16) * 0.1::DOUBLE AS tx FROM embeddings),
 d AS (SELECT px.frame, x, y, depth_mm / 1000.0::DOUBLE AS depth, tx FROM px JOIN po ON po.frame = px.frame)"""
@@ -44,6 +58,40 @@ def _plane_sql(x: str, y: str, z: str, radius: float, planes=_PLANES) -> str:
     return " AND ".join(f"{x} * ({p[0]!r}::DOUBLE) + {y} * ({p[1]!r}::DOUBLE) + {z} * ({p[2]!r}::DOUBLE) + ({float(p[3])!r}::DOUBLE) >= {-radius!r}::DOUBLE" for p in planes.tolist())
 
 
+_Q = "(SELECT frame, 8.0::DOUBLE AS w, (frame % 5 - 2)::DOUBLE AS x, ((frame % 3 - 1) * 2)::DOUBLE AS y, (frame % 7 - 3)::DOUBLE AS z FROM (SELECT vec_id AS frame FROM embeddings))"
+_TURN = ["w * w + x * x - y * y - z * z", "2 * (x * y - w * z)", "2 * (x * z + w * y)", "2 * (x * y + w * z)", "w * w - x * x + y * y - z * z", "2 * (y * z - w * x)", "2 * (x * z - w * y)", "2 * (y * z + w * x)", "w * w - x * x - y * y + z * z"]
+_R = [f"r{i}{j}" for i in range(3) for j in range(3)]
+_RO = f"ro AS (SELECT frame, {', '.join(f'({e}) / (w * w + x * x + y * y + z * z) AS {r}' for e, r in zip(_TURN, _R, strict=True))} FROM {_Q})"
+
+
+def _world(i: int) -> str:
+    return f"(r{i}0 * px + r{i}1 * py + r{i}2 * pz)"
+
+
+def _seen(i: int) -> str:
+    return f"(r0{i} * dx + r1{i} * dy + r2{i} * dz)"
+
+
+_TURNED_ALLOC = f"""{_D}, {_RO},
+sp AS (SELECT frame, tx, (x - 3.5::DOUBLE) / 8.0::DOUBLE * depth AS px, (y - 3.5::DOUBLE) / 8.0::DOUBLE * depth AS py, 1.0::DOUBLE * depth AS pz
+       FROM d WHERE depth >= 0.1::DOUBLE AND depth <= {10 + MAP.band / 2}::DOUBLE),
+sn AS (SELECT sp.*, {", ".join(_R)}, sqrt(px * px + py * py + pz * pz) AS n FROM sp JOIN ro USING (frame)),
+sa AS (SELECT frame, tx + {_world(0)} * a AS sx, 0.0::DOUBLE + {_world(1)} * a AS sy, 0.0::DOUBLE + {_world(2)} * a AS sz
+       FROM (SELECT sn.*, 1.0::DOUBLE + ({MAP.band / 2}::DOUBLE - k * {MAP.band / MAP.samples}::DOUBLE) / n AS a FROM sn, range({MAP.samples}) r(k))),
+ab AS (SELECT DISTINCT frame, CAST(floor(trunc((sx + {_HALF}) / {_RES}) / 8) AS INTEGER) AS bx, CAST(floor(trunc((sy + {_HALF}) / {_RES}) / 8) AS INTEGER) AS "by", CAST(floor(trunc((sz + {_HALF}) / {_RES}) / 8) AS INTEGER) AS bz
+       FROM sa WHERE least(sx, sy, sz) + {_HALF} >= 0 AND sx + {_HALF} < {MAP.dim}::DOUBLE AND sy + {_HALF} < {MAP.dim}::DOUBLE AND sz + {_HALF} < {MAP.dim}::DOUBLE)"""
+_TURNED = f"""{_TURNED_ALLOC},
+born AS (SELECT bx, "by", bz, min(frame) AS born FROM ab GROUP BY ALL),
+bp AS (SELECT bx, "by", bz, born, po.frame, tx, {", ".join(_R)}, (bx * 8 + 4.0::DOUBLE) * {_RES} - {_HALF} - tx AS dx, ("by" * 8 + 4.0::DOUBLE) * {_RES} - {_HALF} AS dy, (bz * 8 + 4.0::DOUBLE) * {_RES} - {_HALF} AS dz FROM born, po JOIN ro ON ro.frame = po.frame WHERE po.frame IN (SELECT frame FROM ab)),
+vi AS (SELECT * FROM bp WHERE frame = born OR (frame > born AND {_plane_sql(_seen(0), _seen(1), _seen(2), _RADIUS)})),
+vd AS (SELECT frame, {", ".join(_R)}, bx * 8 + i AS vx, "by" * 8 + j AS vy, bz * 8 + l AS vz, (bx * 8 + i + 0.5::DOUBLE) * {_RES} - {_HALF} - tx AS dx, ("by" * 8 + j + 0.5::DOUBLE) * {_RES} - {_HALF} AS dy, (bz * 8 + l + 0.5::DOUBLE) * {_RES} - {_HALF} AS dz FROM vi, range(8) a(i), range(8) b(j), range(8) c(l)),
+vc AS (SELECT frame, vx, vy, vz, {_seen(0)} AS cx, {_seen(1)} AS cy, {_seen(2)} AS cz FROM vd),
+vp AS (SELECT *, cx * 8.0::DOUBLE / cz + 3.5::DOUBLE AS u, cy * 8.0::DOUBLE / cz + 3.5::DOUBLE AS v, sqrt(cx * cx + cy * cy + cz * cz) AS n FROM vc WHERE cz > 0 AND cz <= 10.0::DOUBLE),
+vq AS (SELECT *, CAST(trunc(u + 0.5::DOUBLE) AS INTEGER) AS x, CAST(trunc(v + 0.5::DOUBLE) AS INTEGER) AS y FROM vp WHERE u >= -0.5 AND u < 7.5 AND v >= -0.5 AND v < 7.5),
+ob AS (SELECT vx, vy, vz, vq.frame, (depth - cz) / cz * n AS sdf FROM vq JOIN d ON d.frame = vq.frame AND d.x = vq.x AND d.y = vq.y WHERE depth >= 0.1::DOUBLE),
+us AS (SELECT vx, vy, vz, frame, least(sdf / {MAP.boundary}::DOUBLE, 1.0::DOUBLE) AS u FROM ob WHERE sdf >= -{MAP.boundary}::DOUBLE)"""
+
+
 def _fused(frames: str) -> str:
     d = _ALLOC.replace("FROM px JOIN po ON po.frame = px.frame)", f"FROM px JOIN po ON po.frame = px.frame WHERE {frames.replace('frame', 'px.frame')})")
     centre = lambda c, t: f"((b{c} * 8 + 4.0::DOUBLE) * {_RES} - {_HALF} - {t})".replace("by ", '"by" ')
@@ -67,15 +115,16 @@ def micro(c):
     return F.floor(c * 1_000_000 + F.lit(0.37)).cast("long")
 
 
-def _clamped(w: int) -> str:
+def _clamped(w: int, observed: str | None = None) -> str:
     """The running mean over all frames, with weights up to w, in SQL."""
+    observed = observed or _fused("frame >= 0")
     mean = _MICRO.format(f"sum(u * pow({(w - 1) / w!r}::DOUBLE, greatest(n - greatest(i, {w}), 0)) / least(n, {w}))")
-    return f"""WITH {_fused('frame >= 0')}, r AS (SELECT vx, vy, vz, u, row_number() OVER w AS i, count(*) OVER (PARTITION BY vx, vy, vz) AS n FROM us WINDOW w AS (PARTITION BY vx, vy, vz ORDER BY frame))
+    return f"""WITH {observed}, r AS (SELECT vx, vy, vz, u, row_number() OVER w AS i, count(*) OVER (PARTITION BY vx, vy, vz) AS n FROM us WINDOW w AS (PARTITION BY vx, vy, vz ORDER BY frame))
 SELECT vx, vy, vz, {mean} AS tsdf_1e6, CAST(least(count(*), {w}) AS INTEGER) AS weight FROM r GROUP BY vx, vy, vz"""
 
 
-def _fuse(spark, sf_dir, vmap):
-    out = fusion.fuse(depth(spark, sf_dir), poses(spark, sf_dir), CAMERA, vmap)
+def _fuse(spark, sf_dir, vmap, pose=lambda rows: rows):
+    out = fusion.fuse_frames(pose(frames(spark, sf_dir)), CAMERA, vmap)
     return out.select("vx", "vy", "vz", micro(F.col("tsdf")).alias("tsdf_1e6"), "weight")
 
 
@@ -89,9 +138,20 @@ def f04_clamped_fusion(spark, sf_dir):
     return _fuse(spark, sf_dir, fusion.VoxelMap(max_weight=10))
 
 
+@query(_clamped(10, _TURNED))
+def f04_rotated_fusion(spark, sf_dir):
+    return _fuse(spark, sf_dir, fusion.VoxelMap(max_weight=10), turned)
+
+
+@query(f'WITH {_TURNED_ALLOC} SELECT bx, "by", bz, min(frame) AS born FROM ab GROUP BY ALL')
+def a05_rotated_blocks(spark, sf_dir):
+    rows = fusion.surface_samples(fusion.posed(turned(frames(spark, sf_dir))), CAMERA, MAP)
+    return rows.groupBy("bx", "by", "bz").agg(F.min("frame").alias("born"))
+
+
 @query(f'WITH {_ALLOC} SELECT bx, "by", bz, min(frame) AS born FROM ab GROUP BY ALL')
 def a05_surface_blocks(spark, sf_dir):
-    rows = fusion.surface_blocks(depth(spark, sf_dir), poses(spark, sf_dir), CAMERA, MAP)
+    rows = fusion.surface_samples(frames(spark, sf_dir), CAMERA, MAP)
     return rows.groupBy("bx", "by", "bz").agg(F.min("frame").alias("born"))
 
 

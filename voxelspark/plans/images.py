@@ -32,7 +32,7 @@ def i01_median_downsample(spark, sf_dir):
     return images.downsample(_depth(spark, sf_dir), 8, 2)
 
 
-@query(f"{_PX}, p AS (SELECT frame, x, y, (x * 3 + y * 5 + frame) % 64 AS idx FROM d) SELECT p.frame, p.x, p.y, d.depth AS value FROM p JOIN d ON d.frame = p.frame AND d.x + d.y * 8 = p.idx")
+@query(f"{_PX}, p AS (SELECT frame, x, y, (x * 3 + y * 5 + frame) % 64 AS idx FROM d), i AS (SELECT frame, x + y * 8 AS idx, depth FROM d) SELECT p.frame, p.x, p.y, i.depth AS value FROM p JOIN i ON i.frame = p.frame AND i.idx = p.idx")
 def i02_remap(spark, sf_dir):
     d = _depth(spark, sf_dir)
     image = d.select("frame", (F.col("x") + F.col("y") * 8).cast("long").alias("idx"), F.col("depth").alias("value"))
@@ -119,16 +119,8 @@ def i11_rgb_arithmetic(spark, sf_dir):
     return _rgb(spark, sf_dir).select("event_id", colour.add(_c(), turned)[0].alias("sum_r"), colour.scaled(_c(), 0.5)[1].alias("half_g"), colour.blend(_c(), turned, 0.25)[2].alias("mixed_b"), packed.alias("packed"), colour.unpack(packed)[0].alias("back"))
 
 
-@query(f"{_RGB} SELECT event_id, row_number() OVER (ORDER BY r, g, b, event_id) AS rank FROM c ORDER BY rank LIMIT 500")
-def i11_rgb_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    first = _rgb(spark, sf_dir).orderBy(F.struct("r", "g", "b"), "event_id").limit(500)  # a top-k report
-    return first.select("event_id", F.row_number().over(Window.orderBy(F.struct("r", "g", "b"), "event_id")).cast("long").alias("rank"))
-
-
 @query(f"{_RGB} SELECT event_id, row_number() OVER (ORDER BY r, g, b, event_id) AS rank FROM c")
-def i11_rgb_order_all(spark, sf_dir):
+def i11_rgb_order(spark, sf_dir):
     return keysets.ranked(_rgb(spark, sf_dir), F.asc("r"), F.asc("g"), F.asc("b"), F.asc("event_id")).select("event_id", "rank")
 
 

@@ -9,7 +9,7 @@ from ..streaming import blocks, fuse
 from ..streaming import rays as ray_batches
 from . import fixtures as fx
 from . import sql as q
-from .fusion import CAMERA, MAP, _clamped, depth, micro, poses
+from .fusion import CAMERA, MAP, _clamped, depth, frames, micro, poses
 from .keys import _tree
 from .registry import query
 
@@ -21,23 +21,22 @@ def r14_ray_batches(spark, sf_dir):
 
 @query()
 def f05_multires_tsdf(spark, sf_dir):
-    return blocks.fuse(depth(spark, sf_dir), poses(spark, sf_dir), CAMERA, MAP, occupancy=False)
+    return blocks.fuse_frames(frames(spark, sf_dir), CAMERA, MAP, occupancy=False)
 
 
 @query()
 def f08_multires_occupancy(spark, sf_dir):
-    return blocks.fuse(depth(spark, sf_dir), poses(spark, sf_dir), CAMERA, MAP)
+    return blocks.fuse_frames(frames(spark, sf_dir), CAMERA, MAP)
 
 
 @query(_clamped(MAP.max_weight))
 def f12_incremental_fusion(spark, sf_dir):
     """The second half of a sequence fused into the map of the first."""
-    px, po = depth(spark, sf_dir), poses(spark, sf_dir)
-    late = F.col("frame") >= po.agg(F.max("frame")).first()[0] // 2
-    first = fusion.fuse(px.filter(~late), po.filter(~late), CAMERA, MAP)
-    surface = fusion.surface_blocks(px, po, CAMERA, MAP)
-    seen = fusion.visits(surface, po, CAMERA, MAP).filter(late)
-    out = fuse.merge_means(first, fusion.observations(seen, px.filter(late), CAMERA, MAP), MAP.max_weight)
+    fr = frames(spark, sf_dir)
+    late = F.col("frame") >= fr.agg(F.max("frame")).first()[0] // 2
+    first = fusion.fuse_frames(fr.filter(~late), CAMERA, MAP)
+    seen = fusion.visits(fusion.surface_samples(fr, CAMERA, MAP), fr, CAMERA, MAP).filter(late)
+    out = fuse.merge_means(first, fusion.observations(seen, fr.filter(late), CAMERA, MAP), MAP)
     return out.select("vx", "vy", "vz", micro(F.col("tsdf")).alias("tsdf_1e6"), "weight")
 
 

@@ -39,29 +39,21 @@ def c01_map_entry(spark, sf_dir):
     return moved.select("id", micro(raycast.entry_distance(256.0, 150.0)).alias("t_1e6"))
 
 
-@query(f"""WITH {_RAY}, s AS (SELECT id, k, CAST(floor((ox + k * 0.5::DOUBLE * dx) / 8) AS INTEGER) AS bx, CAST(floor((oy + k * 0.5::DOUBLE * dy) / 8) AS INTEGER) AS "by", CAST(floor((oz + k * 0.5::DOUBLE * dz) / 8) AS INTEGER) AS bz FROM ra, range(41) r(k)),
-f AS (SELECT id, bx, "by", bz, min(k) AS k FROM s GROUP BY ALL) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) AS INTEGER) AS n, bx, "by", bz FROM f""")
-def t12_blocks_on_ray(spark, sf_dir):
-    return raycast.blocks_on_ray(rays(spark, sf_dir), 20.0)
+_PLANES = " UNION ".join(f"SELECT * FROM (SELECT id, (m * 8 - o{c}) / nullif(d{c}, 0) AS t FROM ra, range(-40, 90) r(m)) WHERE t > 0 AND t < {STEPS * 0.5}" for c in "xyz")
 
 
-@query(f"""WITH {_RAY}, s AS (SELECT id, k, CAST(floor((ox + k * 0.5::DOUBLE * dx) / 8) AS INTEGER) AS bx, CAST(floor((oy + k * 0.5::DOUBLE * dy) / 8) AS INTEGER) AS "by", CAST(floor((oz + k * 0.5::DOUBLE * dz) / 8) AS INTEGER) AS bz FROM ra, range({STEPS + 1}) r(k)),
-f AS (SELECT id, bx, "by", bz, min(k) AS k FROM s GROUP BY ALL) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) AS INTEGER) AS n, bx, "by", bz FROM f""")
-def t12_blocks_on_ray_far(spark, sf_dir):
+@query(f"""WITH {_RAY}, c AS (SELECT id, 0.0::DOUBLE AS t FROM ra UNION SELECT id, {STEPS * 0.5}::DOUBLE FROM ra UNION {_PLANES}),
+s AS (SELECT id, t, lead(t) OVER w AS u, CAST(row_number() OVER w AS INTEGER) AS n FROM c WINDOW w AS (PARTITION BY id ORDER BY t))
+SELECT id, n, {", ".join(f'CAST(floor((o{c} + (t + u) / 2 * d{c}) / 8) AS INTEGER) AS "b{c}"' for c in "xyz")} FROM s JOIN ra USING (id) WHERE u IS NOT NULL""")
+def t12_blocks_on_ray(spark, sf_dir):
     return raycast.blocks_on_ray(rays(spark, sf_dir), STEPS * 0.5)
 
 
-_ALONG = f"""WITH {_VOX}, {_RAY}, sa AS (SELECT id, k, ox + k * 0.5::DOUBLE * dx AS x, oy + k * 0.5::DOUBLE * dy AS y, oz + k * 0.5::DOUBLE * dz AS z FROM ra, range(25) r(k)),
+_ALONG = f"""WITH {_VOX}, {_RAY}, sa AS (SELECT id, k, ox + k * 0.5::DOUBLE * dx AS x, oy + k * 0.5::DOUBLE * dy AS y, oz + k * 0.5::DOUBLE * dz AS z FROM ra, range({STEPS + 1}) r(k)),
 ba AS (SELECT id, k, CAST(floor(x - 0.5) AS INTEGER) AS bx, CAST(floor(y - 0.5) AS INTEGER) AS by_, CAST(floor(z - 0.5) AS INTEGER) AS bz, x - 0.5 - floor(x - 0.5) AS fx, y - 0.5 - floor(y - 0.5) AS fy, z - 0.5 - floor(z - 0.5) AS fz FROM sa),
 st AS (SELECT id, ba.k, (CASE a.i WHEN 1 THEN fx ELSE 1 - fx END) * (CASE b.i WHEN 1 THEN fy ELSE 1 - fy END) * (CASE c.i WHEN 1 THEN fz ELSE 1 - fz END) AS share, bx + a.i AS sx, by_ + b.i AS sy, bz + c.i AS sz FROM ba, range(2) a(i), range(2) b(i), range(2) c(i)),
 it AS (SELECT id, k, sum(share * tsdf) AS value FROM st JOIN vox ON vx = sx AND vy = sy AND vz = sz WHERE weight > 0 GROUP BY id, k HAVING count(*) = 8),
 al AS (SELECT sa.id, sa.k, value FROM sa LEFT JOIN it ON it.id = sa.id AND it.k = sa.k)"""
-#: The same up to the camera's far plane.
-_FAR = _ALONG.replace("range(25)", f"range({STEPS + 1})")
-
-
-def _along(spark, sf_dir):
-    return raycast.samples(rays(spark, sf_dir), vox(spark, sf_dir), 24, 0.5)
 
 
 def _far(cast, spark, sf_dir):
@@ -74,15 +66,13 @@ def _occupied(along):
 
 @query(f"{_ALONG} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value IS NOT NULL GROUP BY id")
 def c03_first_known(spark, sf_dir):
-    return raycast.first_known(_along(spark, sf_dir), 0.5)
+    return _far(lambda along: raycast.first_known(along, 0.5), spark, sf_dir)
 
 
-@query(f"{_FAR} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value IS NOT NULL GROUP BY id")
-def c03_first_known_far(spark, sf_dir):
-    return _far(lambda along: raycast.first_known(along, 0.5), spark, sf_dir)
+_CHANGE = f"{_ALONG}, ch AS (SELECT *, lag(value) OVER (PARTITION BY id ORDER BY k) AS before FROM al), hit AS (SELECT id, arg_min((k - 1) * 0.5::DOUBLE + before / (before - value) * 0.5::DOUBLE, k) AS t FROM ch WHERE before >= 0 AND value < 0 GROUP BY id)"
 
 
-@query()
+@query(f"{_CHANGE} SELECT id, {_M.format('t')} AS t_1e6 FROM hit")
 def c04_raycast_surface(spark, sf_dir):
     surface = _far(lambda along: raycast.cast_surface(along, 0.5), spark, sf_dir)
     return surface.select("id", micro(F.col("t")).alias("t_1e6"))
@@ -90,11 +80,6 @@ def c04_raycast_surface(spark, sf_dir):
 
 @query(f"{_ALONG} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value > 0.3137::DOUBLE GROUP BY id")
 def c05_raycast_occupied(spark, sf_dir):
-    return _occupied(_along(spark, sf_dir))
-
-
-@query(f"{_FAR} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value > 0.3137::DOUBLE GROUP BY id")
-def c05_raycast_occupied_far(spark, sf_dir):
     return _far(_occupied, spark, sf_dir)
 
 

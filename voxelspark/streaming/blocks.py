@@ -9,15 +9,16 @@ the coarser scale since it was last passed on.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sensors import HYSTERESIS, SCALE_STEPS, Pinhole
-from ..operators.fusion import LOG_ODD_MIN, VoxelMap, occupancy_max_weight, surface_blocks, visits
+from ..operators.fusion import LOG_ODD_MIN, SHIFT, TURN, VoxelMap, occupancy_max_weight, packed, posed, surface_samples, to_camera, visits
 
 #: Integrations and share of the observed volume after which a buffer takes over.
 BUFFER_ROUNDS, BUFFER_SHARE = 20, 0.9
@@ -126,20 +127,25 @@ class Block:
             self.scale -= 1
 
 
-def observer(corner: np.ndarray, shift: np.ndarray, depth: np.ndarray, camera: Pinhole, vmap: VoxelMap, occupancy: bool, sigma: float, tau: float):
-    """observe(scale) for a block at corner (voxels) seen from a camera at shift."""
+def observer(corner: np.ndarray, shift: np.ndarray, turn: np.ndarray | None, depth: np.ndarray, first: tuple[int, int], camera: Pinhole, vmap: VoxelMap, occupancy: bool, sigma: float, tau: float):
+    """observe(scale) for a block at corner (voxels) seen from a camera at shift, turned by turn from camera to world.
+
+    depth is the part of the image, from column and row first on, that the block projects into.
+    """
 
     def observe(scale: int) -> np.ndarray:
         n, stride = vmap.block >> scale, 1 << scale
         at = lambda k: (corner[k] + np.arange(n) * stride + stride / 2) * vmap.res - vmap.dim / 2 - shift[k]
         # Axis 0 is z, as voxels have x fastest.
         z, y, x = np.meshgrid(at(2), at(1), at(0), indexing="ij")
+        if turn is not None:
+            x, y, z = (turn[0, k] * x + turn[1, k] * y + turn[2, k] * z for k in range(3))
         out = np.full((n, n, n), np.nan)
         with np.errstate(divide="ignore", invalid="ignore"):
             u, v = x * camera.fx / z + camera.cx, y * camera.fy / z + camera.cy
             ok = (z > 0) & (z <= camera.far) & (u >= -0.5) & (u < camera.width - 0.5) & (v >= -0.5) & (v < camera.height - 0.5)
         d = np.zeros((n, n, n))
-        d[ok] = depth[(v[ok] + 0.5).astype(int), (u[ok] + 0.5).astype(int)]
+        d[ok] = depth[(v[ok] + 0.5).astype(int) - first[1], (u[ok] + 0.5).astype(int) - first[0]]
         ok &= d >= camera.near
         sdf = np.where(ok, (d - z) / np.where(ok, z, 1) * np.sqrt(x * x + y * y + z * z), np.nan)
         if not occupancy:
@@ -154,29 +160,74 @@ def observer(corner: np.ndarray, shift: np.ndarray, depth: np.ndarray, camera: P
     return observe
 
 
+def cropped(seen: DataFrame, frames: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
+    """seen with the part of its frame's image that the block projects into: x0, y0, wide and depth by rows."""
+    rows, edge = seen, vmap.block
+    ends = {c: [(F.col(f"b{c}") * edge + k * edge) * F.lit(vmap.res) - F.lit(vmap.dim / 2) for k in (0, 1)] for c in "xyz"}
+    corners = [to_camera(rows, (x, y, z)) for x in ends["x"] for y in ends["y"] for z in ends["z"]]
+    before = F.least(*[p[2] for p in corners]) > camera.near
+    for c, f, m, n in (("x", camera.fx, camera.cx, camera.width), ("y", camera.fy, camera.cy, camera.height)):
+        at = [p["xy".index(c)] * F.lit(f) / p[2] + F.lit(m) for p in corners]
+        # A pixel more on either side, so that no rounding matters; all of the image for a block that reaches to the camera.
+        low = F.when(before, F.greatest(F.floor(F.least(*at) + 0.5) - 1, F.lit(0))).otherwise(F.lit(0))
+        high = F.when(before, F.least(F.floor(F.greatest(*at) + 0.5) + 1, F.lit(n - 1))).otherwise(F.lit(n - 1))
+        rows = rows.withColumns({f"{c}0": low.cast("int"), f"{c}1": high.cast("int")})
+    rows = rows.join(frames.select("frame", F.col("depth").alias("image")), "frame")
+    none = F.array().cast("array<double>")
+    row = lambda y: F.slice("image", (y * camera.width + F.col("x0") + 1).cast("int"), F.col("x1") - F.col("x0") + 1)
+    part = F.when((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")), F.flatten(F.transform(F.sequence("y0", "y1"), row))).otherwise(none)
+    return rows.select(*seen.columns, "x0", "y0", F.greatest(F.col("x1") - F.col("x0") + 1, F.lit(1)).alias("wide"), part.alias("depth"))
+
+
 def fuse(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: bool = True, sigma: float = 0.05, tau: float = 0.2) -> DataFrame:
+    """fuse_frames() of pixels (frame, x, y, depth) and poses."""
+    return fuse_frames(packed(pixels, poses, camera), camera, vmap, occupancy, sigma, tau)
+
+
+def fuse_frames(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: bool = True, sigma: float = 0.05, tau: float = 0.2) -> DataFrame:
     """(bx, by, bz, scale, vx, vy, vz, value, weight): blocks at the scale they end up with.
 
     value is the mean log-odds, or the truncated distance. Observed voxels only; vx.. are
-    their lower corners.
+    their lower corners. Visits are sorted by block and frame and folded as they come, so a
+    task holds one block's state and one batch, however many frames see the block; with a
+    visit goes only the part of the image that the block covers.
     """
-    image = pixels.groupBy("frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "depth"))), lambda p: p["depth"]).alias("depth"))
-    seen = visits(surface_blocks(pixels, poses, camera, vmap), poses, camera, vmap)
-    rows = seen.join(image, "frame")
-    weight = occupancy_max_weight() if occupancy else vmap.max_weight
-
-    def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        block, corner = Block(vmap.block, occupancy, weight), np.array(key) * vmap.block
-        for r in part.sort_values("frame").itertuples():
-            shift = np.array([r.tx, r.ty, r.tz])
-            centre = (corner + vmap.block / 2) * vmap.res - vmap.dim / 2 - shift
-            scale = scale_of(float(centre[2]), camera, vmap.res, block.scale)
-            depth = np.asarray(r.depth, dtype=float).reshape(camera.height, camera.width)
-            block.integrate(scale, observer(corner, shift, depth, camera, vmap, occupancy, sigma, tau))
-        mean, w = block.levels[block.scale]
-        z, y, x = np.nonzero(w)
-        stride = 1 << block.scale
-        out = {"bx": key[0], "by": key[1], "bz": key[2], "scale": block.scale, "vx": corner[0] + x * stride, "vy": corner[1] + y * stride, "vz": corner[2] + z * stride, "value": mean[z, y, x], "weight": w[z, y, x].astype(int)}
-        return pd.DataFrame(out)
-
-    return rows.groupBy("bx", "by", "bz").applyInPandas(fold, OUT)
+    frames = posed(frames)
+    seen = visits(surface_samples(frames, camera, vmap), frames, camera, vmap)
+    rows = cropped(seen, frames, camera, vmap)
+    weight, turned = occupancy_max_weight() if occupancy else vmap.max_weight, "r00" in rows.columns
+    shifts, turns = list(SHIFT), list(TURN)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, None
+
+        def finish() -> pa.RecordBatch:
+            mean, w = block.levels[block.scale]
+            z, y, x = np.nonzero(w)
+            stride, n = 1 << block.scale, len(z)
+            whole = [np.full(n, v, dtype=np.int32) for v in (*key, block.scale)]
+            at = [(key[k] * vmap.block + c * stride).astype(np.int32) for k, c in enumerate((x, y, z))]
+            return pa.record_batch([pa.array(c) for c in (*whole, *at, mean[z, y, x], w[z, y, x].astype(np.int32))], names=[c.split()[0] for c in OUT.split(", ")])
+
+        for batch in batches:
+            col = lambda c, batch=batch: batch.column(c).to_numpy(zero_copy_only=False)
+            at, shift = np.stack([col(c) for c in ("bx", "by", "bz")], 1), np.stack([col(c) for c in shifts], 1)
+            turn = np.stack([col(c) for c in turns], 1).reshape(-1, 3, 3) if turned else None
+            x0, y0, wide, images = col("x0"), col("y0"), col("wide"), batch.column("depth")
+            for k in range(batch.num_rows):
+                if key != tuple(at[k].tolist()):
+                    if block is not None:
+                        yield finish()
+                    key, block = tuple(at[k].tolist()), Block(vmap.block, occupancy, weight)
+                corner = at[k].astype(np.int64) * vmap.block
+                image = np.nan_to_num(images[k].values.to_numpy(zero_copy_only=False).astype(float)).reshape(-1, int(wide[k]))
+                centre = (corner + vmap.block / 2) * vmap.res - vmap.dim / 2 - shift[k]
+                r = turn[k] if turned else None
+                away = float(centre[2] if r is None else r[0, 2] * centre[0] + r[1, 2] * centre[1] + r[2, 2] * centre[2])
+                scale = scale_of(away, camera, vmap.res, block.scale)
+                block.integrate(scale, observer(corner, shift[k], r, image, (int(x0[k]), int(y0[k])), camera, vmap, occupancy, sigma, tau))
+        if block is not None:
+            yield finish()
+
+    order = ["bx", "by", "bz", "frame"]
+    return rows.repartition("bx", "by", "bz").sortWithinPartitions(*order).mapInArrow(fold, OUT)

@@ -14,12 +14,13 @@ from ..operators import fusion
 VOXELS, BLOCKS = "vx int, vy int, vz int, tsdf double, weight int", "bx int, by int, bz int, born long"
 
 
-def merge_means(state: DataFrame, rows: DataFrame, max_weight: int) -> DataFrame:
-    """state (vx, vy, vz, tsdf, weight) after the values u of rows (vx, vy, vz, frame, u), in order.
+def merge_means(state: DataFrame, rows: DataFrame, vmap: fusion.VoxelMap) -> DataFrame:
+    """state (vx, vy, vz, tsdf, weight) after the observations u of rows, in order.
 
     The state counts as its weight's many values before the first of rows.
     """
-    v = ["vx", "vy", "vz"]
+    v, max_weight = ["vx", "vy", "vz"], vmap.max_weight
+    rows = rows.select(*fusion.voxel_of(F.col("v"), vmap), "frame", "u")
     w = Window.partitionBy(*v)
     new = rows.withColumns({"i": F.row_number().over(w.orderBy("frame")), "n": F.count("*").over(w)})
     old = state.select(*v, F.col("tsdf").alias("t0"), F.col("weight").alias("n0"))
@@ -50,15 +51,16 @@ class MapStream:
         return self._read(spark, "voxels", version, VOXELS)
 
     def update(self, frames: DataFrame, batch: int) -> None:
-        """Fuse the frames (frame, x, y, depth, tx, ty, tz) of one batch, each later than all before."""
+        """Fuse the frames (frame, x, y, depth, tx, ty, tz, and qw to qz of turned cameras) of one batch, each later than all before."""
         spark = frames.sparkSession
-        pixels, poses = frames.select("frame", "x", "y", "depth"), frames.select("frame", "tx", "ty", "tz").distinct()
+        pose = [c for c in frames.columns if c not in ("x", "y", "depth")]
+        images = fusion.packed(frames.select("frame", "x", "y", "depth"), frames.select(*pose).distinct(), self.camera)
         known = self._read(spark, "blocks", batch - 1, BLOCKS)
-        fresh = fusion.surface_blocks(pixels, poses, self.camera, self.vmap)
-        every = known.select("bx", "by", "bz", F.col("born").alias("frame")).unionByName(fresh.select("bx", "by", "bz", "frame"))
-        seen = fusion.visits(every, poses, self.camera, self.vmap)
-        rows = fusion.observations(seen, pixels, self.camera, self.vmap)
-        merged = merge_means(self.voxels(spark, batch - 1), rows, self.vmap.max_weight)
+        fresh = fusion.surface_samples(images, self.camera, self.vmap)
+        every = known.select("bx", "by", "bz", F.col("born").alias("frame")).unionByName(fresh)
+        seen = fusion.visits(every, images, self.camera, self.vmap)
+        rows = fusion.observations(seen, images, self.camera, self.vmap)
+        merged = merge_means(self.voxels(spark, batch - 1), rows, self.vmap)
         merged.write.mode("overwrite").parquet(f"{self.path}/voxels/{batch}")
         born = every.groupBy("bx", "by", "bz").agg(F.min("frame").alias("born"))
         born.write.mode("overwrite").parquet(f"{self.path}/blocks/{batch}")
