@@ -230,4 +230,6 @@ def fuse_frames(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: b
             yield finish()
 
     order = ["bx", "by", "bz", "frame"]
-    return rows.repartition("bx", "by", "bz").sortWithinPartitions(*order).mapInArrow(fold, OUT)
+    # Visits are small and their work is not: their number of tasks must not follow their size.
+    parts = 4 * int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bx", "by", "bz").sortWithinPartitions(*order).mapInArrow(fold, OUT)
