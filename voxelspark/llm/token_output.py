@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
+import math
 import os
 import re
 import zlib
@@ -39,8 +41,8 @@ END_ID = 2
 #: Bounds of what the dictionary is trained on: documents (the first of a random share) and bytes of each.
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 1 << 16, 1 << 16
 LEVEL, BLOCK_BYTES, CACHE_WORDS = 3, 1 << 20, 1_000_000
-#: Bounds that each id is compared with; for more parts Spark finds the bounds by sampling all rows.
-MOST_BOUNDS = 2000
+#: Ids that are sampled for each part, to find bounds between parts of like size.
+BOUND_SAMPLE = 64
 BLOCKS = "part int, block int, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary, dict_hash string"
 
 #: Characters beside a space at which byte-level pre-tokenization always splits: no white space in any definition.
@@ -97,8 +99,18 @@ class _Words(dict):
         return self.merged(word) if _LETTERS.fullmatch(word) else self.encode([word])[0]
 
 
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer file is one whose texts can be encoded word by word: plain byte-level BPE."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    # Tokens that are cut out before all else must not reach over a space.
+    added = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"]) for t in spec.get("added_tokens", ()))
+    return model.get("type") == "BPE" and plain and not odd and added and not spec.get("normalizer")
+
+
 class Encoder:
-    """Whole texts to ids of a byte-level BPE of the tokenizers library, each word once.
+    """Whole texts to ids of a tokenizer of the tokenizers library; of byte-level BPE, each word once.
 
     Pre-tokenization always starts a token at a single space between two other
     characters, so what lies between such spaces is encoded alone and kept. Pieces at
@@ -111,10 +123,15 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words = _Words(tokenizer, self.dtype)
+        with open(path, encoding="utf-8") as f:
+            self.plain = by_words(json.load(f))
+        self.tokenizer = tokenizer
+        self.words = _Words(tokenizer, self.dtype) if self.plain else None
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as bytes of self.dtype."""
+        if not self.plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         pieces = text.split(" ")
         try:
             if len(pieces) > 1 and not _EDGE.match(pieces[0][-1:]):
@@ -169,14 +186,24 @@ def _dict(data: bytes) -> zstandard.ZstdCompressionDict | None:
 def parts_in_order(rows: DataFrame, n: int) -> Column:
     """A number for each row (doc_id, text) so that smaller numbers hold smaller ids, in about n parts of like size.
 
-    Bounds are quantiles of the ids alone, so no text is read for them. An id that is
-    several quantiles at once holds many rows; it is parted by a hash of the text.
+    Bounds are quantiles of a sample of the ids, BOUND_SAMPLE for each part, so no text is
+    read for them; they are compared as whole numbers, first every k-th and then the k
+    that follow, which is exact for any ids and quick for any number of parts. An id that
+    is several quantiles at once holds many rows; it is parted by a hash of the text.
     """
-    ids = rows.select(F.col("doc_id").cast("double").alias("d"))
-    bounds = ids.approxQuantile("d", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    ids = rows.select("doc_id").filter("doc_id is not null")
+    total = ids.count() if n > 1 else 0
+    share = min(1.0, BOUND_SAMPLE * n / max(total, 1))
+    drawn = sorted(r[0] for r in (ids.sample(share, 11) if share < 1 else ids).collect()) if total else []
+    bounds = [drawn[k * len(drawn) // n] for k in range(1, n)] if drawn else []
     times = Counter(bounds)
-    d = F.col("doc_id").cast("double")
-    below = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(times)]).cast("array<double>"), lambda x: x < d))
+    values = sorted(times)
+    step = max(1, math.isqrt(len(values)))
+    # A literal that is parsed once: as a column for each bound, thousands of them would take the driver long.
+    listed = lambda v: F.split(F.lit(",".join(map(str, v))), ",").cast("array<bigint>") if v else F.array().cast("array<bigint>")
+    d = F.col("doc_id")
+    blocks = F.size(F.filter(listed(values[step - 1 :: step]), lambda x: x < d))
+    below = blocks * step + F.size(F.filter(F.slice(listed(values), blocks * step + 1, step), lambda x: x < d))
     many = {x: k for x, k in times.items() if k > 1}
     salt = F.lit(0)
     for x, k in many.items():
@@ -233,19 +260,16 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
         if held[0]:
             yield flush()
 
-    n, order = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), ["doc_id", F.xxhash64("text")]
-    if n <= MOST_BOUNDS:
-        rows = rows.withColumn("part", parts_in_order(rows, n)).repartition("part").sortWithinPartitions("part", *order)
-    else:
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("part", parts_in_order(rows, n)).repartition("part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
     rows.mapInArrow(blocks, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
     """Documents of a token store: doc_id, start, n_tokens, ids_crc32 and (with_ids) ids.
 
-    start is the number of ids of all documents before it. doc_ids: only these, by the
-    blocks that may hold them.
+    start is the number of ids of all documents before it. doc_ids: only these (None:
+    documents without an id), by the blocks that may hold them; an empty list gives no rows.
     """
     head = spark.read.parquet(f"{path}/dictionary").first()
     data, digest, dtype = bytes(head["dictionary"]), head["dict_hash"], np.dtype(f"<u{head['id_bytes']}")
@@ -256,8 +280,10 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_
     parts = parts.select(F.col("part").alias("p"), so_far(Window.orderBy("part")).alias("before"))
     starts = sums.withColumn("here", so_far(Window.partitionBy("part").orderBy("block"))).join(parts, F.col("part") == F.col("p")).select("part", "block", (F.col("before") + F.col("here")).alias("at"))
     wanted = None if doc_ids is None else set(doc_ids)
-    if wanted:
-        blocks = blocks.filter((F.col("last_id") >= min(wanted)) & (F.col("first_id") <= max(wanted)))
+    if wanted is not None:
+        known = wanted - {None}
+        has = (F.col("last_id") >= min(known)) & (F.col("first_id") <= max(known)) if known else F.lit(False)
+        blocks = blocks.filter(has | F.exists("doc_ids", lambda x: x.isNull()) if None in wanted else has)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(dict_data=_dict(data))
