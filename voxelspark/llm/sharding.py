@@ -115,8 +115,19 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", te
     return out.unionByName(over.select(*kept, name.alias("shard_id"), F.lit(HASH_BITS).alias("shard_depth"), "shard_bytes", "n_bytes"))
 
 
+#: Name of the partition folders: a letter before the bits keeps them text, and names the shard without bits.
+FOLDER, MARK = "shard", "s"
+
+
 def write(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, **names: str) -> DataFrame:
-    """Write each shard as a Parquet folder shard_id=... under path; returns its manifest."""
+    """Write each shard as a Parquet folder shard=s<shard_id> under path; returns its manifest, read from what was written.
+
+    The folders hold docs' columns (but for ours and one named shard) with shard_depth,
+    shard_bytes and n_bytes. Manifest: shard_id, n_docs, bytes. An empty table gives an
+    empty manifest.
+    """
     rows = assign(docs, limit, **names)
-    rows.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id").parquet(path)
-    return docs.sparkSession.read.parquet(path).groupBy("shard_id").agg(F.count("*").alias("n_docs"), F.sum("n_bytes").alias("bytes"))
+    rows = rows.select(*[col(c) for c in rows.columns if c.lower() not in (FOLDER, "shard_id")], F.concat(F.lit(MARK), F.col("shard_id")).alias(FOLDER))
+    rows.repartition(FOLDER).write.mode("overwrite").partitionBy(FOLDER).parquet(path)
+    written = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return written.groupBy(F.substring(FOLDER, len(MARK) + 1, HASH_BITS + 30).alias("shard_id")).agg(F.count("*").alias("n_docs"), F.sum("n_bytes").alias("bytes"))
