@@ -138,15 +138,22 @@ class Index:
         return out
 
     def calibrate(self, target: float = TARGET_RECALL) -> None:
-        """Add walks until windows simulated at the greatest distance are found with the target recall."""
+        """Add walks until windows simulated at the greatest distance are found with the target recall.
+
+        Half of the windows are lined up with the item, half lie as many words beside it as
+        edits are left to them. Raises where MOST_WALKS don't reach the target.
+        """
         rng, some = np.random.default_rng(11), np.flatnonzero(self.m)
         if not len(some):
             return
         item = rng.choice(some, TRIALS)
         made = []
-        for k in item:
+        for trial, k in enumerate(item):
             t = self.texts[k].tolist()
-            for _ in range(edits(len(t), self.rate)):
+            # Beside the item by s words, a window lacks s of its words and has s others: two edits each.
+            beside = int(rng.integers(0, edits(len(t), self.rate) // 2 + 1)) if trial % 2 else 0
+            t = [int(w) for w in rng.integers(1, 1 << 62, beside)] + t
+            for _ in range(edits(len(self.texts[k]), self.rate) - 2 * beside):
                 j, what, w = int(rng.integers(0, len(t))), rng.integers(0, 3), int(rng.integers(1, 1 << 62))
                 t = [*t[:j], *([w] if what == 0 else [w, t[j]] if what == 1 else []), *t[j + 1 :]] or [w]
             made.append(np.array(t, dtype=np.uint64)[: len(self.texts[k])])
@@ -158,6 +165,7 @@ class Index:
             self.recall = float(found.mean())
             if self.recall >= target:
                 return
+        raise ValueError(f"{MOST_WALKS} walks find {self.recall:.4f} of the simulated windows, not {target}")
 
     def search(self, w) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, start) of the nearest window for each text and item within reach."""

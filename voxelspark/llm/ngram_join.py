@@ -225,9 +225,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Where rows share an id, they stay if the id is the first of a class of theirs, equal texts as one row.
     """
     found = classes(docs, id_col, text_col, **how)
-    first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "tid")).alias("first")).select(F.col("first.doc_id").alias("d"))
+    d = free_name(docs.columns, "d")
+    first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "tid")).alias("first")).select(F.col("first.doc_id").alias(d))
     # By merge, as in classes(): the texts move once at any size.
-    marked = docs.hint("merge").join(keep(first.distinct(), "class-firsts"), col(id_col).cast("long").eqNullSafe(F.col("d")), "left_semi")
+    marked = docs.hint("merge").join(keep(first.distinct(), "class-firsts"), col(id_col).cast("long").eqNullSafe(col(d)), "left_semi")
     if docs.groupBy(col(id_col)).count().filter("count > 1").isEmpty():
         return marked.select(*[col(c) for c in docs.columns])
     # Rows share an id: of those with the id of a class's first text, equal texts are one row.

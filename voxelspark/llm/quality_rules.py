@@ -203,19 +203,21 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str]) -> DecisionList:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DecisionList:
     """Learn from labels (doc_id, quality), 0 being bad, on at most sample_docs documents.
 
-    A document labelled both ways counts as good; null ids and labels are left out.
-    Documents that the base rules fail teach nothing. Without labels the list is empty.
+    A document labelled both ways counts as good; null ids and labels are left out. Of rows
+    that share an id the one of least statistics teaches, so one row a label reaches the
+    driver at most. Documents that the base rules fail teach nothing. Without labels the
+    list is empty. The same rows give the same list.
     """
     marks = labels.select(col("doc_id").alias("of"), col("quality").cast("int").alias("good")).dropna().groupBy("of").agg(F.max("good").alias("good"))
     some = F.broadcast(marks.orderBy(F.xxhash64("of"), "of").limit(sample_docs))
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).join(some, F.col("doc_id") == F.col("of"))
     rows, at = statistics(rows, "text")
     base = base_failed({k: col(at[k]) for k in BASE}).alias("failed")
-    found = rows.select("doc_id", "good", *[col(at[f"f_{k}"]).alias(k) for k in FEATURES], base).limit(2 * sample_docs).collect()
+    row = F.struct("good", *[col(at[f"f_{k}"]).alias(k) for k in FEATURES], base)
+    found = [r["row"] for r in rows.groupBy(F.col("doc_id").cast("string").alias("of")).agg(F.min(row).alias("row")).orderBy(F.md5("of"), "of").collect()]
     found = [r for r in found if not r["failed"]]
     if not found:
         return DecisionList()
-    found.sort(key=lambda r: (hash((r["doc_id"], 7)), tuple(r)))
     x = np.array([[r[k] for k in FEATURES] for r in found], dtype=float)
     return learn(x, np.array([r["good"] == 0 for r in found]), list(FEATURES))
 
