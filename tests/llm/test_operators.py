@@ -118,15 +118,47 @@ def test_token_store(spark, docs, rows, none, tmp_path):
         start += len(r["ids"])
     few = token_output.read(spark, f"{tmp_path}/s", doc_ids=[7, 1001]).collect()
     assert {r["doc_id"] for r in few} == {7, 1001} and {(r["doc_id"], r["start"]) for r in few} <= {(r["doc_id"], r["start"]) for r in got}
+    lost = token_output.read(spark, f"{tmp_path}/s", doc_ids=[None, 7]).collect()
+    assert {r["doc_id"] for r in lost} == {None, 7} and token_output.read(spark, f"{tmp_path}/s", doc_ids=[]).collect() == []
     token_output.write(none, f"{tmp_path}/e", path)
     assert token_output.read(spark, f"{tmp_path}/e").collect() == []
 
 
-@pytest.mark.parametrize("most", [2000, 1])
-def test_token_store_with_a_hot_id(spark, tmp_path, monkeypatch, most):
+@pytest.mark.parametrize("n", [1, 4, 200])
+def test_token_parts_are_in_order_on_large_ids(spark, monkeypatch, n):
+    monkeypatch.setattr(token_output, "BOUND_SAMPLE", 2)
+    rows = [(2**60 + k, "t") for k in range(900)] + [(-(2**62) - k, "t") for k in range(50)] + [(2**60, f"copy {k}") for k in range(400)] + [(None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = df.withColumn("part", token_output.parts_in_order(df, n)).collect()
+    by_id = sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["part"]))
+    assert [r["part"] for r in by_id] == sorted(r["part"] for r in got)
+    held = Counter(r["part"] for r in got)
+    assert n == 1 or (len(held) > n / 4 and max(held.values()) < 1400 * 4 / min(n, 20))
+
+
+def test_token_store_on_large_ids(spark, tmp_path):
+    import public_tokenizers
+
+    rows = [(2**60 + k, f"text {k} " * (k % 5)) for k in range(200)]
+    token_output.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), f"{tmp_path}/s", public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(token_output.read(spark, f"{tmp_path}/s").collect(), key=lambda r: r["doc_id"])
+    assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+    assert [r["start"] for r in got] == np.r_[0, np.cumsum([r["n_tokens"] for r in got])][:-1].tolist()
+
+
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), token_output.Encoder(path)
+    for text in ("", "Hello, World of  words", "éé 中 <|endoftext|> a b"):
+        assert np.frombuffer(e.encode(text), e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_token_store_with_a_hot_id(spark, tmp_path):
     import public_tokenizers
 
-    monkeypatch.setattr(token_output, "MOST_BOUNDS", most)
     rows = [(7, f"copy {k % 40}") for k in range(150)] + [(k, f"text {k}") for k in range(-40, 60)] + [(None, "none")] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     token_output.write(df, f"{tmp_path}/s", public_tokenizers.path("byte_bpe_50k.json"))
@@ -255,7 +287,9 @@ def test_ngram_join_splits_large_components(spark, monkeypatch):
 
 def test_keep_one(docs, rows):
     truth = class_truth([r for r in rows if r[0] is not None])
+    clash = ngram_join.keep_one(docs.filter("doc_id is not null").withColumn("d", F.lit(1)).withColumn("TID", F.lit(2)))
     kept = [tuple(r) for r in ngram_join.keep_one(docs.filter("doc_id is not null")).collect()]
+    assert sorted(kept, key=repr) == sorted((tuple(r)[:5] for r in clash.collect()), key=repr) and clash.columns == [*docs.columns, "d", "TID"]
     texts = [tuple(split(r[1])) for r in kept if split(r[1])]
     assert len(texts) == len(set(texts))
     assert {r[0] for r in kept if split(r[1])} == {v[0] for v in truth.values()}
@@ -351,6 +385,17 @@ def test_sharding_pages_repeated_rows(spark):
     assert len(out) == 28 and max(held.values()) <= 1100 and sum(held.values()) == 2500
 
 
+@pytest.mark.parametrize("limit", [1500, 10**9])
+def test_sharding_writes_what_it_assigns(spark, docs, tmp_path, limit):
+    more = docs.withColumn("Shard", F.lit(1)).withColumn("shard_id", F.lit("mine"))
+    want = Counter()
+    for r in sharding.assign(more, limit).collect():
+        want[r["shard_id"], "n"] += 1
+        want[r["shard_id"], "b"] += r["n_bytes"]
+    got = sharding.write(more, f"{tmp_path}/s", limit).collect()
+    assert {(r["shard_id"], k): v for r in got for k, v in (("n", r["n_docs"]), ("b", r["bytes"]))} == dict(want)
+
+
 # 7 suffix dedup
 
 
