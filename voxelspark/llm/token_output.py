@@ -51,6 +51,10 @@ _EDGE = re.compile("[!-~¡-ɏ]")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
+#: Letters, then marks (no apostrophe, which may begin a contraction), and perhaps the same again on a new line.
+_LINES = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*))?")
+
+
 class _UnsureError(Exception):
     """A piece of text that can't be encoded without its neighbours."""
 
@@ -67,6 +71,7 @@ class _Words(dict):
         self.symbols = {b: b if b in plain else next(rest) for b in range(256)}
         self.space, self.code = chr(self.symbols[32]), {2: "H", 4: "I"}[dtype.itemsize]
         self.ends = {c: self.encode([c])[0] for c in ",.;:!?"}
+        self.marks, self.newline = {"": b"", None: b""}, self.encode(["a\na"])[0][len(self.encode(["a"])[0]) : -len(self.encode(["a"])[0])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,6 +86,12 @@ class _Words(dict):
             ids = self[word[:-1]] + self.ends[word[-1]]
         elif _LETTERS.fullmatch(word):
             ids = self.merged(f" {word}")
+        elif m := _LINES.fullmatch(word):
+            # Letters, marks and a single line break are a pre-token each.
+            met = m[1] in self
+            ids = self[m[1]] + self.marked(m[2])
+            if m[3]:
+                ids += self.newline + self.merged(m[3]) + self.marked(m[4])
         elif word and _EDGE.match(word[0]) and _EDGE.match(word[-1]):
             ids = self.encode([f" {word}"])[0]
         else:
@@ -89,6 +100,15 @@ class _Words(dict):
             self[word] = ids
         return ids
 
+    def marked(self, marks: str | None) -> bytes:
+        """The ids of a run of marks after letters."""
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self.merged(marks)
+            if len(self.marks) < 10_000:
+                self.marks[marks] = ids
+        return ids
+
     def merged(self, letters: str) -> bytes:
         """The ids of one pre-token."""
         symbols = letters.encode().decode("latin-1").translate(self.symbols)
