@@ -173,8 +173,8 @@ def test_encoder_on_odd_white_space():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, e, rng = Tokenizer.from_file(path), token_output.Encoder(path), random.Random(2)
-    parts = ["a", "b ", " ", "  ", "\n", "é", "1", ".", "'s", "\t", " ", "x y", "中", "the", "\x85", "\x1c", "😀", "word,", "Wörter."]
-    for _ in range(3000):
+    parts = ["a", "b ", " ", "  ", "\n", "é", "1", ".", "'s", "\t", " ", "x y", "中", "the", "\x85", "\x1c", "😀", "word,", "Wörter.", "&&&", ".%%%", ".\nAb", "Wörter.\nÉté!?", "a\nb", "it's", "x-'s", "{}", "a's\nb", "_"]
+    for _ in range(6000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
         assert np.frombuffer(e.encode(text), e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
