@@ -468,6 +468,99 @@ def test_html_lines():
     assert html_extract.lines("") == [] and html_extract.lines("<!-- a") == []
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="layout with-sidebar"><article><p>hello world</p></article></div>', ["hello world"]),
+        ('<article class="post search-result"><p>found</p></article>', ["found"]),
+        ('<main><section class="related-work"><p>cited</p></section><p>own</p></main>', ["cited", "own"]),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", ["so x=1 holds"]),
+        ('<form><div class="page sidebar"><article><h1>t</h1><form>f</form><div class="ad-box">a</div></article></div></form>', ["t"]),
+        ('<main><p>m</p></main><div class="sidebar"><article>teaser</article></div>', ["m"]),
+        ('<article>a</article><div id="comments"><article>said</article></div><div class="comment-list">x</div>', ["a"]),
+        ('<article><header class="header"><h1>T</h1></header><p>x</p></article>', ["T", "x"]),
+    ],
+)
+def test_names_are_hints(page, text):
+    assert [t for t, k in html_extract.lines(page) if k] == text
+
+
+def common(a, b):
+    """Indices in a of a longest common subsequence, by the plain table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = 1 + best[i + 1][j + 1] if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = set()
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def differenced(pages):
+    """The whole extraction over a list of (page_id, url, html), page by page and pair by pair."""
+    rows = []
+    for page_id, url, page in pages:
+        host, path, _ = url_truth(url)
+        rows.append((host, path, page_id, html_extract.lines(page or "")))
+    rows.sort(key=lambda r: r[:3])
+
+    def copies(a, b):
+        texts = [[t for t, _ in x] for x in (a, b)]
+        if texts[0] == texts[1]:
+            return True
+        if not any(k == html_extract.ASK for _, k in a + b):
+            return False
+        size = [sum(len(t) for t, k in x if k) for x in (a, b)]
+        both = sum(len(a[i][0]) for i in common(*texts) if a[i][1])
+        return min(size) >= 0.9 * max(size) and both >= 0.9 * max(size)
+
+    runs = []
+    for r in rows:
+        if runs and runs[-1][0][0] == r[0] and copies(runs[-1][0][3], r[3]):
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    out = {}
+    for k, run in enumerate(runs):
+        beside = [x for x in (runs[k - 1][-1] if k else None, runs[k + 1][0] if k + 1 < len(runs) else None) if x and x[0] == run[0][0]]
+        for _, _, page_id, own in run:
+            texts = [t for t, _ in own]
+            gone = {i for o in beside if not copies(own, o[3]) for i in common(texts, [t for t, _ in o[3]]) if own[i][1] != html_extract.KEEP}
+            out[page_id] = "\n\n".join(t for i, (t, says) in enumerate(own) if says and i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_html_extract_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    menus = [[f"menu {h} {k}" for k in range(6)] for h in range(3)]
+    pages = []
+    for k in range(70):
+        h = rng.randrange(3)
+        top, end = [x for x in menus[h][:4] if rng.random() < 0.8], [x for x in menus[h][4:] if rng.random() < 0.8]
+        body = [prose(rng, rng.randint(3, 30)) for _ in range(rng.randint(1, 4))]
+        blocks = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+        kind = rng.randrange(4)
+        inner = blocks(body) if kind else f"<article>{blocks([*body, *top])}</article>"
+        page = f"<div>{blocks(top)}</div>{inner}<footer>{blocks(end)}</footer>" if kind < 3 else blocks([*top, *body, *end])
+        pages.append((k, f"http://h{h}.org/{rng.randrange(9)}/{k}", page))
+        if rng.random() < 0.2:
+            pages.append((1000 + k, f"http://h{h}.org/{rng.randrange(9)}/{k}", page))
+    pages += [(2000, "x", "<p>menu 0 0</p>"), (2001, None, "<p>menu 0 0</p><p>more</p>"), (2002, "http://h0.org/4/z", None)]
+    want = differenced(pages)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
+    assert sum("menu" not in t for t in want.values()) > 30  # menus went, though nothing names them
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):

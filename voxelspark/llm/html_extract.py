@@ -1,14 +1,14 @@
-"""Main text of HTML pages: landmarks and nearest-URL page differencing.
+"""Main text of HTML pages: nearest-URL page differencing, and landmarks.
 
-A page becomes lines, one for each block. Elements that name their role (article, main;
-nav, header, footer, aside, form, advert, notice, comment and the like) decide their
-lines. Lines that no element speaks for are decided by differencing: pages are sorted by
-host and URL path, each is aligned with the nearest page on either side that is no copy
-of it by the longest common subsequence of their lines, and undecided lines that are
-shared are deleted.
+A page becomes lines, one for each block. Pages are sorted by host and URL path, each is
+aligned with the nearest page on either side that is no copy of it by the longest common
+subsequence of their lines, and shared lines are deleted, unless they stand in an article:
+articles repeat whole paragraphs of each other, and those are main text.
 
-Differencing has no say inside an article: articles repeat whole paragraphs of each other,
-and those are main text. Nor can it find menus that no other page repeats.
+What no other page repeats can't be found by differencing. So elements that name their role
+(nav, header, footer, aside and the like) drop their lines too, and so do classes and ids
+that say so. These are hints: they count only inside the article or main that they stand
+in, never for one that they stand around.
 """
 
 from __future__ import annotations
@@ -32,9 +32,13 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noembed noframes iframe noscript".split())
 #: Elements whose text is never main text.
-DROPPED = frozenset("head script style title textarea noscript template svg math canvas audio video object iframe select button nav footer aside form menu dialog".split())
+DROPPED = frozenset("head script style title textarea noscript template canvas audio video object iframe select button nav footer aside menu dialog".split())
 #: Words in class and id, or roles, that mark boilerplate.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification popup promo promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget contentinfo complementary alert".split())
+#: Those of them that mark what readers wrote, in articles of its own as well.
+REMARKS = frozenset("comment comments reply replies respond".split())
+#: Words that stand beside these in a name and change nothing; any other word makes the name mean something else.
+NEUTRAL = frozenset("area bar block body bottom box column container content fixed form group holder inner item items left links list main outer page panel post posts primary right row secondary section site sticky text title top unit wrap wrapper zone".split())
 #: A start tag of these ends an open paragraph.
 CLOSES_P = BLOCK - {"body", "html", "head", "title", "option", "legend", "caption", "thead", "tbody", "tfoot", "tr", "td", "th"}
 #: Elements that end an open one of their own kind.
@@ -50,24 +54,36 @@ DROP, KEEP, ASK = 0, 1, 2
 COPY_SHARE = 0.9
 
 
-def _boilerplate(attributes: str) -> bool:
+#: What an element does to its lines: nothing, a hint that it is boilerplate, or the certainty.
+NONE, HINT, FIRM = 0, 1, 2
+
+
+def _boilerplate(attributes: str) -> int:
+    """FIRM for names of readers' comments, HINT for other names of boilerplate: "ad", "main-nav", "sideBar", not "with-sidebar"."""
     if "=" not in attributes:
-        return False
-    names = " ".join(m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes))
-    # camelCase counts as one word and as its parts.
-    return not BOILERPLATE.isdisjoint(_WORD.findall(f"{names} {re.sub('([a-z])([A-Z])', r'\1 \2', names)}".lower()))
+        return NONE
+    out = NONE
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            # camelCase counts as one word and as its parts.
+            for words in ({*_WORD.findall(name.lower())}, {*_WORD.findall(re.sub("([a-z])([A-Z])", r"\1 \2", name).lower())}):
+                known = words & BOILERPLATE
+                if known and all(w in NEUTRAL or w.isdigit() for w in words - known):
+                    out = max(out, FIRM if known & REMARKS else HINT)
+    return out
 
 
 def lines(page: str) -> list[tuple[str, int]]:
     """The page's blocks in order, as (text, DROP, KEEP or ASK).
 
-    References are decoded, white space runs become one space. Text in an article is
-    KEEP, or in main where no article has text; text in neither is ASK where the page
-    has neither, else DROP. Tags are matched as browsers do: an end tag closes back to
-    its start tag, a block ends an open paragraph, and a tag cut off by the end is none.
+    References are decoded, white space runs become one space. Text in an article is KEEP,
+    or in main where no article has text; an article or main inside an element with a hint
+    counts where there is no other. Text in none of them is ASK where the page has none,
+    else DROP. Tags are matched as browsers do: an end tag closes back to its start tag, a
+    block ends an open paragraph, and a tag cut off by the end is none.
     """
     found: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool, str]] = []
+    stack: list[tuple[str, int, str]] = []
     dropped, region, text, at, n = False, "", [], 0, len(page)
 
     def flush():
@@ -79,9 +95,12 @@ def lines(page: str) -> list[tuple[str, int]]:
 
     def restate():
         nonlocal dropped, region
-        dropped = any(x[1] for x in stack)
+        inner = max((k for k, x in enumerate(stack) if x[2]), default=0)
+        dropped = any(x[1] == FIRM for x in stack) or any(x[1] for x in stack[inner:])
         kinds = {x[2] for x in stack}
         region = "article" if "article" in kinds else "main" if "main" in kinds else ""
+        if region and any(x[1] for x in stack[:inner]):
+            region = "hinted"
 
     def pop_to(k: int):
         nonlocal stack
@@ -149,7 +168,9 @@ def lines(page: str) -> list[tuple[str, int]]:
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             continue
         inside = any(x[2] for x in stack)
-        bad = name in DROPPED or (name == "header" and not inside) or (name not in ("html", "body") and _boilerplate(m[3]))
+        bad = FIRM if name in DROPPED or (name == "header" and not inside) else HINT if name == "form" else NONE
+        if not bad and name not in ("html", "body", "header"):
+            bad = _boilerplate(m[3])
         kind = name if name in ("article", "main") else "main" if 'role="main"' in m[3] else ""
         if bad and name not in BLOCK:
             flush()
@@ -159,9 +180,8 @@ def lines(page: str) -> list[tuple[str, int]]:
             restate()
     flush()
     kinds = {k for _, k in found}
-    wanted = "article" if "article" in kinds else "main" if "main" in kinds else ""
-    says = {"drop": DROP, "article": KEEP, "main": KEEP if wanted == "main" else DROP, "": DROP if wanted else ASK}
-    return [(t, says[k]) for t, k in found]
+    wanted = next((k for k in ("article", "main", "hinted") if k in kinds), "")
+    return [(t, DROP if k == "drop" else (KEEP if k == wanted else DROP) if wanted else ASK) for t, k in found]
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
@@ -219,7 +239,7 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 
 def differences(parsed: DataFrame) -> DataFrame:
-    """(row, gone): undecided lines that a page shares with the nearest page on either side that is no copy of it.
+    """(row, gone): lines outside articles that a page shares with the nearest page on either side that is no copy of it.
 
     Pages are in the order of host, path and page_id and range-partitioned, so a host of any
     size is many tasks. Copies in a row are a run; a page is compared with the last page before
@@ -327,9 +347,9 @@ def _copies(page: dict, other: dict) -> bool:
 
 
 def _gone(page: dict, other: dict) -> list[int]:
-    if ASK not in page["says"] or _copies(page, other):
+    if all(k == KEEP for k in page["says"]) or _copies(page, other):
         return []
-    return [k for k in shared(page["hashes"], other["hashes"]) if page["says"][k] == ASK]
+    return [k for k in shared(page["hashes"], other["hashes"]) if page["says"][k] != KEEP]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -337,7 +357,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages, and pages without main text, have an empty text. Pages without a
     host are neighbours of each other. Copies of a page, and rows that repeat it, have the
-    text that it has alone; an empty table gives an empty table.
+    text that it has alone; an empty table gives an empty table. A page of any length is
+    read whole, in one task. Other columns of pages are not read, whatever their names.
     """
     small_batches(pages.sparkSession)
     parsed = keep(parse(pages, id_col, url_col, html_col), "page-lines")
