@@ -4,8 +4,9 @@ Base kinds (email, ip, card, phone) are fixed patterns and always stay. Beyond t
 candidate spans (keyed secrets, disguised addresses, local phone numbers, identity
 numbers, names after titles) are voted on by labelers: patterns of shape, gazetteers, and
 the words around a span. Each may say yes, no or nothing. Expectation-maximisation over
-the counts of vote patterns in the whole corpus estimates how reliable each labeler is;
-its posteriors train a logistic span classifier, which decides the candidates.
+the counts of vote patterns in the whole corpus estimates, for each kind of data, how
+reliable each labeler is; its posteriors train a logistic span classifier, which decides
+the candidates.
 
 Votes are counted on the executors: what reaches the driver is one row per distinct
 pattern of votes and features, a number that does not grow with the corpus.
@@ -42,9 +43,9 @@ CANDIDATES = {
     "local_phone": r"(?<![0-9A-Za-z.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
     "person": r"(?<![A-Za-z])(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sra?)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
 }
-#: Words that speak for a kind of data when they stand before it.
+#: Words that speak for a kind of data when they stand before it. A secret's key is part of its pattern
+#: and would be no second voice.
 CUES = {
-    "secret": "password|passwd|passphrase|passwort|contraseña|pwd|token|secret|key",
     "contact": "mail|contact|write|reach|kontakt|correo|courriel|address",
     "identity": "ssn|social security|iban|passport|account|konto|compte|cuenta|tax|id",
     "local_phone": "tel|phone|call|fax|mobile|cell|telefon|tél|móvil|text",
@@ -159,17 +160,19 @@ class Model:
     """Weights of the span classifier by feature name, and the labelers' estimated reliabilities."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    #: For each labeler: P(votes yes | data, votes) and P(votes yes | no data, votes).
-    reliability: dict[str, tuple[float, float]] = field(default_factory=dict)
-    prior: float = 0.5
+    #: For each kind and labeler: P(votes yes | data, votes) and P(votes yes | no data, votes).
+    reliability: dict[tuple[str, str], tuple[float, float]] = field(default_factory=dict)
+    #: For each kind: the share of its candidates that are data.
+    prior: dict[str, float] = field(default_factory=dict)
 
     def accepts(self, c: Column) -> Column:
         score = F.lit(self.weights.get("bias", 0.0))
         for name, w in self.weights.items():
             what, _, value = name.partition("=")
             if what == "vote":
-                j, v = int(value[:-1]), value[-1]
-                score = score + F.when(F.substring(c["votes"], j + 1, 1) == v, F.lit(w)).otherwise(0.0)
+                kind, _, at = value.partition(".")
+                j, v = int(at[:-1]), at[-1]
+                score = score + F.when((c["kind"] == kind) & (F.substring(c["votes"], j + 1, 1) == v), F.lit(w)).otherwise(0.0)
             elif what in ("kind", "size", "digits"):
                 score = score + F.when(c[what].cast("string") == value, F.lit(w)).otherwise(0.0)
         return score > 0
@@ -213,17 +216,23 @@ def fit(found: DataFrame) -> Model:
     rows = sorted(tuple(r) for r in c.groupBy("kind", "votes", "size", "digits").count().collect())
     if not rows:
         return Model(weights={"bias": -1.0})
-    counts = np.array([r[4] for r in rows], dtype=float)
-    p, prior, post = expectation_maximisation([r[1] for r in rows], counts)
+    counts, post = np.array([r[4] for r in rows], dtype=float), np.zeros(len(rows))
+    model = Model()
+    for kind in sorted({r[0] for r in rows}):
+        own = np.array([r[0] == kind for r in rows])
+        p, model.prior[kind], post[own] = expectation_maximisation([r[1] for r in rows if r[0] == kind], counts[own])
+        model.reliability |= {(kind, k): (float(p[0, j]), float(p[1, j])) for j, k in enumerate(LABELERS)}
     names = sorted({n for r in rows for n in _features(r)})
     x = np.array([[1.0, *[float(n in _features(r)) for n in names]] for r in rows])
-    w = logistic(x, post, counts)
-    return Model(dict(zip(["bias", *names], w.tolist(), strict=True)), {k: (float(p[0, j]), float(p[1, j])) for j, k in enumerate(LABELERS)}, prior)
+    # Each kind weighs as much as another, so that a rare one has its say.
+    share = np.array([counts[i] / sum(c for q, c in zip(rows, counts, strict=True) if q[0] == r[0]) for i, r in enumerate(rows)])
+    model.weights = dict(zip(["bias", *names], logistic(x, post, share).tolist(), strict=True))
+    return model
 
 
 def _features(row) -> set[str]:
     kind, votes, size, digits = row[:4]
-    return {f"kind={kind}", f"size={size}", f"digits={digits}", *(f"vote={j}{v}" for j, v in enumerate(votes) if v != "-")}
+    return {f"kind={kind}", f"size={size}", f"digits={digits}", *(f"vote={kind}.{j}{v}" for j, v in enumerate(votes) if v != "-")}
 
 
 def listed(kinds: list[tuple[str, Column]]) -> Column:
@@ -249,7 +258,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """report() of every row of docs, with the model fitted on all of docs' candidates.
 
     Null and empty texts have no spans; repeated rows are each reported; an empty table
-    gives an empty table. Places count code points, ends are exclusive.
+    gives an empty table. Places count code points, ends are exclusive. A text of any length
+    is searched whole, by one task. Other columns of docs are not read.
     """
     found = keep(spans(docs, id_col, text_col), "pii-spans")
     return report(found, fit(found))

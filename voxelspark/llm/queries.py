@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filter.train(url_filter.topic_labels(pages))
+    model = url_filter.train(url_filter.topic_labels(pages), more=url_filter.seeds())
     return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
 
 
