@@ -309,6 +309,45 @@ def test_ngram_join_splits_large_components(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((r[0], *truth[tuple(split(r[1]))]) for r in rows)
 
 
+def test_prefixes_are_shortened_until_recall_is_reached():
+    length, measured = ngram_join.prefix_length()
+    assert length == 5 and list(measured) == sorted(measured) and measured[-1] >= 0.9995 > measured[-2]
+    for k, got in enumerate(measured):  # as many as the probabilities of collision say
+        assert abs(got - (1 - (1 - 0.8 ** (8 - k)) ** 20)) < 0.012
+    with pytest.raises(ValueError):
+        ngram_join.prefix_length(trees=1)
+
+
+def test_forest_links_to_the_least_under_the_longest_shared_prefix(spark):
+    # One tree, prefixes of 2 and 3 values: a and b share three, c two of them; d is alone.
+    rows = [(b"b", [1, 7]), (b"a", [1, 7]), (b"c", [1, 8]), (b"0", [1, 9]), (b"d", [2, 3])]
+    texts = spark.createDataFrame(rows, "tid binary, keys array<long>")
+    links = {(bytes(r["a"]), bytes(r["b"])) for r in ngram_join.forest(texts, 1, 3, 2).collect()}
+    assert links == {(b"b", b"a"), (b"a", b"0"), (b"c", b"0")}
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of texts in bands of similarity, from 0.8 on: every one is found."""
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for k in range(240):
+        w = prose(rng, 120).split(" ")
+        v = list(w)
+        for _ in range(rng.randint(1, 4)):
+            v[rng.randrange(len(v))] = rng.choice(WORDS)
+        rows += [(2 * k, " ".join(w), "en", "s", 1), (2 * k + 1, " ".join(v), "en", "s", 1)]
+        a, b = grams(rows[-2][1]), grams(rows[-1][1])
+        pairs.append(len(a & b) / len(a | b))
+    got = {r["doc_id"]: r["class_id"] for r in ngram_join.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found, bands = defaultdict(list), (0.8, 0.85, 0.9, 0.95)
+    for k, s in enumerate(pairs):
+        if s >= 0.8:
+            found[max(b for b in bands if b <= s)].append(got[2 * k] == got[2 * k + 1])
+        else:
+            assert got[2 * k] != got[2 * k + 1]
+    assert len(found) >= 3 and all(np.mean(v) == 1 for v in found.values())
+
+
 def test_keep_one(docs, rows):
     truth = class_truth([r for r in rows if r[0] is not None])
     clash = ngram_join.keep_one(docs.filter("doc_id is not null").withColumn("d", F.lit(1)).withColumn("TID", F.lit(2)))

@@ -2,11 +2,14 @@
 
 1. Equal texts (the same words in the same order) are one: all further work is on
    distinct texts, so groups of copies cost one row per copy and no pair.
-2. Each text gets a MinHash signature of TREES x LONGEST values. A tree is a prefix trie
-   over its part of the signature. Prefixes start at full length and are shortened until
-   a pair at the threshold shares a prefix in some tree with the target probability.
-3. Texts that share a prefix are linked to the least of them (no pairs); the connected
-   components of these links hold every candidate pair.
+2. Each text gets a MinHash signature. A tree of the forest is a prefix trie over its part
+   of the signature, LONGEST values deep. Simulated pairs at the threshold tell how far
+   prefixes must be shortened, a value at a time, until a pair shares one in some tree with
+   the target recall; values below that depth are never made.
+3. Each tree's texts are dealt by their shortest prefix and sorted by the longer ones, which
+   is the order of the trie. A text is linked to the least text under its longest prefix
+   that another text shares; only the least goes on to the shorter ones. No pairs are made;
+   the connected components of the links hold every candidate pair.
 4. A component's shingle sets meet in one task, or, beyond BLOCK_WEIGHT, in one task for
    each pair of its blocks. There all pairs are verified exactly, by products of
    incidence matrices, and come out as counts and a spanning forest.
@@ -16,7 +19,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +35,39 @@ from .words import Words, shingles, words
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 TREES, LONGEST, TARGET_RECALL = 20, 8, 0.9995
+#: Simulated pairs that recall is measured on, and the sizes of their shingle sets.
+TRIALS, MADE_SIZES = 16_000, (40, 100, 160)
 #: Shingles (and TEXT_WEIGHT for each text) that one block of a component holds.
 BLOCK_WEIGHT, TEXT_WEIGHT = 1_000_000, 2000
 _SEED = 4
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, target: float = TARGET_RECALL) -> int:
-    """The longest prefix with which a pair at the threshold is found with the target probability."""
-    for length in range(longest, 1, -1):
-        if 1 - (1 - threshold**length) ** trees >= target:
-            return length
-    return 1
+def made_pairs(threshold: float, trials: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """Pairs of shingle sets with the least similarity that passes: (hashes, offsets) of the one side, then of the other."""
+    sides: tuple[list, list] = ([], [])
+    for n in rng.choice(MADE_SIZES, trials).tolist():
+        # Of two sets of n shingles, c common ones give c / (2n - c).
+        c = math.ceil(2 * n * threshold / (1 + threshold) - 1e-9)
+        both = rng.integers(0, 1 << 63, c, dtype=np.uint64)
+        for side in sides:
+            side.append(np.concatenate([both, rng.integers(0, 1 << 63, n - c, dtype=np.uint64)]))
+    return tuple(x for side in sides for x in (np.concatenate(side), np.r_[0, np.cumsum([len(t) for t in side])]))
+
+
+@lru_cache
+def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, target: float = TARGET_RECALL) -> tuple[int, tuple[float, ...]]:
+    """How long a shared prefix must be, and the recall measured at each length tried, from the longest on.
+
+    Raises where not even prefixes of one value reach the target: more trees are called for.
+    """
+    a, at, b, bt = made_pairs(threshold, TRIALS, np.random.default_rng(_SEED + 1))
+    one, other = tree_keys(a, at, trees, longest, 1), tree_keys(b, bt, trees, longest, 1)
+    measured = []
+    for length in range(longest, 0, -1):
+        measured.append(float((one[length - 1] == other[length - 1]).any(axis=1).mean()))
+        if measured[-1] >= target:
+            return length, tuple(measured)
+    raise ValueError(f"{trees} trees find {measured[-1]:.4f} of the pairs at {threshold}, not {target}")
 
 
 def text_keys(w: Words) -> list[bytes]:
@@ -48,34 +75,36 @@ def text_keys(w: Words) -> list[bytes]:
     return [hashlib.blake2b(w.hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(w.of[:-1], w.of[1:], strict=True)]
 
 
-def tree_keys(hashes: np.ndarray, offsets: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """For each text (each has a shingle) the hash of its prefix in every tree."""
+def tree_keys(hashes: np.ndarray, offsets: np.ndarray, trees: int, longest: int, shortest: int) -> np.ndarray:
+    """[length - shortest, text, tree]: hashes of the prefixes from shortest to longest (each text has a shingle)."""
     rng = np.random.default_rng(_SEED)
-    a = rng.integers(0, 1 << 63, (trees, length), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, (trees, length), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.zeros((len(offsets) - 1, trees), dtype=np.uint64)
+    a = rng.integers(0, 1 << 63, (trees, longest), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, (trees, longest), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((longest - shortest + 1, len(offsets) - 1, trees), dtype=np.uint64)
     for t in range(trees):
-        for j in range(length):
-            out[:, t] = (out[:, t] ^ np.minimum.reduceat(hashes * a[t, j], offsets[:-1])) * b[t, j]
-            out[:, t] ^= out[:, t] >> np.uint64(29)
-        out[:, t] += np.uint64(t)
+        key = np.zeros(len(offsets) - 1, dtype=np.uint64)
+        for j in range(longest):
+            key = (key ^ np.minimum.reduceat(hashes * a[t, j], offsets[:-1])) * b[t, j]
+            key ^= key >> np.uint64(29)
+            if j + 1 >= shortest:
+                out[j + 1 - shortest, :, t] = key + np.uint64(t)
     return out
 
 
-def signatures(docs: DataFrame, size: int, trees: int, length: int) -> DataFrame:
-    """docs (doc_id, text) as (doc_id, tid, n_shingles, keys)."""
+def signatures(docs: DataFrame, size: int, trees: int, longest: int, shortest: int) -> DataFrame:
+    """docs (doc_id, text) as (doc_id, tid, n_shingles, keys); keys holds prefixes, all trees' shortest ones first."""
+    width = trees * (longest - shortest + 1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column("text")):
                 hashes, offsets = shingles(w, size)
                 n = np.diff(offsets)
-                keys = np.zeros((len(w), trees), dtype=np.uint64)
-                some = np.flatnonzero(n)
+                some, flat = np.flatnonzero(n), np.zeros(0, dtype=np.int64)
                 if len(some):
-                    keys[some] = tree_keys(hashes, np.r_[offsets[:-1][some], offsets[-1]], trees, length)
-                flat = pa.array(keys[some].view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, trees, 0))].astype(np.int32)), flat)
+                    keys = tree_keys(hashes, np.r_[offsets[:-1][some], offsets[-1]], trees, longest, shortest)
+                    flat = np.ascontiguousarray(keys.transpose(1, 0, 2)).view(np.int64).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, width, 0))].astype(np.int32)), pa.array(flat))
                 ids = batch.column("doc_id").slice(w.first, len(w))
                 yield pa.record_batch([ids, pa.array(text_keys(w), pa.binary()), pa.array(n.astype(np.int64)), lists], names=["doc_id", "tid", "n_shingles", "keys"])
 
@@ -164,6 +193,22 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return members.mapInArrow(compare, "a binary, b binary, n long")
 
 
+def forest(texts: DataFrame, trees: int, longest: int, shortest: int) -> DataFrame:
+    """(a, b): links of texts (tid, keys) to the least text under the longest prefix that they share with another.
+
+    Dealt by the shortest prefix and sorted by all, a trie's nodes are stretches of rows at
+    every length, so one exchange and one sort serve all lengths.
+    """
+    lengths = range(shortest, longest + 1)
+    prefixes = lambda t: F.struct(*[F.get("keys", (n - shortest) * trees + t).alias(f"k{n}") for n in lengths])
+    rows = texts.select("tid", F.inline(F.array(*[prefixes(t) for t in range(trees)]))).repartition(f"k{shortest}")
+    for n in reversed(lengths):
+        node = Window.partitionBy(*[f"k{m}" for m in range(shortest, n + 1)])
+        rows = rows.withColumn(f"least{n}", F.min("tid").over(node))
+    least = F.coalesce(*[F.nullif(F.col(f"least{n}"), F.col("tid")) for n in reversed(lengths)])
+    return rows.select(F.col("tid").alias("a"), least.alias("b")).filter("b is not null")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, target: float = TARGET_RECALL) -> DataFrame:
     """(doc_id, tid, class_id, n_links, n_copies) of every row of docs.
 
@@ -172,17 +217,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     texts this text has a link to. n_copies: rows with this text. Texts are equal if their
     words are. Null and empty texts, and those without a word, have no link: each row is a
     class of its own with n_copies 1. A text of fewer words than a shingle has one shingle,
-    all its words. Repeated rows are copies; an empty table gives an empty table.
+    all its words. Repeated rows are copies; an empty table gives an empty table. A text of
+    any length is shingled whole, by one task. Other columns of docs are not read.
     """
-    length = prefix_length(threshold, trees, longest, target)
+    shortest, _ = prefix_length(threshold, trees, longest, target)
     small_batches(docs.sparkSession)
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), whole(col(text_col)).alias("text"))
-    rows = keep(signatures(texts, size, trees, length), "signatures")
+    rows = keep(signatures(texts, size, trees, longest, shortest), "signatures")
     distinct = rows.filter("n_shingles > 0").groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     distinct = keep(distinct, "distinct-texts")
-    spots = distinct.select("tid", F.explode("keys").alias("key"))
-    shared = spots.groupBy("key").agg(F.min("tid").alias("least"), F.count("*").alias("n")).filter("n > 1").select("key", "least")
-    near = spots.join(shared, "key").filter("tid <> least").select(F.col("tid").alias("a"), F.col("least").alias("b"))
+    near = forest(distinct, trees, longest, shortest)
     parts = components(near).withColumnRenamed("node", "tid")
     parts = parts.join(distinct.select("tid", "first_id", "n_shingles"), "tid")
     blocks = parts.groupBy("root").agg(F.ceil(F.sum(F.col("n_shingles") + TEXT_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("blocks"))
