@@ -309,6 +309,24 @@ def test_ngram_join_splits_large_components(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((r[0], *truth[tuple(split(r[1]))]) for r in rows)
 
 
+def test_components_with_a_hub(spark, monkeypatch):
+    from voxelspark.llm import components
+
+    rng = random.Random(2)
+    edges = [(5, k) for k in range(1000, 1400)] + [(k, k + 1) for k in range(2000, 2040)] + [(rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(150)] + [(1399, 2040), (7, 7)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        before = dict(label)
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    for hot in (1, 8, 1000):  # no node, the hub, and every node by broadcast
+        monkeypatch.setattr(components, "HOT", hot)
+        got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r["node"]: r["root"] for r in got} == {k: v for k, v in label.items() if k != 7} and len(got) == len(label) - 1
+
+
 def test_prefixes_are_shortened_until_recall_is_reached():
     length, measured = ngram_join.prefix_length()
     assert length == 5 and list(measured) == sorted(measured) and measured[-1] >= 0.9995 > measured[-2]

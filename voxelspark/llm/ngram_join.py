@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, spread_join
 from .store import keep, small_batches
 from .text import col, free_name, whole
 from .words import Words, shingles, words
@@ -229,8 +229,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     near = forest(distinct, trees, longest, shortest)
     parts = components(near).withColumnRenamed("node", "tid")
     parts = parts.join(distinct.select("tid", "first_id", "n_shingles"), "tid")
-    blocks = parts.groupBy("root").agg(F.ceil(F.sum(F.col("n_shingles") + TEXT_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("blocks"))
-    parts = parts.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    parts = keep(parts.select("tid", "root", "first_id", "n_shingles"), "candidates")
+    blocks = parts.groupBy("root").agg(F.ceil(F.sum(F.col("n_shingles") + TEXT_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("blocks"), F.count("*").alias("n"))
+    parts = spread_join(parts, blocks, "root", parts.count()).withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     parts = keep(parts.select("root", "tid", "first_id", "blocks", "own"), "components")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +257,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     same = components(results.filter("b is not null").select("a", "b")).withColumnRenamed("node", "tid")
     counts = results.filter("n is not null").groupBy(F.col("a").alias("tid")).agg(F.sum("n").alias("n_links"))
     known = distinct.select("tid", "first_id", "n_copies").join(same, "tid", "left").join(counts, "tid", "left")
-    known = known.withColumn("root", F.coalesce("root", "tid"))
-    least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    known = known.join(least, "root").select("tid", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    known = keep(known.withColumn("root", F.coalesce("root", "tid")), "texts")
+    least = known.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n"))
+    known = spread_join(known, least, "root", known.count()).select("tid", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     out = rows.select("doc_id", "tid", "n_shingles").join(known, "tid", "left")
     return out.select("doc_id", "tid", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
