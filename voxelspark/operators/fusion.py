@@ -89,7 +89,8 @@ def posed(poses: DataFrame) -> DataFrame:
                two * (x * y + w * z), w * w - x * x + y * y - z * z, two * (y * z - w * x),
                two * (x * z - w * y), two * (y * z + w * x), w * w - x * x - y * y + z * z]
     n = w * w + x * x + y * y + z * z
-    return poses.select(*[c for c in poses.columns if c not in ("qw", "qx", "qy", "qz")], *[(e / n).alias(r) for e, r in zip(entries, TURN, strict=True)])
+    rows = poses.select(*[c for c in poses.columns if c not in ("qw", "qx", "qy", "qz")], *[(e / n).alias(r) for e, r in zip(entries, TURN, strict=True)])
+    return settle(rows, *TURN)
 
 
 def pose_columns(rows: DataFrame) -> list[str]:
@@ -111,6 +112,16 @@ def to_camera(rows: DataFrame, p: tuple) -> tuple:
     return tuple(F.col(f"r0{i}") * d[0] + F.col(f"r1{i}") * d[1] + F.col(f"r2{i}") * d[2] for i in range(3))
 
 
+def in_view(rows: DataFrame, centre: tuple, radius: float, camera: Pinhole) -> DataFrame:
+    """The rows (with pose) whose sphere around a point of the world touches the camera's frustum."""
+    at = to_camera(rows, centre)
+    if "r00" not in rows.columns:
+        return rows.filter(camera.sees_sphere(at, radius))
+    names = ("_cx", "_cy", "_cz")
+    seen = settle(rows.withColumns(dict(zip(names, at, strict=True))), *names)
+    return seen.filter(camera.sees_sphere(tuple(F.col(c) for c in names), radius)).drop(*names)
+
+
 def packed(pixels: DataFrame, poses: DataFrame, camera: Pinhole) -> DataFrame:
     """(frame, pose, depth): one row per frame, its image as an array by rows, null where a pixel is missing.
 
@@ -170,7 +181,7 @@ def frustum_cells(poses: DataFrame, camera: Pinhole, vmap: VoxelMap, cell: int,
         low, high = F.greatest(place(-reach), F.lit(0)), F.least(place(reach), F.lit(last))
         rows = rows.filter(low <= high).withColumn(f"k{c}", F.explode(F.sequence(low, high)))
     centre = tuple((F.col(f"k{c}") + F.lit(0.5)) * F.lit(edge) - F.lit(vmap.dim / 2) for c in "xyz")
-    return rows.filter(camera.sees_sphere(to_camera(rows, centre), math.sqrt(3) / 2 * edge)) if frustum else rows
+    return in_view(rows, centre, math.sqrt(3) / 2 * edge, camera) if frustum else rows
 
 
 def visits(blocks: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, frustum: bool = True, cell: int = 4) -> DataFrame:
@@ -193,7 +204,7 @@ def _visits(born: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap,
     edge = vmap.block
     centre = tuple((F.col(f"b{c}") * edge + F.lit(edge / 2)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) for c in "xyz")
     if frustum:
-        later = later.filter(camera.sees_sphere(to_camera(later, centre), math.sqrt(3) / 2 * vmap.res * edge))
+        later = in_view(later, centre, math.sqrt(3) / 2 * vmap.res * edge, camera)
     return first.unionByName(later.select("bx", "by", "bz", *poses.columns))
 
 

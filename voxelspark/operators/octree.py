@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import morton as m
+from ..functions.sensors import Pinhole
+from .fusion import frustum_cells, in_view, posed
+
+if TYPE_CHECKING:
+    from .fusion import VoxelMap
 
 BLOCK_SCALE = 3
 #: The six neighbours across a face.
@@ -61,6 +69,21 @@ def blocks(octants: DataFrame) -> DataFrame:
     return octants.filter("is_block")
 
 
+def in_frustum(octants: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
+    """(frame, key) of the blocks that each camera of poses (frame, pose) may see, by the spheres around them.
+
+    Poses and blocks meet by the cell of blocks that a block lies in: its sphere lies in the
+    cell's, so no block is missed, and no pose meets blocks that are far from it.
+    """
+    cell, edge = 4, vmap.block
+    places = dict(zip("xyz", m.key_coord(F.col("key")), strict=True))
+    rows = blocks(octants).select("key", *[v.alias(c) for c, v in places.items()])
+    rows = rows.withColumns({f"k{c}": F.floor(F.col(c) / (edge * cell)).cast("int") for c in "xyz"})
+    both = rows.join(frustum_cells(posed(poses), camera, vmap, cell), ["kx", "ky", "kz"])
+    centre = tuple((F.col(c) + F.lit(edge / 2)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) for c in "xyz")
+    return in_view(both, centre, math.sqrt(3) / 2 * vmap.res * edge, camera).select("frame", "key")
+
+
 def leaves(octants: DataFrame) -> DataFrame:
     return octants.filter("child_mask = 0")
 

@@ -180,7 +180,13 @@ def f02_occupancy_mean(spark, sf_dir):
     return out.select("user_id", "event_type", micro(F.col("occupancy")).alias("mean_1e6"), "weight", "observed")
 
 
-@query()
+_MEAN = ", ".join(f"CAST(floor((f.{c} * (least(f.w + 1, 100) - 1) + e.{c}) / least(f.w + 1, 100)) AS BIGINT)" for c in "rgb")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i, event_id * 7 % 256 AS r, event_id * 11 % 256 AS g, event_id * 13 % 256 AS b FROM events),
+f AS (SELECT DISTINCT user_id, event_type, 0::BIGINT AS i, 0::BIGINT AS r, 0::BIGINT AS g, 0::BIGINT AS b, 0::BIGINT AS w FROM e
+      UNION ALL SELECT f.user_id, f.event_type, f.i + 1, {_MEAN}, least(f.w + 1, 100) FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.i = f.i + 1)
+SELECT user_id, event_type, CAST(arg_max(r, i) AS INTEGER) AS r, CAST(arg_max(g, i) AS INTEGER) AS g, CAST(arg_max(b, i) AS INTEGER) AS b, CAST(arg_max(w, i) AS INTEGER) AS weight FROM f GROUP BY user_id, event_type""")
 def f03_colour_mean(spark, sf_dir):
     rows = _events(spark, sf_dir).select("user_id", "event_type", "event_id", *[(F.col("event_id") * k % 256).cast("int").alias(c) for c, k in (("r", 7), ("g", 11), ("b", 13))])
     return fusion.fuse_colour(rows, ["user_id", "event_type"], "event_id")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import carve, fusion
+from ..operators import carve, fusion, octree
 from ..streaming import blocks, fuse
 from ..streaming import rays as ray_batches
 from . import fixtures as fx
 from . import sql as q
-from .fusion import CAMERA, MAP, _clamped, depth, frames, micro, poses
+from .fusion import _RADIUS, _RO, _R, CAMERA, MAP, _clamped, _plane_sql, _seen, depth, frames, micro, poses, turned
 from .keys import _tree
 from .registry import query
 
@@ -52,3 +52,15 @@ def a10_set_data(spark, sf_dir):
     rows = _tree(spark, sf_dir).select("key", F.col("scale").alias("data"))
     new = rows.filter(m._shr(m.key_code(F.col("key")), 9) % 3 == 0).withColumn("data", F.lit(7))
     return carve.set_data(rows, new)
+
+
+WIDE = fusion.VoxelMap(dim=25.6)
+_AT = ", ".join(f"({q.decode('t.code', k)} + 4.0::DOUBLE) * 0.05::DOUBLE - 12.8::DOUBLE - {s} AS d{c}" for k, (c, s) in enumerate(zip("xyz", ("(tx - 8)", "(-12.0)::DOUBLE", "(-16.0)::DOUBLE"), strict=True)))
+
+
+@query(f"""WITH {q.TREE}, {_RO}, po AS (SELECT vec_id AS frame, (vec_id % 16) * 0.1::DOUBLE AS tx FROM embeddings),
+d AS (SELECT t.key, ro.frame, {", ".join(_R)}, {_AT} FROM t, po JOIN ro ON ro.frame = po.frame WHERE t.is_block)
+SELECT frame, key FROM d WHERE {_plane_sql(_seen(0), _seen(1), _seen(2), _RADIUS)}""")
+def t06_blocks_in_frustum(spark, sf_dir):
+    before = poses(spark, sf_dir).withColumns({"tx": F.col("tx") - 8, "ty": F.lit(-12.0), "tz": F.lit(-16.0)})
+    return octree.in_frustum(_tree(spark, sf_dir), turned(before), CAMERA, WIDE)
