@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import sensors
-from ..operators import fusion
+from ..operators import fusion, ray_fusion
 from . import fixtures as fx
 from .registry import query, table
 
@@ -241,6 +241,28 @@ def f09_ray_blocks(spark, sf_dir):
     return rows.select("scan", *[F.floor(F.col(f"s{c}") / F.lit(0.4)).cast("long").alias(f"b{c}") for c in "xyz"]).distinct()
 
 
+_LIMIT = "greatest({}::DOUBLE, least({}::DOUBLE * n, {}::DOUBLE))"
+_RAY = ray_fusion.RayModel()
+_CELLS = ", ".join(f"CAST(floor(({c} / n * d + 6.4::DOUBLE) / 0.05::DOUBLE) AS BIGINT) AS v{c}" for c in "xyz")
+_INSIDE = " AND ".join(f"{c} / n * d + 6.4::DOUBLE >= 0 AND {c} / n * d + 6.4::DOUBLE < 12.8::DOUBLE" for c in "xyz")
+
+
+@query(f"""WITH {fx.RAYS}, l AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM ry),
+m AS (SELECT *, {_LIMIT.format(*(repr(v) for v in (6.0 * 0.05, 0.026, 16.0 * 0.05)))} AS t, 3.0::DOUBLE * {_LIMIT.format(*(repr(v) for v in (1.5 * 0.05, 0.052, 6.0 * 0.05)))} AS s FROM l WHERE n >= 0.1),
+k AS (SELECT *, unnest(generate_series(0, CAST(ceil((least(n + t, 10.0::DOUBLE) - 0.1::DOUBLE) / 0.025::DOUBLE) AS BIGINT) - 1)) AS k FROM m),
+g AS (SELECT *, 0.1::DOUBLE + k * 0.025::DOUBLE AS d FROM k),
+c AS (SELECT scan, seq, k, t, s, d - n AS x, {_CELLS} FROM g WHERE {_INSIDE}),
+b AS (SELECT *, lag((vx, vy, vz)) OVER (PARTITION BY scan, seq ORDER BY k) AS before FROM c),
+u AS (SELECT scan, seq, vx, vy, vz, least({_ISM}, 5.015::DOUBLE) AS value FROM b WHERE x < t AND (before IS NULL OR before <> (vx, vy, vz))),
+r AS (SELECT vx, vy, vz, value, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY scan, seq) AS i, count(*) OVER (PARTITION BY vx, vy, vz) AS n FROM u)
+SELECT CAST(vx AS INTEGER) AS vx, CAST(vy AS INTEGER) AS vy, CAST(vz AS INTEGER) AS vz,
+       {_MICRO.format("sum(value * pow(0.95::DOUBLE, greatest(n - greatest(i, 20), 0)) / least(n, 20))")} AS occupancy_1e6, CAST(least(count(*), 20) AS INTEGER) AS weight
+FROM r GROUP BY vx, vy, vz""")
+def f09_ray_occupancy(spark, sf_dir):
+    out = ray_fusion.fuse(fx.rays(spark, sf_dir), MAP, _RAY, per_segment=32)
+    return out.select("vx", "vy", "vz", micro(F.col("occupancy")).alias("occupancy_1e6"), "weight")
+
+
 _SMALL = CAMERA.downsampled(2)
 
 
