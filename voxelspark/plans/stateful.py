@@ -14,7 +14,11 @@ from .keys import _tree
 from .registry import query
 
 
-@query()
+#: A batch ends with the first ray that lies more than the interval after its first one; an open last batch is left out.
+@query(f"""WITH RECURSIVE {fx.RAYS}, o AS (SELECT scan, seq, ts, row_number() OVER (PARTITION BY scan ORDER BY ts, seq) AS i FROM ry),
+e AS (SELECT a.scan, a.i, min(b.i) AS j FROM o a JOIN o b ON b.scan = a.scan AND b.ts > a.ts + 86400000000 GROUP BY a.scan, a.i),
+bt AS (SELECT scan, i, j, 0::BIGINT AS batch FROM e WHERE i = 1 UNION ALL SELECT e.scan, e.i, e.j, bt.batch + 1 FROM bt JOIN e ON e.scan = bt.scan AND e.i = bt.j + 1)
+SELECT o.scan, o.seq, bt.batch FROM o JOIN bt ON bt.scan = o.scan AND o.i BETWEEN bt.i AND bt.j""")
 def r14_ray_batches(spark, sf_dir):
     return ray_batches.batches(fx.rays(spark, sf_dir).select("scan", "seq", "ts"), 86_400_000_000)
 

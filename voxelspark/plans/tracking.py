@@ -10,7 +10,7 @@ from .fixtures import RES
 from .fusion import CAMERA, micro
 from .images import _CLOUD, _depth
 from .registry import query, table
-from .voxels import _VOX, vox
+from .voxels import _VOX, _micros, grad_sql, vox
 
 #: Half-voxel steps up to the camera's far plane.
 STEPS = round(CAMERA.far / RES / 0.5)
@@ -83,10 +83,13 @@ def c05_raycast_occupied(spark, sf_dir):
     return _far(_occupied, spark, sf_dir)
 
 
-@query()
+_HITS = f"{_CHANGE}, pt AS (SELECT id, {', '.join(f'o{c} + t * d{c} AS {c}' for c in 'xyz')} FROM ra JOIN hit USING (id)), {grad_sql('vox', 0, 0.5)}, un AS (SELECT id, gx, gy, gz, sqrt(gx * gx + gy * gy + gz * gz) AS n FROM gr0)"
+
+
+@query(f"{_HITS} SELECT pt.id, {', '.join(f'{_M.format(c)} AS {c}_1e6' for c in 'xyz')}, {', '.join(f'CASE WHEN n > 0 THEN {_M.format(f'g{c} / n')} END AS n{c}_1e6' for c in 'xyz')} FROM pt LEFT JOIN un ON un.id = pt.id")
 def c06_raycast_volume(spark, sf_dir):
     surface = _far(lambda along: raycast.cast_surface(along, 0.5), spark, sf_dir)
-    return raycast.hits(rays(spark, sf_dir), surface, vox(spark, sf_dir))
+    return _micros(raycast.hits(rays(spark, sf_dir), surface, vox(spark, sf_dir)), "x", "y", "z", "nx", "ny", "nz")
 
 
 POSE = np.eye(4)

@@ -151,10 +151,18 @@ def q08_trilinear_scales(spark, sf_dir):
     return _micros(voxels.interpolate_scales(points(spark, sf_dir), [rows, pyramid.mean(rows)]), "value")
 
 
-@query()
+def grad_sql(level: str, s: int, half: float) -> str:
+    """gr{s} (id, gx, gy, gz) of the points pt where level has the whole stencil; half is 0.5 over a voxel's size."""
+    ba = _BASE.replace("ba AS", f"gb{s} AS").replace("FROM pt", f"FROM (SELECT id, x / {2**s} AS x, y / {2**s} AS y, z / {2**s} AS z FROM pt)")
+    return f"""{ba}, gs{s} AS (SELECT id, {", ".join(f"{_slope(c)} AS s{c}" for c in "xyz")}, bx + i AS px, by_ + j AS py, bz + k AS pz FROM gb{s}, range(-1, 3) a(i), range(-1, 3) b(j), range(-1, 3) c(k)
+WHERE CAST(i IN (0, 1) AS INTEGER) + CAST(j IN (0, 1) AS INTEGER) + CAST(k IN (0, 1) AS INTEGER) >= 2),
+gr{s} AS (SELECT id, {", ".join(f"sum(s{c} * tsdf) * {half}::DOUBLE AS g{c}" for c in "xyz")} FROM gs{s} JOIN {level} ON vx = px AND vy = py AND vz = pz WHERE weight > 0 GROUP BY id HAVING count(*) = 32)"""
+
+
+@query(f"WITH {_VOX}, {_mean_sql('vox', 'm1')}, {_PT}, {grad_sql('vox', 0, 10.0)}, {grad_sql('m1', 1, 5.0)} SELECT pt.id, {', '.join(f'{_M.format(f'coalesce(gr0.g{c}, gr1.g{c})')} AS g{c}_1e6' for c in 'xyz')} FROM pt LEFT JOIN gr0 ON gr0.id = pt.id LEFT JOIN gr1 ON gr1.id = pt.id")
 def q11_gradient_scales(spark, sf_dir):
     rows = vox(spark, sf_dir)
-    return voxels.gradient_scales(points(spark, sf_dir), [rows, pyramid.mean(rows)], res=0.05)
+    return _micros(voxels.gradient_scales(points(spark, sf_dir), [rows, pyramid.mean(rows)], res=0.05), "gx", "gy", "gz")
 
 
 @query(f"""WITH {_PT}, b AS (SELECT id % 100 AS cell, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_, min(z) AS az, max(z) AS bz FROM pt GROUP BY 1),
@@ -273,7 +281,16 @@ def m04_shared_vertices(spark, sf_dir):
     return rows.groupBy("vertex").agg((F.max("x") - F.min("x") < 1e-9).alias("one_place"), F.count("*").alias("faces"))
 
 
-@query()
+_CROSS = ", ".join(f"(q{p} - p{p}) * (r{q_} - p{q_}) - (q{q_} - p{q_}) * (r{p} - p{p}) AS n{c}" for c, p, q_ in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y")))
+_UNIT = ", ".join(f"n{c} / sqrt(nx * nx + ny * ny + nz * nz) AS n{c}" for c in "xyz")
+
+
+@query(f"""WITH {_FACES}, fv AS (SELECT *, {_VID} AS vertex FROM fa),
+wh AS (SELECT vx, vy, vz, face, {", ".join(f"max(CASE WHEN corner = {k} THEN {c} END) AS {n}{c}" for k, n in enumerate("pqr") for c in "xyz")} FROM fa GROUP BY vx, vy, vz, face),
+cr AS (SELECT vx, vy, vz, face, {_CROSS} FROM wh), un AS (SELECT vx, vy, vz, face, {_UNIT} FROM cr WHERE sqrt(nx * nx + ny * ny + nz * nz) > 0),
+su AS (SELECT vertex, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM fv JOIN un USING (vx, vy, vz, face) GROUP BY vertex),
+ve AS (SELECT vertex, {_UNIT} FROM su WHERE sqrt(nx * nx + ny * ny + nz * nz) > 0)
+SELECT vertex, {", ".join(f"{_M.format(f'n{c}')} AS n{c}_1e6" for c in "xyz")} FROM ve""")
 def m05_vertex_normals(spark, sf_dir):
     return _micros(mesh.vertex_normals(mesh.marching_cubes(vox(spark, sf_dir))), "nx", "ny", "nz")
 
