@@ -130,10 +130,21 @@ def l03_reduce(spark, sf_dir):
     return sums.select("frame", part("error2"), part("e0"), part("a23"), "tracked", "too_far", "too_steep", "other")
 
 
-@query()
+def _eliminated() -> str:
+    """The normal equations as g0 (one row; column 6 holds J^T e) and Gauss-Jordan steps g1 to g6; positive definite, so no pivots."""
+    jac = ["rnx", "rny", "rnz", "my * rnz - mz * rny", "mz * rnx - mx * rnz", "mx * rny - my * rnx"]
+    out = [f"jc AS (SELECT error AS j6, {', '.join(f'{e} AS j{k}' for k, e in enumerate(jac))} FROM tk WHERE result = 1)"]
+    out.append(f"g0 AS (SELECT {', '.join(f'sum(j{i} * j{j}) AS m{i}{j}' for i in range(6) for j in range(7))} FROM jc)")
+    for p in range(6):
+        cells = [f"m{p}{j} / m{p}{p} AS m{p}{j}" if i == p else f"m{i}{j} - m{i}{p} / m{p}{p} * m{p}{j} AS m{i}{j}" for i in range(6) for j in range(p + 1, 7)]
+        out.append(f"g{p + 1} AS (SELECT {', '.join(cells)} FROM g{p})")
+    return ", ".join(out)
+
+
+@query(f"{_NORMALS}, {_eliminated()} {' UNION ALL '.join(f'SELECT CAST({k} AS INTEGER) AS k, {_M.format(f'm{k}6')} AS value_1e6 FROM g6' for k in range(6))}")
 def l04_solve(spark, sf_dir):
     twist = icp.solve(icp.reduce(_tracked(spark, sf_dir)).first())
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(twist)], "k int, value double")
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(twist)], "k int, value double").select("k", micro(F.col("value")).alias("value_1e6"))
 
 
 @query(f"{_NORMALS}, s AS (SELECT frame, sum(error * error) FILTER (WHERE result = 1) AS e, count(*) FILTER (WHERE result = 1) AS n FROM tk GROUP BY frame) SELECT frame, coalesce(n > 0 AND sqrt(e / n) <= 0.05::DOUBLE AND n / 64.0::DOUBLE >= 0.15::DOUBLE, false) AS good FROM s")
