@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelspark.functions import morton, sensors, strings
+from voxelspark.functions import morton, rigid, sensors, strings
 from voxelspark.operators import association, fusion, icp, images, keysets, mesh, octree, pyramid, raycast, voxels
 from voxelspark.sources import config, readers, sinks
 
@@ -327,6 +327,33 @@ def test_mesh_files(spark, tmp_path, kind):
         sinks.save_mesh(faces, str(tmp_path / "m.stl"))
 
 
+def test_turned_mesh_and_points(spark, tmp_path):
+    """Half a turn about z, then a metre along y; points in the order of id."""
+    pose = rigid.pose_matrix((0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 2.0))
+    place = "struct<x: double, y: double, z: double>"
+    faces = spark.createDataFrame([((1.0, 0.0, 0.0), (2.0, 3.0, 0.0), (0.0, 0.0, 5.0))], f"a {place}, b {place}, c {place}")
+    sinks.save_mesh(faces, str(tmp_path / "m.obj"), 2.0, pose=pose)
+    assert (tmp_path / "m.obj").read_text().replace("-0.000000", "0.000000").splitlines()[:3] == ["v -2.000000 1.000000 0.000000", "v -4.000000 -5.000000 0.000000", "v 0.000000 1.000000 10.000000"]
+    points = spark.createDataFrame([(2, 1.0, 1.0, 1.0), (1, 0.0, 0.0, 0.0), (3, None, 0.0, 0.0)], "id int, x double, y double, z double").filter("x is not null")
+    sinks.save_points(points, str(tmp_path / "p.vtk"), pose=pose)
+    assert (tmp_path / "p.vtk").read_text().replace("-0.000000", "0.000000").splitlines()[-2:] == ["0.000000 1.000000 0.000000", "-1.000000 0.000000 1.000000"]
+
+
+def test_rigid_motions(spark):
+    """Columns against the driver's matrices, at small angles too; powers of two and fractions."""
+    rows = [(0.3, -0.2, 0.1, a * 0.6, a * -0.48, a * 0.64, 1.0, 2.0, 3.0) for a in (0.0, 1e-9, 5e-4, 2e-3, 0.5, 3.0)]
+    names = ["tx", "ty", "tz", "wx", "wy", "wz", "px", "py", "pz"]
+    cols = lambda k: tuple(F.col(f"{k}{c}") for c in "xyz")
+    at = rigid.moved(cols("t"), cols("w"), cols("p"))
+    for r in spark.createDataFrame(rows, names).select("*", *[v.alias(f"o{c}") for c, v in zip("xyz", at, strict=True)]).collect():
+        want = icp.exp(np.array(r[:6])) @ np.array([*r[6:9], 1.0])
+        assert np.allclose([r["ox"], r["oy"], r["oz"]], want[:3], atol=1e-8)
+    up = spark.createDataFrame([(0.0,), (1.0,), (1.5,), (2.0,), (float(2**29),), (2.0**29 + 1,)], ["x"]).select(rigid.power_two_up(F.col("x"))).collect()
+    assert [r[0] for r in up] == [1, 1, 2, 2, 2**29, 2**30]
+    part = spark.createDataFrame([(-0.25,), (1.5,)], ["x"]).select(rigid.fraction(F.col("x")), rigid.plane_normal((F.col("x"), F.lit(0.0), F.lit(0.0)), (F.col("x"), F.lit(1.0), F.lit(0.0)), (F.col("x"), F.lit(1.0), F.lit(1.0)))[0]).collect()
+    assert [tuple(r) for r in part] == [(0.75, 1.0), (0.5, 1.0)]
+
+
 def test_configuration(tmp_path):
     (tmp_path / "c.yaml").write_text("%YAML:1.2\nmap:\n  dim: [1, 2, 3]\n  res: 0.05\nreader:\n  reader_type: tum\n  fps: fast\n  sequence_path: data\nsensor: {}\ndata: {}\ntracker: {}\napp: {}\n")
     with pytest.warns(UserWarning, match="fps"):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sensors import norm
+from ..functions.sensors import norm, transform
 from .voxels import corners
 
 XYZ = ("x", "y", "z")
@@ -149,6 +150,14 @@ def structure(octants: DataFrame) -> DataFrame:
     return rows.select("key", "scale", "face", "corner", *[(F.col(c) + bit(k) * F.col("size")).alias(c) for k, c in enumerate(XYZ)])
 
 
+def placed(points: DataFrame, pose: np.ndarray, names: tuple[str, ...] = ()) -> DataFrame:
+    """x, y, z, or the places in the columns of names, under an affine map (4x4)."""
+    if not names:
+        return points.withColumns(dict(zip(XYZ, transform(pose, tuple(F.col(c) for c in XYZ)), strict=True)))
+    at = {n: transform(pose, tuple(F.col(f"{n}.{c}") for c in XYZ)) for n in names}
+    return points.withColumns({n: F.struct(*[v.alias(c) for c, v in zip(XYZ, p, strict=True)]) for n, p in at.items()})
+
+
 def affine(points: DataFrame, scale: float, shift: tuple[float, float, float]) -> DataFrame:
     """Places scaled and moved, from voxels to metres of a world frame."""
     return points.withColumns({c: F.col(c) * F.lit(scale) + F.lit(t) for c, t in zip(XYZ, shift, strict=True)})

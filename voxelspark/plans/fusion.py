@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import sensors
+from ..functions import rigid, sensors
 from ..operators import fusion, ray_fusion
 from . import fixtures as fx
 from .registry import query, table
@@ -341,3 +341,35 @@ def p08_near_far(spark, sf_dir):
 def p09_lidar_angles(spark, sf_dir):
     leica = sensors.Lidar.leica(0.5, 0.25)
     return spark.createDataFrame([("ouster", LIDAR.resolution), ("leica", leica.resolution)], "sensor string, resolution double")
+
+
+_TWIST = """tw AS (SELECT event_id, (event_id % 7 - 3) / 4.0::DOUBLE AS wx, (event_id % 5 - 2) / 3.0::DOUBLE AS wy, (event_id % 3) / 2.0::DOUBLE AS wz, (event_id % 11) / 5.0::DOUBLE AS tx, (event_id % 13) / 6.0::DOUBLE - 1 AS ty, 0.5::DOUBLE AS tz,
+value::DOUBLE / 100 AS px, (event_id % 17) / 8.0::DOUBLE AS py, 1.0::DOUBLE AS pz FROM events)"""
+
+
+def _twists(spark, sf_dir):
+    e = F.col("event_id")
+    w = ((e % 7 - 3) / F.lit(4.0), (e % 5 - 2) / F.lit(3.0), (e % 3) / F.lit(2.0))
+    t = ((e % 11) / F.lit(5.0), (e % 13) / F.lit(6.0) - 1, F.lit(0.5))
+    p = (F.col("value") / 100, (e % 17) / F.lit(8.0), F.lit(1.0))
+    return _events(spark, sf_dir), t, w, p
+
+
+_CIRCLE = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+
+
+@query(f"""WITH {_TWIST}, an AS (SELECT *, sqrt(wx * wx + wy * wy + wz * wz) AS a, wx * px + wy * py + wz * pz AS wp, wx * tx + wy * ty + wz * tz AS wt FROM tw),
+qu AS (SELECT *, cos(a / 2) AS q, CASE WHEN a > 0 THEN sin(a / 2) / a ELSE 0.5::DOUBLE END AS f, CASE WHEN a > 0 THEN (1 - cos(a)) / (a * a) ELSE 0.5::DOUBLE END AS c, CASE WHEN a > 0 THEN (a - sin(a)) / (a * a * a) ELSE 0.0::DOUBLE END AS d FROM an)
+SELECT event_id, {", ".join(_MICRO.format(f"(p{c} * (q * q - f * f * a * a) + 2 * f * f * w{c} * wp + 2 * q * f * (w{u} * p{v} - w{v} * p{u}) + t{c} + c * (w{u} * t{v} - w{v} * t{u}) + d * (w{c} * wt - t{c} * a * a))") + f" AS {c}_1e6" for c, (u, v) in _CIRCLE.items())} FROM qu""")
+def p10_rigid_motion(spark, sf_dir):
+    rows, t, w, p = _twists(spark, sf_dir)
+    return rows.select("event_id", *[micro(v).alias(f"{c}_1e6") for c, v in zip("xyz", rigid.moved(t, w, p), strict=True)])
+
+
+@query(f"""WITH {_TWIST}, n AS (SELECT *, {", ".join(f"(w{u} - t{u}) * (p{v} - w{v}) - (w{v} - t{v}) * (p{u} - w{u}) AS n{c}" for c, (u, v) in _CIRCLE.items())}, CAST(round(px * 100) AS BIGINT) AS k FROM tw), l AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS n FROM n)
+SELECT event_id, {", ".join("CASE WHEN n > 0 THEN " + _MICRO.format(f"(n{c} / n)") + f" END AS n{c}_1e6" for c in "xyz")}, CAST(greatest(1, pow(2, ceil(log2(greatest(k, 1))))) AS BIGINT) AS up, {_MICRO.format("(wx - floor(wx))")} AS part_1e6 FROM l""")
+def p10_helpers(spark, sf_dir):
+    rows, t, w, p = _twists(spark, sf_dir)
+    normal = rigid.plane_normal(t, w, p)
+    up = rigid.power_two_up(F.round(F.col("value") / 100 * 100))
+    return rows.select("event_id", *[micro(v).alias(f"n{c}_1e6") for c, v in zip("xyz", normal, strict=True)], up.alias("up"), micro(rigid.fraction(w[0])).alias("part_1e6"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import morton as m
+from ..functions import rigid
 from ..operators import mesh, octree, pyramid, voxels
 from . import fixtures as fx
 from . import sql as q
@@ -314,3 +315,14 @@ def m07_structure_faces(spark, sf_dir):
 @query(f"WITH {_PT} SELECT id, {', '.join(f'{_M.format(f'({c} * 0.05::DOUBLE + {t}::DOUBLE)')} AS {c}_1e6' for c, t in (('x', -6.4), ('y', -6.4), ('z', 0.5)))} FROM pt")
 def m08_affine(spark, sf_dir):
     return _micros(mesh.affine(points(spark, sf_dir), 0.05, (-6.4, -6.4, 0.5)), "x", "y", "z")
+
+
+#: The rotation of the quaternion (0.6, 0, 0.48, 0.64), by rows.
+_TURN = ((-0.28, -0.768, 0.576), (0.768, 0.1808, 0.6144), (-0.576, 0.6144, 0.5392))
+_TURNED = [f"(0.05::DOUBLE * ({a}::DOUBLE * x + {b}::DOUBLE * y + {c}::DOUBLE * z) + {t}::DOUBLE)" for (a, b, c), t in zip(_TURN, (-6.4, 2.0, 0.5), strict=True)]
+
+
+@query(f"WITH {_PT} SELECT id, {', '.join(f'{_M.format(v)} AS {c}_1e6' for c, v in zip('xyz', _TURNED, strict=True))} FROM pt")
+def m08_turned(spark, sf_dir):
+    pose = rigid.pose_matrix((-6.4, 2.0, 0.5), (1.2, 0.0, 0.96, 1.28), 0.05)
+    return _micros(mesh.placed(points(spark, sf_dir), pose), "x", "y", "z")

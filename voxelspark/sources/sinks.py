@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.colour import SCALE_COLOURS
+from ..functions.rigid import pose_matrix
+from ..operators.mesh import placed
 
 FORMATS = (".obj", ".ply", ".vtk")
 
@@ -23,20 +25,29 @@ def has_mesh_format(path: str) -> bool:
 
 
 def _faces(faces: DataFrame) -> Iterator[Row]:
-    """Rows (a, b, c places; scale) in the order of cells and faces."""
+    """Rows (a, b, c places; scale) in the order of cells and faces, or of their places if these are unknown."""
     order = [c for c in ("vx", "vy", "vz", "face") if c in faces.columns]
-    return faces.orderBy(*order).toLocalIterator()
+    return faces.orderBy(*(order or ["a", "b", "c"])).toLocalIterator()
 
 
-def _place(p: Row, scale: float, shift: tuple[float, float, float]) -> str:
-    return " ".join(f"{v * scale + t:.6f}" for v, t in zip(p, shift, strict=True))
+def _pose(scale: float, shift: tuple[float, float, float], pose: np.ndarray | None) -> np.ndarray:
+    here = pose_matrix(shift, scale=scale)
+    return here if pose is None else np.asarray(pose, dtype=float) @ here
 
 
-def save_mesh(faces: DataFrame, path: str, scale: float = 1.0, shift: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
-    """Write faces (a, b, c; optionally scale) as .ply, .vtk or .obj, each with vertices of its own."""
+def _place(p: Row) -> str:
+    return " ".join(f"{v:.6f}" for v in p)
+
+
+def save_mesh(faces: DataFrame, path: str, scale: float = 1.0, shift: tuple[float, float, float] = (0.0, 0.0, 0.0), pose: np.ndarray | None = None) -> None:
+    """Write faces (a, b, c; optionally scale) as .ply, .vtk or .obj, each with vertices of its own.
+
+    Places are scaled and moved, then taken through pose (4x4), if there is one.
+    """
     if not has_mesh_format(path):
         raise ValueError(f"a mesh file ends in one of {', '.join(FORMATS)}")
     faces = faces if "scale" in faces.columns else faces.withColumn("scale", F.lit(0))
+    faces = placed(faces, _pose(scale, shift, pose), ("a", "b", "c"))
     n = faces.count()
     kind = Path(path).suffix
     with open(path, "w") as f:
@@ -46,15 +57,16 @@ def save_mesh(faces: DataFrame, path: str, scale: float = 1.0, shift: tuple[floa
             f.write(f"# vtk DataFile Version 3.0\nvtk mesh\nASCII\nDATASET POLYDATA\nPOINTS {3 * n} FLOAT\n")
         for r in _faces(faces):
             for p in (r["a"], r["b"], r["c"]):
-                f.write(("v " if kind == ".obj" else "") + _place(p, scale, shift) + "\n")
+                f.write(("v " if kind == ".obj" else "") + _place(p) + "\n")
         if kind == ".vtk":
             f.write(f"POLYGONS {n} {4 * n}\n")
-        colours = [SCALE_COLOURS[min(int(r["scale"]), len(SCALE_COLOURS) - 1)] for r in _faces(faces)] if kind == ".ply" else []
-        for k in range(n):
-            if kind == ".obj":
-                f.write(f"f {3 * k + 1} {3 * k + 2} {3 * k + 3}\n")
-            else:
-                f.write(f"3 {3 * k} {3 * k + 1} {3 * k + 2}" + (" " + " ".join(map(str, colours[k])) if kind == ".ply" else "") + "\n")
+        if kind == ".ply":
+            for k, r in enumerate(_faces(faces)):
+                colour = SCALE_COLOURS[min(int(r["scale"]), len(SCALE_COLOURS) - 1)]
+                f.write(f"3 {3 * k} {3 * k + 1} {3 * k + 2} {' '.join(map(str, colour))}\n")
+        else:
+            for k in range(n):
+                f.write(f"f {3 * k + 1} {3 * k + 2} {3 * k + 3}\n" if kind == ".obj" else f"3 {3 * k} {3 * k + 1} {3 * k + 2}\n")
         if kind == ".vtk":
             f.write(f"CELL_DATA {n}\nSCALARS scale int 1\nLOOKUP_TABLE default\n")
             for r in _faces(faces):
@@ -73,13 +85,14 @@ def save_slice(plane: DataFrame, path: str, size: tuple[int, int], res: float, v
             f.write(f"{r[0]:.6f}\n")
 
 
-def save_points(points: DataFrame, path: str, scale: float = 1.0, shift: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
-    """Write points (x, y, z) as polydata."""
+def save_points(points: DataFrame, path: str, scale: float = 1.0, shift: tuple[float, float, float] = (0.0, 0.0, 0.0), pose: np.ndarray | None = None) -> None:
+    """Write points (x, y, z), in the order of id if they have one, as polydata; placed as in save_mesh."""
+    points = placed(points.orderBy("id") if "id" in points.columns else points, _pose(scale, shift, pose))
     n = points.count()
     with open(path, "w") as f:
         f.write(f"# vtk DataFile Version 3.0\nvtk points\nASCII\nDATASET POLYDATA\nPOINTS {n} float\n")
         for r in points.select("x", "y", "z").toLocalIterator():
-            f.write(_place(r, scale, shift) + "\n")
+            f.write(_place(r) + "\n")
 
 
 def _image(pixels: DataFrame, width: int, height: int, scale: float) -> np.ndarray:
