@@ -1,4 +1,4 @@
 """All queries of the library; importing this package registers them."""
 
-from . import fusion, images, keys, records, stateful, tracking, voxels  # noqa: F401
+from . import files, fusion, images, keys, records, stateful, tracking, voxels  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
