@@ -57,6 +57,17 @@ def test_rays_are_followed_to_the_far_plane(spark, con):
     assert {r["id"] for r in QUERIES["c06_raycast_volume"](spark, DATA).select("id").collect()} == want.keys()
 
 
+def test_rays_skip_empty_blocks(spark):
+    from voxelspark.operators import raycast
+    from voxelspark.plans import tracking
+
+    voxels, rays = tracking.emptied(spark, DATA), tracking.rays(spark, DATA)
+    whole = raycast.samples(rays, voxels, 24, 0.5)
+    some = raycast.samples(rays, voxels, 24, 0.5, blocks=raycast.occupied_blocks(voxels))
+    above = lambda d: sorted(map(tuple, d.filter("value > 0").collect()))
+    assert 0 < some.count() < whole.count() and above(some) == above(whole) != []
+
+
 def test_entry_without_the_optional_parts(tmp_path):
     import shutil
     import subprocess

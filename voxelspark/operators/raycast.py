@@ -53,32 +53,50 @@ def blocks_on_ray(rays: DataFrame, far: float, block: int = 8) -> DataFrame:
     return rows
 
 
-def samples(rays: DataFrame, voxels: DataFrame, steps: int, step: float, first: int = 0, block: int = 8) -> DataFrame:
+#: Fixed value: at most this log-odds times weight is free space that rays skip.
+FREE = -0.2
+
+
+def occupied_blocks(voxels: DataFrame, value: str = "tsdf", block: int = 8) -> DataFrame:
+    """(bx, by, bz): blocks where an interpolated value may be above 0, with those below them in any axis.
+
+    A block whose every observed voxel has value times weight of FREE or less is empty. A sample
+    takes voxels of the block of its lowest neighbour and of the next ones, hence the others.
+    """
+    high = voxels.filter(F.col("weight") > 0).groupBy(*[F.floor(F.col(f"v{c}") / block).alias(f"b{c}") for c in XYZ]).agg(F.max(F.col(value) * F.col("weight")).alias("high"))
+    below = F.array(*[F.struct(*[F.lit(k >> a & 1).alias(f"d{c}") for a, c in enumerate(XYZ)]) for k in range(8)])
+    rows = high.filter(F.col("high") > FREE).withColumn("o", F.explode(below))
+    return rows.select(*[(F.col(f"b{c}") - F.col(f"o.d{c}")).alias(f"b{c}") for c in XYZ]).distinct()
+
+
+def samples(rays: DataFrame, voxels: DataFrame, steps: int, step: float, first: int = 0, block: int = 8, blocks: DataFrame | None = None) -> DataFrame:
     """(id, k, value): the interpolated field at first to steps steps along each ray, null where it is unknown.
 
-    Samples whose lowest neighbour lies in a block without voxels are left out: their value is unknown.
+    Samples whose lowest neighbour lies in none of blocks are left out; without blocks, in a
+    block without voxels, as their value is unknown.
     """
     rows = rays.withColumn("k", F.explode(F.sequence(F.lit(first), F.lit(steps))))
     at = [(F.col(f"o{c}") + F.col("k") * F.lit(step) * F.col(f"d{c}")).alias(c) for c in XYZ]
     rows = rows.select(F.struct("id", "k").alias("id"), *at)
-    blocks = voxels.select(*[F.floor(F.col(f"v{c}") / block).alias(f"b{c}") for c in XYZ]).distinct()
+    if blocks is None:
+        blocks = voxels.select(*[F.floor(F.col(f"v{c}") / block).alias(f"b{c}") for c in XYZ]).distinct()
     rows = rows.withColumns({f"b{c}": F.floor(F.floor(F.col(c) - F.lit(0.5)) / block) for c in XYZ})
     rows = rows.join(blocks, [f"b{c}" for c in XYZ], "left_semi").select("id", *XYZ)
     return interpolate(rows, voxels).select("id.id", "id.k", "value")
 
 
-def march(cast: Callable[[DataFrame], DataFrame], rays: DataFrame, voxels: DataFrame, steps: int, step: float, near: int = 24) -> DataFrame:
+def march(cast: Callable[[DataFrame], DataFrame], rays: DataFrame, voxels: DataFrame, steps: int, step: float, near: int = 24, blocks: DataFrame | None = None) -> DataFrame:
     """What cast finds along the whole of each ray, first by near steps and then, for rays without a row, by the rest.
 
     The last near sample is the first of the rest, so that a change of sign between them is seen.
-    Voxels and near rows are persisted, as each is read several times.
+    Voxels and near rows are persisted, as each is read several times. blocks as in samples.
     """
     voxels = voxels.persist()
     if steps <= near:
-        return cast(samples(rays, voxels, steps, step))
-    soon = cast(samples(rays, voxels, near, step)).persist()
+        return cast(samples(rays, voxels, steps, step, blocks=blocks))
+    soon = cast(samples(rays, voxels, near, step, blocks=blocks)).persist()
     later = rays.join(soon.select("id"), "id", "left_anti")
-    return soon.unionByName(cast(samples(later, voxels, steps, step, near)))
+    return soon.unionByName(cast(samples(later, voxels, steps, step, near, blocks=blocks)))
 
 
 def first_known(along: DataFrame, step: float) -> DataFrame:

@@ -83,6 +83,21 @@ def c05_raycast_occupied(spark, sf_dir):
     return _far(_occupied, spark, sf_dir)
 
 
+#: Two of three blocks hold nothing but free space.
+_EMPTY = "vo AS (SELECT vx, vy, vz, CASE WHEN (vx // 8 + vy // 8 + vz // 8) % 3 <> 0 THEN -1.0::DOUBLE ELSE tsdf END AS tsdf, weight FROM vox)"
+
+
+def emptied(spark, sf_dir):
+    third = (F.floor(F.col("vx") / 8) + F.floor(F.col("vy") / 8) + F.floor(F.col("vz") / 8)) % 3
+    return vox(spark, sf_dir).withColumn("tsdf", F.when(third != 0, F.lit(-1.0)).otherwise(F.col("tsdf")))
+
+
+@query(_ALONG.replace(f"{_RAY}, ", f"{_EMPTY}, {_RAY}, ").replace("JOIN vox ON", "JOIN vo ON") + " SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value > 0.3137::DOUBLE GROUP BY id")
+def c02_skipped_space(spark, sf_dir):
+    voxels = emptied(spark, sf_dir)
+    return raycast.march(_occupied, rays(spark, sf_dir), voxels, STEPS, 0.5, blocks=raycast.occupied_blocks(voxels))
+
+
 _HITS = f"{_CHANGE}, pt AS (SELECT id, {', '.join(f'o{c} + t * d{c} AS {c}' for c in 'xyz')} FROM ra JOIN hit USING (id)), {grad_sql('vox', 0, 0.5)}, un AS (SELECT id, gx, gy, gz, sqrt(gx * gx + gy * gy + gz * gz) AS n FROM gr0)"
 
 
