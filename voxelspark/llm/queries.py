@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, token_output, url_filter
+from . import chat, decontaminate, filter_audit, html_extract, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, token_alignment, token_output, url_filter
 from .store import shared_dir
 
 
@@ -66,7 +66,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op5_personal_data, op6_extendible_hash_shards, op7_suffix_dedup, op8_html_extract, op9_source_mixing, op10_decontamination)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: A conversation of control strings beside those of the table.
+CONTROLS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONTROLS, "conv_id long, turn long, role string, text string"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.read_back(chat.format_turns(rows, path), path, in_order=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_quality_rules, op4_ngram_join, op5_personal_data, op6_extendible_hash_shards, op7_suffix_dedup, op8_html_extract, op9_source_mixing, op10_decontamination, op11_token_alignment, op12_filter_audit, op13_chat_formatting)}
 
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
@@ -150,4 +173,31 @@ SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target,
 FROM f
 """
 
-ORACLE = {"op4_ngram_join": OP4_SQL, "op6_extendible_hash_shards": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL}
+#: Every document with every order and step, without cells.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l USING (doc_id)
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS letter, substr(filter_order, 1, k - 1) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+c AS (
+  SELECT part, filter_order, step, letter, contains(fails, letter) AS hit, length(translate(before, fails, '')) < step - 1 AS gone, length(fails) = 1 AS alone, good, toxic
+  FROM f, s
+), r AS (
+  SELECT part, filter_order, step, letter, count(*) FILTER (WHERE NOT hit AND NOT gone) AS kept, count(*) FILTER (WHERE hit AND NOT gone) AS removed, count(*) FILTER (WHERE hit AND gone) AS redundant,
+         count(*) FILTER (WHERE hit AND alone) AS unique_fails, count(*) FILTER (WHERE hit AND NOT gone AND good) AS good_lost, count(*) FILTER (WHERE hit AND NOT gone AND toxic) AS toxic_lost
+  FROM c GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+ORACLE = {"op4_ngram_join": OP4_SQL, "op6_extendible_hash_shards": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL, "op12_filter_audit": OP12_SQL}

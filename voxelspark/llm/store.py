@@ -36,6 +36,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: Bytes of an Arrow batch, for rows that may be long.
+BATCH_BYTES = 1 << 25
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """small_batches(), and let no batch take another row when it has BATCH_BYTES."""
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there.
 
