@@ -98,20 +98,38 @@ def test_alignment_of_nothing(spark):
     assert rows_of(got) == sorted([(None, 0, 0, 0, 0, 0, 0, ""), (1, 0, 0, 0, 0, 0, 0, "")], key=repr)
 
 
-def test_alignment_in_stretches(monkeypatch):
-    """Long texts are joined in stretches that end at common ends, with the same figures."""
+def test_alignment_of_tables_in_parts(monkeypatch):
+    """Tables are joined in parts that end at common ends, chunks forget earlier ones: always the same figures."""
     rng = random.Random(2)
-    texts = [prose(rng, 400), None or "", "x", prose(rng, 900), "😀" * 300, prose(rng, 5)]
-    whole = token_alignment.Pair(BYTES, PIECES)
-    one = whole.chunk(texts)
+    texts = [prose(rng, 400), "", "x", prose(rng, 900), "😀" * 300, "a▁ b", prose(rng, 5), "中文 " * 200 + "  " + "\n\n".join(map(str, range(500)))]
+    both = token_alignment.Pair(BYTES, PIECES)
+    one = both.chunk(texts)
+    again = both.chunk(texts)
     monkeypatch.setattr(token_alignment, "TABLE_BYTES", 200)
-    cut = whole.chunk(texts)
+    monkeypatch.setattr(token_alignment, "KEPT", 0)
+    cut = both.chunk(texts)
+    for other in (again, cut):
+        assert all(list(one[name]) == list(other[name]) for name in one)
+    both.forget()
+    whole = both.chunk(texts[:1] * 3 + texts[:1])
+    assert list(whole["total"]) == [4 * x for x in both.chunk(texts[:1])["total"]]
+    ends = [both.sizes[0][[1] * 3000].cumsum()] * 2
+    assert len(list(both.cuts(ends))) > 2
+
+
+def test_single_words_are_cut_where_certain(monkeypatch):
+    """Texts that are encoded whole give the figures of those cut at spaces."""
+    rng = random.Random(9)
+    alphabet = ["a", "the", " ", " ", "\n", "é", "😀", "1", ".", "'s", "ing", "Ab", "中", "  ", "\u00a0", "-"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    both = token_alignment.Pair(BYTES, PIECES)
+    one = both.chunk(texts)
+    assert both.cut and len(both.number) > 400
+    both.forget()
+    both.cut = False
+    whole = both.chunk(texts)
     for name in ("n_a", "n_b", "n_groups", "n_links", "sha", "a", "b", "total"):
-        assert list(one[name]) == list(cut[name]), name
-    for k in range(len(texts)):
-        of = lambda r, k=k: sum((Counter({int(p): int(n)}) for p, n in zip(r["pair"][r["at"][k] : r["at"][k + 1]], r["n"][r["at"][k] : r["at"][k + 1]], strict=True)), Counter())
-        assert of(one) == of(cut)
-    assert len(list(whole.cuts([c.cumsum() for c in (one["n_a"], one["n_a"])], one["n_a"].cumsum()))) > 2
+        assert list(one[name]) == list(whole[name]), name
 
 
 def test_pair_counts(spark):
@@ -124,17 +142,6 @@ def test_pair_counts(spark):
     assert all(r["best"] == (r["count"] == max(x["count"] for x in rows)) for rows in by_b.values() for r in rows)
 
 
-def test_words_are_encoded_as_whole_texts():
-    from sentencepiece import SentencePieceProcessor
-
-    model, own = SentencePieceProcessor(model_file=PIECES), token_alignment.PieceEncoder(PIECES)
-    rng = random.Random(9)
-    assert own.by_words
-    for _ in range(300):
-        text = "".join(rng.choice(["a", "the", " ", "\n", "é", "😀", "1", ".", "'s", "ing", "Ab", "中"]) for _ in range(rng.randint(1, 30)))
-        assert own.encode(text).tolist() == model.encode(text)
-
-
 # --- filter audit
 
 

@@ -4,15 +4,20 @@ Texts of an Arrow partition are taken in chunks of bounded size. In DuckDB a chu
 tables of token intervals over one line of bytes: ends that both share, counted by a window
 sum, number the groups; ASOF joins give each token the other tokenizer's token at its
 start, which are all overlaps, as two overlapping tokens begin at the start of one of them.
-A chunk keeps its pairs of ids once each, with partial counts, and its documents refer to
-them by number. Spark adds the partial counts up and deals the sums back to the chunks, so
+Each distinct stretch between spaces is in them once. A chunk keeps its pairs of ids once
+each, with partial counts; stretches refer to them by number, and documents to stretches. Spark adds the partial counts up and deals the sums back to the chunks, so
 what is shuffled is one row for each pair and chunk, however frequent a pair is.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
+import os
+import re
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +27,19 @@ from pyspark.sql import functions as F
 
 from .store import bounded_batches, keep
 from .text import col, whole
-from .token_output import Encoder, _UnsureError
+from .token_output import _EDGE, by_words
 from .vocabulary import BLANK, byte_level, sentence_pieces
 
-#: Bytes of text of a chunk, of which one has more only if a single text has; and of the tables in DuckDB.
-CHUNK_BYTES, TABLE_BYTES = 1 << 22, 1 << 22
-#: Words kept with their ids, and the longest of them.
-CACHE_WORDS, WORD_CHARS = 300_000, 40
-DUCKDB = {"threads": 1, "memory_limit": "512MB"}
-CHUNKS = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, at array<int>, pair array<int>, n array<int>, a array<int>, b array<int>, total array<long>"
+#: Characters of text of a chunk, of which one has more only if a single text has; of a table in DuckDB (bytes); and of what is encoded together.
+CHUNK_CHARS, TABLE_BYTES, CALL_CHARS = 3 << 20, 1 << 20, 1 << 14
+#: Distinct stretches, and their characters, after which those of earlier chunks are forgotten.
+KEPT, KEPT_CHARS = 300_000, 1 << 23
+DUCKDB = {"threads": 1, "memory_limit": "160MB"}
+CHUNKS = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, at array<int>, stretch array<int>, often array<int>, first array<int>, pair array<int>, n array<int>, a array<int>, b array<int>, total array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
+#: A word at whose ends both tokenizers begin a token, if single spaces part it from others like it.
+_SURE = re.compile(f"{_EDGE.pattern}(?:.*{_EDGE.pattern})?", re.DOTALL)
 #: Links by document and pair, one number: a token of A with the token of B at its start, and a token of B that begins inside one of A.
 _LINKS = """
 SELECT link, count(*) AS n FROM (
@@ -46,87 +53,138 @@ SELECT coalesce(sum(shared) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AN
 FROM (SELECT a.e AS e, CASE WHEN b.e IS NULL THEN 0 ELSE 1 END AS shared FROM a LEFT JOIN b ON b.e = a.e) ORDER BY e"""
 
 
-class ByteEncoder(Encoder):
-    """Ids of a space and a text, special tokens' strings being plain text."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.tokenizer.encode_special_tokens = True
-        self.table = byte_level(self.tokenizer)
-
-    def spaced(self, text: str) -> np.ndarray:
-        ids = None
-        if self.plain:
-            try:
-                ids = b"".join(map(self.words.__getitem__, text.split(" ")))
-            except _UnsureError:
-                ids = None
-        return np.frombuffer(self.encode(f" {text}") if ids is None else ids, dtype=self.dtype).astype(np.int32)
-
-
-class PieceEncoder:
-    """A sentence piece model's ids of whole texts, each distinct word encoded once.
+class Pair:
+    """Both tokenizers, the bytes of their ids, and an open DuckDB.
 
-    Words may be encoded alone where the model leaves every character as it is and no piece
-    has the sign for a space after another character; else texts are encoded whole.
+    A text is cut at single spaces at which both tokenizers begin a token whatever stands
+    around them, so that a stretch between is encoded, and joined, once for a whole chunk.
+    Where that isn't certain a stretch goes on, to the end of the text at most.
     """
 
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        self.model = SentencePieceProcessor(model_file=path)
-        self.table = sentence_pieces(self.model)
-        plain = self.model.normalize("ﬁ ①  Å ") == f"{BLANK}ﬁ{BLANK}①{BLANK}{BLANK}Å{BLANK}"
-        self.by_words = plain and not any(b" " in x.lstrip(b" ") for x in self.table)
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes | None:
-        """Ids of a text, None where they don't give it back."""
-        ids = self.model.encode(text)
-        return np.array(ids, dtype="<i4").tobytes() if b"".join(map(self.table.__getitem__, ids)) == f" {text}".encode() else None
-
-    def word(self, word: str) -> bytes | None:
-        ids = self.words.get(word, b"")
-        if ids == b"":
-            ids = self.whole(word)
-            if len(self.words) < CACHE_WORDS and len(word) <= WORD_CHARS:
-                self.words[word] = ids
-        return ids
-
-    def encode(self, text: str) -> np.ndarray | None:
-        """Ids of a space and a text, None where they don't give it back."""
-        words = text.split(" ")
-        if self.by_words and "" not in words:
-            ids = list(map(self.word, words))
-            return None if None in ids else np.frombuffer(b"".join(ids), dtype="<i4")
-        ids = self.whole(text)
-        return None if ids is None else np.frombuffer(ids, dtype="<i4")
-
-
-class Pair:
-    """Both tokenizers, the bytes of their ids, and an open DuckDB."""
-
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import duckdb
+        from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
 
-        self.a, self.b = ByteEncoder(path_a), PieceEncoder(path_b)
-        tables = self.tables = self.a.table, self.b.table
+        self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+        self.a.encode_special_tokens = True
+        tables = self.tables = byte_level(self.a), sentence_pieces(self.b)
         self.sizes = [np.array([len(x) for x in t], dtype=np.int64) for t in tables]
         if len(tables[0]) * len(tables[1]) > 1 << 32:
             raise ValueError("vocabularies of more than 2^32 pairs")
+        # Plain byte-level BPE, and a model that leaves every character as it is and has no piece with a space after another character.
+        with open(path_a, encoding="utf-8") as f:
+            plain = by_words(json.load(f))
+        odd = self.b.normalize("ﬁ ①  Å ") != f"{BLANK}ﬁ{BLANK}①{BLANK}{BLANK}Å{BLANK}"
+        self.cut = plain and not odd and not any(b" " in x.lstrip(b" ") for x in tables[1])
         # Decimal ids of A and B, each followed by a comma and by what ends its side of a group.
         self.told = [f"{i}{end}".encode() for t, ends in zip(tables, (",|", ",;"), strict=True) for end in ends for i in range(len(t))]
         self.con = duckdb.connect(config=DUCKDB)
+        self.forget()
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both, or None where one doesn't give the text's bytes back."""
-        if not text:
-            return None
-        a, b, want = self.a.spaced(text), self.b.encode(text), f" {text}".encode()
-        if b is None or self.sizes[0][a].sum() != len(want):
-            return None
-        # Plain byte-level BPE tiles any text, others are asked.
-        return (a, b) if self.a.plain or b"".join(map(self.a.table.__getitem__, a.tolist())) == want else None
+    def forget(self) -> None:
+        """Start with no stretches. They have numbers; figures and groups of each, and its links from first[k] to first[k + 1].
+
+        A word that is certain at both ends, wherever it stands, is its own key; others have a space before them.
+        """
+        self.number: dict[str, int] = {}
+        self.new: list[str] = []
+        self.chars, self.groups = 0, []
+        self.figures = np.zeros((4, 0), dtype=np.int32)
+        self.first, self.pair, self.times = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int32)
+
+    def stretches(self, text: str) -> list[str]:
+        if not self.cut:
+            return [text]
+        pieces, out, start = text.split(" "), [], 0
+        for k in range(1, len(pieces)):
+            if pieces[k - 1] and pieces[k] and _EDGE.match(pieces[k - 1][-1]) and _EDGE.match(pieces[k][0]):
+                out.append(" ".join(pieces[start:k]))
+                start = k
+        return [*out, " ".join(pieces[start:])]
+
+    def of(self, key: str) -> int:
+        k = self.number.get(key)
+        if k is None:
+            k = self.number[key] = len(self.number)
+            self.new.append(key)
+        return k
+
+    def numbered(self, text: str) -> np.ndarray:
+        """A text as numbers of stretches; the empty text has none."""
+        pieces = text.split(" ") if text else []
+        out = list(map(self.number.get, pieces))
+        if None in out:
+            for k in [k for k, x in enumerate(out) if x is None]:
+                x = pieces[k]
+                if x not in self.number and not (self.cut and _SURE.fullmatch(x)):
+                    out = [self.of(y if self.cut and _SURE.fullmatch(y) and " " not in y else f" {y}") for y in self.stretches(text)]
+                    break
+                out[k] = self.of(x)
+        return np.array(out, dtype=np.int32)
+
+    def encode(self, stretches: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For both tokenizers the ids of a space and each stretch (as keys), one after another, and how many each has.
+
+        A stretch whose bytes one of them doesn't give back has none.
+        """
+        ids: list[list[np.ndarray]] = [[], []]
+        counts: list[list[np.ndarray]] = [[], []]
+        for whole, run in groupby(stretches, key=lambda x: x[:1] == " "):
+            for some in _calls(run):
+                # Words that are certain at both ends are one text.
+                texts = some if whole else [f" {' '.join(some)}"]
+                found = [[e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([x[1:] for x in texts])]
+                ends = np.cumsum([len(x.encode()) + (not whole) for x in some])
+                each = []
+                for k in (0, 1):
+                    x = np.array(list(chain.from_iterable(found[k])), dtype=np.int32)
+                    same = b"".join(map(self.tables[k].__getitem__, x.tolist())) == "".join(texts).encode()
+                    at = np.cumsum(self.sizes[k][x])
+                    last = np.searchsorted(at, ends)
+                    each.append((x, np.diff(np.r_[0, last + 1])) if same and (at[last] == ends).all() else None)
+                if None in each and len(some) > 1:
+                    for y in some:
+                        for k, (x, n) in enumerate(zip(*self.encode([y]), strict=True)):
+                            ids[k].append(x)
+                            counts[k].append(n)
+                    continue
+                for k in (0, 1):
+                    x, n = each[k] if None not in each else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+                    ids[k].append(x)
+                    counts[k].append(n)
+        return [np.concatenate(x) for x in ids], [np.concatenate(x) for x in counts]
+
+    def learn(self) -> None:
+        """Align the new stretches."""
+        new, self.new = self.new, []
+        if not new:
+            return
+        ids, counts = self.encode(new)
+        m = len(new)
+        self.chars += sum(map(len, new))
+        groups, told, found = np.zeros(m, dtype=np.int64), [b""] * m, []
+        ends = [np.cumsum(s[i]) for s, i in zip(self.sizes, ids, strict=True)]
+        docs = [np.repeat(np.arange(m), c) for c in counts]
+        for low, high in self.cuts(ends):
+            spans = [slice(*np.searchsorted(e, (low, high), side="right")) for e in ends]
+            part = [[x[s] for x, s in zip(y, spans, strict=True)] for y in (ids, ends, docs)]
+            link, times, *group = self.section(part[0], [e - low for e in part[1]], part[2])
+            found.append((link, times))
+            groups += np.bincount(part[2][0][np.r_[group[0][1:] != group[0][:-1], True]], minlength=m)
+            at = np.r_[0, np.cumsum(np.bincount(part[2][0], minlength=m) + np.bincount(part[2][1], minlength=m))].tolist()
+            shown = list(map(self.told.__getitem__, self.symbols(part[0], group).tolist()))
+            for k in range(int(part[2][0][0]), int(part[2][0][-1]) + 1):
+                told[k] += b"".join(shown[at[k] : at[k + 1]])
+        link, times = (np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in range(2))
+        link, same = np.unique(link, return_inverse=True)
+        times = np.bincount(same, weights=times, minlength=len(link)).astype(np.int32)
+        links = np.bincount(link >> 32, weights=times, minlength=m).astype(np.int64)
+        self.groups += told
+        self.figures = np.concatenate([self.figures, np.stack([*counts, groups, links]).astype(np.int32)], axis=1)
+        self.first = np.r_[self.first, self.first[-1] + np.cumsum(np.bincount(link >> 32, minlength=m))]
+        self.pair, self.times = np.r_[self.pair, (link & 0xFFFFFFFF).astype(np.uint32)], np.r_[self.times, times]
 
     def section(self, ids: list[np.ndarray], ends: list[np.ndarray], docs: list[np.ndarray]):
         """Links (document and pair in one number) with their counts, and the groups, from 0, of all tokens.
@@ -152,52 +210,44 @@ class Pair:
         return out
 
     def chunk(self, texts: list[str]) -> dict:
-        """Figures of each text, its pairs as numbers and counts, and the chunk's pairs with their counts."""
+        """Figures of each text and its stretches as numbers with counts, those of stretches as pairs with counts, and pairs with theirs."""
+        if len(self.number) > KEPT or self.chars > KEPT_CHARS:
+            self.forget()
         n = len(texts)
-        both = [self.encode(t) for t in texts]
-        size = np.array([len(t.encode()) + 1 if x else 0 for t, x in zip(texts, both, strict=True)], dtype=np.int64)
-        known = [x for x in both if x]
-        told, groups = [hashlib.sha256() for _ in range(n)], np.zeros(n, dtype=np.int64)
-        counts = [np.array([len(x[k]) if x else 0 for x in both], dtype=np.int64) for k in (0, 1)]
-        found: list[tuple[np.ndarray, ...]] = []
-        if known:
-            ids = [np.concatenate([x[k] for x in known]) for k in (0, 1)]
-            ends = [np.cumsum(s[i]) for s, i in zip(self.sizes, ids, strict=True)]
-            docs = [np.repeat(np.arange(n), c) for c in counts]
-            stop = np.cumsum(size)
-            for low, high in self.cuts(ends, stop):
-                spans = [slice(*np.searchsorted(e, (low, high), side="right")) for e in ends]
-                part = [[x[s] for x, s in zip(y, spans, strict=True)] for y in (ids, ends, docs)]
-                link, times, *group = self.section(part[0], [e - low for e in part[1]], part[2])
-                found.append((link, times))
-                groups += np.bincount(part[2][0][np.r_[group[0][1:] != group[0][:-1], True]], minlength=n)
-                shown, of = self.symbols(part[0], group), np.bincount(part[2][0], minlength=n) + np.bincount(part[2][1], minlength=n)
-                at = np.r_[0, np.cumsum(of)]
-                for k in np.flatnonzero(of).tolist():
-                    text = b"".join(map(self.told.__getitem__, shown[at[k] : at[k + 1]].tolist()))
-                    told[k].update(text[:-1] if stop[k] <= high else text)
-        link, times = (np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in range(2))
-        doc, pair = link >> 32, link & 0xFFFFFFFF
-        pairs, number = np.unique(pair, return_inverse=True)
-        order = np.argsort(doc, kind="stable")
-        links = np.bincount(doc, weights=times, minlength=n).astype(np.int64)
+        seen = [self.numbered(x) for x in texts]
+        self.learn()
+        bad = self.figures[0] == 0
+        seen = [x if not bad[x].any() else x[:0] for x in seen]
+        # Each document's stretches once, with how often they occur, numbered anew within the chunk.
+        of, often = np.unique((np.repeat(np.arange(n), [len(x) for x in seen]) << 32) | np.concatenate(seen).astype(np.int64), return_counts=True)
+        doc, (used, stretch) = of >> 32, np.unique(of & 0xFFFFFFFF, return_inverse=True)
+        figures = self.figures[:, used]
+        total = lambda x: np.bincount(doc, weights=often * x[stretch], minlength=n).astype(np.int64)
+        many = self.first[used + 1] - self.first[used]
+        first = np.r_[0, np.cumsum(many)]
+        rows = np.repeat(self.first[used] - first[:-1], many) + np.arange(first[-1])
+        pairs, number = np.unique(self.pair[rows], return_inverse=True)
+        times, everywhere = self.times[rows], np.bincount(stretch, weights=often, minlength=len(used))
         return {
-            "n_a": counts[0],
-            "n_b": counts[1],
-            "n_groups": groups,
-            "n_links": links,
-            "sha": [h.hexdigest() if x else "" for h, x in zip(told, both, strict=True)],
+            "n_a": total(figures[0]),
+            "n_b": total(figures[1]),
+            "n_groups": total(figures[2]),
+            "n_links": total(figures[3]),
+            "sha": [hashlib.sha256(b"".join(map(self.groups.__getitem__, x.tolist()))[:-1]).hexdigest() if len(x) else "" for x in seen],
             "at": np.r_[0, np.cumsum(np.bincount(doc, minlength=n))],
-            "pair": number[order],
-            "n": times[order],
+            "stretch": stretch,
+            "often": often,
+            "first": first,
+            "pair": number,
+            "n": times,
             "a": pairs // len(self.tables[1]),
             "b": pairs % len(self.tables[1]),
-            "total": np.bincount(number, weights=times, minlength=len(pairs)).astype(np.int64),
+            "total": np.bincount(number, weights=times * np.repeat(everywhere, many), minlength=len(pairs)).astype(np.int64),
         }
 
-    def cuts(self, ends: list[np.ndarray], stop: np.ndarray) -> Iterator[tuple[int, int]]:
+    def cuts(self, ends: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         """Stretches of bytes (after low, up to high) of about TABLE_BYTES that begin and end at ends of both."""
-        low, total = 0, int(stop[-1])
+        low, total = 0, int(ends[0][-1]) if len(ends[0]) else 0
         while low < total:
             high = total
             if total - low > 2 * TABLE_BYTES:
@@ -210,6 +260,19 @@ class Pair:
             low = high
 
 
+def _calls(stretches: Iterator[str]) -> Iterator[list[str]]:
+    """Stretches in lists of about CALL_CHARS characters."""
+    some, size = [], 0
+    for x in stretches:
+        some.append(x)
+        size += len(x)
+        if size >= CALL_CHARS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 _pairs: dict[tuple[str, str], Pair] = {}
 
 
@@ -217,6 +280,9 @@ def pair_of(path_a: str, path_b: str) -> Pair:
     """Both tokenizers in this Python process."""
     if (path_a, path_b) not in _pairs:
         _pairs[path_a, path_b] = Pair(path_a, path_b)
+        # What is kept would be walked through by every full collection.
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 1000)
     return _pairs[path_a, path_b]
 
 
@@ -254,7 +320,7 @@ def chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 ids.append(doc)
                 texts.append(text.as_py())
                 size += len(texts[-1])
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_CHARS:
                     yield packed(ids, texts)
                     ids, texts, size = [], [], 0
         if ids:
@@ -287,13 +353,15 @@ def documents(parts: DataFrame) -> DataFrame:
                 values = lambda c, batch=batch, k=k: batch.column(c)[k].values
                 numbers = lambda c, values=values: values(c).to_numpy(zero_copy_only=False)
                 out = {c: values(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": values("sha")}
-                at, total = numbers("at"), {"n_best": 0, "count_sum": 0}
-                if at[-1]:
-                    pair, n = numbers("pair"), numbers("n").astype(np.int64)
-                    total = {"n_best": n * numbers("best")[pair], "count_sum": n * numbers("count")[pair]}
-                for c, x in total.items():
-                    sums = np.r_[0, np.cumsum(x)] if at[-1] else np.zeros(1, np.int64)
-                    out[c] = pa.array(sums[at[1:]] - sums[at[:-1]], pa.int64())
+                at, pair, n, often = numbers("at"), numbers("pair"), numbers("n").astype(np.int64), numbers("often").astype(np.int64)
+                for c, of in (("n_best", "best"), ("count_sum", "count")):
+                    x = n * numbers(of)[pair] if len(pair) else n
+                    for first, then in ((numbers("first"), numbers("stretch")), (at, None)):
+                        # Sums of each stretch's pairs, then of each document's stretches.
+                        sums = np.r_[0, np.cumsum(x)]
+                        x = sums[first[1:]] - sums[first[:-1]]
+                        x = often * x[then] if then is not None else x
+                    out[c] = pa.array(x, pa.int64())
                 yield pa.record_batch([out[c].cast(pa.string() if t == "string" else pa.int64()) for c, t in fields], names=[c for c, _ in fields])
 
     return rows.mapInArrow(run, RESULT)
