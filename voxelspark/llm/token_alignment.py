@@ -31,10 +31,10 @@ from .token_output import _EDGE, by_words
 from .vocabulary import BLANK, byte_level, sentence_pieces
 
 #: Characters of text of a chunk, of which one has more only if a single text has; of a table in DuckDB (bytes); and of what is encoded together.
-CHUNK_CHARS, TABLE_BYTES, CALL_CHARS = 3 << 20, 1 << 20, 1 << 14
+CHUNK_CHARS, TABLE_BYTES, CALL_CHARS = 1 << 20, 1 << 19, 1 << 14
 #: Distinct stretches, and their characters, after which those of earlier chunks are forgotten.
-KEPT, KEPT_CHARS = 300_000, 1 << 23
-DUCKDB = {"threads": 1, "memory_limit": "160MB"}
+KEPT, KEPT_CHARS = 120_000, 1 << 22
+DUCKDB = {"threads": 1, "memory_limit": "128MB"}
 CHUNKS = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, at array<int>, stretch array<int>, often array<int>, first array<int>, pair array<int>, n array<int>, a array<int>, b array<int>, total array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
