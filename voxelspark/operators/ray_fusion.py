@@ -7,6 +7,7 @@ each voxel in turn" compares a sample's voxel with the one before, without a win
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,8 +40,8 @@ def _clamp(x: Column, to: tuple[float, float], res: float) -> Column:
     return F.greatest(F.lit(to[0] * res), F.least(x, F.lit(to[1] * res)))
 
 
-def updates(rays: DataFrame, vmap: VoxelMap, model: RayModel) -> DataFrame:
-    """scan, seq, v, value: the log-odds that each ray (scan, seq, x, y, z in the sensor's frame) gives a voxel.
+def marched(rays: DataFrame, vmap: VoxelMap, model: RayModel) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Rays (scan, seq, x, y, z in the sensor's frame) with n, tau, s, the sensor's place px, py, pz and k for each half-voxel step; and the number of the voxel at a step.
 
     Poses are the columns tx, ty, tz and qw to qz, if there are any; else the sensor is at
     the origin. Rays shorter than the near plane, or with null or infinite ends, and rays
@@ -64,21 +65,39 @@ def updates(rays: DataFrame, vmap: VoxelMap, model: RayModel) -> DataFrame:
         return (z * vmap.size + y) * vmap.size + x
 
     rows = rows.filter(vmap.inside(*at(F.lit(0)))).withColumn("steps", steps).filter("steps > 0")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).filter(vmap.inside(*at(F.col("k"))))
+    return rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).filter(vmap.inside(*at(F.col("k")))), voxel
+
+
+def behind(vmap: VoxelMap, model: RayModel) -> Column:
+    """How far step k lies behind the ray's end."""
+    return F.lit(model.near) + F.col("k") * F.lit(0.5 * vmap.res) - F.col("n")
+
+
+def log_odds(vmap: VoxelMap, model: RayModel) -> Column:
+    """What step k says of its voxel; null beyond the surface."""
+    value = fusion.inverse_sensor_model(behind(vmap, model), F.col("tau"), F.col("s"))
+    return F.when(value.isNotNull(), F.least(value, F.lit(fusion.LOG_ODD_MAX)))
+
+
+def updates(rays: DataFrame, vmap: VoxelMap, model: RayModel) -> DataFrame:
+    """scan, seq, v, value: the log-odds that each ray (see marched) gives a voxel."""
+    rows, voxel = marched(rays, vmap, model)
     rows = rows.select("scan", "seq", "n", "tau", "s", "k", voxel(F.col("k")).alias("v"), voxel(F.col("k") - 1).alias("before"))
     rows = rows.filter((F.col("k") == 0) | (F.col("v") != F.col("before")))
-    behind = F.lit(model.near) + F.col("k") * F.lit(step) - n
-    value = fusion.inverse_sensor_model(behind, F.col("tau"), F.col("s"))
-    return rows.select("scan", "seq", "v", F.least(value, F.lit(fusion.LOG_ODD_MAX)).alias("value"), value.isNotNull().alias("any")).filter("any").drop("any")
+    return rows.select("scan", "seq", "v", log_odds(vmap, model).alias("value")).filter("value is not null")
 
 
-def segmented_mean(rows: DataFrame, by: str, segment: list[str], order: str, value: str, max_weight: int) -> DataFrame:
-    """by, mean, weight: the clamped running mean of groups that may be very large.
+def segments(rows: DataFrame, by: str, segment: list[str], order: str, value: str, max_weight: int) -> DataFrame:
+    """by, segment, n, head, tail: each pair of by and segment folded alone, into its first max_weight values and the faded sum of the others."""
+    w, fade = max_weight, F.lit((max_weight - 1) / max_weight)
+    x = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: r[value])
+    parts = rows.groupBy(by, *segment).agg(x.alias("x"))
+    tail = F.aggregate(F.slice("x", w + 1, F.greatest(F.size("x") - w, F.lit(0))), F.lit(0.0), lambda s, v: s * fade + v)
+    return parts.select(by, *segment, F.size("x").cast("long").alias("n"), F.slice("x", 1, w).alias("head"), tail.alias("tail"))
 
-    segment, then order, is the order of the rows; a pair of by and segment holds few rows.
-    Each is folded alone into its first max_weight values and the faded sum of the others,
-    so the window over a group sees one row a segment.
-    """
+
+def joined_mean(parts: DataFrame, by: str, segment: list[str], max_weight: int) -> DataFrame:
+    """by, mean, weight: the clamped running mean over segments() in the order of segment."""
     w, fade = max_weight, F.lit((max_weight - 1) / max_weight)
 
     def plain(x: Column) -> Column:
@@ -87,9 +106,6 @@ def segmented_mean(rows: DataFrame, by: str, segment: list[str], order: str, val
     def faded(x: Column) -> Column:
         return F.aggregate(x, F.lit(0.0), lambda s, v: s * fade + v)
 
-    x = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: r[value])
-    parts = rows.groupBy(by, *segment).agg(x.alias("x"))
-    parts = parts.select(by, *segment, F.size("x").cast("long").alias("n"), F.slice("x", 1, w).alias("head"), faded(F.slice("x", w + 1, F.greatest(F.size("x") - w, F.lit(0)))).alias("tail"))
     group = Window.partitionBy(by)
     before = F.coalesce(F.sum("n").over(group.orderBy(*segment).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumns({"before": before, "all": F.sum("n").over(group)})
@@ -101,6 +117,15 @@ def segmented_mean(rows: DataFrame, by: str, segment: list[str], order: str, val
     return parts.withColumn("share", share).groupBy(by).agg(F.sum("share").alias("mean"), F.least(F.sum("n"), F.lit(w)).cast("int").alias("weight"))
 
 
+def segmented_mean(rows: DataFrame, by: str, segment: list[str], order: str, value: str, max_weight: int) -> DataFrame:
+    """by, mean, weight: the clamped running mean of groups that may be very large.
+
+    segment, then order, is the order of the rows; a pair of by and segment holds few rows.
+    Each is folded alone first, so the window over a group sees one row a segment.
+    """
+    return joined_mean(segments(rows, by, segment, order, value, max_weight), by, segment, max_weight)
+
+
 def fuse(rays: DataFrame, vmap: VoxelMap, model: RayModel | None = None, per_segment: int = 4096) -> DataFrame:
     """(vx, vy, vz, occupancy, weight) of every voxel that a ray passes or ends in, folded by scan and seq.
 

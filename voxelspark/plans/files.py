@@ -11,9 +11,14 @@ from ..sources import readers
 from .registry import query, table
 
 
+def folder(spark: SparkSession, name: str = "map") -> str:
+    """A new folder in spark.checkpoint.dir (in one of its own where that is unset)."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/voxelspark'}/{name}-{uuid.uuid4().hex}"
+
+
 def _written(spark: SparkSession, sf_dir: str, line: str) -> str:
-    """A folder of text files with one line an event, in spark.checkpoint.dir (a folder of its own where that is unset)."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/voxelspark'}/lines-{uuid.uuid4().hex}"
+    """A folder of text files with one line an event."""
+    path = folder(spark, "lines")
     table(spark, sf_dir, "events").select(F.expr(line)).write.text(path)
     return path
 
