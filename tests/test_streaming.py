@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxelspark.functions.sensors import Pinhole
-from voxelspark.operators import carve, fusion
+from voxelspark.functions.sensors import Lidar, Pinhole
+from voxelspark.operators import carve, fusion, ray_fusion, ray_map
 from voxelspark.streaming import blocks, fuse, rays
 
 CAMERA = Pinhole(8.0, 8.0, 3.5, 3.5, 8, 8, near=0.1, far=6.0)
@@ -53,6 +53,83 @@ def test_map_stream_equals_fusing_at_once(spark, tmp_path):
     assert got == want and max(w for _, w in want.values()) == 4
 
 
+def test_a_small_batch_writes_little_and_a_repeated_one_does_no_harm(spark, tmp_path):
+    stream = fuse.MapStream(str(tmp_path / "map"), CAMERA, MAP, compact_every=2)
+    frames = sequence(spark, 4).cache()
+    one = lambda f: frames.filter(F.col("frame") == f)
+    whole = lambda v: sorted(map(tuple, stream.voxels(spark, v).collect()))
+    stream.update(one(0), 0)
+    # A single pixel changes few of the blocks that one frame of 64 has.
+    stream.update(one(1).filter("x = 4 and y = 4"), 1)
+    count = lambda v: spark.read.parquet(f"{tmp_path}/map/voxels/changes/version={v:010d}").select("bx", "by", "bz").distinct().count()
+    assert 0 < count(1) < count(0) / 4
+    before = whole(1)
+    stream.update(one(1).filter("x = 4 and y = 4"), 1)
+    assert whole(1) == before
+    stream.update(one(2), 2)
+    after = whole(2)
+    assert (tmp_path / "map/voxels/base/version=0000000002").exists()
+    stream.update(one(2), 2)
+    assert whole(2) == after and whole(1) == before
+
+
+def ray_rows(spark, n=60):
+    rng = np.random.default_rng(7)
+    rows = []
+    for scan in range(3):
+        for seq in range(n):
+            d = rng.normal(size=3)
+            x, y, z = (d / np.linalg.norm(d) * rng.uniform(0.5, 6.0)).tolist()
+            rows.append((scan, seq, x, y, z, 1.5 * scan - 1.5, 0.0, 0.0))
+    return spark.createDataFrame(rows, "scan long, seq long, x double, y double, z double, tx double, ty double, tz double")
+
+
+def test_ray_map_stream_equals_its_batches(spark, tmp_path):
+    frame = ray_rows(spark)
+    for scan in range(3):
+        frame.filter(F.col("scan") == scan).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    how = ray_map.RayMap(lidar=Lidar.leica(3.5, 3.5))
+    stream = rays.RayMapStream(str(tmp_path / "stream"), how, per_segment=16, compact_every=1)
+    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.start(source).awaitTermination(180)
+    batches = rays.RayMapStream(str(tmp_path / "batches"), how)
+    for scan in (0, 1, 1, 2):
+        batches.update(frame.filter(F.col("scan") == scan), scan)
+    told = lambda s: sorted((r["scale"], r["v"], round(r["occupancy"], 9), r["weight"]) for r in s.voxels(spark, 2).collect())
+    got = told(stream)
+    assert got == told(batches)
+    assert {r[0] for r in got} == {0, 1, 2, 3} and len({r[1] for r in got}) == len(got)
+    # Octants above bound what is below them, level by level.
+    up = {(r["scale"], r["v"]): r for r in ray_map.levels(stream.voxels(spark, 2), how).collect()}
+    below = {(r[0], r[1]): (r[2] * r[3], r[2] * r[3]) for r in got} | {k: (r["low"], r["high"]) for k, r in up.items()}
+    n = how.vmap.size
+    for (scale, v), (low, high) in below.items():
+        if scale < n.bit_length() - 1:
+            step = 2 << scale
+            x, y, z = (c // step * step for c in (v % n, v // n % n, v // n**2))
+            parent = up[scale + 1, (z * n + y) * n + x]
+            assert parent["low"] <= low + 1e-6 and high <= parent["high"] + 1e-6
+
+
+def test_a_single_ray_takes_the_scales_of_its_distances(spark, tmp_path):
+    """All scales along one ray: by the block's distance, and not the finest in free space."""
+    how = ray_map.RayMap(vmap=fusion.VoxelMap(dim=25.6), lidar=Lidar.leica(1.0, 1.0), model=ray_fusion.RayModel(near=0.2, far=30.0))
+    stream = rays.RayMapStream(str(tmp_path / "map"), how)
+    stream.update(spark.createDataFrame([(0, 0, 10.0, 0.0, 0.0)], "scan long, seq long, x double, y double, z double"), 0)
+    n, got = how.vmap.size, {}
+    for r in stream.voxels(spark, 0).collect():
+        x = r["v"] % n // 8
+        assert got.setdefault(x, r["scale"]) == r["scale"] and r["v"] // n % n // 8 == n // 16
+    three = 3 * min(max(0.052 * 10, 1.5 * 0.05), 6 * 0.05)
+    for x, scale in got.items():
+        centre = np.array([(x * 8 + 4) * 0.05 - 12.8, 0.2, 0.2])
+        ratio = np.linalg.norm(centre) * np.radians(1.0) / 0.05
+        want = sum(ratio >= s for s in (1.5, 3.0, 6.0))
+        free = (x * 8 + 8) * 0.05 - 12.8 < 10 - three
+        assert scale == (max(want, 1) if free else want)
+    assert len(got) >= 24 and set(got.values()) == {1, 2}
+
+
 def test_buffer_takes_over_after_enough_rounds():
     block = blocks.Block(8, True, 20)
     see = lambda scale: np.full((8 >> scale,) * 3, -5.015)

@@ -1,14 +1,19 @@
-"""Time-window batches of LiDAR rays that are anchored at the first ray of each batch."""
+"""Streams of LiDAR rays: time-window batches anchored at the first ray of each, and maps that batches of rays update."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import ray_map
+from .store import BlockStore
+
 
 def cut(ts: np.ndarray, interval: int, keep_tail: bool) -> np.ndarray:
     """The batch of each ray, -1 for a last batch that isn't full and isn't kept.
@@ -61,3 +66,37 @@ def stream_batches(rays: DataFrame, interval: int) -> DataFrame:
 
     out, kept = "scan long, seq long, batch long", "done long, seqs array<long>, times array<long>"
     return rays.select("scan", "seq", "ts").groupBy("scan").applyInPandasWithState(fold, out, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+@dataclass
+class RayMapStream:
+    """A map of rays at all scales (see ray_map); each micro-batch is one batch of rays.
+
+    Version n holds the blocks that batch n changed and follows from the versions before it,
+    so a repeated batch does no harm. Every compact_every batches the merged map becomes the
+    base of later reads.
+    """
+
+    path: str
+    how: ray_map.RayMap = field(default_factory=ray_map.RayMap)
+    per_segment: int = 4096
+    compact_every: int = 50
+
+    @property
+    def store(self) -> BlockStore:
+        return BlockStore(self.path, ray_map.STATE)
+
+    def voxels(self, spark: SparkSession, version: int) -> DataFrame:
+        return self.store.read(spark, version)
+
+    def update(self, rays: DataFrame, batch: int) -> None:
+        """Integrate the rays (scan, seq, x, y, z and poses) of one batch; one without rays changes nothing."""
+        spark = rays.sparkSession
+        self.store.write(ray_map.changes(self.store.read(spark, batch - 1), rays, self.how, self.per_segment), batch)
+        if batch and batch % self.compact_every == 0:
+            self.store.compact(spark, batch)
+
+    def start(self, rays: DataFrame, **options) -> StreamingQuery:
+        """Integrate a stream of rays; a batch's size is set by the source (maxFilesPerTrigger) and the trigger."""
+        writer = rays.writeStream.foreachBatch(self.update).option("checkpointLocation", f"{self.path}/checkpoint")
+        return writer.trigger(**(options or {"availableNow": True})).start()

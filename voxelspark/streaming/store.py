@@ -61,5 +61,7 @@ class BlockStore:
         return rows.join(latest, same, "left_semi").drop("_version")
 
     def compact(self, spark: SparkSession, version: int) -> None:
-        """Write the map as of a version as a base; earlier versions stay readable."""
+        """Write the map as of a version as a base, if it isn't there; earlier versions stay readable."""
+        if version in self.versions(spark, "base", version):
+            return
         self.read(spark, version).write.mode("overwrite").parquet(self._folder("base", version))
