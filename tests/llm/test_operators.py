@@ -825,3 +825,27 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
     assert table(decontaminate.hits(docs, bench)) == whole and len(whole) >= 24
     assert decontaminate.clean(docs, bench).collect() == []
+
+
+def test_long_items_and_short_ones_among_them():
+    """Items of every length reach the recall that short ones reach, long ones exactly; their index follows the words."""
+    from voxelspark.llm import decontaminate as dc
+
+    rng = np.random.default_rng(21)
+    lengths = [500] * 5 + [40] * 60 + [200] * 12 + [1500, 7]
+    texts = [rng.integers(1, 1 << 62, n, dtype=np.uint64) for n in lengths]
+    index = dc.Index(list(range(len(texts))), texts)
+    index.calibrate()
+    assert all(g.recall >= dc.TARGET_RECALL for g in index.classes)
+    assert sum(x.nbytes for g in index.classes for x in g.walked) <= 32 * dc.MOST_WALKS * sum(lengths)
+    found = {n: [0, 0] for n in lengths}
+    for k, t in enumerate(texts):
+        for _ in range(30 if len(t) == 200 else 3):
+            copy = t.tolist()
+            for j in rng.choice(len(copy), dc.edits(len(copy)), replace=False):
+                copy[j] = int(rng.integers(1, 1 << 62))
+            text = np.r_[rng.integers(1, 1 << 62, 30, dtype=np.uint64), np.array(copy, dtype=np.uint64), rng.integers(1, 1 << 62, 9, dtype=np.uint64)]
+            w = type("Text", (), {"hashes": text, "of": np.array([0, len(text)]), "__len__": lambda self: 1})()
+            found[len(t)][0] += any(i == k for _, i, *_ in index.search(w))
+            found[len(t)][1] += 1
+    assert all(hit >= 0.97 * n and (size <= dc.LONGEST_WALKED or hit == n) for size, (hit, n) in found.items()), found

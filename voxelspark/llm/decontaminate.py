@@ -9,8 +9,10 @@ it, if shorter) is within floor(MAX_EDITS * m) word edits of the item.
 2. CGK embedding: a random walk through the window copies words and moves on by a random
    bit of (step, word), so edit distance becomes Hamming distance to the item's walk.
 3. Bit-sampling LSH: a window is a candidate if some sample of steps agrees with the
-   item's. Walks are added until simulated windows at the greatest distance are found with
-   the target recall.
+   item's. Items of like length have walks of their own, added until simulated windows at
+   the greatest distance are found with the target recall. The walks' distance grows with
+   the square of the edits, so for long items (over LONGEST_WALKED words, or where
+   MOST_WALKS don't reach the target) they tell nothing, and every window of step 1 goes on.
 4. Candidates are verified exactly, by a bound on common words and then bit-parallel edit
    distance over all windows around the candidate.
 
@@ -35,8 +37,8 @@ from .words import windows, words
 
 #: Edits for each word of an item.
 MAX_EDITS = 0.2
-TARGET_RECALL, SAMPLE_STEPS, SAMPLES, MOST_WALKS, TRIALS = 0.99, 3, 24, 64, 1200
-#: Bound of one block of the benchmark, in words; its index is about 100 bytes a word.
+TARGET_RECALL, SAMPLE_STEPS, SAMPLES, MOST_WALKS, LONGEST_WALKED, TRIALS = 0.99, 3, 24, 16, 256, 1200
+#: Bound of one block of the benchmark, in words; its index is some 100 bytes a word, and 32 more for each walk of the item's length.
 BLOCK_WORDS = 200_000
 _BITS = 20
 
@@ -77,6 +79,42 @@ def walk(text: np.ndarray, at: np.ndarray, ends: np.ndarray, odds: np.ndarray) -
     return out
 
 
+@dataclass
+class Walks:
+    """Walks of the items of one class of lengths; narrow: whether they choose candidates."""
+
+    items: np.ndarray
+    m: np.ndarray
+    walks: list[np.ndarray] = field(default_factory=list)
+    samples: list[np.ndarray] = field(default_factory=list)
+    walked: list[np.ndarray] = field(default_factory=list)
+    narrow: bool = False
+    recall: float = 1.0
+
+    def add(self, flat: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> None:
+        steps = 2 * int(self.m.max())
+        self.walks.append(rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        # Fractions of an item's walk, so that one draw serves items of all lengths.
+        self.samples.append(rng.random((SAMPLES, SAMPLE_STEPS)))
+        self.walked.append(walk(flat, at[self.items], at[self.items + 1], self.walks[-1]))
+
+    def alike(self, k: int, row: np.ndarray, text: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether some sample of walk k agrees between the windows text[at:ends] and the items of these rows."""
+        out = np.zeros(len(row), dtype=bool)
+        for low in range(0, len(row), 8192):
+            part = slice(low, low + 8192)
+            m = self.m[row[part]]
+            steps = 2 * int(m.max())
+            same = walk(text, at[part], ends[part], self.walks[k][:steps]) == self.walked[k][row[part], :steps]
+            rows = np.arange(len(m))
+            for sample in self.samples[k]:
+                hit = np.ones(len(m), dtype=bool)
+                for f in sample:
+                    hit &= same[rows, (f * 2 * m).astype(np.int64)]
+                out[part] |= hit
+        return out
+
+
 @dataclass
 class Index:
     """One block of items, ready to be looked for."""
@@ -84,10 +122,7 @@ class Index:
     ids: list
     texts: list[np.ndarray]
     rate: float = MAX_EDITS
-    walks: list[np.ndarray] = field(default_factory=list)
-    samples: list[np.ndarray] = field(default_factory=list)
-    walked: list[np.ndarray] = field(default_factory=list)
-    recall: float = 1.0
+    classes: list[Walks] = field(default_factory=list)
 
     def __post_init__(self):
         self.m = np.array([len(t) for t in self.texts], dtype=np.int64)
@@ -114,41 +149,26 @@ class Index:
             self.places.append(bits)
         self.bags = [Counter(t.tolist()) for t in self.texts]
 
-    def add_walk(self, rng: np.random.Generator) -> None:
-        steps = 2 * int(self.m.max())
-        self.walks.append(rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-        # Fractions of an item's walk, so that one draw serves items of all lengths.
-        self.samples.append(rng.random((SAMPLES, SAMPLE_STEPS)))
-        self.walked.append(walk(self.flat, self.at[:-1], self.at[1:], self.walks[-1]))
-
-    def alike(self, k: int, item: np.ndarray, text: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Whether some sample of walk k agrees between the windows text[at:ends] and the items."""
-        out = np.zeros(len(item), dtype=bool)
-        for low in range(0, len(item), 8192):
-            part = slice(low, low + 8192)
-            m = self.m[item[part]]
-            steps = 2 * int(m.max())
-            same = walk(text, at[part], ends[part], self.walks[k][:steps]) == self.walked[k][item[part], :steps]
-            rows = np.arange(len(m))
-            for sample in self.samples[k]:
-                hit = np.ones(len(m), dtype=bool)
-                for f in sample:
-                    hit &= same[rows, (f * 2 * m).astype(np.int64)]
-                out[part] |= hit
-        return out
-
     def calibrate(self, target: float = TARGET_RECALL) -> None:
-        """Add walks until windows simulated at the greatest distance are found with the target recall.
+        """Give each class of lengths, by powers of two, the walks with which it reaches the target recall.
 
-        Half of the windows are lined up with the item, half lie as many words beside it as
-        edits are left to them; each half must reach the target. Raises where MOST_WALKS don't.
+        Simulated windows are at the greatest distance; half of them are lined up with the
+        item, half lie as many words beside it as edits are left to them, and each half must
+        reach the target.
         """
-        rng, some = np.random.default_rng(11), np.flatnonzero(self.m)
-        if not len(some):
-            return
-        item = rng.choice(some, TRIALS)
+        sizes = np.array([int(m).bit_length() for m in self.m])
+        self.classes, self.of, self.row = [], np.zeros(len(self.m), dtype=np.int64), np.zeros(len(self.m), dtype=np.int64)
+        for size in np.unique(sizes):
+            items = np.flatnonzero(sizes == size)
+            self.of[items], self.row[items] = len(self.classes), np.arange(len(items))
+            self.classes.append(Walks(items, self.m[items]))
+            if self.m[items].max() <= LONGEST_WALKED:
+                self._calibrate(self.classes[-1], target, np.random.default_rng(11))
+
+    def _calibrate(self, group: Walks, target: float, rng: np.random.Generator) -> None:
+        row = rng.integers(0, len(group.items), TRIALS)
         made = []
-        for trial, k in enumerate(item):
+        for trial, k in enumerate(group.items[row]):
             t = self.texts[k].tolist()
             # Beside the item by s words, a window lacks s of its words and has s others: two edits each.
             beside = int(rng.integers(0, edits(len(t), self.rate) // 2 + 1)) if trial % 2 else 0
@@ -158,14 +178,14 @@ class Index:
                 t = [*t[:j], *([w] if what == 0 else [w, t[j]] if what == 1 else []), *t[j + 1 :]] or [w]
             made.append(np.array(t, dtype=np.uint64)[: len(self.texts[k])])
         text, at = np.concatenate(made), np.r_[0, np.cumsum([len(x) for x in made])]
-        found = np.zeros(len(item), dtype=bool)
-        while len(self.walks) < MOST_WALKS:
-            self.add_walk(rng)
-            found |= self.alike(len(self.walks) - 1, item, text, at[:-1], at[1:])
-            self.recall = float(min(found[::2].mean(), found[1::2].mean()))
-            if self.recall >= target:
-                return
-        raise ValueError(f"{MOST_WALKS} walks find {self.recall:.4f} of the simulated windows, not {target}")
+        found = np.zeros(TRIALS, dtype=bool)
+        while len(group.walks) < MOST_WALKS and not group.narrow:
+            group.add(self.flat, self.at, rng)
+            found |= group.alike(len(group.walks) - 1, row, text, at[:-1], at[1:])
+            group.recall = float(min(found[::2].mean(), found[1::2].mean()))
+            group.narrow = group.recall >= target
+        if not group.narrow:
+            group.walks, group.samples, group.walked, group.recall = [], [], [], 1.0
 
     def search(self, w) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, start) of the nearest window for each text and item within reach."""
@@ -189,14 +209,18 @@ class Index:
         pairs = np.unique(np.concatenate(pairs), axis=0)
         text, item, start = pairs.T
         ends = np.minimum(start + self.m[item], w.of[text + 1])
-        left = np.arange(len(pairs))
         kept = []
-        for k in range(len(self.walks)):
-            if not len(left):
-                break
-            hit = self.alike(k, item[left], w.hashes, start[left], ends[left])
-            kept.append(left[hit])
-            left = left[~hit]
+        for c, group in enumerate(self.classes):
+            left = np.flatnonzero(self.of[item] == c)
+            if not group.narrow:
+                kept.append(left)
+                continue
+            for k in range(len(group.walks)):
+                if not len(left):
+                    break
+                hit = group.alike(k, self.row[item[left]], w.hashes, start[left], ends[left])
+                kept.append(left[hit])
+                left = left[~hit]
         chosen: dict[tuple[int, int], list[int]] = defaultdict(list)
         for k in np.sort(np.concatenate(kept)) if kept else ():
             chosen[int(text[k]), int(item[k])].append(int(start[k]))
@@ -250,7 +274,8 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
     distance is that of the nearest window of n_words (the item's) words, start_word the
     first such. Null and empty texts hold nothing; items without words are held by none;
-    repeated rows each have their rows; empty tables give an empty table.
+    repeated rows each have their rows; empty tables give an empty table. Very long texts and
+    items are looked through whole.
     """
     spark = docs.sparkSession
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), whole(col(text_col)).alias("text"))
@@ -275,7 +300,11 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = MAX_EDITS) -> DataFrame:
-    """The rows of docs that hold no item, in docs' columns."""
+    """The rows of docs that hold no item, in docs' columns.
+
+    Rows with a null or empty text stay, repeated rows fare alike, an empty table stays
+    empty and an empty benchmark drops nothing; columns that are named like an item's don't matter.
+    """
     small_batches(docs.sparkSession)
     for index in indexes(items, rate=rate):
         shared = docs.sparkSession.sparkContext.broadcast(index)
