@@ -135,7 +135,7 @@ def test_single_words_are_cut_where_certain(monkeypatch):
 def test_pair_counts(spark):
     docs = spark.createDataFrame([(1, "one two two"), (2, "two")], "doc_id long, text string")
     counts = token_alignment.pair_counts(token_alignment.chunks(docs, BYTES, PIECES)).collect()
-    assert sum(r["count"] for r in counts) == sum(r["n_links"] for r in token_alignment.align(docs, BYTES, PIECES).collect())
+    assert counts and sum(r["count"] for r in counts) == sum(r["n_links"] for r in token_alignment.align(docs, BYTES, PIECES).collect())
     by_b = {}
     for r in counts:
         by_b.setdefault(r["b"], []).append(r)

@@ -35,7 +35,8 @@ CHUNK_CHARS, TABLE_BYTES, CALL_CHARS = 1 << 20, 1 << 19, 1 << 14
 #: Distinct stretches, and their characters, after which those of earlier chunks are forgotten.
 KEPT, KEPT_CHARS = 120_000, 1 << 22
 DUCKDB = {"threads": 1, "memory_limit": "128MB"}
-CHUNKS = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, at array<int>, stretch array<int>, often array<int>, first array<int>, pair array<int>, n array<int>, a array<int>, b array<int>, total array<long>"
+#: Rows of a chunk: its documents (k null), with numbers and counts of their pairs, and its pairs (k their number).
+CHUNKS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, sha string, pair array<int>, n array<int>, k int, a int, b int, total long"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 #: A word at whose ends both tokenizers begin a token, if single spaces part it from others like it.
@@ -210,7 +211,7 @@ class Pair:
         return out
 
     def chunk(self, texts: list[str]) -> dict:
-        """Figures of each text and its stretches as numbers with counts, those of stretches as pairs with counts, and pairs with theirs."""
+        """Figures of each text, its pairs as numbers with counts, from at[k] to at[k + 1], and the chunk's pairs with theirs."""
         if len(self.number) > KEPT or self.chars > KEPT_CHARS:
             self.forget()
         n = len(texts)
@@ -218,31 +219,27 @@ class Pair:
         self.learn()
         bad = self.figures[0] == 0
         seen = [x if not bad[x].any() else x[:0] for x in seen]
-        # Each document's stretches once, with how often they occur, numbered anew within the chunk.
+        # Each document's stretches once, with how often they occur, then its pairs, numbered anew within the chunk.
         of, often = np.unique((np.repeat(np.arange(n), [len(x) for x in seen]) << 32) | np.concatenate(seen).astype(np.int64), return_counts=True)
-        doc, (used, stretch) = of >> 32, np.unique(of & 0xFFFFFFFF, return_inverse=True)
-        figures = self.figures[:, used]
+        doc, stretch = of >> 32, of & 0xFFFFFFFF
         total = lambda x: np.bincount(doc, weights=often * x[stretch], minlength=n).astype(np.int64)
-        many = self.first[used + 1] - self.first[used]
-        first = np.r_[0, np.cumsum(many)]
-        rows = np.repeat(self.first[used] - first[:-1], many) + np.arange(first[-1])
+        many = self.first[stretch + 1] - self.first[stretch]
+        rows = np.repeat(self.first[stretch] - np.cumsum(many) + many, many) + np.arange(many.sum())
         pairs, number = np.unique(self.pair[rows], return_inverse=True)
-        times, everywhere = self.times[rows], np.bincount(stretch, weights=often, minlength=len(used))
+        times = self.times[rows] * np.repeat(often, many)
+        own, same = np.unique((np.repeat(doc, many) << 32) | number, return_inverse=True)
         return {
-            "n_a": total(figures[0]),
-            "n_b": total(figures[1]),
-            "n_groups": total(figures[2]),
-            "n_links": total(figures[3]),
+            "n_a": total(self.figures[0]),
+            "n_b": total(self.figures[1]),
+            "n_groups": total(self.figures[2]),
+            "n_links": total(self.figures[3]),
             "sha": [hashlib.sha256(b"".join(map(self.groups.__getitem__, x.tolist()))[:-1]).hexdigest() if len(x) else "" for x in seen],
-            "at": np.r_[0, np.cumsum(np.bincount(doc, minlength=n))],
-            "stretch": stretch,
-            "often": often,
-            "first": first,
-            "pair": number,
-            "n": times,
+            "at": np.r_[0, np.cumsum(np.bincount(own >> 32, minlength=n))],
+            "pair": own & 0xFFFFFFFF,
+            "n": np.bincount(same, weights=times, minlength=len(own)).astype(np.int64),
             "a": pairs // len(self.tables[1]),
             "b": pairs % len(self.tables[1]),
-            "total": np.bincount(number, weights=times * np.repeat(everywhere, many), minlength=len(pairs)).astype(np.int64),
+            "total": np.bincount(number, weights=times, minlength=len(pairs)).astype(np.int64),
         }
 
     def cuts(self, ends: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -287,32 +284,36 @@ def pair_of(path_a: str, path_b: str) -> Pair:
 
 
 def chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """One row for each chunk of docs (doc_id, text), written to the shared folder.
+    """Documents and pairs of all chunks of docs (doc_id, text), written to the shared folder.
 
     path_a is a byte-level BPE of the tokenizers library, to which a space and the text are
     given, path_b a sentence piece model, which puts the space there itself. Strings of
     special tokens in a text are plain text. Null and empty texts, and those that one of
     both doesn't give back byte for byte, have no tokens. A very long text is a chunk of
-    its own and joined in stretches. Repeated rows count each; an empty table gives no
-    chunk; other columns aren't read.
+    its own. Repeated rows count each; an empty table gives no chunk; other columns aren't
+    read.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(col("doc_id").cast("long").alias("doc_id"), whole(col("text")).alias("text"))
-    lists = [(c.split()[0], c.split()[1]) for c in CHUNKS.split(", ")[1:]]
-    kind = {"array<long>": pa.int64(), "array<int>": pa.int32(), "array<string>": pa.string()}
+    kind = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(c.split()[0], kind[c.split()[1]]) for c in CHUNKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, number = pair_of(path_a, path_b), TaskContext.get().partitionId() << 32
 
-        def packed(ids: list, texts: list[str]) -> pa.RecordBatch:
+        def batch_of(size: int, columns: dict) -> pa.RecordBatch:
+            arrays = [columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema]
+            return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
+
+        def packed(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            found = both.chunk(texts) | {"doc_id": ids}
-            columns = [pa.array([number], pa.int64())]
-            for name, t in lists:
-                values = pa.array(found[name], type=kind[t])
-                columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+            x, n = both.chunk(texts), len(texts)
+            at = pa.array(x["at"], pa.int32())
+            lists = {c: pa.ListArray.from_arrays(at, pa.array(x[c], pa.int32())) for c in ("pair", "n")}
+            yield batch_of(n, {"chunk": np.full(n, number), "doc_id": ids, **{c: x[c] for c in ("n_a", "n_b", "n_groups", "n_links", "sha")}, **lists})
+            m = len(x["a"])
+            yield batch_of(m, {"chunk": np.full(m, number), "k": np.arange(m), **{c: x[c] for c in ("a", "b", "total")}})
             number += 1
-            return pa.record_batch(columns, names=["chunk", *[name for name, _ in lists]])
 
         ids, texts, size = [], [], 0
         for batch in batches:
@@ -321,50 +322,42 @@ def chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 texts.append(text.as_py())
                 size += len(texts[-1])
                 if size >= CHUNK_CHARS:
-                    yield packed(ids, texts)
+                    yield from packed(ids, texts)
                     ids, texts, size = [], [], 0
         if ids:
-            yield packed(ids, texts)
+            yield from packed(ids, texts)
 
     return keep(rows.mapInArrow(run, CHUNKS), "aligned")
 
 
 def pair_counts(parts: DataFrame) -> DataFrame:
     """(a, b, count, best): links of each pair of ids in all chunks, best where no pair of b has more."""
-    counts = _pairs_of(parts).groupBy("a", "b").agg(F.sum("total").alias("count"))
+    counts = parts.filter("k is not null").groupBy("a", "b").agg(F.sum("total").alias("count"))
     return counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
-def _pairs_of(parts: DataFrame) -> DataFrame:
-    return parts.select("chunk", F.posexplode(F.arrays_zip("a", "b", "total")).alias("k", "x")).select("chunk", "k", "x.*")
-
-
 def documents(parts: DataFrame) -> DataFrame:
     """One row for each document of the chunks: tokens, groups, links and what the pairs' counts in all chunks say of its links."""
-    found = _pairs_of(parts).drop("total").join(pair_counts(parts), ["a", "b"]).groupBy("chunk")
-    found = found.agg(F.array_sort(F.collect_list(F.struct("k", "count", "best"))).alias("x"))
-    found = found.select(F.col("chunk").alias("of"), F.col("x.count").alias("count"), F.col("x.best").alias("best"))
-    rows = parts.drop("a", "b", "total").join(found, F.col("chunk") == F.col("of"), "left").drop("chunk", "of")
     fields = [f.split() for f in RESULT.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                values = lambda c, batch=batch, k=k: batch.column(c)[k].values
-                numbers = lambda c, values=values: values(c).to_numpy(zero_copy_only=False)
-                out = {c: values(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": values("sha")}
-                at, pair, n, often = numbers("at"), numbers("pair"), numbers("n").astype(np.int64), numbers("often").astype(np.int64)
-                for c, of in (("n_best", "best"), ("count_sum", "count")):
-                    x = n * numbers(of)[pair] if len(pair) else n
-                    for first, then in ((numbers("first"), numbers("stretch")), (at, None)):
-                        # Sums of each stretch's pairs, then of each document's stretches.
-                        sums = np.r_[0, np.cumsum(x)]
-                        x = sums[first[1:]] - sums[first[:-1]]
-                        x = often * x[then] if then is not None else x
-                    out[c] = pa.array(x, pa.int64())
-                yield pa.record_batch([out[c].cast(pa.string() if t == "string" else pa.int64()) for c, t in fields], names=[c for c, _ in fields])
-
-    return rows.mapInArrow(run, RESULT)
+    pairs = parts.filter("k is not null").select("chunk", "k", "a", "b").join(pair_counts(parts), ["a", "b"]).select(F.col("chunk").alias("of"), "k", "count", "best")
+    docs = parts.filter("k is null").drop("k", "a", "b", "total")
+
+    def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+        """A chunk's documents with sums over their pairs."""
+        docs = docs.combine_chunks()
+        of = {c: np.zeros(pairs.num_rows, dtype=np.int64) for c in ("count", "best")}
+        for c, x in of.items():
+            x[pairs["k"].to_numpy()] = pairs[c].to_numpy()
+        lists = [docs[c].combine_chunks() for c in ("pair", "n")]
+        pair, n = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+        at = np.r_[0, np.cumsum(lists[0].value_lengths().to_numpy())]
+        out = {c: docs[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": docs["sha"]}
+        for c, name in (("n_best", "best"), ("count_sum", "count")):
+            sums = np.r_[0, np.cumsum(n * of[name][pair])]
+            out[c] = pa.array(sums[at[1:]] - sums[at[:-1]], pa.int64())
+        return pa.table({c: out[c] for c, _ in fields})
+
+    return docs.groupBy("chunk").cogroup(pairs.groupBy("of")).applyInArrow(run, RESULT)
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
