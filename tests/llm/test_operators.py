@@ -849,3 +849,12 @@ def test_long_items_and_short_ones_among_them():
             found[len(t)][0] += any(i == k for _, i, *_ in index.search(w))
             found[len(t)][1] += 1
     assert all(hit >= 0.97 * n and (size <= dc.LONGEST_WALKED or hit == n) for size, (hit, n) in found.items()), found
+
+
+def test_hosts_of_unknown_pieces_are_allowed(spark):
+    """Ordinary hosts, of neither list of words, where most labelled URLs are made ones."""
+    hosts = "wikipedia.org mozilla.org nature.org who.int nasa.gov kernel.org debian.org lemonde.fr arxiv.org cern.ch ethz.ch unicef.org redcross.org oecd.org gnu.org ietf.org nps.gov spiegel.de".split()
+    few = spark.createDataFrame([(k, f"https://host{k}.example{k % 7}.org/a/{k}") for k in range(60)], "page_id long, url string")
+    model = url_filter.train(url_filter.topic_labels(few), more=url_filter.seeds())
+    rows = spark.createDataFrame([(k, f"https://www.{h}/articles/2021/overview") for k, h in enumerate(hosts)], "page_id long, url string")
+    assert url_filter.judge(rows, model).filter("verdict = 'block'").count() <= 1

@@ -278,7 +278,8 @@ def topic_labels(pages: DataFrame, url_col: str = "url") -> DataFrame:
 def judge(pages: DataFrame, model: Trees, rules=RULES, url_col: str = "url") -> DataFrame:
     """pages with host, path, rule, score and verdict.
 
-    A rule's verdict stands before the trees'. A null URL, or one without '://', has an
+    A rule's verdict stands before the trees', which block a URL only if the pieces of its host
+    that they know speak against it on the whole: a host of unknown pieces is allowed. A null URL, or one without '://', has an
     empty host and path and no rule; the trees judge it by its features like any other, and
     a URL of any length too.
     Repeated rows are judged alike. Columns of ours replace columns of the same name.
@@ -292,5 +293,7 @@ def judge(pages: DataFrame, model: Trees, rules=RULES, url_col: str = "url") ->
     names = {k: free_name(t.columns, f"f_{k}") for k in values}
     t = t.withColumns({names[k]: v for k, v in values.items()})
     t = t.withColumn("score", model.score({k: col(n) for k, n in names.items()}))
-    verdict = F.coalesce(says, F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow")))
+    # The trees are fitted with more unwanted URLs than pages have, so form alone doesn't block: pieces must speak against the host.
+    against = F.coalesce(col(names["piece_sum"]) > 0, F.lit(False))
+    verdict = F.coalesce(says, F.when((F.col("score") > 0) & against, F.lit("block")).otherwise(F.lit("allow")))
     return t.select(*[col(c) for c in base.columns], "host", "path", rule.alias("rule"), verdict.alias("verdict"), "score")
