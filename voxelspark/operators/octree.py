@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import morton as m
@@ -99,17 +99,60 @@ def fetch(points: DataFrame, octants: DataFrame, scale: int) -> DataFrame:
     return rows.join(octants.select(F.col("key"), F.col("key").alias("want")), "want", "left").drop("want")
 
 
+#: Parts that codes are dealt to, for each shuffle partition and at most; only the spread depends on them.
+PARTS, MOST_PARTS = 4, 4096
+
+
+def _rank(bounds: list[int], code: Column, inclusive: bool) -> Column:
+    """How many of the ascending bounds lie below code, or below or at it: among every n-th first, then within n."""
+    step = max(1, math.isqrt(len(bounds)))
+    reached = lambda b: b <= code if inclusive else b < code
+    chunks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    if not chunks:
+        return F.lit(0)
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    whole = F.size(F.filter(longs([c[-1] for c in chunks]), reached))
+    inner = F.get(F.array(*[longs(c) for c in chunks]), whole)
+    return whole * step + F.coalesce(F.size(F.filter(inner, reached)), F.lit(0)) - F.when(inner.isNull(), len(chunks) * step - len(bounds)).otherwise(0)
+
+
+def locate(rows: DataFrame, code: Column, scale: Column, octants: DataFrame, top: int = m.MAX_SCALE) -> DataFrame:
+    """rows with found, the key of the octant at scale that holds code, else of the coarser leaf that does, else null.
+
+    For one scale these octants are disjoint ranges of codes. Rows and ranges are dealt to parts
+    by quantiles of the rows' codes and meet in one exchange, sorted: a row's range is the last
+    that begins at or before it. A range goes to every part that it reaches into, which adds no
+    more rows than there are parts. Rows of one code that fill several parts are spread over them
+    by hash, and rows without a code, which nothing holds, over all.
+    """
+    spark = rows.sparkSession
+    n = min(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_PARTS)
+    points = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), code.alias("code"), scale.cast("int").alias("at"))
+    cuts, low = points.agg(F.percentile_approx("code", [k / n for k in range(1, n)], 10 * n), F.min("at")).first()
+    cuts = cuts or []
+    first, last = _rank(cuts, F.col("code"), False), _rank(cuts, F.col("code"), True)
+    salt = F.xxhash64("row")
+    part = F.when(F.col("code").isNull(), F.pmod(salt, F.lit(n))).otherwise(first + F.pmod(salt, last - first + 1))
+    own = m.key_scale(F.col("key"))
+    ranges = octants.filter((own <= top) & (own >= F.lit(low))).select("key", "child_mask", m.key_code(F.col("key")).alias("code"), own.alias("own"))
+    # An octant answers rows of its own scale; a leaf also those of finer scales.
+    ranges = ranges.withColumn("at", F.explode(F.when(F.col("child_mask") == 0, F.sequence(F.lit(low).cast("int"), "own")).otherwise(F.array("own"))))
+    end = m.descendants_end(F.col("code"), F.col("own"))
+    ranges = ranges.withColumn("part", F.explode(F.sequence(_rank(cuts, F.col("code"), False), _rank(cuts, end - 1, True))))
+    ranges = ranges.select("code", "at", F.col("part").cast("long").alias("part"), F.struct("key", end.alias("end")).alias("range"))
+    both = points.withColumn("part", part.cast("long")).unionByName(ranges, allowMissingColumns=True)
+    so_far = Window.partitionBy("part", "at").orderBy("code", F.col("row").isNotNull())
+    both = both.withColumn("range", F.last("range", ignorenulls=True).over(so_far)).filter("row is not null")
+    return both.select("row.*", F.when(F.col("code") < F.col("range.end"), F.col("range.key")).alias("found"))
+
+
 def finest(points: DataFrame, octants: DataFrame, scale: int, top: int) -> DataFrame:
     """points with the deepest octant (key) that holds them, down to scale.
 
-    Where the octant at scale is missing, its ancestor counts only if that is a leaf.
+    Where the octant at scale is missing, its ancestor counts only if that is a leaf. Points
+    without coordinates are in no octant; repeated points each get their row.
     """
-    code = m.encode_code(F.col("x"), F.col("y"), F.col("z"))
-    rows = points.withColumn("at", F.explode(F.sequence(F.lit(scale), F.lit(top))))
-    rows = rows.withColumn("key", m.encode_key(code, F.col("at"))).join(octants.select("key", "child_mask"), "key")
-    best = rows.groupBy("id").agg(F.min_by(F.struct("key", "child_mask", "at"), F.col("at")).alias("o"))
-    found = best.filter((F.col("o.at") == scale) | (F.col("o.child_mask") == 0)).select("id", F.col("o.key").alias("key"))
-    return points.join(found, "id", "left")
+    return locate(points, m.encode_code(F.col("x"), F.col("y"), F.col("z")), F.lit(scale), octants, top).withColumnRenamed("found", "key")
 
 
 def face_neighbours(octants: DataFrame, of: DataFrame, size: int, top: int) -> DataFrame:
@@ -125,14 +168,9 @@ def face_neighbours(octants: DataFrame, of: DataFrame, size: int, top: int) -> D
     for c in "xyz":
         rows = rows.withColumn(c, F.col(c) + F.col(f"f.d{c}") * F.col("step"))
     inside = (F.least("x", "y", "z") >= 0) & (F.greatest("x", "y", "z") < size)
-    rows = rows.filter(inside).withColumn("at", F.explode(F.sequence(m.key_scale(F.col("key")), F.lit(top))))
-    rows = rows.withColumn("other", m.encode_key(m.encode_code(F.col("x"), F.col("y"), F.col("z")), F.col("at")))
-    rows = rows.join(octants.select(F.col("key").alias("other"), "child_mask"), "other", "left")
-    found = F.min(F.when(F.col("child_mask").isNotNull(), F.struct("at", "other", "child_mask")))
-    rows = rows.groupBy("key", F.col("f.face").alias("face")).agg(found.alias("o"))
-    same = F.col("o.at") == m.key_scale(F.col("key"))
-    good = (same | (F.col("o.child_mask") == 0)) & ~m.is_descendant(F.col("key"), F.col("o.other"))
-    return rows.select("key", "face", F.when(good, F.col("o.other")).alias("neighbour"))
+    rows = rows.filter(inside).select("key", F.col("f.face").alias("face"), m.encode_code(F.col("x"), F.col("y"), F.col("z")).alias("code"))
+    rows = locate(rows, F.col("code"), m.key_scale(F.col("key")), octants, top)
+    return rows.select("key", "face", F.when(~m.is_descendant(F.col("key"), F.col("found")), F.col("found")).alias("neighbour"))
 
 
 def neighbours26(keys: DataFrame, size: int) -> DataFrame:
