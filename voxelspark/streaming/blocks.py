@@ -17,11 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import morton as m
 from ..functions.sensors import HYSTERESIS, SCALE_STEPS, Pinhole
-from ..operators.fusion import LOG_ODD_MIN, SHIFT, TURN, VoxelMap, occupancy_max_weight, packed, posed, surface_samples, to_camera, visits
+from ..operators import carve, free_space
+from ..operators.fusion import LOG_ODD_MIN, SHIFT, TURN, VoxelMap, occupancy_max_weight, packed, pose_columns, posed, settle, surface_samples, to_camera, visits
+from ..operators.octree import BLOCK_SCALE
 
 #: Integrations and share of the observed volume after which a buffer takes over.
 BUFFER_ROUNDS, BUFFER_SHARE = 20, 0.9
+#: The finest scale at which a block that is free as a whole is filled for the first time.
+FREE_SCALE = 1
 OUT = "bx int, by int, bz int, scale int, vx int, vy int, vz int, value double, weight int"
 
 
@@ -89,6 +94,14 @@ class Block:
             self._change(max(scale, self.scale - 1))
             self.add(self.scale, observe(self.scale))
 
+    def free_scale(self, scale: int, top: int = 3) -> int:
+        """The scale for a frame in which the block is free as a whole; it changes by one, but a free block may take any coarser one."""
+        if self.scale is None:
+            return min(max(scale, FREE_SCALE), top)
+        mean, weight = self.levels[self.scale]
+        free = (weight > 0).any() and mean[weight > 0].max() < 0.95 * LOG_ODD_MIN
+        return min(max(scale, FREE_SCALE if free else max(0, self.scale - 1)), min(top, self.scale + 1))
+
     def _buffered(self, scale: int, observe) -> None:
         self.add(self.scale, observe(self.scale))
         if scale == self.scale:
@@ -193,9 +206,46 @@ def fuse_frames(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: b
     visit goes only the part of the image that the block covers.
     """
     frames = posed(frames)
-    seen = visits(surface_samples(frames, camera, vmap), frames, camera, vmap)
+    return fuse_visits(visits(surface_samples(frames, camera, vmap), frames, camera, vmap), frames, camera, vmap, occupancy, sigma, tau)
+
+
+def fuse_carved(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, folder: str, sigma: float = 0.05, tau: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """An occupancy map with free space in octants of any size: its nodes (key, occupancy, weight) and its blocks' voxels.
+
+    Frames are carved (carve.carve()). Nodes above the blocks are freed as they are and split
+    where another frame needs their blocks; a block is updated by the frames that need it and
+    freed by those that found it, or a node around it, free. Voxels as in fuse_frames(). What
+    was carved and the leaves are read by several jobs, so they become tables in folder.
+    """
+    spark = frames.sparkSession
+
+    frames, top = posed(frames), vmap.size.bit_length() - 1
+    free_space.visits_of(carve.carve(unpacked(frames, camera), frames.drop("depth"), camera, vmap, sigma, tau)).write.parquet(f"{folder}/visits")
+    visited = spark.read.parquet(f"{folder}/visits")
+    free_space.leaves(visited, top).write.parquet(f"{folder}/leaves")
+    leaf = spark.read.parquet(f"{folder}/leaves")
+    small = m.key_scale(F.col("key")) == BLOCK_SCALE
+    here = leaf.filter(small).join(visited.filter("value is null"), "key").select("key", "frame", F.lit(False).alias("free"))
+    freed = free_space.history(leaf.filter(small), visited.filter("value is not null"), top).select("key", "frame", F.lit(True).alias("free"))
+    at = dict(zip("xyz", m.key_coord(F.col("key")), strict=True))
+    seen = here.unionByName(freed).select("frame", "free", *[(v / vmap.block).cast("int").alias(f"b{c}") for c, v in at.items()])
+    seen = settle(seen, "bx", "by", "bz").join(frames.select("frame", *pose_columns(frames)), "frame")
+    state = free_space.update(spark.createDataFrame([], free_space.STATE), visited, top)
+    return state.filter(~small), fuse_visits(seen, frames, camera, vmap, True, sigma, tau)
+
+
+def unpacked(frames: DataFrame, camera: Pinhole) -> DataFrame:
+    """(frame, x, y, depth) of frames' images; missing pixels are left out."""
+    rows = frames.select("frame", F.posexplode("depth").alias("i", "depth")).filter("depth is not null")
+    return rows.select("frame", (F.col("i") % camera.width).alias("x"), F.floor(F.col("i") / camera.width).cast("int").alias("y"), "depth")
+
+
+def fuse_visits(seen: DataFrame, frames: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: bool = True, sigma: float = 0.05, tau: float = 0.2) -> DataFrame:
+    """fuse_frames() of given visits (bx, by, bz, frame, pose); with a column free, the frame found the block free as a whole."""
     rows = cropped(seen, frames, camera, vmap)
-    weight, turned = occupancy_max_weight() if occupancy else vmap.max_weight, "r00" in rows.columns
+    if "free" in seen.columns:
+        rows = rows.withColumn("depth", F.when(F.col("free"), F.array().cast("array<double>")).otherwise(F.col("depth")))
+    weight, turned, carved = occupancy_max_weight() if occupancy else vmap.max_weight, "r00" in rows.columns, "free" in rows.columns
     shifts, turns = list(SHIFT), list(TURN)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +263,7 @@ def fuse_frames(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: b
             col = lambda c, batch=batch: batch.column(c).to_numpy(zero_copy_only=False)
             at, shift = np.stack([col(c) for c in ("bx", "by", "bz")], 1), np.stack([col(c) for c in shifts], 1)
             turn = np.stack([col(c) for c in turns], 1).reshape(-1, 3, 3) if turned else None
+            whole_free = col("free") if carved else np.zeros(batch.num_rows, dtype=bool)
             x0, y0, wide, images = col("x0"), col("y0"), col("wide"), batch.column("depth")
             for k in range(batch.num_rows):
                 if key != tuple(at[k].tolist()):
@@ -225,6 +276,9 @@ def fuse_frames(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: b
                 r = turn[k] if turned else None
                 away = float(centre[2] if r is None else r[0, 2] * centre[0] + r[1, 2] * centre[1] + r[2, 2] * centre[2])
                 scale = scale_of(away, camera, vmap.res, block.scale)
+                if whole_free[k]:
+                    block.integrate(block.free_scale(scale), lambda s: np.full((vmap.block >> s,) * 3, LOG_ODD_MIN))
+                    continue
                 block.integrate(scale, observer(corner, shift[k], r, image, (int(x0[k]), int(y0[k])), camera, vmap, occupancy, sigma, tau))
         if block is not None:
             yield finish()
