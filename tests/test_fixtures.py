@@ -126,6 +126,24 @@ def test_wall_before_a_turned_camera(spark):
     assert len(both) > 0.9 * len(straight) and all(abs(turned[k] - straight[k]) < 1e-6 for k in both)
 
 
+def test_fusion_makes_no_row_of_an_observation(spark):
+    """Folded visits give the running mean of the observations, in one go or over an earlier map, and only visits are shuffled."""
+    camera = sensors.Pinhole(8.0, 8.0, 3.5, 3.5, 8, 8, near=0.1, far=6.0)
+    vmap = fusion.VoxelMap(dim=12.8, res=0.4, truncation=2.0, max_weight=4)
+    rng = np.random.default_rng(3)
+    images = [(f, [None if rng.random() < 0.1 else float(1.5 + rng.random()) for _ in range(64)], 0.1 * (f % 5), 0.0, 0.0, 3.0, 1.0 * (f % 2), 2.0, -1.0) for f in range(40)]
+    frames = fusion.posed(spark.createDataFrame(images, "frame long, depth array<double>, tx double, ty double, tz double, qw double, qx double, qy double, qz double"))
+    seen = fusion.visits(fusion.surface_samples(frames, camera, vmap), frames, camera, vmap)
+    rows = fusion.clamped_mean(fusion.observations(seen, frames, camera, vmap), ["v"], "frame", "u", 4).select(*fusion.voxel_of(F.col("v"), vmap), F.col("mean").alias("tsdf"), "weight")
+    plain = lambda d: {tuple(r)[:3]: (round(r["tsdf"], 9), r["weight"]) for r in d.collect()}
+    want = plain(rows)
+    whole = fusion.fuse_frames(frames, camera, vmap)
+    assert plain(whole) == want and max(w for _, w in want.values()) == 4
+    first = fusion.fold_visits(seen.filter("frame < 17"), frames, camera, vmap)
+    assert plain(fusion.fold_visits(seen.filter("frame >= 17"), frames, camera, vmap, first)) == want
+    assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
 def test_block_fusion_follows_turned_cameras(spark):
     from voxelspark.streaming import blocks
 

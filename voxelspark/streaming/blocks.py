@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import morton as m
 from ..functions.sensors import HYSTERESIS, SCALE_STEPS, Pinhole
 from ..operators import carve, free_space
-from ..operators.fusion import LOG_ODD_MIN, SHIFT, TURN, VoxelMap, occupancy_max_weight, packed, pose_columns, posed, settle, surface_samples, to_camera, visits
+from ..operators.fusion import LOG_ODD_MIN, SHIFT, TURN, VoxelMap, cropped, occupancy_max_weight, packed, pose_columns, posed, settle, surface_samples, visits
 from ..operators.octree import BLOCK_SCALE
 
 #: Integrations and share of the observed volume after which a buffer takes over.
@@ -173,25 +173,6 @@ def observer(corner: np.ndarray, shift: np.ndarray, turn: np.ndarray | None, dep
     return observe
 
 
-def cropped(seen: DataFrame, frames: DataFrame, camera: Pinhole, vmap: VoxelMap) -> DataFrame:
-    """seen with the part of its frame's image that the block projects into: x0, y0, wide and depth by rows."""
-    rows, edge = seen, vmap.block
-    ends = {c: [(F.col(f"b{c}") * edge + k * edge) * F.lit(vmap.res) - F.lit(vmap.dim / 2) for k in (0, 1)] for c in "xyz"}
-    corners = [to_camera(rows, (x, y, z)) for x in ends["x"] for y in ends["y"] for z in ends["z"]]
-    before = F.least(*[p[2] for p in corners]) > camera.near
-    for c, f, m, n in (("x", camera.fx, camera.cx, camera.width), ("y", camera.fy, camera.cy, camera.height)):
-        at = [p["xy".index(c)] * F.lit(f) / p[2] + F.lit(m) for p in corners]
-        # A pixel more on either side, so that no rounding matters; all of the image for a block that reaches to the camera.
-        low = F.when(before, F.greatest(F.floor(F.least(*at) + 0.5) - 1, F.lit(0))).otherwise(F.lit(0))
-        high = F.when(before, F.least(F.floor(F.greatest(*at) + 0.5) + 1, F.lit(n - 1))).otherwise(F.lit(n - 1))
-        rows = rows.withColumns({f"{c}0": low.cast("int"), f"{c}1": high.cast("int")})
-    rows = rows.join(frames.select("frame", F.col("depth").alias("image")), "frame")
-    none = F.array().cast("array<double>")
-    row = lambda y: F.slice("image", (y * camera.width + F.col("x0") + 1).cast("int"), F.col("x1") - F.col("x0") + 1)
-    part = F.when((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")), F.flatten(F.transform(F.sequence("y0", "y1"), row))).otherwise(none)
-    return rows.select(*seen.columns, "x0", "y0", F.greatest(F.col("x1") - F.col("x0") + 1, F.lit(1)).alias("wide"), part.alias("depth"))
-
-
 def fuse(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: bool = True, sigma: float = 0.05, tau: float = 0.2) -> DataFrame:
     """fuse_frames() of pixels (frame, x, y, depth) and poses."""
     return fuse_frames(packed(pixels, poses, camera), camera, vmap, occupancy, sigma, tau)
