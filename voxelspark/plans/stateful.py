@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import carve, fusion, octree
-from ..streaming import blocks, fuse
+from ..streaming import blocks
 from ..streaming import rays as ray_batches
 from . import fixtures as fx
 from . import sql as q
@@ -40,7 +40,7 @@ def f12_incremental_fusion(spark, sf_dir):
     late = F.col("frame") >= fr.agg(F.max("frame")).first()[0] // 2
     first = fusion.fuse_frames(fr.filter(~late), CAMERA, MAP)
     seen = fusion.visits(fusion.surface_samples(fr, CAMERA, MAP), fr, CAMERA, MAP).filter(late)
-    out = fuse.merge_means(first, fusion.observations(seen, fr.filter(late), CAMERA, MAP), MAP)
+    out = fusion.fold_visits(seen, fr.filter(late), CAMERA, MAP, first)
     return out.select("vx", "vy", "vz", micro(F.col("tsdf")).alias("tsdf_1e6"), "weight")
 
 
