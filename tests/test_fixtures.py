@@ -392,3 +392,38 @@ def test_ranked_orders_every_row_over_many_ranges(spark):
     want = sorted((k * 7919 % 5003 for k in range(5000)), reverse=True)
     assert got == list(enumerate(want, 1))
     assert keysets.ranked(keys.limit(0), F.asc("key")).collect() == []
+
+
+def test_points_meet_cubes_of_voxels_by_one_sorted_join(spark):
+    """A stencil is one lookup however small the tables seem: no point is sent to all tasks, none is multiplied before it is joined."""
+    from voxelspark.operators import raycast
+
+    rng = np.random.default_rng(4)
+    at = [(x, y, z) for x in range(-3, 18) for y in range(-2, 12) for z in range(9)]
+    field = {p: (float(rng.random()), int(rng.random() > 0.02)) for p in at}
+    vox = spark.createDataFrame([(*p, *v) for p, v in field.items()], "vx int, vy int, vz int, tsdf double, weight int")
+    pts = [(k, *(float(v) for v in rng.random(3) * (20, 13, 9) - (2.5, 1.5, 0))) for k in range(400)]
+    points = spark.createDataFrame([*pts, (400, None, 1.0, 1.0)], "id int, x double, y double, z double")
+
+    def want(p):
+        b, total = np.floor(np.array(p) - 0.5).astype(int), 0.0
+        f = np.array(p) - 0.5 - b
+        for i in np.ndindex(2, 2, 2):
+            v, w = field.get(tuple((b + i).tolist()), (0.0, 0))
+            if not w:
+                return None
+            total += v * np.prod(np.where(i, f, 1 - f))
+        return total
+
+    out = voxels.interpolate(points, vox)
+    got = {r["id"]: r["value"] for r in out.collect()}
+    expected = {k: want(p) for k, *p in pts}
+    assert got.pop(400) is None and got.keys() == expected.keys() and 50 < sum(v is None for v in expected.values()) < 350
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-12) for k, v in expected.items())
+    rays = points.filter("x is not null").selectExpr("id", "x AS ox", "y AS oy", "z AS oz", "1D AS dx", "0D AS dy", "0D AS dz")
+    along = raycast.samples(rays, vox, 6, 0.5)
+    assert {(r["id"], r["k"]): round(r["value"], 9) for r in along.collect()} == {(k, n): round(v, 9) for k, x, y, z in pts for n in range(7) if (v := want((x + n * 0.5, y, z))) is not None}
+    for rows in (out, voxels.gradient(points, vox), voxels.interpolate_scales(points, [vox]), along):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        physical = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in physical and physical.count("SortMergeJoin") == 1 and plan.count("Join") == 1

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sensors import norm
-from .voxels import gradient, interpolate
+from .fusion import settle
+from .voxels import CUBE, based, cubes, gradient, trilinear
 
 XYZ = ("x", "y", "z")
 
@@ -69,34 +70,50 @@ def occupied_blocks(voxels: DataFrame, value: str = "tsdf", block: int = 8) -> D
     return rows.select(*[(F.col(f"b{c}") - F.col(f"o.d{c}")).alias(f"b{c}") for c in XYZ]).distinct()
 
 
-def samples(rays: DataFrame, voxels: DataFrame, steps: int, step: float, first: int = 0, block: int = 8, blocks: DataFrame | None = None) -> DataFrame:
-    """(id, k, value): the interpolated field at first to steps steps along each ray, null where it is unknown.
+def ray_cubes(voxels: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """voxels.cubes() for samples along rays; with blocks (bx, by, bz), only of those."""
+    held = cubes(voxels, "tsdf", 0, 1)
+    if blocks is None:
+        return held
+    return held.join(blocks.select(*[F.col(f"b{c}").cast("int").alias(f"c{c}") for c in XYZ]), ["cx", "cy", "cz"], "left_semi")
+
+
+def _sample(c: str, k: Column, step: float) -> Column:
+    """Lowest neighbour of sample k in an axis."""
+    return F.floor(F.col(f"o{c}") + k * F.lit(step) * F.col(f"d{c}") - F.lit(0.5))
+
 
-    Samples whose lowest neighbour lies in none of blocks are left out; without blocks, in a
-    block without voxels, as their value is unknown.
+def along_rays(rays: DataFrame, held: DataFrame, steps: int, step: float, first: int = 0) -> DataFrame:
+    """samples() in these cubes. The samples of a ray in one cube are one row until they have met it."""
+    cube = lambda c, k: F.floor(_sample(c, k, step) / CUBE).cast("int")
+    changed = lambda k: (k == first) | (cube("x", k) != cube("x", k - 1)) | (cube("y", k) != cube("y", k - 1)) | (cube("z", k) != cube("z", k - 1))
+    rows = rays.select("id", *[f"{n}{c}" for n in "od" for c in XYZ], F.filter(F.sequence(F.lit(first), F.lit(steps)), changed).alias("starts"))
+    rows = rows.select("*", F.posexplode("starts").alias("n", "k0")).withColumn("k1", F.coalesce(F.get("starts", F.col("n") + 1) - 1, F.lit(steps))).drop("starts", "n")
+    rows = rows.withColumns({f"c{c}": cube(c, F.col("k0")) for c in XYZ}).join(held.hint("merge"), ["cx", "cy", "cz"])
+    rows = rows.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumns({c: F.col(f"o{c}") + F.col("k") * F.lit(step) * F.col(f"d{c}") for c in XYZ})
+    return settle(based(rows).select("id", "k", trilinear().alias("value")), "value").filter("value is not null")
+
+
+def samples(rays: DataFrame, voxels: DataFrame, steps: int, step: float, first: int = 0, blocks: DataFrame | None = None) -> DataFrame:
+    """(id, k, value): the interpolated field at first to steps steps along each ray, where it is known.
+
+    Samples whose lowest neighbour lies in none of blocks are left out.
     """
-    rows = rays.withColumn("k", F.explode(F.sequence(F.lit(first), F.lit(steps))))
-    at = [(F.col(f"o{c}") + F.col("k") * F.lit(step) * F.col(f"d{c}")).alias(c) for c in XYZ]
-    rows = rows.select(F.struct("id", "k").alias("id"), *at)
-    if blocks is None:
-        blocks = voxels.select(*[F.floor(F.col(f"v{c}") / block).alias(f"b{c}") for c in XYZ]).distinct()
-    rows = rows.withColumns({f"b{c}": F.floor(F.floor(F.col(c) - F.lit(0.5)) / block) for c in XYZ})
-    rows = rows.join(blocks, [f"b{c}" for c in XYZ], "left_semi").select("id", *XYZ)
-    return interpolate(rows, voxels).select("id.id", "id.k", "value")
+    return along_rays(rays, ray_cubes(voxels, blocks), steps, step, first)
 
 
 def march(cast: Callable[[DataFrame], DataFrame], rays: DataFrame, voxels: DataFrame, steps: int, step: float, near: int = 24, blocks: DataFrame | None = None) -> DataFrame:
     """What cast finds along the whole of each ray, first by near steps and then, for rays without a row, by the rest.
 
     The last near sample is the first of the rest, so that a change of sign between them is seen.
-    Voxels and near rows are persisted, as each is read several times. blocks as in samples.
+    Cubes of voxels and near rows are persisted, as each is read twice. blocks as in samples.
     """
-    voxels = voxels.persist()
+    held = ray_cubes(voxels, blocks).persist()
     if steps <= near:
-        return cast(samples(rays, voxels, steps, step, blocks=blocks))
-    soon = cast(samples(rays, voxels, near, step, blocks=blocks)).persist()
-    later = rays.join(soon.select("id"), "id", "left_anti")
-    return soon.unionByName(cast(samples(later, voxels, steps, step, near, blocks=blocks)))
+        return cast(along_rays(rays, held, steps, step))
+    soon = cast(along_rays(rays, held, near, step)).persist()
+    later = rays.join(soon.select("id").hint("merge"), "id", "left_anti")
+    return soon.unionByName(cast(along_rays(later, held, steps, step, near)))
 
 
 def first_known(along: DataFrame, step: float) -> DataFrame:
@@ -119,9 +136,9 @@ def cast_occupied(along: DataFrame, step: float) -> DataFrame:
 
 def hits(rays: DataFrame, surface: DataFrame, voxels: DataFrame) -> DataFrame:
     """(id, x, y, z, nx, ny, nz): points on the surface with unit normals along the gradient, null where unknown."""
-    rows = rays.join(surface, "id")
+    rows = rays.join(surface.hint("merge"), "id")
     at = rows.select("id", *[(F.col(f"o{c}") + F.col("t") * F.col(f"d{c}")).alias(c) for c in XYZ])
     g = gradient(at, voxels)
     n = norm((F.col("gx"), F.col("gy"), F.col("gz")))
     g = g.select("id", *[F.when(n > 0, F.col(f"g{c}") / n).alias(f"n{c}") for c in XYZ])
-    return at.join(g, "id", "left")
+    return at.join(g.hint("merge"), "id", "left")
