@@ -88,3 +88,17 @@ def test_ranks(spark):
         for k in range(len(bounds) + 1):
             got = df.select("c", octree._rank(bounds[:k], F.col("c"), inclusive).alias("r")).collect()
             assert all(r.r == sum(b <= r.c if inclusive else b < r.c for b in bounds[:k]) for r in got)
+
+
+def test_codes_stay_out_of_grouping_keys(spark):
+    """Methods beyond 8,000 bytes are never compiled: reading keys was ten times as slow with a code's expression copied into them."""
+    from voxelspark.operators import keysets
+    from voxelspark.plans import fixtures as fx
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for rows in (keysets.unique_at_scale(fx.keys(spark, "/root/testdata/sf0.001"), 2), fx.tree(spark, "/root/testdata/sf0.001")):
+            stages = rows._jdf.queryExecution().debug().codegenToSeq()
+            assert 0 < max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

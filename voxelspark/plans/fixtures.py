@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import morton as m
 from ..operators import octree
+from ..operators.fusion import settle
 from .registry import table  # noqa: F401
 
 #: Edge of the map in voxels, its root scale, and voxel size in metres.
@@ -17,7 +18,8 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_orderkey, l_linenumber, x, y, z, scale, code, key of every lineitem row."""
     li = table(spark, sf_dir, "lineitem")
     c = li.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 512).alias("x"), (F.col("l_suppkey") % 512).alias("y"), (F.col("l_linenumber") % 512).cast("long").alias("z"), (F.col("l_orderkey") % 4).cast("long").alias("scale"))
-    e = c.withColumn("code", m.encode_code(F.col("x"), F.col("y"), F.col("z")))
+    # Copied into grouping keys and filters, a code's expression makes methods too long to compile.
+    e = settle(c.withColumn("code", m.encode_code(F.col("x"), F.col("y"), F.col("z"))), "code")
     return e.withColumn("key", m.encode_key(F.col("code"), F.col("scale")))
 
 
