@@ -84,14 +84,21 @@ def _sample(c: str, k: Column, step: float) -> Column:
 
 
 def along_rays(rays: DataFrame, held: DataFrame, steps: int, step: float, first: int = 0) -> DataFrame:
-    """samples() in these cubes. The samples of a ray in one cube are one row until they have met it."""
+    """samples() in these cubes. The samples of a ray in one cube are one row until they have met it.
+
+    Rays are few bytes and much work: the number of tasks must not follow their size.
+    """
+    parts = 4 * int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = [f"c{c}" for c in XYZ]
     cube = lambda c, k: F.floor(_sample(c, k, step) / CUBE).cast("int")
     changed = lambda k: (k == first) | (cube("x", k) != cube("x", k - 1)) | (cube("y", k) != cube("y", k - 1)) | (cube("z", k) != cube("z", k - 1))
-    rows = rays.select("id", *[f"{n}{c}" for n in "od" for c in XYZ], F.filter(F.sequence(F.lit(first), F.lit(steps)), changed).alias("starts"))
+    rows = rays.repartition(parts, "id").select("id", *[f"{n}{c}" for n in "od" for c in XYZ], F.filter(F.sequence(F.lit(first), F.lit(steps)), changed).alias("starts"))
     rows = rows.select("*", F.posexplode("starts").alias("n", "k0")).withColumn("k1", F.coalesce(F.get("starts", F.col("n") + 1) - 1, F.lit(steps))).drop("starts", "n")
-    rows = rows.withColumns({f"c{c}": cube(c, F.col("k0")) for c in XYZ}).join(held.hint("merge"), ["cx", "cy", "cz"])
+    rows = rows.withColumns({f"c{c}": cube(c, F.col("k0")) for c in XYZ}).repartition(parts, *at).join(held.repartition(parts, *at).hint("merge"), at)
     rows = rows.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumns({c: F.col(f"o{c}") + F.col("k") * F.lit(step) * F.col(f"d{c}") for c in XYZ})
-    return settle(based(rows).select("id", "k", trilinear().alias("value")), "value").filter("value is not null")
+    rows = based(rows).select("id", "k", "held", *at, *[f"{n}{c}" for n in "bf" for c in XYZ])
+    rows = settle(rows, *[f"{n}{c}" for n in "bf" for c in XYZ])
+    return settle(rows.select("id", "k", trilinear().alias("value")), "value").filter("value is not null")
 
 
 def samples(rays: DataFrame, voxels: DataFrame, steps: int, step: float, first: int = 0, blocks: DataFrame | None = None) -> DataFrame:
