@@ -9,6 +9,8 @@ import pytest
 
 from voxelspark.operators import dual_mesh
 
+from .cost import shuffled_rows
+
 VOXELS = "scale int, vx int, vy int, vz int, value double"
 
 
@@ -81,3 +83,22 @@ def test_cells_need_all_octants(spark):
     assert dual_mesh.dual_cells(spark.createDataFrame(rows, VOXELS)).filter("px < 8 or py in (0, 8) or pz in (0, 8)").collect() == []
     rows = [*rows, (3, 0, 8, 0, None)]
     assert dual_mesh.dual_cells(spark.createDataFrame(rows, VOXELS)).filter("px < 8 or py in (0, 8) or pz in (0, 8)").collect() == []
+
+
+def test_cells_shuffle_little_more_than_the_voxels(spark):
+    """Not a row for each point that a voxel touches, eight at least."""
+    rows = blocks(mixed(3, 4), lambda p, s: np.linalg.norm(p - 12) - 7.0)
+    voxels = spark.createDataFrame(rows, VOXELS)
+    assert shuffled_rows(dual_mesh.dual_cells(voxels)) < 3 * len(rows)
+
+
+def test_cubes_that_batches_cut_are_whole(spark):
+    rows = blocks(mixed(3, 4), lambda p, s: np.linalg.norm(p - 12.1) - 7.0)
+    voxels = spark.createDataFrame(rows, VOXELS)
+    want = sorted(map(tuple, dual_mesh.cell_indices(voxels).collect()))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, dual_mesh.cell_indices(voxels).collect())) == want != []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

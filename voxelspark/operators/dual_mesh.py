@@ -3,17 +3,25 @@
 A dual cell surrounds each corner of a voxel; its eight corners are the middles of the
 voxels in the eight octants around that point, of which a coarse voxel may be several.
 Neighbouring cells share whole faces whatever the scales beside them, so the mesh has no
-cracks where blocks of different scales meet. Each voxel names the points on its surface
-and the octants that it fills there; one aggregate by point makes the cells, without
-looking up neighbours. A vertex lies between two voxels, which are its identity.
+cracks where blocks of different scales meet. Voxels are dealt by the cubes of lattice
+points that they touch; a cube's unit cells name the voxel that fills them, and eight of
+them lie around each of its points. A vertex lies between two voxels, which are its identity.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import mesh
+from .fusion import settle
 
 XYZ = ("x", "y", "z")
 #: Bits of a coordinate in a voxel's number.
@@ -25,47 +33,133 @@ def leaf_id(scale: Column, x: Column, y: Column, z: Column) -> Column:
     return ((z.cast("long") * (1 << BITS) + y) * (1 << BITS) + x) * 4 + scale
 
 
-def surface_points(voxels: DataFrame) -> DataFrame:
-    """(px, py, pz, octants, corner, leaf, value, cx, cy, cz): the lattice points on the surface of each voxel.
+#: Edge of the cubes of lattice points that voxels are dealt by, and cubes that are worked on at once.
+EDGE, CHUNK = 8, 64
+_VERTEX = "struct<low:bigint,high:bigint,x:double,y:double,z:double>"
+
+
+def by_cube(voxels: DataFrame) -> DataFrame:
+    """(cube, leaf, value): voxels with each cube of lattice points that they touch, dealt and sorted by it.
 
     voxels (scale up to 3, vx, vy, vz their lower corners, value; those without a value are
-    not there, and none may overlap). octants has a bit for
-    each octant around the point that the voxel fills, corner says that it is one of its
-    eight corners.
+    not there, and none may overlap). Most voxels touch one cube, those that end at a cube's
+    upper side the next one too, so little more than the voxels is shuffled.
     """
+    parts = 4 * int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaf = leaf_id(F.col("scale"), F.col("vx"), F.col("vy"), F.col("vz")).alias("leaf")
     size = F.call_function("shiftleft", F.lit(1), F.col("scale"))
-    rows = voxels.filter("value is not null").withColumn("size", size).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("size") + 1) * (F.col("size") + 1) * (F.col("size") + 1) - 1)))
-    n = F.col("size") + 1
-    rows = rows.withColumns({"ox": F.col("i") % n, "oy": F.floor(F.col("i") / n) % n, "oz": F.floor(F.col("i") / (n * n))})
-    edge = {c: (F.col(f"o{c}") == 0) | (F.col(f"o{c}") == F.col("size")) for c in XYZ}
-    rows = rows.filter(edge["x"] | edge["y"] | edge["z"])
-    # On the low side of an axis the voxel lies in the upper half around the point, on the high side in the lower one.
-    bits = F.lit(255)
-    for k, c in enumerate(XYZ):
-        upper = sum(1 << o for o in range(8) if o >> k & 1)
-        bits = bits.bitwiseAND(F.when(F.col(f"o{c}") == 0, F.lit(upper)).when(F.col(f"o{c}") == F.col("size"), F.lit(255 - upper)).otherwise(F.lit(255)))
-    at = [(F.col(f"v{c}") + F.col(f"o{c}")).cast("int").alias(f"p{c}") for c in XYZ]
-    middle = [(F.col(f"v{c}") + F.col("size") / F.lit(2.0)).alias(f"c{c}") for c in XYZ]
-    leaf = leaf_id(F.col("scale"), F.col("vx"), F.col("vy"), F.col("vz"))
-    return rows.select(*at, bits.alias("octants"), (edge["x"] & edge["y"] & edge["z"]).alias("corner"), leaf.alias("leaf"), "value", *middle)
+    ends = [(F.floor(F.col(f"v{c}") / EDGE).alias(f"{c}0"), F.floor((F.col(f"v{c}") + size) / EDGE).alias(f"{c}1")) for c in XYZ]
+    rows = settle(voxels.select(leaf, "value", *[e for pair in ends for e in pair]), "leaf", "value", *[f"{c}{k}" for c in XYZ for k in (0, 1)])
+    rows = rows.filter("value is not null")
+    for c in XYZ:
+        rows = rows.withColumn(f"c{c}", F.explode(F.sequence(f"{c}0", f"{c}1")))
+    n = 1 << BITS - EDGE.bit_length() + 1
+    cube = ((F.col("cz") * n + F.col("cy")) * n + F.col("cx")).alias("cube")
+    return rows.select(cube, "leaf", "value").repartition(parts, "cube").sortWithinPartitions("cube")
+
+
+@dataclass
+class Cells:
+    """Dual cells of some cubes: their points, which octants are inside, and the voxels that fill these, as rows of leaf and value."""
+
+    at: np.ndarray
+    index: np.ndarray
+    held: np.ndarray
+    leaf: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, cube: np.ndarray, leaf: np.ndarray, value: np.ndarray, surface: bool) -> Cells:
+        """The cells of whole cubes, whose voxels come sorted by cube; surface: only those with both sides in them."""
+        n, mask = BITS - EDGE.bit_length() + 1, (1 << BITS) - 1
+        starts = np.flatnonzero(np.r_[True, cube[1:] != cube[:-1]])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(cube)]))
+        base = np.stack([(cube[starts] >> n * k & (1 << n) - 1) * EDGE for k in range(3)])
+        low = np.stack([leaf >> 2 + BITS * k & mask for k in range(3)])
+        size = 1 << (leaf & 3)
+        # Unit cells from one before the cube's first point on, numbered with x fastest.
+        first = np.maximum(low - base[:, group] + 1, 0)
+        long = np.minimum(low - base[:, group] + 1 + size, EDGE + 1) - first
+        count = long.prod(0)
+        row = np.repeat(np.arange(len(leaf)), count)
+        i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        x, y, z = (first[k][row] + e for k, e in enumerate((i % long[0][row], i // long[0][row] % long[1][row], i // (long[0] * long[1])[row])))
+        grid = np.full((len(starts), EDGE + 1, EDGE + 1, EDGE + 1), -1)
+        grid[group[row], z, y, x] = row
+        bits = [(o & 1, o >> 1 & 1, o >> 2 & 1) for o in range(8)]
+        around = np.stack([grid[:, c : c + EDGE, b : b + EDGE, a : a + EDGE] for a, b, c in bits], -1)
+        g, *zyx = np.nonzero((around >= 0).all(-1))
+        held, at = around[(g, *zyx)], np.stack([zyx[2 - k] + base[k][g] for k in range(3)])
+        index = ((value < 0)[held] << np.arange(8)).sum(1)
+        # An octant's voxel has a corner at the point if it begins there on the axes on whose upper side it lies, and ends there on the others.
+        corner = np.zeros(len(g), dtype=bool)
+        for o, upper in enumerate(bits):
+            corner |= np.logical_and.reduce([at[k] == low[k][held[:, o]] + (0 if upper[k] else size[held[:, o]]) for k in range(3)])
+        keep = corner & (index > 0) & (index < 255) if surface else corner
+        return cls(at[:, keep], index[keep], held[keep], leaf, value)
+
+    def middle(self, row: np.ndarray) -> list[np.ndarray]:
+        return [(self.leaf[row] >> 2 + BITS * k & (1 << BITS) - 1) + (1 << (self.leaf[row] & 3)) / 2.0 for k in range(3)]
+
+    def points(self, row: np.ndarray | slice = slice(None)) -> list[pa.Array]:
+        return [pa.array(p[row].astype(np.int32)) for p in self.at]
+
+
+def _made(voxels: DataFrame, make: Callable[[Cells], list[pa.Array]], schema: str, surface: bool) -> DataFrame:
+    """What make() gives for the cells of each few cubes; a task holds one batch and the cube that it ends in."""
+    names = [f.name for f in StructType.fromDDL(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rest = [np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest)]
+            if not len(rest[0]):
+                continue
+            starts = np.flatnonzero(np.r_[True, rest[0][1:] != rest[0][:-1]])
+            # The last cube may go on in the next batch.
+            ends = [*starts.tolist(), len(rest[0])] if batch is None else starts.tolist()
+            for k in range(0, len(ends) - 1, CHUNK):
+                part = slice(ends[k], ends[min(k + CHUNK, len(ends) - 1)])
+                cells = Cells.of(*[r[part] for r in rest], surface)
+                if len(cells.index):
+                    yield pa.record_batch(make(cells), names=names)
+            rest = [r[ends[-1] :] for r in rest]
+
+    return by_cube(voxels).mapInArrow(run, schema)
+
+
+def _cell_columns(cells: Cells) -> list[pa.Array]:
+    return [*cells.points(), pa.array(cells.index.astype(np.int32))]
+
+
+def cell_indices(voxels: DataFrame) -> DataFrame:
+    """dual_cells() without o."""
+    return _made(voxels, _cell_columns, "px int, py int, pz int, index int", surface=False)
 
 
 def dual_cells(voxels: DataFrame) -> DataFrame:
     """(px, py, pz, index, o): points at which a voxel has a corner and all eight octants are filled.
 
     index has bit k where octant k is inside (value < 0); o has what fills each octant (leaf,
-    value, cx, cy, cz). At most eight voxels meet in a point.
+    value, cx, cy, cz).
     """
-    rows = surface_points(voxels).groupBy("px", "py", "pz")
-    rows = rows.agg(F.bit_or("octants").alias("all"), F.bool_or("corner").alias("corner"), F.collect_list(F.struct("octants", "leaf", "value", "cx", "cy", "cz")).alias("held"))
-    rows = rows.filter("all = 255 and corner")
 
-    def of(k: int) -> Column:
-        return F.get(F.filter("held", lambda h: h["octants"].bitwiseAND(F.lit(1 << k)) != 0), F.lit(0)).dropFields("octants")
+    def make(cells: Cells) -> list[pa.Array]:
+        row = cells.held.ravel()
+        fields = [pa.array(c) for c in (cells.leaf[row], cells.value[row], *cells.middle(row))]
+        held = pa.StructArray.from_arrays(fields, names=["leaf", "value", "cx", "cy", "cz"])
+        return [*_cell_columns(cells), pa.ListArray.from_arrays(pa.array(np.arange(len(cells.index) + 1, dtype=np.int32) * 8), held)]
+
+    return _made(voxels, make, "px int, py int, pz int, index int, o array<struct<leaf:bigint,value:double,cx:double,cy:double,cz:double>>", surface=False)
+
 
-    rows = rows.select("px", "py", "pz", F.array(*[of(k) for k in range(8)]).alias("o"))
-    index = sum((F.when(F.col("o")[k]["value"] < 0, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(8)), F.lit(0))
-    return rows.select("px", "py", "pz", index.alias("index"), "o")
+#: Of each of the 256 cases, the triangles' number and the ends of their corners' edges, as octants.
+_COUNT = np.array([len(mesh.triangles(case)) if 0 < case < 255 else 0 for case in range(256)])
+_ENDS = np.zeros((256, _COUNT.max(), 3, 2), dtype=np.int64)
+for _case in range(1, 255):
+    for _k, _t in enumerate(mesh.triangles(_case)):
+        _ENDS[_case, _k] = [mesh.EDGES[e] for e in _t]
 
 
 def dual_mesh(voxels: DataFrame) -> DataFrame:
@@ -74,30 +168,24 @@ def dual_mesh(voxels: DataFrame) -> DataFrame:
     low and high are the voxels that a vertex lies between, at the linear zero between their
     middles. Triangles two of whose vertices are one, as coarse voxels make them, are left out.
     """
-    cells = dual_cells(voxels).filter("index > 0 and index < 255")
-    rows = [(case, k, *t) for case in range(1, 255) for k, t in enumerate(mesh.triangles(case))]
-    table = voxels.sparkSession.createDataFrame(rows, "index int, face int, ea int, eb int, ec int")
-    faces = cells.join(F.broadcast(table), "index")  # 254 cases of five triangles at most
-    ends = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in mesh.EDGES])
-    faces = faces.withColumn("ends", ends)
-
-    def vertex(e: str) -> Column:
-        a, b = (F.get("o", F.get("ends", F.col(e))[x]) for x in "ab")
-        # From the lower voxel to the higher one, so that all cells place it alike.
-        first = F.when(a["leaf"] < b["leaf"], a).otherwise(b)
-        second = F.when(a["leaf"] < b["leaf"], b).otherwise(a)
-        pair = F.array(F.struct(first.alias("f"), second.alias("s")))
-
-        def placed(p: Column) -> Column:
-            f, s = p["f"], p["s"]
-            share = f["value"] / (f["value"] - s["value"])
-            return F.struct(f["leaf"].alias("low"), s["leaf"].alias("high"), *[(f[f"c{c}"] + (s[f"c{c}"] - f[f"c{c}"]) * share).alias(c) for c in XYZ])
 
-        return F.transform(pair, placed)[0]
-
-    faces = faces.select("px", "py", "pz", "face", *[vertex(f"e{n}").alias(n) for n in "abc"])
-    same = lambda m, n: (F.col(f"{m}.low") == F.col(f"{n}.low")) & (F.col(f"{m}.high") == F.col(f"{n}.high"))
-    return faces.filter(~(same("a", "b") | same("b", "c") | same("a", "c")))
+    def make(cells: Cells) -> list[pa.Array]:
+        count = _COUNT[cells.index]
+        cell = np.repeat(np.arange(len(count)), count)
+        face = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
+        a, b = (np.take_along_axis(cells.held[cell], _ENDS[cells.index[cell], face, :, k], 1) for k in (0, 1))
+        # From the lower voxel to the higher one, so that all cells place it alike.
+        ahead = cells.leaf[a] < cells.leaf[b]
+        a, b = np.where(ahead, a, b), np.where(ahead, b, a)
+        same = lambda m, n: (a[:, m] == a[:, n]) & (b[:, m] == b[:, n])
+        keep = ~(same(0, 1) | same(1, 2) | same(0, 2))
+        a, b = a[keep], b[keep]
+        share = cells.value[a] / (cells.value[a] - cells.value[b])
+        at = [f + (s - f) * share for f, s in zip(cells.middle(a), cells.middle(b), strict=True)]
+        corner = lambda k: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c[:, k])) for c in (cells.leaf[a], cells.leaf[b], *at)], names=["low", "high", *XYZ])
+        return [*cells.points(cell[keep]), pa.array(face[keep].astype(np.int32)), *[corner(k) for k in range(3)]]
+
+    return _made(voxels, make, f"px int, py int, pz int, face int, a {_VERTEX}, b {_VERTEX}, c {_VERTEX}", surface=True)
 
 
 def vertices(faces: DataFrame) -> DataFrame:

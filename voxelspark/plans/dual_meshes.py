@@ -15,6 +15,8 @@ EDGE, ROW = 3, 64
 def balls(spark, sf_dir):
     """Voxels (scale, vx, vy, vz, value) of a ball for each supplier: distances at middles; blocks of 8 take scales 0 to 3 in turn."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") % 3).alias("n"))
+    # The table is one small file, so its rows are dealt out before each becomes thousands.
+    s = s.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     rows = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(EDGE**3 - 1)))).withColumns({"bx": F.col("i") % EDGE, "by": F.floor(F.col("i") / EDGE) % EDGE, "bz": F.floor(F.col("i") / EDGE**2)})
     rows = rows.withColumn("scale", ((F.col("bx") + 2 * F.col("by") + 3 * F.col("bz") + F.col("k")) % 4).cast("int"))
     rows = rows.withColumn("m", F.call_function("shiftright", F.lit(8), F.col("scale"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") * F.col("m") * F.col("m") - 1)))
@@ -47,7 +49,7 @@ _REAL = " AND ".join(f"({m}_low, {m}_high) <> ({n}_low, {n}_high)" for m, n in (
 
 @query(f"WITH {_BALLS} SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, CAST(pz AS INTEGER) AS pz, index FROM cl")
 def m03_dual_cells(spark, sf_dir):
-    return dual_mesh.dual_cells(balls(spark, sf_dir)).select("px", "py", "pz", "index")
+    return dual_mesh.cell_indices(balls(spark, sf_dir))
 
 
 @query(f"WITH {_FACES} SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, CAST(pz AS INTEGER) AS pz, face, a_low, a_high, b_low, b_high, c_low, c_high FROM fa WHERE {_REAL}")
