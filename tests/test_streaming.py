@@ -171,3 +171,19 @@ def test_refinement_keeps_the_surface_and_frees_the_space_before_it(spark):
     assert all(z(r)[1] < 3.0 for r in out if r["state"] == "constant")
     on = {(r["x"], r["y"]) for r in out if r["scale"] == 3 and z(r)[0] <= 3.0 < z(r)[1]}
     assert (64, 64) in on
+
+
+def test_visits_of_a_block_are_projected_together(monkeypatch):
+    rng, n = np.random.default_rng(5), 40
+    wide, depth = np.full(n, 8), rng.uniform(0.3, 4.0, (n, 64))
+    depth[7] = 0.0
+    args = (np.tile([6, 6, 9], (n, 1)), rng.uniform(-0.3, 0.3, (n, 3)), None, depth.reshape(-1), np.arange(n) * 64, np.zeros(n, dtype=int), np.zeros(n, dtype=int), wide, CAMERA, MAP)
+    calls, project = [], blocks.Sight._project
+    monkeypatch.setattr(blocks.Sight, "_project", lambda self, rows, scale: calls.append(len(rows)) or project(self, rows, scale))
+    for occupancy in (True, False):
+        sight = blocks.Sight(*args, occupancy, 0.05, 0.2)
+        together = [sight.at(k, n)(0) for k in range(n)]
+        assert calls == [n] and sum(len(i) for i, _ in together) > 0 == len(together[7][0])
+        alone = [blocks.Sight(*args, occupancy, 0.05, 0.2).at(k, k + 1)(0) for k in range(n)]
+        assert all((a == b).all() for x, y in zip(together, alone, strict=True) for a, b in zip(x, y, strict=True))
+        calls.clear()

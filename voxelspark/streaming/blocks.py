@@ -9,6 +9,7 @@ the coarser scale since it was last passed on.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import morton as m
 from ..functions.sensors import HYSTERESIS, SCALE_STEPS, Pinhole
 from ..operators import carve, free_space
-from ..operators.fusion import LOG_ODD_MIN, SHIFT, TURN, VoxelMap, cropped, occupancy_max_weight, packed, pose_columns, posed, settle, surface_samples, visits
+from ..operators.fusion import LOG_ODD_MIN, SHIFT, TURN, VoxelMap, cropped, occupancy_max_weight, packed, pose_columns, posed, settle, surface_samples, to_camera, visits
 from ..operators.octree import BLOCK_SCALE
 
 #: Integrations and share of the observed volume after which a buffer takes over.
@@ -77,22 +78,36 @@ class Block:
             level, start = up(*level), start + 1
         return level
 
-    def add(self, scale: int, value: np.ndarray) -> None:
-        """The running mean with the new values; NaN is no observation."""
-        mean, weight = self.levels[scale]
-        seen = ~np.isnan(value)
-        w = np.minimum(weight + 1, self.max_weight)
-        self.levels[scale] = (np.where(seen, (mean * (w - 1) + np.nan_to_num(value)) / w, mean), np.where(seen, w, weight))
+    def add(self, scale: int, seen: np.ndarray, value: np.ndarray) -> None:
+        """The running mean of the voxels seen (numbers, x fastest) with their new values."""
+        if not len(seen):
+            return
+        # Levels may be shared with the past, so they are replaced, not changed.
+        mean, weight = (a.copy() for a in self.levels[scale])
+        m, w = mean.reshape(-1), weight.reshape(-1)
+        n = np.minimum(w[seen] + 1, self.max_weight)
+        m[seen], w[seen] = (m[seen] * (n - 1) + value) / n, n
+        self.levels[scale] = mean, weight
 
     def integrate(self, scale: int, observe) -> None:
-        """One frame: observe(scale) gives the values at a scale."""
+        """One frame: observe(scale) gives the values at a scale as a cube, with NaN for no observation."""
+
+        def sparse(s: int) -> tuple[np.ndarray, np.ndarray]:
+            value = observe(s).reshape(-1)
+            seen = np.flatnonzero(~np.isnan(value))
+            return seen, value[seen]
+
+        self.visit(scale, sparse)
+
+    def visit(self, scale: int, observe) -> None:
+        """integrate() with observe(scale) giving the numbers of the voxels that are observed, and their values."""
         if self.scale is None:
             self.scale, self.levels[scale] = scale, self.empty(scale)
         if self.occupancy:
             self._buffered(scale, observe)
         else:
             self._change(max(scale, self.scale - 1))
-            self.add(self.scale, observe(self.scale))
+            self.add(self.scale, *observe(self.scale))
 
     def free_scale(self, scale: int, top: int = 3) -> int:
         """The scale for a frame in which the block is free as a whole; it changes by one, but a free block may take any coarser one."""
@@ -103,7 +118,7 @@ class Block:
         return min(max(scale, FREE_SCALE if free else max(0, self.scale - 1)), min(top, self.scale + 1))
 
     def _buffered(self, scale: int, observe) -> None:
-        self.add(self.scale, observe(self.scale))
+        self.add(self.scale, *observe(self.scale))
         if scale == self.scale:
             self.buffer = None
             return
@@ -113,12 +128,11 @@ class Block:
             if scale < self.scale:
                 self.levels[scale] = (self.levels[scale][0], np.minimum(self.levels[scale][1], 1))
             self.fresh = np.zeros(self.levels[scale][0].shape, dtype=bool)
-        value = observe(scale)
-        self.add(scale, value)
-        self.fresh |= ~np.isnan(value)
+        seen, value = observe(scale)
+        self.add(scale, seen, value)
+        self.fresh.reshape(-1)[seen] = True
         self.rounds += 1
-        observed = (self.levels[self.scale][1] > 0).mean()
-        if self.rounds >= BUFFER_ROUNDS and self.fresh.mean() >= BUFFER_SHARE * observed:
+        if self.rounds >= BUFFER_ROUNDS and self.fresh.mean() >= BUFFER_SHARE * (self.levels[self.scale][1] > 0).mean():
             self.scale, self.buffer = scale, None
 
     def _change(self, scale: int) -> None:
@@ -140,37 +154,77 @@ class Block:
             self.scale -= 1
 
 
-def observer(corner: np.ndarray, shift: np.ndarray, turn: np.ndarray | None, depth: np.ndarray, first: tuple[int, int], camera: Pinhole, vmap: VoxelMap, occupancy: bool, sigma: float, tau: float):
-    """observe(scale) for a block at corner (voxels) seen from a camera at shift, turned by turn from camera to world.
+#: Visits of a block that are projected at once.
+CHUNK = 64
+
 
-    depth is the part of the image, from column and row first on, that the block projects into.
+class Sight:
+    """What a batch of visits observes: at(row)(scale) gives the voxels' numbers and values of one of them.
+
+    Visits of the same block that follow are mostly observed at the same scale, so a chunk of
+    them is projected when its first one is asked for. Visits without an image see nothing.
+    The visits' parts of images (see fusion.cropped) lie in image one after another, each from first on.
     """
 
-    def observe(scale: int) -> np.ndarray:
+    def __init__(self, block: np.ndarray, shift: np.ndarray, turn: np.ndarray | None, image: np.ndarray, first: np.ndarray, x0: np.ndarray, y0: np.ndarray, wide: np.ndarray, camera: Pinhole, vmap: VoxelMap, occupancy: bool, sigma: float, tau: float):
+        self.block, self.shift, self.turn, self.image, self.first = block, shift, turn, image, first
+        self.x0, self.y0, self.wide = x0, y0, wide
+        self.camera, self.vmap, self.occupancy, self.sigma, self.tau = camera, vmap, occupancy, sigma, tau
+        self.known: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+        #: The visits with an image, and for each visit how many of them come before it.
+        self.some = np.flatnonzero(np.diff(np.r_[first, len(image)]))
+        self.before = np.searchsorted(self.some, np.arange(len(block))).tolist()
+
+    def at(self, row: int, end: int):
+        """observe(scale) for a visit; the block's visits end before end."""
+        k = self.before[row]
+        nothing = k == len(self.some) or self.some[k] != row
+
+        def observe(scale: int) -> tuple[np.ndarray, np.ndarray]:
+            if nothing:
+                return _NONE
+            known = self.known.setdefault(scale, {})
+            if row not in known:
+                rows = self.some[k : k + CHUNK]
+                known.clear()
+                known.update(self._project(rows[rows < end], scale))
+            return known[row]
+
+        return observe
+
+    def _project(self, rows: np.ndarray, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        vmap, camera = self.vmap, self.camera
         n, stride = vmap.block >> scale, 1 << scale
-        at = lambda k: (corner[k] + np.arange(n) * stride + stride / 2) * vmap.res - vmap.dim / 2 - shift[k]
-        # Axis 0 is z, as voxels have x fastest.
-        z, y, x = np.meshgrid(at(2), at(1), at(0), indexing="ij")
-        if turn is not None:
-            x, y, z = (turn[0, k] * x + turn[1, k] * y + turn[2, k] * z for k in range(3))
-        out = np.full((n, n, n), np.nan)
+        corner = self.block[rows[0]].astype(np.int64) * vmap.block
+        at = [(corner[k] + np.arange(n) * stride + stride / 2) * vmap.res - vmap.dim / 2 - self.shift[rows, k][:, None] for k in range(3)]
+        # Voxels have x fastest.
+        full = (len(rows), n, n, n)
+        x, y, z = (np.broadcast_to(a, full) for a in (at[0][:, None, None, :], at[1][:, None, :, None], at[2][:, :, None, None]))
+        if self.turn is not None:
+            r = self.turn[rows][:, :, :, None, None, None]
+            x, y, z = (r[:, 0, k] * x + r[:, 1, k] * y + r[:, 2, k] * z for k in range(3))
         with np.errstate(divide="ignore", invalid="ignore"):
             u, v = x * camera.fx / z + camera.cx, y * camera.fy / z + camera.cy
-            ok = (z > 0) & (z <= camera.far) & (u >= -0.5) & (u < camera.width - 0.5) & (v >= -0.5) & (v < camera.height - 0.5)
-        d = np.zeros((n, n, n))
-        d[ok] = depth[(v[ok] + 0.5).astype(int) - first[1], (u[ok] + 0.5).astype(int) - first[0]]
-        ok &= d >= camera.near
-        sdf = np.where(ok, (d - z) / np.where(ok, z, 1) * np.sqrt(x * x + y * y + z * z), np.nan)
-        if not occupancy:
-            keep = ok & (sdf >= -vmap.boundary)
-            out[keep] = np.minimum(sdf[keep] / vmap.boundary, 1)
-            return out
-        behind = -sdf
-        out = np.where(behind < tau / 2, -LOG_ODD_MIN * behind / (3 * sigma), -LOG_ODD_MIN * tau / (6 * sigma))
-        out = np.where(behind <= -3 * sigma, LOG_ODD_MIN, out)
-        return np.where(ok & (behind < tau), out, np.nan)
-
-    return observe
+            hit = np.flatnonzero((z > 0) & (z <= camera.far) & (u >= -0.5) & (u < camera.width - 0.5) & (v >= -0.5) & (v < camera.height - 0.5))
+        x, y, z, u, v = (a.reshape(-1)[hit] for a in (x, y, z, u, v))
+        own = hit // n**3
+        r = rows[own]
+        d = self.image[self.first[r] + ((v + 0.5).astype(np.int64) - self.y0[r]) * self.wide[r] + (u + 0.5).astype(np.int64) - self.x0[r]]
+        sdf = (d - z) / z * np.sqrt(x * x + y * y + z * z)
+        if self.occupancy:
+            behind, tau, three = -sdf, self.tau, 3 * self.sigma
+            keep = (d >= camera.near) & (behind < tau)
+            value = np.where(behind < tau / 2, -LOG_ODD_MIN * behind / three, -LOG_ODD_MIN * tau / (2 * three))
+            value = np.where(behind <= -three, LOG_ODD_MIN, value)
+        else:
+            keep = (d >= camera.near) & (sdf >= -vmap.boundary)
+            value = np.minimum(sdf / vmap.boundary, 1)
+        own, voxel, value = own[keep], hit[keep] % n**3, value[keep]
+        cuts = np.searchsorted(own, np.arange(len(rows) + 1)).tolist()
+        return {row: (voxel[a:b], value[a:b]) for row, a, b in zip(rows.tolist(), cuts, cuts[1:], strict=False)}
+
+
+_NONE = np.empty(0, dtype=np.int64), np.empty(0)
 
 
 def fuse(pixels: DataFrame, poses: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: bool = True, sigma: float = 0.05, tau: float = 0.2) -> DataFrame:
@@ -223,7 +277,12 @@ def unpacked(frames: DataFrame, camera: Pinhole) -> DataFrame:
 
 def fuse_visits(seen: DataFrame, frames: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: bool = True, sigma: float = 0.05, tau: float = 0.2) -> DataFrame:
     """fuse_frames() of given visits (bx, by, bz, frame, pose); with a column free, the frame found the block free as a whole."""
-    rows = cropped(seen, frames, camera, vmap)
+    # A block that lies further behind all of its part of the image than anything is observed needs no image.
+    reach = math.sqrt(3) / 2 * vmap.block * vmap.res + (tau if occupancy else vmap.boundary)
+    ahead = to_camera(seen, tuple((F.col(f"b{c}") * vmap.block + F.lit(vmap.block / 2)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) for c in "xyz"))[2]
+    rows = settle(cropped(seen.withColumn("ahead", ahead), frames, camera, vmap), "ahead", "depth")
+    hidden = F.coalesce(F.col("ahead") - F.lit(reach) > F.array_max("depth"), F.lit(False))
+    rows = rows.withColumn("depth", F.when(hidden, F.array().cast("array<double>")).otherwise(F.col("depth"))).drop("ahead")
     if "free" in seen.columns:
         rows = rows.withColumn("depth", F.when(F.col("free"), F.array().cast("array<double>")).otherwise(F.col("depth")))
     weight, turned, carved = occupancy_max_weight() if occupancy else vmap.max_weight, "r00" in rows.columns, "free" in rows.columns
@@ -244,23 +303,25 @@ def fuse_visits(seen: DataFrame, frames: DataFrame, camera: Pinhole, vmap: Voxel
             col = lambda c, batch=batch: batch.column(c).to_numpy(zero_copy_only=False)
             at, shift = np.stack([col(c) for c in ("bx", "by", "bz")], 1), np.stack([col(c) for c in shifts], 1)
             turn = np.stack([col(c) for c in turns], 1).reshape(-1, 3, 3) if turned else None
-            whole_free = col("free") if carved else np.zeros(batch.num_rows, dtype=bool)
-            x0, y0, wide, images = col("x0"), col("y0"), col("wide"), batch.column("depth")
-            for k in range(batch.num_rows):
-                if key != tuple(at[k].tolist()):
+            whole_free = (col("free") if carved else np.zeros(batch.num_rows, dtype=bool)).tolist()
+            x0, y0, wide = (col(c).astype(np.int64) for c in ("x0", "y0", "wide"))
+            first = batch.column("depth").offsets.to_numpy()[:-1].astype(np.int64) - batch.column("depth").offsets[0].as_py()
+            image = np.nan_to_num(batch.column("depth").flatten().to_numpy(zero_copy_only=False).astype(float))
+            sight = Sight(at, shift, turn, image, first, x0, y0, wide, camera, vmap, occupancy, sigma, tau)
+            centre = (at.astype(np.int64) * vmap.block + vmap.block / 2) * vmap.res - vmap.dim / 2 - shift
+            away = (centre[:, 2] if turn is None else turn[:, 0, 2] * centre[:, 0] + turn[:, 1, 2] * centre[:, 1] + turn[:, 2, 2] * centre[:, 2]).tolist()
+            starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)]).tolist() if len(at) else []
+            for start, end in zip(starts, [*starts[1:], len(at)], strict=True):
+                if key != tuple(at[start].tolist()):
                     if block is not None:
                         yield finish()
-                    key, block = tuple(at[k].tolist()), Block(vmap.block, occupancy, weight)
-                corner = at[k].astype(np.int64) * vmap.block
-                image = np.nan_to_num(images[k].values.to_numpy(zero_copy_only=False).astype(float)).reshape(-1, int(wide[k]))
-                centre = (corner + vmap.block / 2) * vmap.res - vmap.dim / 2 - shift[k]
-                r = turn[k] if turned else None
-                away = float(centre[2] if r is None else r[0, 2] * centre[0] + r[1, 2] * centre[1] + r[2, 2] * centre[2])
-                scale = scale_of(away, camera, vmap.res, block.scale)
-                if whole_free[k]:
-                    block.integrate(block.free_scale(scale), lambda s: np.full((vmap.block >> s,) * 3, LOG_ODD_MIN))
-                    continue
-                block.integrate(scale, observer(corner, shift[k], r, image, (int(x0[k]), int(y0[k])), camera, vmap, occupancy, sigma, tau))
+                    key, block = tuple(at[start].tolist()), Block(vmap.block, occupancy, weight)
+                for k in range(start, end):
+                    scale = scale_of(away[k], camera, vmap.res, block.scale)
+                    if whole_free[k]:
+                        block.visit(block.free_scale(scale), lambda s: (np.arange((vmap.block >> s) ** 3), LOG_ODD_MIN))
+                        continue
+                    block.visit(scale, sight.at(k, end))
         if block is not None:
             yield finish()
 
