@@ -427,3 +427,16 @@ def test_points_meet_cubes_of_voxels_by_one_sorted_join(spark):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         physical = rows._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastHashJoin" not in physical and physical.count("SortMergeJoin") == 1 and plan.count("Join") == 1
+
+
+def test_nearest_shuffles_no_row_for_each_neighbour(spark):
+    """Many equal and near times: one walk through each bin, not each row with each."""
+    rng = np.random.default_rng(3)
+    left, right = ([(k, int(t)) for k, t in enumerate(rng.integers(0, 3000, n))] for n in (400, 300))
+    a, b = (spark.createDataFrame(rows, "id long, ts long") for rows in (left, right))
+    for tolerance in (7, 100):
+        want = {i: min((abs(t - at), at, m) for m, at in right) for i, t in left}
+        got = {r["id"]: (r["match"], r["delta"]) for r in association.nearest(a, b, tolerance).collect()}
+        assert got == {i: (m, d) for i, (d, _, m) in want.items() if d <= tolerance}
+    plan = association.nearest(a, b, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

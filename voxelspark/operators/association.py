@@ -19,13 +19,24 @@ def nearest(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
     """(id, match, delta): for each left (id, ts) the right (id, ts) nearest in time, within tolerance.
 
     Ties go to the earlier ts, then the smaller id; rows without a match are left out.
-    Times fall into bins of the tolerance, so only three bins meet and keys spread evenly.
+    Times fall into bins of the tolerance, and each bin also gets the last match of the bin
+    before and the first of the bin after it. The matches on either side of a time are then
+    the last ones seen when the bin is walked in both directions, however many there are.
     """
-    a = left.select("id", "ts", F.explode(F.array(*[F.floor(F.col("ts") / F.lit(tolerance)) + d for d in (-1, 0, 1)])).alias("bin"))
-    b = right.select(F.col("id").alias("match"), F.col("ts").alias("at"), F.floor(F.col("ts") / F.lit(tolerance)).alias("bin"))
-    rows = a.join(b, "bin").withColumn("delta", F.abs(F.col("ts") - F.col("at"))).filter(F.col("delta") <= tolerance)
-    best = F.min(F.struct("delta", "at", "match"))
-    return rows.groupBy("id").agg(best.alias("b")).select("id", F.col("b.match").alias("match"), F.col("b.delta").alias("delta"))
+    of_bin = F.floor(F.col("ts") / F.lit(tolerance))
+    a = left.select(of_bin.alias("bin"), "ts", F.lit(1).alias("side"), F.struct("id").alias("own"))
+    b = right.filter("ts is not null").groupBy("ts").agg(F.min(F.struct("id"))["id"].alias("match"))
+    b = b.select(of_bin.alias("bin"), F.struct(F.col("ts").alias("at"), "match").alias("near"))
+    ends = b.groupBy("bin").agg(F.min("near").alias("first"), F.max("near").alias("last"))
+    ends = ends.select(F.inline(F.array(F.struct((F.col("bin") - 1).alias("bin"), F.col("first").alias("near")), F.struct((F.col("bin") + 1).alias("bin"), F.col("last").alias("near")))))
+    b = b.unionByName(ends).select("bin", F.col("near.at").alias("ts"), F.lit(0).alias("side"), "near")
+    rows = a.filter("ts is not null").unionByName(b, allowMissingColumns=True)
+    walk = Window.partitionBy("bin")
+    # On its way back the walk meets what is at a row's own time after it, on its way there before.
+    rows = rows.withColumns({"before": F.last("near", ignorenulls=True).over(walk.orderBy("ts", "side")), "after": F.last("near", ignorenulls=True).over(walk.orderBy(F.desc("ts"), F.desc("side")))})
+    found = rows.filter("side = 1").select("own.id", F.explode(F.array(*[F.struct(F.abs(F.col("ts") - F.col(f"{c}.at")).alias("delta"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.match").alias("match")) for c in ("before", "after")])).alias("b"))
+    found = found.filter(F.col("b.delta") <= tolerance).groupBy("id").agg(F.min("b").alias("b"))
+    return found.select("id", F.col("b.match").alias("match"), F.col("b.delta").alias("delta"))
 
 
 def intervals(poses: DataFrame, columns: list[str], gap: int) -> DataFrame:
