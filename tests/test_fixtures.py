@@ -12,6 +12,8 @@ from voxelspark.functions import morton, rigid, sensors, strings
 from voxelspark.operators import association, fusion, icp, images, keysets, mesh, octree, pyramid, raycast, voxels
 from voxelspark.sources import config, readers, sinks
 
+from .cost import shuffled_rows
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
@@ -440,3 +442,17 @@ def test_nearest_shuffles_no_row_for_each_neighbour(spark):
         assert got == {i: (m, d) for i, (d, _, m) in want.items() if d <= tolerance}
     plan = association.nearest(a, b, 100)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_cameras_try_only_cells_around_blocks(spark):
+    at = [F.lit(v).cast("long") for v in (40, 48, 8)]
+    keys = spark.range(1).select(morton.encode_key(morton.encode_code(*at), F.lit(3)).alias("key"))
+    octants = octree.with_children(keys)
+    poses = spark.range(30).selectExpr("id AS frame", "-11.0D AS tx", "-10.0D AS ty", "-16.0D AS tz")
+    camera, wide = sensors.Pinhole(8.0, 8.0, 3.5, 3.5, 8, 8, near=0.1, far=10.0), fusion.VoxelMap(dim=25.6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = octree.in_frustum(octants, poses, camera, wide)
+        assert found.count() == 30 and shuffled_rows(found) <= 5 * 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

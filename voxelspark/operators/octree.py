@@ -79,7 +79,11 @@ def in_frustum(octants: DataFrame, poses: DataFrame, camera: Pinhole, vmap: Voxe
     places = dict(zip("xyz", m.key_coord(F.col("key")), strict=True))
     rows = blocks(octants).select("key", *[v.alias(c) for c, v in places.items()])
     rows = rows.withColumns({f"k{c}": F.floor(F.col(c) / (edge * cell)).cast("int") for c in "xyz"})
-    both = rows.join(frustum_cells(posed(poses), camera, vmap, cell), ["kx", "ky", "kz"])
+    # Few poses become many cells, so they are dealt out first, and only cells in the box around all blocks are tried.
+    box = rows.agg(*[f(f"k{c}").alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "low"), (F.max, "high"))])
+    dealt = posed(poses).repartition(4 * int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame")
+    cells = frustum_cells(dealt.crossJoin(F.broadcast(box)), camera, vmap, cell, within=tuple((F.col(f"low_{c}"), F.col(f"high_{c}")) for c in "xyz"))
+    both = rows.join(cells, ["kx", "ky", "kz"])
     centre = tuple((F.col(c) + F.lit(edge / 2)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) for c in "xyz")
     return in_view(both, centre, math.sqrt(3) / 2 * vmap.res * edge, camera).select("frame", "key")
 
