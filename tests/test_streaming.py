@@ -9,6 +9,8 @@ from voxelspark.functions.sensors import Lidar, Pinhole
 from voxelspark.operators import carve, fusion, ray_fusion, ray_map
 from voxelspark.streaming import blocks, fuse, rays
 
+from .cost import shuffled_rows
+
 CAMERA = Pinhole(8.0, 8.0, 3.5, 3.5, 8, 8, near=0.1, far=6.0)
 MAP = fusion.VoxelMap(dim=12.8, res=0.1, truncation=4.0, max_weight=4)
 
@@ -187,3 +189,16 @@ def test_visits_of_a_block_are_projected_together(monkeypatch):
         alone = [blocks.Sight(*args, occupancy, 0.05, 0.2).at(k, k + 1)(0) for k in range(n)]
         assert all((a == b).all() for x, y in zip(together, alone, strict=True) for a, b in zip(x, y, strict=True))
         calls.clear()
+
+
+def test_carving_shuffles_frames_only(spark):
+    """Octants find their depths in the image beside them; no row is made for a pixel of a box. Poses without pixels keep what reaches to the camera."""
+    frames = spark.range(6).selectExpr("id AS frame", "transform(sequence(1, 64), i -> 1.0D + (i * 7 + id) % 11 / 4) AS depth", "id * 0.1D AS tx", "0.0D AS ty", "0.0D AS tz")
+    assert shuffled_rows(carve.carve_frames(frames, CAMERA, MAP)) <= 6
+    pixels = frames.selectExpr("frame", "posexplode(depth) AS (i, depth)").selectExpr("frame", "i % 8 AS x", "CAST(floor(i / 8) AS INT) AS y", "depth")
+    poses = frames.drop("depth")
+    want = sorted(map(tuple, carve.carve_frames(frames, CAMERA, MAP).collect()))
+    got = carve.carve(pixels.filter("frame < 5"), poses, CAMERA, MAP).collect()
+    assert sorted(tuple(r) for r in got if r["frame"] < 5) == [r for r in want if r[0] < 5]
+    blind = {tuple(r)[1:] for r in got if r["frame"] == 5}
+    assert blind and all(scale == 3 and state == "gradient" for _, _, _, scale, state in blind)

@@ -109,6 +109,22 @@ def pool_boxes(boxes: DataFrame, pixels: DataFrame, width: int, height: int) ->
     return rows.groupBy("id", "crossing").agg(F.min(good).alias("low"), F.max(good).alias("high"), F.count(good).cast("int").alias("known"), (F.count("depth") - F.count(good)).cast("int").alias("unknown"))
 
 
+def pool_arrays(rows: DataFrame, where: Column, width: int, height: int) -> DataFrame:
+    """rows (depth: an image as an array by rows; x0, y0, x1, y1) with low, high, unknown (whether there is any) and crossing of each box, as pool_boxes() has them.
+
+    Looked up in the image beside the box. low and high are null where no depth is known, and where where is false.
+    """
+    inside = (F.col("x0") >= 0) & (F.col("y0") >= 0) & (F.col("x1") < width) & (F.col("y1") < height)
+    cut = {f"{c}{k}": F.greatest(F.col(f"{c}{k}"), F.lit(0)) if k == 0 else F.least(F.col(f"{c}{k}"), F.lit(n - 1)) for c, n in (("x", width), ("y", height)) for k in (0, 1)}
+    rows = rows.withColumn("crossing", ~inside).withColumns(cut)
+    some = where & (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))
+    line = lambda y: F.slice("depth", y * width + F.col("x0") + 1, F.col("x1") - F.col("x0") + 1)
+    rows = rows.withColumn("pooled", F.when(some, F.flatten(F.transform(F.sequence("y0", "y1"), line))))
+    good = F.filter("pooled", lambda d: d >= VALID)
+    unknown = F.coalesce(F.exists("pooled", lambda d: d < VALID), F.lit(False))
+    return rows.withColumns({"low": F.array_min(good), "high": F.array_max(good), "unknown": unknown}).drop("pooled")
+
+
 def ray_to_z(depth: Column, camera: Pinhole, x: Column, y: Column) -> Column:
     """z of a measurement along the ray."""
     a, b, _ = camera.ray(x, y)

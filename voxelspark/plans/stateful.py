@@ -9,7 +9,7 @@ from ..streaming import blocks
 from ..streaming import rays as ray_batches
 from . import fixtures as fx
 from . import sql as q
-from .fusion import _RADIUS, _RO, _R, CAMERA, MAP, _clamped, _plane_sql, _seen, depth, frames, micro, poses, turned
+from .fusion import _RADIUS, _RO, _R, CAMERA, MAP, _clamped, _plane_sql, _seen, frames, micro, poses, turned
 from .keys import _tree
 from .registry import query
 
@@ -46,7 +46,7 @@ def f12_incremental_fusion(spark, sf_dir):
 
 @query()
 def a06_volume_carver(spark, sf_dir):
-    return carve.carve(depth(spark, sf_dir), poses(spark, sf_dir), CAMERA, MAP)
+    return carve.carve_frames(frames(spark, sf_dir), CAMERA, MAP)
 
 
 @query(f"WITH {q.TREE} SELECT key, CASE WHEN (code >> 9) % 3 = 0 THEN 7 ELSE CAST(scale AS INTEGER) END AS data FROM t")

@@ -247,7 +247,7 @@ def fuse_frames(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: b
 def fuse_carved(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, folder: str, sigma: float = 0.05, tau: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """An occupancy map with free space in octants of any size: its nodes (key, occupancy, weight) and its blocks' voxels.
 
-    Frames are carved (carve.carve()). Nodes above the blocks are freed as they are and split
+    Frames are carved (carve.carve_frames()). Nodes above the blocks are freed as they are and split
     where another frame needs their blocks; a block is updated by the frames that need it and
     freed by those that found it, or a node around it, free. Voxels as in fuse_frames(). What
     was carved and the leaves are read by several jobs, so they become tables in folder.
@@ -255,7 +255,7 @@ def fuse_carved(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, folder: str,
     spark = frames.sparkSession
 
     frames, top = posed(frames), vmap.size.bit_length() - 1
-    free_space.visits_of(carve.carve(unpacked(frames, camera), frames.drop("depth"), camera, vmap, sigma, tau)).write.parquet(f"{folder}/visits")
+    free_space.visits_of(carve.carve_frames(frames, camera, vmap, sigma, tau)).write.parquet(f"{folder}/visits")
     visited = spark.read.parquet(f"{folder}/visits")
     free_space.leaves(visited, top).write.parquet(f"{folder}/leaves")
     leaf = spark.read.parquet(f"{folder}/leaves")
@@ -269,12 +269,6 @@ def fuse_carved(frames: DataFrame, camera: Pinhole, vmap: VoxelMap, folder: str,
     return state.filter(~small), fuse_visits(seen, frames, camera, vmap, True, sigma, tau)
 
 
-def unpacked(frames: DataFrame, camera: Pinhole) -> DataFrame:
-    """(frame, x, y, depth) of frames' images; missing pixels are left out."""
-    rows = frames.select("frame", F.posexplode("depth").alias("i", "depth")).filter("depth is not null")
-    return rows.select("frame", (F.col("i") % camera.width).alias("x"), F.floor(F.col("i") / camera.width).cast("int").alias("y"), "depth")
-
-
 def fuse_visits(seen: DataFrame, frames: DataFrame, camera: Pinhole, vmap: VoxelMap, occupancy: bool = True, sigma: float = 0.05, tau: float = 0.2) -> DataFrame:
     """fuse_frames() of given visits (bx, by, bz, frame, pose); with a column free, the frame found the block free as a whole."""
     # A block that lies further behind all of its part of the image than anything is observed needs no image.
