@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -12,6 +13,8 @@ from voxelspark.functions.sensors import Pinhole
 from voxelspark.operators import free_space, fusion
 from voxelspark.streaming import blocks
 
+from .cost import shuffled_rows
+
 TOP, FREE = 6, -5.015
 
 
@@ -75,6 +78,28 @@ def test_free_space_is_the_recursion(spark):
     assert free_space.update(spark.createDataFrame([], free_space.STATE), visits.limit(0), TOP).collect() == []
 
 
+def test_visits_meet_their_leaves_in_one_shuffle(spark):
+    """Many visits to a node and to blocks in it: rows shuffled grow with the visits, not with visits times leaves."""
+    n, many = 64, 36_000
+    i = F.col("id")
+    # All of one node, then blocks of it in turn, split down to n leaves; one block has more visits than are kept.
+    node = spark.range(many).filter(i % 3 == 0).select(m.encode_key(F.lit(0).cast("long"), F.lit(5)).alias("key"), (i * 5000).alias("frame"), F.sin(i.cast("double")).alias("value"))
+    block = F.when(i % 3 == 1, 0).otherwise(i % n)
+    blocks_ = spark.range(many).filter(i % 3 > 0).select(m.encode_key(block.cast("long") * 512, F.lit(3)).alias("key"), (i * 5000).alias("frame"), F.when(i < many - 1, F.cos(i.cast("double"))).alias("value"))
+    visits = node.unionByName(blocks_)
+    out = free_space.update(spark.createDataFrame([], free_space.STATE), visits, TOP)
+    assert shuffled_rows(out) < 1.5 * many
+    got = {r.key: (r.occupancy, r.weight) for r in out.collect()}
+    assert len(got) == n + 7
+    for b in (0, 1, 8, 63):
+        mean, w = 0.0, 0
+        for k in range(many - 1):
+            if k % 3 == 0 or (k % 3 == 1 and b == 0) or (k % 3 == 2 and k % n == b):
+                w = min(w + 1, 20)
+                mean += ((math.sin(k) if k % 3 == 0 else math.cos(k)) - mean) / w
+        assert got[b * 512 * 32 + 3] == (pytest.approx(mean, abs=1e-12), 20)
+
+
 def test_map_before_a_wall(spark, tmp_path):
     """Everything well before a wall at 4 m is free, in nodes and blocks; frames later split nodes of the first.
 

@@ -14,10 +14,10 @@ from .registry import table  # noqa: F401
 SIZE, TOP, RES = 512, 9, 0.05
 
 
-def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """l_orderkey, l_linenumber, x, y, z, scale, code, key of every lineitem row."""
+def keys(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
+    """l_orderkey, l_linenumber, other columns, x, y, z, scale, code, key of every lineitem row."""
     li = table(spark, sf_dir, "lineitem")
-    c = li.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 512).alias("x"), (F.col("l_suppkey") % 512).alias("y"), (F.col("l_linenumber") % 512).cast("long").alias("z"), (F.col("l_orderkey") % 4).cast("long").alias("scale"))
+    c = li.select("l_orderkey", "l_linenumber", *others, (F.col("l_partkey") % 512).alias("x"), (F.col("l_suppkey") % 512).alias("y"), (F.col("l_linenumber") % 512).cast("long").alias("z"), (F.col("l_orderkey") % 4).cast("long").alias("scale"))
     # Copied into grouping keys and filters, a code's expression makes methods too long to compile.
     e = settle(c.withColumn("code", m.encode_code(F.col("x"), F.col("y"), F.col("z"))), "code")
     return e.withColumn("key", m.encode_key(F.col("code"), F.col("scale")))

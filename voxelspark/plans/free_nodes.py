@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import morton as m
@@ -16,8 +17,11 @@ from .registry import query
 def visits(spark, sf_dir):
     """Visits to octants of scale 3 to 6, mostly free; blocks are occupied now and then, or only asked for."""
     scale = F.lit(3) + F.greatest(F.lit(0), F.col("l_orderkey") % 16 - 12).cast("int")
-    li = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("amount"))
-    rows = fx.keys(spark, sf_dir).join(li, ["l_orderkey", "l_linenumber"])
+    # Rows of one line meet each other's amounts: a join of lines with themselves in one exchange.
+    line = Window.partitionBy("l_orderkey", "l_linenumber")
+    rows = fx.keys(spark, sf_dir, "l_quantity").select("l_orderkey", "l_linenumber", "code", F.col("l_quantity").cast("double").alias("amount")).filter("l_orderkey is not null and l_linenumber is not null")
+    rows = rows.withColumn("of", F.collect_list(F.struct("amount")).over(line)).drop("amount")
+    rows = rows.select("l_orderkey", "l_linenumber", "code", F.inline("of"))
     value = F.when((scale > 3) | (F.col("amount") < 40), F.lit(-5.015)).when(F.col("amount") < 48, (F.col("amount") - 40) / 4)
     rows = rows.select(m.encode_key(F.col("code"), scale).alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("frame"), value.alias("value"))
     return fusion.settle(rows, "key", "frame", "value")
@@ -41,12 +45,14 @@ _BOUNDS = f"""{_LEAVES}, bo AS (SELECT a.code, a.s, min(CASE WHEN weight > 0 THE
 
 def state(spark, sf_dir):
     """The leaves after all visits, in two batches: the second splits leaves of the first."""
-    every = visits(spark, sf_dir)
+    # As in a stream, visits have been written, and the next batch reads what the first one wrote.
+    at = folder(spark)
+    visits(spark, sf_dir).write.parquet(f"{at}/visits")
+    every = spark.read.parquet(f"{at}/visits")
     late = F.col("frame") >= every.agg(F.max("frame")).first()[0] // 2
-    # As in a stream, the next batch reads what the first one wrote.
-    at = f"{folder(spark)}/leaves"
-    free_space.update(spark.createDataFrame([], free_space.STATE), every.filter(~late), fx.TOP).write.parquet(at)
-    return free_space.update(spark.read.parquet(at), every.filter(late), fx.TOP)
+    free_space.update(spark.createDataFrame([], free_space.STATE), every.filter(~late), fx.TOP).write.parquet(f"{at}/early")
+    free_space.update(spark.read.parquet(f"{at}/early"), every.filter(late), fx.TOP).write.parquet(f"{at}/leaves")
+    return spark.read.parquet(f"{at}/leaves")
 
 
 @query(f"WITH {_LEAVES} SELECT code * 32 + s AS key, {_MICRO.format('occupancy')} AS occupancy_1e6, weight FROM l")
