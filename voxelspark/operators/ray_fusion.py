@@ -40,12 +40,12 @@ def _clamp(x: Column, to: tuple[float, float], res: float) -> Column:
     return F.greatest(F.lit(to[0] * res), F.least(x, F.lit(to[1] * res)))
 
 
-def marched(rays: DataFrame, vmap: VoxelMap, model: RayModel) -> tuple[DataFrame, Callable[[Column], Column]]:
-    """Rays (scan, seq, x, y, z in the sensor's frame) with n, tau, s, the sensor's place px, py, pz and k for each half-voxel step; and the number of the voxel at a step.
+def aimed(rays: DataFrame, vmap: VoxelMap, model: RayModel) -> DataFrame:
+    """Rays (scan, seq, x, y, z in the sensor's frame) with n, tau, s, their direction ux, uy, uz, the sensor's place px, py, pz and the number of half-voxel steps.
 
     Poses are the columns tx, ty, tz and qw to qz, if there are any; else the sensor is at
     the origin. Rays shorter than the near plane, or with null or infinite ends, and rays
-    that start outside the map give nothing; others end where they leave the map.
+    that start outside the map give nothing.
     """
     rows = fusion.posed(rays).withColumn("n", norm((F.col("x"), F.col("y"), F.col("z"))))
     rows = rows.filter((F.col("n") >= model.near) & (F.col("n") < math.inf))
@@ -54,18 +54,23 @@ def marched(rays: DataFrame, vmap: VoxelMap, model: RayModel) -> tuple[DataFrame
     tau, n = model.thickness(F.col("n"), vmap.res), F.col("n")
     rows = rows.select("scan", "seq", "n", tau.alias("tau"), model.three_sigma(n, vmap.res).alias("s"), *[u.alias(f"u{c}") for u, c in zip(unit, "xyz", strict=True)], *[p.alias(f"p{c}") for p, c in zip(start, "xyz", strict=True)])
     rows = fusion.settle(rows, "n", "tau", "s", "ux", "uy", "uz", "px", "py", "pz")
-    step = 0.5 * vmap.res
-    steps = F.ceil((F.least(n + F.col("tau"), F.lit(model.far)) - model.near) / F.lit(step)).cast("int")
+    steps = F.ceil((F.least(n + F.col("tau"), F.lit(model.far)) - model.near) / F.lit(0.5 * vmap.res)).cast("int")
+    return rows.filter(vmap.inside(*_at(F.lit(0), vmap, model))).withColumn("steps", steps).filter("steps > 0")
+
+
+def _at(k: Column, vmap: VoxelMap, model: RayModel) -> list[Column]:
+    return [F.col(f"u{c}") * (F.lit(model.near) + k * F.lit(0.5 * vmap.res)) + F.col(f"p{c}") for c in "xyz"]
 
-    def at(k: Column) -> list[Column]:
-        return [F.col(f"u{c}") * (F.lit(model.near) + k * F.lit(step)) + F.col(f"p{c}") for c in "xyz"]
+
+def marched(rays: DataFrame, vmap: VoxelMap, model: RayModel) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Rays (see aimed) with k for each half-voxel step, up to where they leave the map; and the number of the voxel at a step."""
 
     def voxel(k: Column) -> Column:
-        x, y, z = (vmap.voxel(p).cast("long") for p in at(k))
+        x, y, z = (vmap.voxel(p).cast("long") for p in _at(k, vmap, model))
         return (z * vmap.size + y) * vmap.size + x
 
-    rows = rows.filter(vmap.inside(*at(F.lit(0)))).withColumn("steps", steps).filter("steps > 0")
-    return rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).filter(vmap.inside(*at(F.col("k")))), voxel
+    rows = aimed(rays, vmap, model)
+    return rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).filter(vmap.inside(*_at(F.col("k"), vmap, model))), voxel
 
 
 def behind(vmap: VoxelMap, model: RayModel) -> Column:

@@ -79,10 +79,12 @@ _FUSED = _sql()
 
 def fused(spark, sf_dir):
     """The map after all batches, each of which writes the blocks that it changes."""
-    rows, store = scans(spark, sf_dir), BlockStore(folder(spark), ray_map.STATE)
+    store, at = BlockStore(folder(spark), ray_map.STATE), folder(spark, "rays")
+    # As in a stream, rays have been written by batches.
+    scans(spark, sf_dir).write.partitionBy("batch").parquet(at)
+    rows = spark.read.parquet(at)
     for i in range(BATCHES):
-        state = store.read(spark, i - 1)
-        store.write(ray_map.changes(state, rows.filter(F.col("batch") == i), HOW, per_segment=32), i)
+        store.write(ray_map.changes(store.read(spark, i - 1), rows.filter(F.col("batch") == i), HOW), i)
     return store.read(spark, BATCHES - 1)
 
 

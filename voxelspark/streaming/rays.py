@@ -79,7 +79,7 @@ class RayMapStream:
 
     path: str
     how: ray_map.RayMap = field(default_factory=ray_map.RayMap)
-    per_segment: int = 4096
+    per_segment: int = ray_map.PER_SEGMENT
     compact_every: int = 50
 
     @property
