@@ -456,3 +456,34 @@ def test_cameras_try_only_cells_around_blocks(spark):
         assert found.count() == 30 and shuffled_rows(found) <= 5 * 30
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rays_leave_their_samples_where_they_are(spark, monkeypatch):
+    """Only rays, their pieces in regions, voxels and hits are shuffled, however many samples a ray has; regions that many rays pass are copied."""
+    rng = np.random.default_rng(8)
+    rows = [(x, y, z, float(rng.random() - 0.3), int(rng.random() > 0.01)) for x in range(-20, 60) for y in range(28, 40) for z in range(4)]
+    vox = spark.createDataFrame(rows, "vx int, vy int, vz int, tsdf double, weight int").persist()
+    turn = rng.random(300) * 2 * np.pi
+    some = [(k, *(float(v) for v in rng.random(3) * (100, 14, 2) + (-30, 27, 1)), float(np.cos(t)), float(np.sin(t) / 4), 0.0) for k, t in enumerate(turn)]
+    names = ("ox", "oy", "oz", "dx", "dy", "dz")
+    rays = spark.createDataFrame([*some, (300, None, 30.0, 2.0, 1.0, 0.0, 0.0), (301, 5.0, 34.0, 2.0, 0.0, 0.0, 0.0)], f"id long, {', '.join(f'{c} double' for c in names)}").persist()
+    blocks = raycast.occupied_blocks(vox).persist()
+    casts = (
+        (raycast.surface_hits, lambda along: raycast.cast_surface(along, 0.5)),
+        (raycast.known_hits, lambda along: raycast.first_known(along, 0.5)),
+        (raycast.occupied_hits, lambda along: raycast.cast_occupied(along, 0.5)),
+    )
+    found = lambda df: {r["id"]: round(r["t"], 9) for r in df.collect()}
+    for open_, which in ((None, casts), (blocks, casts[2:])):
+        along = raycast.samples(rays, vox, 120, 0.5, blocks=open_).persist()
+        for (whole, cast), (near, share) in zip(which, ((24, 7), (120, 1 << 15), (24, 1 << 15))):
+            monkeypatch.setattr(raycast, "PER_COPY", share)
+            want = found(cast(along))
+            assert len(want) > 50 and max(want.values()) > 12
+            assert found(whole(rays=rays, voxels=vox, steps=120, step=0.5, near=near, blocks=open_)) == want
+    monkeypatch.setattr(raycast, "PER_COPY", 1 << 15)
+    one = lambda before, value: value > 9
+    short, long = (shuffled_rows(raycast.first_hits(rays, vox, 40, step, one, near=40)) for step in (0.5, 0.125))
+    assert long <= short < 10_000
+    with pytest.raises(Exception, match="length of 1"):
+        raycast.known_hits(rays=rays.withColumn("dx", F.lit(2.0)), voxels=vox, steps=9, step=0.5).collect()

@@ -56,17 +56,13 @@ it AS (SELECT id, k, sum(share * tsdf) AS value FROM st JOIN vox ON vx = sx AND
 al AS (SELECT sa.id, sa.k, value FROM sa LEFT JOIN it ON it.id = sa.id AND it.k = sa.k)"""
 
 
-def _far(cast, spark, sf_dir):
-    return raycast.march(cast, rays(spark, sf_dir), vox(spark, sf_dir), STEPS, 0.5)
-
-
-def _occupied(along):
-    return raycast.cast_occupied(along.withColumn("value", F.col("value") - F.lit(0.3137)), 0.5)
+def _far(spark, sf_dir):
+    return {"rays": rays(spark, sf_dir), "voxels": vox(spark, sf_dir), "steps": STEPS, "step": 0.5}
 
 
 @query(f"{_ALONG} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value IS NOT NULL GROUP BY id")
 def c03_first_known(spark, sf_dir):
-    return _far(lambda along: raycast.first_known(along, 0.5), spark, sf_dir)
+    return raycast.known_hits(**_far(spark, sf_dir))
 
 
 _CHANGE = f"{_ALONG}, ch AS (SELECT *, lag(value) OVER (PARTITION BY id ORDER BY k) AS before FROM al), hit AS (SELECT id, arg_min((k - 1) * 0.5::DOUBLE + before / (before - value) * 0.5::DOUBLE, k) AS t FROM ch WHERE before >= 0 AND value < 0 GROUP BY id)"
@@ -74,13 +70,13 @@ _CHANGE = f"{_ALONG}, ch AS (SELECT *, lag(value) OVER (PARTITION BY id ORDER BY
 
 @query(f"{_CHANGE} SELECT id, {_M.format('t')} AS t_1e6 FROM hit")
 def c04_raycast_surface(spark, sf_dir):
-    surface = _far(lambda along: raycast.cast_surface(along, 0.5), spark, sf_dir)
+    surface = raycast.surface_hits(**_far(spark, sf_dir))
     return surface.select("id", micro(F.col("t")).alias("t_1e6"))
 
 
 @query(f"{_ALONG} SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value > 0.3137::DOUBLE GROUP BY id")
 def c05_raycast_occupied(spark, sf_dir):
-    return _far(_occupied, spark, sf_dir)
+    return raycast.occupied_hits(level=0.3137, **_far(spark, sf_dir))
 
 
 #: Two of three blocks hold nothing but free space.
@@ -95,7 +91,7 @@ def emptied(spark, sf_dir):
 @query(_ALONG.replace(f"{_RAY}, ", f"{_EMPTY}, {_RAY}, ").replace("JOIN vox ON", "JOIN vo ON") + " SELECT id, min(k) * 0.5::DOUBLE AS t FROM al WHERE value > 0.3137::DOUBLE GROUP BY id")
 def c02_skipped_space(spark, sf_dir):
     voxels = emptied(spark, sf_dir)
-    return raycast.march(_occupied, rays(spark, sf_dir), voxels, STEPS, 0.5, blocks=raycast.occupied_blocks(voxels))
+    return raycast.occupied_hits(level=0.3137, **_far(spark, sf_dir) | {"voxels": voxels, "blocks": raycast.occupied_blocks(voxels)})
 
 
 _HITS = f"{_CHANGE}, pt AS (SELECT id, {', '.join(f'o{c} + t * d{c} AS {c}' for c in 'xyz')} FROM ra JOIN hit USING (id)), {grad_sql('vox', 0, 0.5)}, un AS (SELECT id, gx, gy, gz, sqrt(gx * gx + gy * gy + gz * gz) AS n FROM gr0)"
@@ -103,7 +99,7 @@ _HITS = f"{_CHANGE}, pt AS (SELECT id, {', '.join(f'o{c} + t * d{c} AS {c}' for
 
 @query(f"{_HITS} SELECT pt.id, {', '.join(f'{_M.format(c)} AS {c}_1e6' for c in 'xyz')}, {', '.join(f'CASE WHEN n > 0 THEN {_M.format(f'g{c} / n')} END AS n{c}_1e6' for c in 'xyz')} FROM pt LEFT JOIN un ON un.id = pt.id")
 def c06_raycast_volume(spark, sf_dir):
-    surface = _far(lambda along: raycast.cast_surface(along, 0.5), spark, sf_dir)
+    surface = raycast.surface_hits(**_far(spark, sf_dir))
     return _micros(raycast.hits(rays(spark, sf_dir), surface, vox(spark, sf_dir)), "x", "y", "z", "nx", "ny", "nz")
 
 
