@@ -487,3 +487,68 @@ def test_rays_leave_their_samples_where_they_are(spark, monkeypatch):
     assert long <= short < 10_000
     with pytest.raises(Exception, match="length of 1"):
         raycast.known_hits(rays=rays.withColumn("dx", F.lit(2.0)), voxels=vox, steps=9, step=0.5).collect()
+
+
+def test_images_are_cut_in_a_stream_of_frames(spark):
+    """Parts of images are cut where a frame's image passes its visits: no join, no whole image in a visit's row; images are dealt out before they are worked on."""
+    from voxelspark.plans import fusion as plans
+
+    rng = np.random.default_rng(5)
+    camera, vmap = sensors.Pinhole(8.0, 8.0, 3.5, 3.5, 8, 8, near=0.1, far=10.0), fusion.VoxelMap()
+    images = {f: None if f == 3 else [None if v < 0.1 else float(v) for v in rng.random(64) * 4] for f in range(7)}
+    frames = spark.createDataFrame([(f, i, f * 0.1, 0.0, -0.2) for f, i in images.items() if f != 5], "frame long, depth array<double>, tx double, ty double, tz double")
+    at = [(*(int(v) for v in rng.integers((10, 10, 15), (22, 22, 24))), f) for f in range(7) for _ in range(40)]
+    seen = spark.createDataFrame([(*a, a[3] * 0.1, 0.0, -0.2) for a in at], "bx int, by int, bz int, frame long, tx double, ty double, tz double")
+    out = fusion.cropped(seen, frames, camera, vmap)
+    rows = out.collect()
+    assert sorted((r["bx"], r["by"], r["bz"], r["frame"]) for r in rows) == sorted(a for a in at if a[3] != 5)
+    sizes = set()
+    for r in rows:
+        got = np.frombuffer(r["depth"], float)
+        sizes.add(len(got))
+        whole = np.array([np.nan if v is None else v for v in images[r["frame"]] or [None] * 64], dtype=float).reshape(8, 8)
+        want = whole[r["y0"] : r["y0"] + len(got) // r["wide"], r["x0"] : r["x0"] + r["wide"]].reshape(-1) if len(got) else got
+        np.testing.assert_array_equal(got, want)
+        known = got[~np.isnan(got)]
+        assert r["most"] == (known.max() if len(known) else None)
+        # Every voxel that projects into the image finds its pixel in the part.
+        p = [(r[f"b{c}"] * 8 + rng.random(20) * 8) * vmap.res - vmap.dim / 2 - r[f"t{c}"] for c in "xyz"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u, v = (np.floor(p[k] * 8.0 / p[2] + 4.0) for k in (0, 1))
+        ok = (p[2] > 0) & (u >= 0) & (u < 8) & (v >= 0) & (v < 8)
+        if images[r["frame"]] and ok.any():
+            assert len(got) and (u[ok] >= r["x0"]).all() and (u[ok] < r["x0"] + r["wide"]).all() and (v[ok] >= r["y0"]).all() and (v[ok] < r["y0"] + len(got) / r["wide"]).all()
+    assert 0 in sizes and 64 in sizes and len(sizes) > 4
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    # The frames that see the map are found after the table's rows are dealt out.
+    plan = fusion.sighted(plans.frames(spark, "/root/testdata/sf0.001"), camera, vmap)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("exists(") < plan.index("RepartitionByExpression")
+
+
+def test_projection_finds_what_plain_projection_finds():
+    """Also where images reach to their borders, pixels are missing or too near and voxels are behind the camera."""
+    rng = np.random.default_rng(6)
+    camera, vmap = sensors.Pinhole(8.0, 8.0, 3.5, 3.5, 8, 8, near=0.1, far=3.0), fusion.VoxelMap()
+    n, total = 20, 0
+    image = np.where(rng.random((n, 64)) < 0.1, np.nan, rng.random((n, 64)) * 3)
+    for turned in (False, True):
+        for corner in ((128, 124, 124), (128, 130, 140), (130, 128, 176)):
+            q = np.linalg.qr(rng.normal(size=(n, 3, 3)) * 0.2 + np.eye(3))[0]
+            turn = q * np.sign(np.einsum("nii->ni", q))[:, None, :] if turned else None
+            pose, zero = rng.random((n, 3)) * 0.3, np.zeros(n, dtype=int)
+            row, k, u = fusion.distances(np.array(corner), pose, turn, fusion.depths(image.reshape(-1), camera), np.arange(n) * 64 + 1, zero, zero, zero + 8, camera, vmap)
+            got, want = {(int(r), int(i)): v for r, i, v in zip(row, k, u, strict=True)}, {}
+            for r in range(n):
+                for i in range(512):
+                    p = (np.array(corner) + (i % 8, i // 8 % 8, i // 64) + 0.5) * vmap.res - vmap.dim / 2 - pose[r]
+                    x, y, z = p if turn is None else turn[r].T @ p
+                    if not 0 < z <= camera.far:
+                        continue
+                    a, b = np.floor(x * 8.0 / z + 4.0), np.floor(y * 8.0 / z + 4.0)
+                    d = image[r, int(b) * 8 + int(a)] if 0 <= a < 8 and 0 <= b < 8 else np.nan
+                    sdf = (d - z) / z * np.sqrt(x * x + y * y + z * z)
+                    if d >= camera.near and sdf >= -vmap.boundary:
+                        want[r, i] = min(sdf / vmap.boundary, 1.0)
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+            total += len(want)
+    assert total > 5000

@@ -27,10 +27,15 @@ def depth(spark, sf_dir):
 
 
 def frames(spark, sf_dir):
-    """One row per frame: its pose, and its image as an array by rows. The table is one small file, so its rows are dealt out."""
+    """One row per frame: its pose, and its image as an array by rows.
+
+    The table is one small file, so its rows are dealt out; images are settled, else what
+    filters frames by them would be done before they are dealt, in the one task that reads them.
+    """
     depths = F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 10000).cast("int") / 1000.0)
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), depths.alias("depth"), ((F.col("vec_id") % 16) * 0.1).cast("double").alias("tx"))
-    return rows.withColumns({"ty": F.lit(0.0), "tz": F.lit(0.0)}).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "frame")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "embedding").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "frame")
+    rows = fusion.settle(rows.select("frame", depths.alias("depth")), "depth")
+    return rows.withColumns({"tx": ((F.col("frame") % 16) * 0.1).cast("double"), "ty": F.lit(0.0), "tz": F.lit(0.0)})
 
 
 def turned(rows):

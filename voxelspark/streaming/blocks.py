@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import morton as m
 from ..functions.sensors import HYSTERESIS, SCALE_STEPS, Pinhole
 from ..operators import carve, free_space
-from ..operators.fusion import LOG_ODD_MIN, SHIFT, TURN, VoxelMap, cropped, occupancy_max_weight, packed, pose_columns, posed, settle, surface_samples, to_camera, visits
+from ..operators.fusion import LOG_ODD_MIN, SHIFT, TURN, VoxelMap, cropped, occupancy_max_weight, packed, parts_of, pose_columns, posed, settle, surface_samples, to_camera, visits
 from ..operators.octree import BLOCK_SCALE
 
 #: Integrations and share of the observed volume after which a buffer takes over.
@@ -274,11 +274,11 @@ def fuse_visits(seen: DataFrame, frames: DataFrame, camera: Pinhole, vmap: Voxel
     # A block that lies further behind all of its part of the image than anything is observed needs no image.
     reach = math.sqrt(3) / 2 * vmap.block * vmap.res + (tau if occupancy else vmap.boundary)
     ahead = to_camera(seen, tuple((F.col(f"b{c}") * vmap.block + F.lit(vmap.block / 2)) * F.lit(vmap.res) - F.lit(vmap.dim / 2) for c in "xyz"))[2]
-    rows = settle(cropped(seen.withColumn("ahead", ahead), frames, camera, vmap), "ahead", "depth")
-    hidden = F.coalesce(F.col("ahead") - F.lit(reach) > F.array_max("depth"), F.lit(False))
-    rows = rows.withColumn("depth", F.when(hidden, F.array().cast("array<double>")).otherwise(F.col("depth"))).drop("ahead")
+    rows = cropped(seen.withColumn("ahead", ahead), frames, camera, vmap)
+    hidden = F.coalesce(F.col("ahead") - F.lit(reach) > F.col("most"), F.lit(False))
+    rows = rows.withColumn("depth", F.when(~hidden, F.col("depth"))).drop("ahead", "most")
     if "free" in seen.columns:
-        rows = rows.withColumn("depth", F.when(F.col("free"), F.array().cast("array<double>")).otherwise(F.col("depth")))
+        rows = rows.withColumn("depth", F.when(~F.col("free"), F.col("depth")))
     weight, turned, carved = occupancy_max_weight() if occupancy else vmap.max_weight, "r00" in rows.columns, "free" in rows.columns
     shifts, turns = list(SHIFT), list(TURN)
 
@@ -299,8 +299,8 @@ def fuse_visits(seen: DataFrame, frames: DataFrame, camera: Pinhole, vmap: Voxel
             turn = np.stack([col(c) for c in turns], 1).reshape(-1, 3, 3) if turned else None
             whole_free = (col("free") if carved else np.zeros(batch.num_rows, dtype=bool)).tolist()
             x0, y0, wide = (col(c).astype(np.int64) for c in ("x0", "y0", "wide"))
-            first = batch.column("depth").offsets.to_numpy()[:-1].astype(np.int64) - batch.column("depth").offsets[0].as_py()
-            image = np.nan_to_num(batch.column("depth").flatten().to_numpy(zero_copy_only=False).astype(float))
+            image, first = parts_of(batch.column("depth"))
+            image = np.nan_to_num(image)
             sight = Sight(at, shift, turn, image, first, x0, y0, wide, camera, vmap, occupancy, sigma, tau)
             centre = (at.astype(np.int64) * vmap.block + vmap.block / 2) * vmap.res - vmap.dim / 2 - shift
             away = (centre[:, 2] if turn is None else turn[:, 0, 2] * centre[:, 0] + turn[:, 1, 2] * centre[:, 1] + turn[:, 2, 2] * centre[:, 2]).tolist()
